@@ -150,8 +150,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         chosen = _first(now, LEADERS)
         pairs = now.join(chosen, "key").where((F.col("rep") > F.col("l.rep")) & (F.col("c") != F.col("l.c")) & sizes_agree(F.col("n"), F.col("l.n"))).select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct()
         more = written(_confirmed(pairs.join(links, ["a", "b"], "leftanti"), sets, percent), "links")
-        links = written(links.unionByName(more), "links")
-        comps = written(components(links), "components")
+        if not more.isEmpty():
+            links = written(links.unionByName(more), "links")
+            comps = written(components(links), "components")
         open_ = now.join(chosen.select("key", F.col("l.rep").alias("rep")), ["key", "rep"], "leftanti").select("key", "rep", "n")
     reps = nodes.select("d1", "d2", "rep").join(comps, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component"))
     # Rows that share an id are one document, though their texts differ: their nodes are one.
