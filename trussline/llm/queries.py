@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, minhash, mixing, packing, suffix, urls
+from . import ann, lm, media, minhash, mixing, packing, suffix, urls
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), size=1024, end_id=2)
 
 
+def op4_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -33,5 +37,14 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.suffix_dedup(table(spark, sf_dir, "documents"), width=400)
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_media_columns, op6_mix_sources, op7_url_filter, op8_minhash_near_dedup, op9_suffix_array_dedup)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"), held_out=_remainder(10) == 0)
+
+
+def _remainder(n: int):
+    """crc32 of the document's id as text, mod n; a null id counts as ''."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_hnsw_search, op5_media_columns, op6_mix_sources, op7_url_filter, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}
