@@ -125,11 +125,19 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK) -> I
         i = j
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all case-folded words, in order, and for each text the place of its first one (one more at the end)."""
-    _, _, sep = _tables()
+def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all case-folded words, in order, and for each text the place of its first one (one more at the end).
+
+    sep: which bytes part words, if not white space.
+    """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+    start, end = word_places(data, offs, _tables()[2] if sep is None else sep)
+    return span_hash(prefix_hash(data, True), start, end), np.searchsorted(start, offs)
+
+
+def word_places(data: np.ndarray, offs: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of every word."""
     inside = ~sep[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offs] = True
@@ -141,7 +149,25 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     after[:-1] = inside[1:]
     start = np.flatnonzero(inside & (~before | cut[:-1]))
     end = np.flatnonzero(inside & (~after | cut[1:])) + 1
-    return span_hash(prefix_hash(data, True), start, end), np.searchsorted(start, offs)
+    return start, end
+
+
+def white_space() -> np.ndarray:
+    return _tables()[2]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, keep) -> DataFrame:
+    """(id, y, text) of about so many labelled documents (a hash of the id picks them, alike at every size), one row each.
+
+    keep: which ids may be learned from. Equal texts count once, so copies can't outweigh others.
+    """
+    y = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & keep).select(F.col("doc_id").cast("long").alias("id"), F.col(column).alias("y")).groupBy("id").agg(F.max("y").cast("int").alias("y"))
+    n = max(y.count(), 1)
+    grain = 1 << 20
+    y = y.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(grain)) < int(grain * min(1.0, rows / n)))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    both = passing(base, "doc", y, "id").join(y, F.col("doc") == F.col("id"))
+    return both.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "y"]).select("id", "y", "text")
 
 
 def id_filter(ids: DataFrame, column: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm, media, minhash, mixing, packing, suffix, urls
+from . import ann, lm, media, minhash, mixing, packing, quality, suffix, toxicity, urls
 from .common import table
 
 
@@ -13,6 +13,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), size=1024, end_id=2)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = _remainder(3)
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=rest == 1)
+
+
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest = _remainder(3)
+    return quality.document_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=rest == 1)
+
+
 def op4_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20)
 
@@ -46,5 +56,5 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_hnsw_search, op5_media_columns, op6_mix_sources, op7_url_filter, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality_crf, op4_hnsw_search, op5_media_columns, op6_mix_sources, op7_url_filter, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_lm_scoring)}
 ORACLES: dict[str, str] = {}

@@ -36,7 +36,7 @@ gives no rows; other columns are ignored here, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -255,15 +255,17 @@ def _merged(spans: list, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
-    """id column, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, if asked for) of every row.
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """id column, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked for, kept_text and columns to carry) of every row.
 
     kept_text is the remaining bytes as UTF-8; a character of which a part was
     removed goes with it.
     """
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    spans = repeated_spans(base, width)
+    named = {f"c{i}": c for i, c in enumerate(carry)}
+    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *[F.col(c).alias(k) for k, c in named.items()])
+    spans = repeated_spans(base.select("id", "text"), width)
     by_doc = written(spans.groupBy(F.col("id").alias("sid")).agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,14 +283,14 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
                     rows.append((doc, len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *part.columns[3:]], names + part.schema.names[3:])
 
     text = F.coalesce("text", F.lit(""))
     plain = [F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (text if with_text else F.lit(None).cast("string")).alias("kept_text")]
     # Texts move only where there is something to remove (or the filter can't tell); all others are done where they are read.
-    touched = flagged(base, "id", by_doc.select("sid"), "sid")
-    clean = touched.where("not _hit").select("id", *plain)
-    moved = touched.where("_hit").select("id", "text").join(by_doc, F.col("id") == F.col("sid"), "left")
-    out = clean.unionByName(moved.select("id", "text", "spans").mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string"))
-    return out.withColumnRenamed("id", id_column) if with_text else out.drop("kept_text").withColumnRenamed("id", id_column)
-
+    touched = flagged(base, "id", by_doc, "sid")
+    clean = touched.where("not _hit").select("id", *plain, *named)
+    moved = touched.where("_hit").join(by_doc, F.col("id") == F.col("sid"), "left").select("id", "text", "spans", *named)
+    kinds = "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in named)
+    out = clean.unionByName(moved.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + kinds))
+    return out.select(F.col("id").alias(id_column), *names[1 : 6 if with_text else 5], *[F.col(k).alias(c) for k, c in named.items()])
