@@ -9,12 +9,12 @@ sets.
 
 Equal sets are collapsed by a 128-bit digest first, so thousands of copies are
 one node from then on. Nodes meet in buckets (a band's coordinates). Nothing
-emits all pairs of a bucket: its first node is compared with every other, links
-are joined into components, and only nodes of one bucket that are still in
-different components need more. They are settled in rounds, each of which
-compares the next LEADERS nodes with the rest, until no two nodes of a bucket are
-left that are neither in one component nor compared. So the result is the same
-as that of all pairs.
+emits all pairs of a bucket: its first node, the lead of a star, is compared
+with every other, and links are joined into components. What is left are nodes of
+one star in different components. They are described by their difference from
+the lead, which is small for near-copies, and an exact prefix filter on the
+differences finds the pairs that can still be linked; see ``_across``. So the
+result is the same as that of all pairs of every bucket.
 
 With 32 bands of 5 coordinates a pair at a similarity of 0.8 meets with
 probability 1 - 3e-6, above it still more likely.
@@ -34,13 +34,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, components, mix64, passing, words, written
 
-#: Bands, coordinates in a band, bits of the universe, and nodes of a bucket compared with all others in each later round.
-BANDS, ROWS, UNIVERSE, LEADERS = 32, 5, 20, 16
+#: Bands, coordinates in a band, and bits of the universe.
+BANDS, ROWS, UNIVERSE = 32, 5, 20
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -129,31 +129,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     sketch = written(_sketches(base, shingle), "sketches")
     nodes = sketch.where("id is not null and n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     held = nodes.select("rep", "n", F.explode("bands").alias("key"))
-    lead = held.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    members = written(held.join(lead, "key").select("key", "rep", "n", "lead"), "buckets")
-    sizes_agree = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    wanted = members.select("rep").distinct()
+    # A bucket's first node: the least of hashes that a quarter of the buckets share, so that one ill-placed node does not lead them all.
+    order = F.struct(F.xxhash64("rep", F.pmod("key", F.lit(4))).alias("h"), "rep", "n")
+    lead = held.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("size")).where("size > 1")
+    stars = written(held.join(lead, "key").where("rep <> lead.rep").select(F.col("lead.rep").alias("lead"), F.col("lead.n").alias("nl"), "rep", "n").distinct(), "stars")
+    wanted = stars.select("rep").union(stars.select("lead")).distinct()
     sets = written(_sets(passing(base, "id", wanted, "rep"), shingle).join(wanted, F.col("id") == F.col("rep"), "leftsemi").where("size(s) > 0").distinct(), "sets")
-    first = members.where((F.col("rep") != F.col("lead.rep")) & sizes_agree(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = written(_confirmed(first, sets, percent), "links")
-    comps = written(components(links), "components")
-    # done: the place in a bucket up to which nodes have been compared with all others.
-    ranked = members.where("rep <> lead.rep").select("key", "rep", "n")
-    open_ = None
-    while True:
-        now = (ranked if open_ is None else open_).join(comps, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        many = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        now = written(now.join(many, "key", "leftsemi"), "open")
-        if now.isEmpty():
-            break
-        # The first LEADERS nodes of each open bucket, against the others of it.
-        chosen = _first(now, LEADERS)
-        pairs = now.join(chosen, "key").where((F.col("rep") > F.col("l.rep")) & (F.col("c") != F.col("l.c")) & sizes_agree(F.col("n"), F.col("l.n"))).select(F.col("l.rep").alias("a"), F.col("rep").alias("b")).distinct()
-        more = written(_confirmed(pairs.join(links, ["a", "b"], "leftanti"), sets, percent), "links")
-        if not more.isEmpty():
-            links = written(links.unionByName(more), "links")
-            comps = written(components(links), "components")
-        open_ = now.join(chosen.select("key", F.col("l.rep").alias("rep")), ["key", "rep"], "leftanti").select("key", "rep", "n")
+    near = (100 + percent) * F.least("n", "nl") >= percent * (F.col("n") + F.col("nl"))  # else their sizes alone keep them apart
+    links = written(_confirmed(stars.where(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct(), sets, percent), "links")
+    comps = components(links)
+    pairs = _across(stars, comps, sets, percent)
+    more = written(_confirmed(pairs, sets, percent), "links")
+    if not more.isEmpty():
+        comps = components(links.unionByName(more))
     reps = nodes.select("d1", "d2", "rep").join(comps, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component"))
     # Rows that share an id are one document, though their texts differ: their nodes are one.
     out = sketch.join(reps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & F.col("id").isNotNull() & (F.col("n") > 0), "left")
@@ -161,7 +149,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _first(rows: DataFrame, k: int) -> DataFrame:
-    """(key, l): the k smallest nodes of each key, one row each."""
-    place = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-    return rows.select("key", F.struct("rep", "n", "c").alias("l"), place.alias("_at")).where(F.col("_at") <= k).drop("_at")
+def _across(stars: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one star that may be linked, though the star's links leave them in different components.
+
+    With R the shingles of the lead L that a node lacks, and A those that it has
+    besides, two nodes have |L| - |R u R'| + |A n A'| in common. So they are
+    linked exactly if R and R' together with A and A' share at least
+    need = f (n + n') - |L| + |R| + |R'| elements, f = percent / (100 + percent).
+    Where need is not above 0 the node of least f n + |R| is linked to both.
+    Else a shared element is among the first |A| + |R| - need + 1 of either in
+    any common order: only those of nodes outside a star's largest component meet
+    those of its others. A's elements come first, as they are the rare ones.
+    """
+    whole = 100 + percent
+    rows = stars.join(comps, F.col("rep") == F.col("node"), "left").select("lead", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    sizes = rows.groupBy("lead", "c").agg(F.count("*").alias("size"))
+    open_ = sizes.groupBy("lead").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("lead", F.col("most.c").alias("main"))
+    own, first = sets.select(F.col("id").alias("rep"), F.col("s")), sets.select(F.col("id").alias("lead"), F.col("s").alias("sl"))
+    q = percent * F.col("n") + whole * F.size("r")
+    rows = written(
+        rows.join(open_, "lead").join(own, "rep").join(first, "lead").select("lead", "rep", "n", "c", (F.col("c") != F.col("main")).alias("apart"), F.size("sl").alias("nl"), F.array_sort(F.array_except("s", "sl")).alias("a"), F.array_sort(F.array_except("sl", "s")).alias("r"))
+        .select("lead", "rep", "c", "apart", (whole * F.col("nl")).alias("l"), F.concat("a", "r").alias("d"), q.cast("long").alias("q")),
+        "apart",
+    )
+    least = rows.groupBy("lead").agg(F.min(F.struct("q", "rep")).alias("low"), F.min(F.when(F.col("apart"), F.col("q"))).alias("low_apart"))
+    rows = rows.join(least, "lead")
+    sure = rows.where((F.col("q") + F.col("low.q") <= F.col("l")) & (F.col("rep") != F.col("low.rep"))).select(F.least("rep", "low.rep").alias("a"), F.greatest("rep", "low.rep").alias("b"))
+
+    def prefix(other: Column) -> Column:
+        need = F.greatest(F.lit(1), F.ceil((F.col("q") + other - F.col("l")) / whole))
+        return F.explode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") - need + 1).cast("int")))
+
+    kept = ["lead", "rep", "c", "q", F.size("d").alias("nd")]
+    left = rows.where("apart").select(*kept, "l", prefix(F.col("low.q")).alias("e"))
+    right = rows.select(*kept, prefix(F.col("low_apart")).alias("e")).withColumnsRenamed({"rep": "rep2", "c": "c2", "q": "q2", "nd": "nd2"})
+    both = left.join(right, ["lead", "e"]).where((F.col("rep") != F.col("rep2")) & (F.col("c") != F.col("c2")) & (whole * F.least("nd", "nd2") >= F.col("q") + F.col("q2") - F.col("l")))
+    return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).unionByName(sure).distinct()
