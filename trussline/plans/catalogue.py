@@ -1,4 +1,317 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL: each operator over a projection of the whole driver tables."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trussline.functions.numbers import csv_number, format_number, to_number
+from trussline.operators import boxes, catalogue, clashes, events, matrix, quantities
+from trussline.plans import ids
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _money(*columns: str) -> list:
+    return [F.round(c, 2).cast("decimal(18,2)").alias(c) for c in columns]
+
+
+def _lines(spark: SparkSession, sf_dir: str, total: bool) -> DataFrame:
+    q = quantities.aggregate(_t(spark, sf_dir, "lineitem"), "l_returnflag", {"qty": F.col("l_quantity"), "price": F.col("l_extendedprice")}, total)
+    return q.select("key", "n", *_money("sum_qty", "sum_price"), "have_qty", "have_price", "is_total")
+
+
+_SUMS = "count(*) AS n, CAST(round(sum(l_quantity), 2) AS DECIMAL(18,2)) AS sum_qty, CAST(round(sum(l_extendedprice), 2) AS DECIMAL(18,2)) AS sum_price, count(l_quantity) AS have_qty, count(l_extendedprice) AS have_price"
+
+
+@query(f"SELECT l_returnflag AS key, {_SUMS}, false AS is_total FROM lineitem GROUP BY l_returnflag")
+def qto_group_sum(spark, sf_dir):
+    return _lines(spark, sf_dir, False)
+
+
+@query(f"SELECT l_returnflag AS key, {_SUMS}, grouping(l_returnflag) = 1 AS is_total FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+def qto_rollup_total(spark, sf_dir):
+    return _lines(spark, sf_dir, True)
+
+
+@query("SELECT l_returnflag AS key, count(*) AS n, count(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END) AS have_qty, CAST(round(sum(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END), 2) AS DECIMAL(18,2)) AS sum_qty FROM lineitem GROUP BY 1")
+def qto_have_counts(spark, sf_dir):
+    some = F.when(F.col("l_linenumber") % 3 == 1, F.col("l_quantity")).when(F.col("l_linenumber") % 3 == 2, F.col("l_quantity")).otherwise(F.lit(float("nan")))
+    q = quantities.aggregate(_t(spark, sf_dir, "lineitem"), "l_returnflag", {"qty": some}, False)
+    return q.select("key", "n", "have_qty", *_money("sum_qty"))
+
+
+@query("WITH g AS (SELECT p_brand AS key, count(*) AS n FROM part GROUP BY 1) SELECT key, n, CAST(row_number() OVER (ORDER BY regexp_extract(key, '^[^0-9]*'), CAST(regexp_extract(key, '[0-9]+') AS BIGINT), key) AS INT) AS rank FROM g")
+def qto_natural_rank(spark, sf_dir):
+    q = quantities.aggregate(_t(spark, sf_dir, "part"), "p_brand", {}, False)
+    return quantities.natural_rank(q).select("key", "n", "rank")
+
+
+@query()
+def qto_csv_line(spark, sf_dir):
+    q = quantities.aggregate(_t(spark, sf_dir, "lineitem"), "l_returnflag", {"qty": F.col("l_quantity"), "price": F.col("l_extendedprice")})
+    return quantities.csv_lines(q, ["qty", "price"])
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE l_discount END AS value FROM lineitem")
+def number_text(spark, sf_dir):
+    d = F.col("l_discount").cast("string")
+    text = F.when(F.col("l_linenumber") % 4 == 3, F.concat(d, F.lit("d"))).when(F.col("l_linenumber") % 4 == 1, F.replace(d, F.lit("."), F.lit(","))).otherwise(F.concat(F.lit(" "), d, F.lit(" ")))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", to_number(text).alias("value"))
+
+
+@query("SELECT p_partkey, replace(regexp_replace(regexp_replace(printf('%.3f', CAST(p_size AS DOUBLE) / 8), '0+$', ''), '\\.$', ''), '.', ',') AS csv, CAST(p_size AS VARCHAR) AS shown FROM part")
+def number_format(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", csv_number(F.col("p_size") / 8, ",").alias("csv"), format_number(F.col("p_size").cast("double")).alias("shown"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k2"), F.col("n_name").alias("col_name"), F.col("n_regionkey").alias("r2"))
+    both = n.join(r, (F.col("n_regionkey") == F.col("r2")))
+    hard = (F.col("n_nationkey") + F.col("k2") * 2) % 3 == 0
+    return both.select(F.col("n_name").alias("row_name"), "col_name", F.when(hard, "hard").otherwise("clearance").alias("type"), F.when(hard & (F.col("k2") % 2 == 0), None).otherwise((F.col("n_nationkey") * 7 + F.col("k2") * 3) % 50 + 1).cast("double").alias("tol_mm"), F.col("n_nationkey").alias("r"), F.col("k2").alias("c"))
+
+
+_CELLS = """WITH cells AS (SELECT a.n_name AS row_name, b.n_name AS col_name, (a.n_nationkey + b.n_nationkey * 2) % 3 = 0 AS hard,
+ CASE WHEN (a.n_nationkey + b.n_nationkey * 2) % 3 = 0 AND b.n_nationkey % 2 = 0 THEN NULL ELSE CAST((a.n_nationkey * 7 + b.n_nationkey * 3) % 50 + 1 AS DOUBLE) END AS tol_mm
+ FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey)"""
+
+
+@query(_CELLS + """ SELECT least(row_name, col_name) AS a_name, greatest(row_name, col_name) AS b_name, CASE WHEN bool_or(hard) THEN 'hard' ELSE 'clearance' END AS type,
+ CASE WHEN bool_or(hard) THEN min(CASE WHEN hard THEN coalesce(tol_mm, 1.0) END) ELSE max(CASE WHEN NOT hard THEN tol_mm END) END AS tol_mm FROM cells GROUP BY 1, 2""")
+def matrix_rules(spark, sf_dir):
+    return matrix.matrix_rules(_cells(spark, sf_dir)).drop("tol")
+
+
+@query(_CELLS + " SELECT row_name, " + ", ".join(f"max(CASE WHEN col_name = '{c}' THEN CASE WHEN hard THEN CASE WHEN tol_mm IS NULL THEN 'H' ELSE 'H:' || CAST(CAST(tol_mm AS INT) AS VARCHAR) END ELSE CAST(CAST(tol_mm AS INT) AS VARCHAR) END END) AS \"{c}\"" for c in ("NATION_1", "NATION_2", "NATION_3")) + " FROM cells GROUP BY row_name")
+def matrix_pivot(spark, sf_dir):
+    return matrix.matrix_grid(_cells(spark, sf_dir), ["NATION_1", "NATION_2", "NATION_3"])
+
+
+@query("SELECT s AS set, c AS ifc_class, count(*) AS n FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'IfcWall' WHEN 1 THEN 'IfcBeam' ELSE 'IfcDuct' END AS s FROM events) e JOIN (VALUES ('IfcWall', 'IFCWALL'), ('IfcWall', 'IFCWALLSTANDARDCASE'), ('IfcWall', 'IFCWALLELEMENTEDCASE'), ('IfcBeam', 'IFCBEAM'), ('IfcBeam', 'IFCBEAMSTANDARDCASE'), ('IfcDuct', 'IFCDUCT')) v(k, c) ON e.s = v.k GROUP BY 1, 2")
+def class_expand(spark, sf_dir):
+    k = F.col("event_id") % 3
+    sets = _t(spark, sf_dir, "events").select(F.when(k == 0, "IfcWall").when(k == 1, "IfcBeam").otherwise("IfcDuct").alias("name"))
+    return matrix.expand_classes(sets).groupBy("set", "ifc_class").agg(F.count("*").alias("n"))
+
+
+@query("SELECT concat_ws('|', least(a.s_name, b.s_name), greatest(a.s_name, b.s_name), 'r' || CAST(a.s_nationkey AS VARCHAR)) AS clash, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
+def clash_key(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier")
+    both = s.join(s.select(F.col("s_name").alias("n2"), F.col("s_nationkey").alias("k2"), F.col("s_suppkey").alias("s2")), (F.col("s_nationkey") == F.col("k2")) & (F.col("s_suppkey") != F.col("s2")))
+    return both.groupBy(matrix.clash_key(F.col("s_name"), F.col("n2"), F.concat(F.lit("r"), F.col("s_nationkey").cast("string"))).alias("clash")).agg(F.count("*").alias("n"))
+
+
+def _boxes(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+    p = _t(spark, sf_dir, "part")
+    x, y, z = (((F.col("p_partkey") * m + shift) % 400 / 4.0) for m in (37, 53, 91))
+    s = F.col("p_size") / 8.0
+    return p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), x.alias("x0"), y.alias("y0"), z.alias("z0"), (x + s).alias("x1"), (y + s).alias("y1"), (z + s).alias("z1"))
+
+
+def _box_sql(shift: int) -> str:
+    axis = lambda m, s="": f"((p_partkey * {m} + {shift}) % 400) / 4.0{s}"
+    return "SELECT 'p' || CAST(p_partkey AS VARCHAR) AS key, " + ", ".join(f"{axis(m)} AS {a}0, {axis(m, ' + p_size / 8.0')} AS {a}1" for a, m in zip("xyz", (37, 53, 91), strict=True)) + " FROM part"
+
+
+_HIT = " AND ".join(f"a.{x}0 <= b.{x}1 + {{g}} AND b.{x}0 - {{g}} <= a.{x}1" for x in "xyz")
+
+
+@query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT a.key AS key_a, b.key AS key_b FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0)}")
+def box_join(spark, sf_dir):
+    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0).select("key_a", "key_b")
+
+
+@query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT a.key AS key_a, b.key AS key_b FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0.5)}")
+def box_join_inflated(spark, sf_dir):
+    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), inflate=0.5, cell=2.0).select("key_a", "key_b")
+
+
+@query(f"WITH a AS ({_box_sql(0)}) SELECT a.key AS key_a, b.key AS key_b FROM a JOIN a b ON a.key < b.key AND {_HIT.format(g=0)}")
+def box_self_join(spark, sf_dir):
+    one = _boxes(spark, sf_dir, 0)
+    return boxes.unordered(boxes.box_join(one, one, cell=2.0))
+
+
+@query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT least(50, count(*)) AS n, count(*) >= 50 AS truncated FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0)}")
+def box_pair_cap(spark, sf_dir):
+    pairs, cut = boxes.capped(boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0), 50)
+    return pairs.agg(F.count("*").alias("n")).withColumn("truncated", F.lit(cut))
+
+
+_DEPTH = "greatest(0.0, least(" + ", ".join(f"least(a.{x}1, b.{x}1) - greatest(a.{x}0, b.{x}0)" for x in "xyz") + "))"
+
+
+@query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT a.key AS key_a, b.key AS key_b, CAST({_DEPTH} AS DOUBLE) AS depth FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0)}")
+def overlap_depth(spark, sf_dir):
+    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0).select("key_a", "key_b", boxes.overlap_depth().alias("depth"))
+
+
+@query("""WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)
+ SELECT a.id, round(min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))), 9) AS dist FROM p a JOIN p b ON a.id % 2 = 0 AND b.id % 2 = 1 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.1 GROUP BY 1""")
+def nearest_within(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings")
+    at = [F.col("embedding")[i].cast("double") for i in range(3)]
+    points = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), *[c.alias(x) for c, x in zip(at, "xyz", strict=True)])
+    triangles = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("tri"), *[c.alias(f"{v}{x}") for v in "abc" for c, x in zip(at, "xyz", strict=True)])
+    return clashes.nearest_surface(points, triangles, 0.1).select("id", F.round("dist", 9).alias("dist"))
+
+
+def _cubes(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
+    """Unit cubes of suppliers' keys as meshes."""
+    faces = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3)]
+    s = _t(spark, sf_dir, "supplier")
+    o = [((F.col("s_suppkey") * m + shift) % 40 / 8.0) for m in (3, 7, 11)]
+    tris = [F.lit(float((v >> (2 - k)) & 1)) + o[k] for f in faces for v in f for k in range(3)]
+    return s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), F.array(*tris).alias("tris"))
+
+
+@query()
+def hard_pair(spark, sf_dir):
+    return clashes.hard_clashes(clashes.pairs_of(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3)))
+
+
+@query()
+def clearance_pair(spark, sf_dir):
+    return clashes.clearances(clashes.pairs_of(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3), inflate=0.5), 0.5)
+
+
+@query()
+def penetration(spark, sf_dir):
+    return clashes.penetrations(clashes.pairs_of(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3)))
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as element views."""
+    o = _t(spark, sf_dir, "orders")
+    price = F.col("o_totalprice").cast("string")
+    cell = F.struct(price.alias("value"), F.lit("IfcReal").alias("dataType"))
+    flag = F.struct(F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.col("o_orderstatus")).alias("value"), F.lit("IfcLabel").alias("dataType"))
+    part_of = F.array(F.struct(F.lit("IFCRELAGGREGATES").alias("relation"), F.when(F.col("o_custkey") % 2 == 0, "IfcBuilding").otherwise("IfcSite").alias("wholeType"), F.lit(None).cast("string").alias("wholePredefinedType")))
+    return o.select(
+        F.when(F.col("o_orderkey") % 4 == 0, "IfcWall").when(F.col("o_orderkey") % 4 == 1, "IfcBeam").otherwise("IfcSlab").alias("ifc_type"), F.col("o_orderstatus").alias("predefined_type"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("string").alias("global_id"),
+        F.create_map(F.lit("Name"), F.col("o_orderpriority"), F.lit("Tag"), F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderstatus"))).alias("attributes"),
+        F.create_map(F.lit("Pset_Cost"), F.create_map(F.lit("Price"), cell, F.lit("Status"), flag)).alias("psets"),
+        F.array(F.struct(F.lit("Uniclass").alias("system"), F.concat(F.lit("EF_"), (F.col("o_custkey") % 10).cast("string")).alias("value"))).alias("classifications"),
+        F.when(F.col("o_custkey") % 3 == 0, F.array(F.lit("concrete"))).otherwise(F.array(F.lit("steel"), F.lit("paint"))).alias("materials"), part_of.alias("part_of"),
+    )
+
+
+def _spec(name: str, requirement: str, applies: str = "<entity><name><simpleValue>IFCWALL</simpleValue></name></entity>") -> str:
+    return f'<specification name="{name}" ifcVersion="IFC4"><applicability minOccurs="0">{applies}</applicability><requirements>{requirement}</requirements></specification>'
+
+
+_V = "<{0}><simpleValue>{1}</simpleValue></{0}>"
+_REQUIREMENTS = {
+    "entity": "<entity><name><simpleValue>IfcWall</simpleValue></name>" + _V.format("predefinedType", "F") + "</entity>",
+    "attribute": "<attribute>" + _V.format("name", "Tag") + _V.format("value", "O") + "</attribute>",
+    "classification": "<classification><value><restriction base='string'><pattern value='EF_[0-4]'/></restriction></value>" + _V.format("system", "Uniclass") + "</classification>",
+    "property": "<property>" + _V.format("propertySet", "Pset_Cost") + _V.format("baseName", "Price") + "<value><restriction base='double'><minInclusive value='1000'/><maxExclusive value='200000'/></restriction></value></property>",
+    "material": "<material>" + _V.format("value", "concrete") + "</material>",
+    "part_of": "<partOf relation='IfcRelAggregates'><entity>" + _V.format("name", "IFCBUILDING") + "</entity></partOf>",
+}
+
+
+def _ids(*specs: str) -> list[ids.Spec]:
+    return ids.parse_ids(f"<ids xmlns='http://standards.buildingsmart.org/IDS'><info><title>t</title></info><specifications>{''.join(specs)}</specifications></ids>").specs
+
+
+def _ids_query(kind: str, sql: str) -> None:
+    @query(f"SELECT CAST(o_orderkey AS VARCHAR) AS global_id, {sql} AS passed FROM orders WHERE o_orderkey % 4 = 0")
+    def run(spark, sf_dir):
+        return ids.evaluate(_views(spark, sf_dir), _ids(_spec(kind, _REQUIREMENTS[kind]))).select("global_id", "passed")
+
+    QUERIES[f"ids_{kind}"], ORACLES[f"ids_{kind}"] = QUERIES.pop("run"), ORACLES.pop("run")
+
+
+_PASSES = {
+    "entity": "o_orderstatus = 'F'", "attribute": "o_orderkey % 7 <> 0 AND o_orderstatus = 'O'", "classification": "o_custkey % 10 <= 4",
+    "property": "o_totalprice >= 1000 AND o_totalprice < 200000", "material": "o_custkey % 3 = 0", "part_of": "o_custkey % 2 = 0",
+}
+for _k, _s in _PASSES.items():
+    _ids_query(_k, _s)
+
+
+def _cardinalities() -> list[ids.Spec]:
+    tag = "<attribute cardinality='{}'>" + _V.format("name", "Tag") + _V.format("value", "O") + "</attribute>"
+    return _ids(*[_spec(c, tag.format(c)) for c in ("required", "optional", "prohibited")])
+
+
+@query("""SELECT spec_idx, CAST(o_orderkey AS VARCHAR) AS global_id, CASE WHEN spec_idx = 2 THEN CASE WHEN ok THEN 'prohibited' ELSE '' END WHEN ok THEN '' ELSE 'badValue' END AS code
+ FROM (SELECT *, o_orderkey % 7 <> 0 AND o_orderstatus = 'O' AS ok FROM orders WHERE o_orderkey % 4 = 0), (VALUES (0), (1), (2)) s(spec_idx)""")
+def ids_cardinality(spark, sf_dir):
+    return ids.evaluate(_views(spark, sf_dir), _cardinalities()).select("spec_idx", "global_id", F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("code"))
+
+
+@query("""SELECT spec_idx, name, count(*) AS applicable, count(*) FILTER (WHERE ok = (spec_idx <> 2)) AS passed, count(*) FILTER (WHERE ok <> (spec_idx <> 2)) AS failed
+ FROM (SELECT *, o_orderkey % 7 <> 0 AND o_orderstatus = 'O' AS ok FROM orders WHERE o_orderkey % 4 = 0), (VALUES (0, 'required'), (1, 'optional'), (2, 'prohibited')) s(spec_idx, name) GROUP BY 1, 2""")
+def ids_summary(spark, sf_dir):
+    specs = _cardinalities()
+    return ids.summary(ids.evaluate(_views(spark, sf_dir), specs), specs)
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % CAST((SELECT ceil(count(*) / 300.0) FROM events) AS BIGINT) = 0")
+def stride_sample(spark, sf_dir):
+    from trussline.sources.pointclouds import step_for
+
+    e = _t(spark, sf_dir, "events")
+    return e.where(F.col("event_id") % step_for(e.count(), 300) == 0).select("event_id", "value")
+
+
+_POSE = (0.8, 0.0, 0.6, 0.0, 10.0, 20.0, 30.0)
+
+
+@query("""WITH p AS (SELECT CAST(embedding[1] AS DOUBLE) * 0.001 + 5 AS x, CAST(embedding[2] AS DOUBLE) * 0.001 + 6 AS y, CAST(embedding[3] AS DOUBLE) * 0.001 + 7 AS z FROM embeddings),
+ w AS (SELECT 0.28 * x + 0.96 * z + 10 - 1 AS e, y + 20 - 2 AS n, -0.96 * x + 0.28 * z + 30 - 3 AS h FROM p)
+ SELECT round(min(e), 6) AS x0, round(min(h), 6) AS y0, round(min(-n), 6) AS z0, round(max(e), 6) AS x1, round(max(h), 6) AS y1, round(max(-n), 6) AS z1 FROM w""")
+def pose_rebase_bounds(spark, sf_dir):
+    w, a, b, c, *move = _POSE
+    p = [F.col("embedding")[i].cast("double") * 0.001 + off for i, off in enumerate((5, 6, 7))]
+    turn = [[1 - 2 * (b * b + c * c), 2 * (a * b - w * c), 2 * (a * c + w * b)], [2 * (a * b + w * c), 1 - 2 * (a * a + c * c), 2 * (b * c - w * a)], [2 * (a * c - w * b), 2 * (b * c + w * a), 1 - 2 * (a * a + b * b)]]
+    e, n, h = (sum(F.lit(turn[i][k]) * p[k] for k in range(3)) + move[i] - (i + 1) for i in range(3))
+    world = _t(spark, sf_dir, "embeddings").select(e.alias("x"), h.alias("y"), (-n).alias("z"))
+    return world.agg(*[F.round(f(x), 6).alias(f"{x}{i}") for i, f in ((0, F.min), (1, F.max)) for x in "xyz"])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_brand = 'Brand#12' THEN 'exact' WHEN p_brand LIKE 'Brand#1%' THEN 'prefix' END AS tipologia,
+ CASE WHEN p_brand = 'Brand#12' THEN 15.0 WHEN p_brand LIKE 'Brand#1%' THEN 70.0 END AS tol_mm FROM part""")
+def catalogue_lookup(spark, sf_dir):
+    rules = [("Brand#12", None, "exact", 15.0, None), ("Brand#1*", "primaria", "prefix", None, None), ("*none*", None, "segment", None, None)]
+    found = catalogue.lookup(_t(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("code")), spark.createDataFrame(rules, catalogue.COLUMNS))
+    return found.select("p_partkey", "tipologia", "tol_mm")
+
+
+@query("SELECT user_id AS session_id, event_type AS event, min(ts) AS ts FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2")
+def event_session_dedup(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts", events.control_event(F.col("event_type"), {"click": "click", "purchase": "purchase"}).alias("event"))
+    return events.first_of_session(e.where("event is not null"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '\\.ifc$') THEN 'ifc-open' WHEN regexp_matches(lower(url), '\\.(html|htm)$') THEN 'page-open' END AS kind FROM pages")
+def file_kind(spark, sf_dir):
+    kinds = (*events.FILE_KINDS, (r"\.(html|htm)$", "page-open"))
+    return _t(spark, sf_dir, "pages").select("page_id", events.file_kind(F.col("url"), kinds=kinds).alias("kind"))
+
+
+@query("""WITH n AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders)
+ SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' WHEN o.o_orderstatus <> n.o_orderstatus THEN 'modified' ELSE 'same' END AS change,
+ CASE WHEN o.o_orderstatus <> n.o_orderstatus THEN 'o_orderstatus' ELSE '' END AS fields FROM orders o FULL JOIN n ON o.o_orderkey = n.o_orderkey""")
+def rev_diff(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    n = o.select(F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("o_orderkey"), F.when(F.col("o_orderkey") % 13 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice")
+    return catalogue.revision_diff(o, n, "o_orderkey", ["o_orderstatus", "o_totalprice"])
