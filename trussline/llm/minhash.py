@@ -41,6 +41,8 @@ from .common import chunks, components, mix64, passing, words, written
 
 #: Bands, coordinates in a band, and bits of the universe.
 BANDS, ROWS, UNIVERSE = 32, 5, 20
+#: One of so many nodes is sampled for the order of elements; an element is frequent if at least one of so many sampled nodes has it (so a star has OFTEN times a node's elements at most).
+SAMPLE, OFTEN = 8, 40
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -132,13 +134,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     # A bucket's first node: the least of hashes that a quarter of the buckets share, so that one ill-placed node does not lead them all.
     order = F.struct(F.xxhash64("rep", F.pmod("key", F.lit(4))).alias("h"), "rep", "n")
     lead = held.groupBy("key").agg(F.min(order).alias("lead"), F.count("*").alias("size")).where("size > 1")
-    stars = written(held.join(lead, "key").where("rep <> lead.rep").select(F.col("lead.rep").alias("lead"), F.col("lead.n").alias("nl"), "rep", "n").distinct(), "stars")
+    buckets = written(held.join(lead, "key").select("key", "rep", "n", F.col("lead.rep").alias("lead"), F.col("lead.n").alias("nl")), "buckets")
+    stars = buckets.where("rep <> lead").select("lead", "nl", "rep", "n").distinct()
     wanted = stars.select("rep").union(stars.select("lead")).distinct()
     sets = written(_sets(passing(base, "id", wanted, "rep"), shingle).join(wanted, F.col("id") == F.col("rep"), "leftsemi").where("size(s) > 0").distinct(), "sets")
     near = (100 + percent) * F.least("n", "nl") >= percent * (F.col("n") + F.col("nl"))  # else their sizes alone keep them apart
     links = written(_confirmed(stars.where(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct(), sets, percent), "links")
     comps = components(links)
-    pairs = _across(stars, comps, sets, percent)
+    pairs = _across(buckets.select("key", "rep", "n"), links, comps, sets, percent)
     more = written(_confirmed(pairs, sets, percent), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
@@ -149,22 +152,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(stars: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one star that may be linked, though the star's links leave them in different components.
+def _across(buckets: DataFrame, links: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket that may be linked, though the links so far leave them in different components.
 
-    With R the shingles of the lead L that a node lacks, and A those that it has
+    A bucket of several components is a star around its node of most links, the
+    lead L. With R the shingles of L that a node lacks, and A those that it has
     besides, two nodes have |L| - |R u R'| + |A n A'| in common. So they are
     linked exactly if R and R' together with A and A' share at least
     need = f (n + n') - |L| + |R| + |R'| elements, f = percent / (100 + percent).
     Where need is not above 0 the node of least f n + |R| is linked to both.
-    Else a shared element is among the first |A| + |R| - need + 1 of either in
-    any common order: only those of nodes outside a star's largest component meet
-    those of its others. A's elements come first, as they are the rare ones.
+    Else, in any common order, at least need elements of either stand from the
+    first shared one on: a node outside the star's largest component meets those
+    of its others with which it shares such an element.
     """
     whole = 100 + percent
-    rows = stars.join(comps, F.col("rep") == F.col("node"), "left").select("lead", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    degrees = links.select(F.explode(F.array("a", "b")).alias("of")).groupBy("of").agg(F.count("*").alias("degree"))
+    rows = buckets.join(comps, F.col("rep") == F.col("node"), "left").join(degrees, F.col("rep") == F.col("of"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    leads = rows.groupBy("key").agg(F.max(F.struct("degree", "rep")).alias("lead"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", F.col("lead.rep").alias("lead"))
+    rows = rows.join(leads, "key").select("lead", "rep", "n", "c").distinct()
     sizes = rows.groupBy("lead", "c").agg(F.count("*").alias("size"))
-    open_ = sizes.groupBy("lead").agg(F.max(F.struct("size", "c")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("lead", F.col("most.c").alias("main"))
+    open_ = sizes.groupBy("lead").agg(F.max(F.struct("size", "c")).alias("most")).select("lead", F.col("most.c").alias("main"))
     own, first = sets.select(F.col("id").alias("rep"), F.col("s")), sets.select(F.col("id").alias("lead"), F.col("s").alias("sl"))
     q = percent * F.col("n") + whole * F.size("r")
     rows = written(
@@ -172,16 +179,23 @@ def _across(stars: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -
         .select("lead", "rep", "c", "apart", (whole * F.col("nl")).alias("l"), F.concat("a", "r").alias("d"), q.cast("long").alias("q")),
         "apart",
     )
+    # Any common order is right; the one that ends with a star's frequent elements leaves the fewest pairs, and a sample of its nodes shows them.
+    sampled = rows.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0)
+    nodes = sampled.groupBy("lead").agg(F.count("*").alias("nodes"))
+    often = sampled.select("lead", F.explode("d").alias("e")).groupBy("lead", "e").agg(F.count("*").alias("k")).where("k > 1").join(nodes, "lead").where(F.col("k") * OFTEN >= F.col("nodes"))
+    often = often.groupBy("lead").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "e"))), lambda x: x["e"]).alias("often"))
+    none = F.array().cast("array<bigint>")
+    rows = rows.join(often, "lead", "left").withColumn("d", F.concat(F.array_except("d", F.coalesce("often", none)), F.array_intersect(F.coalesce("often", none), "d"))).drop("often")
     least = rows.groupBy("lead").agg(F.min(F.struct("q", "rep")).alias("low"), F.min(F.when(F.col("apart"), F.col("q"))).alias("low_apart"))
-    rows = rows.join(least, "lead")
+    rows = written(rows.join(least, "lead"), "ordered")
     sure = rows.where((F.col("q") + F.col("low.q") <= F.col("l")) & (F.col("rep") != F.col("low.rep"))).select(F.least("rep", "low.rep").alias("a"), F.greatest("rep", "low.rep").alias("b"))
 
     def prefix(other: Column) -> Column:
         need = F.greatest(F.lit(1), F.ceil((F.col("q") + other - F.col("l")) / whole))
-        return F.explode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") - need + 1).cast("int")))
+        return F.posexplode(F.slice("d", F.lit(1), F.greatest(F.lit(0), F.size("d") - need + 1).cast("int")))
 
     kept = ["lead", "rep", "c", "q", F.size("d").alias("nd")]
-    left = rows.where("apart").select(*kept, "l", prefix(F.col("low.q")).alias("e"))
-    right = rows.select(*kept, prefix(F.col("low_apart")).alias("e")).withColumnsRenamed({"rep": "rep2", "c": "c2", "q": "q2", "nd": "nd2"})
-    both = left.join(right, ["lead", "e"]).where((F.col("rep") != F.col("rep2")) & (F.col("c") != F.col("c2")) & (whole * F.least("nd", "nd2") >= F.col("q") + F.col("q2") - F.col("l")))
+    left = rows.where("apart").select(*kept, "l", prefix(F.col("low.q")).alias("at", "e"))
+    right = rows.select(*kept, prefix(F.col("low_apart")).alias("at2", "e")).withColumnsRenamed({"rep": "rep2", "c": "c2", "q": "q2", "nd": "nd2"})
+    both = left.join(right, ["lead", "e"]).where((F.col("rep") != F.col("rep2")) & (F.col("c") != F.col("c2")) & (whole * F.least(F.col("nd") - F.col("at"), F.col("nd2") - F.col("at2")) >= F.col("q") + F.col("q2") - F.col("l")))
     return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).unionByName(sure).distinct()
