@@ -1,0 +1,366 @@
+"""Operators against brute force, exact round trips and edge cases, on small fixtures."""
+
+import collections
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trussline.llm import ann, lm, media, minhash, mixing, packing, quality, suffix, toxicity, urls
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(n, rng, vocabulary=None):
+    return " ".join(rng.choice(vocabulary) if vocabulary else "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Copies, near-copies, shared passages, nulls, empty and long texts, repeated rows."""
+    rng = random.Random(11)
+    out = [(i, words(rng.randrange(1, 120), rng)) for i in range(80)]
+    base = words(100, rng).split()
+    for i in range(80, 130):
+        w = list(base)
+        for _ in range(rng.randrange(0, 12)):
+            w[rng.randrange(len(w))] = rng.choice(["the", "of", words(1, rng)])
+        out.append((i, " ".join(w)))
+    out += [(130 + i, out[i][1]) for i in range(5)]
+    out += [(200, None), (201, ""), (202, " \n\t"), (203, "one"), (204, "One  two"), (205, "one\ntwo"), (206, words(4000, rng)), (207, "é ß " * 30), (3, out[3][1]), (None, out[3][1]), (208, "a" * 900)]
+    return [(d, t, "en", f"src{(d or 0) % 3}" if d != 203 else None, 0) for d, t in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    # Extra columns whose names clash with those that operators use.
+    return spark.createDataFrame(rows, DOCS).withColumn("id", F.lit(1)).withColumn("n", F.lit("x")).withColumn("key", F.lit(2)).withColumn("score", F.lit(0.5)).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def tokens(text):
+    import re
+
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates(rows, docs, none, size):
+    def shingles(t):
+        w = tokens(t)
+        return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
+
+    sets = {d: shingles(t) for d, t, *_ in rows if d is not None}
+    low = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and low[a] != low[b]:
+                    low[a] = low[b] = min(low[a], low[b])
+        if all(low[low[a]] == low[a] for a in low):
+            break
+    got = minhash.near_duplicates(docs, shingle=size, percent=80).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.component_id, r.kept) == ((low[r.doc_id], low[r.doc_id] == r.doc_id) if r.doc_id is not None else (None, True))
+        assert r.n_shingles == len(sets[r.doc_id if r.doc_id is not None else 3])
+    assert minhash.near_duplicates(none, shingle=size).count() == 0
+
+
+@pytest.mark.parametrize("width", [20, 400])
+def test_suffix_dedup(rows, docs, none, width):
+    count = collections.Counter()
+    for d, t, *_ in rows:
+        b = (t or "").encode()
+        if d is not None:
+            count.update(b[i : i + width] for i in range(len(b) - width + 1))
+    want = collections.Counter()
+    for d, t, *_ in rows:
+        b, gone = (t or "").encode(), set()
+        if d is not None:
+            for i in range(len(b) - width + 1):
+                if count[b[i : i + width]] > 1:
+                    gone.update(range(i, i + width))
+        kept = bytes(x for i, x in enumerate(b) if i not in gone)
+        want[d, len(b), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(kept).hexdigest()] += 1
+    assert collections.Counter(tuple(r) for r in suffix.suffix_dedup(docs, width=width).collect()) == want
+    assert suffix.suffix_dedup(none).count() == 0
+
+
+def test_packing(rows, docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    got = packing.best_fit_packing(docs, size=64).collect()
+    by_row = collections.defaultdict(list)
+    for d, t, *_ in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        first = (len(ids) - 1) % 64 + 1
+        cuts = [0, *range(first, len(ids) + 1, 64)]
+        by_row[d].append([(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+    want = collections.Counter((d, *p) for d, lists in by_row.items() for ps in lists for p in ps)
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    seq = collections.defaultdict(list)
+    for r in got:
+        seq[r.sequence_id].append((r.offset, r.length))
+    for parts in seq.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 64
+    assert len(seq) <= -(-sum(r.length for r in got) // 64) + 3
+    assert packing.best_fit_packing(none).count() == 0
+
+
+def test_packing_rounds(spark, monkeypatch):
+    """Several rounds of a tree give full bins too."""
+    monkeypatch.setattr(packing, "PER_TASK", 50)
+    rng = random.Random(4)
+    sizes = [rng.randrange(1, 1024) for _ in range(600)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    got = packing.pack_lengths(items).join(items, "item").collect()
+    assert sorted(r.item for r in got) == list(range(600))
+    seq = collections.defaultdict(list)
+    for r in got:
+        seq[r.sequence_id].append((r.offset, r.length))
+    for parts in seq.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 1024
+    # Partitions of 50 items lose some tightness against one best-fit pass over all 600; production ones have 100,000.
+    assert len(seq) <= 1.06 * (packing.best_fit(np.array(sizes), 1024).max() + 1)
+
+
+def test_tokenizer_splits_agree():
+    bpe = packing.tokenizer(None)
+    rng = random.Random(1)
+    pool = "abcXYZ012 ,.'!?\n\t_-é߀ü½²x’“日\x1c\u00a0\u2003'll's  "
+    for _ in range(400):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(0, 40)))
+        assert np.frombuffer(bpe.encode(t), "<u4").tolist() == bpe.enc.encode_ordinary(t)
+
+
+def test_mixing(rows, docs, none):
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    size = collections.Counter()
+    for _, t, _, s, _ in rows:
+        size[s] += len(tokens(t))
+    order = [*sorted(x for x in size if x is not None), *([None] if None in size else [])]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, clamped = {}, set()
+    while True:
+        left = sum(size.values()) - sum(3 * size[s] for s in clamped)
+        share = sum(weight[s] for s in order if s not in clamped)
+        target = {s: 3 * size[s] if s in clamped else left * weight[s] / share for s in order}
+        over = {s for s in order if target[s] > 3 * size[s] + 1e-9}
+        if not over:
+            break
+        clamped |= over
+    source = {(d, len(tokens(t))): s for d, t, _, s, _ in rows}
+    taken = collections.Counter()
+    for r in got:
+        s = source[r.doc_id, r.size]
+        assert r.source_size == size[s] and r.target == pytest.approx(target[s]) and 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in order)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
+    assert mixing.mix_sources(none).count() == 0
+
+
+def test_media(rows, docs, none):
+    for raw in (b"", b"a" * 191, bytes(range(256)) * 300, b"x" * 192 * 17):
+        p = media.padded(raw)
+        m = media.read_media(media.write_media(p))
+        assert media.payload_of(media.write_media(p), m) == p and m["codec"] == "raw " and m["duration"] == len(p) / media.RATE
+    want = collections.Counter()
+    for d, t, *_ in rows:
+        raw = (t or "").encode()
+        p = media.padded(raw)
+        want[d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])] += 1
+    got = media.text_media(docs).collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == want
+    assert len({(r.payload_sha256, r.media_sha256, r.feature, r.media_bytes) for r in got}) == len({r.payload_sha256 for r in got})
+    assert media.text_media(none).count() == 0
+
+
+def test_media_columns(spark):
+    good = media.write_media(media.padded(b"hello" * 1000))
+    files = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(good[:-5])), ("c", bytearray(b"junk")), ("d", None)], "path string, content binary")
+    got = {r.path: r.media for r in media.media_columns(files).collect()}
+    assert got["a"].samples == 27 and [k.size for k in got["a"].keyframes] == [192] * 4
+    assert got["b"] is None and got["c"] is None and got["d"] is None
+
+
+def test_urls(spark):
+    u = ["http://a.com/x", "http://example.com/en/1", "https://WWW.Example.com/en/1?q", "http://b.net/es/", "http://b.net/fr/z", "http://b.net/en/", "http://netx/es/", "x://com/", "nope", None, "http://c.org?x/y", "http://com"]
+    got = {r.page_id: r for r in urls.url_verdicts(spark.createDataFrame([(i, x, "h", 1) for i, x in enumerate(u * 30)], "page_id long, url string, host string, p int")).collect()}
+    rule = ["com/", "example.com/en/", "www.example.com/en/", "net/es/", "net/fr/", None, None, "com/", None, None, None, None]
+    assert [got[i].rule for i in range(len(u))] == rule
+    assert [got[i].verdict for i in (0, 1, 2, 3, 4, 7)] == ["allow", "block", "allow", "block", "block", "allow"]
+    assert {r.verdict for r in got.values()} <= {"allow", "block"} and got[2].host == "www.example.com" and got[9].host == "" and got[10].path == ""
+    assert [got[i].verdict for i in range(len(u))] == [got[i + len(u)].verdict for i in range(len(u))]
+    assert {r.verdict for r in urls.url_verdicts(spark.createDataFrame([(1, "x.org"), (2, None)], "page_id long, url string")).collect()} == {"allow"}
+
+
+def test_url_trees_learn(spark):
+    rng = random.Random(2)
+    pages = [(i, f"http://{w}.zz.net/{'es' if bad else 'en'}/{rng.randrange(99)}" if i % 2 else f"http://{w}.org/{'es' if bad else 'en'}/{rng.randrange(99)}", bad) for i in range(600) for bad in [rng.random() < 0.5] for w in ["cheap-pills-win" if bad else "home"]]
+    rules = (("block", "net/es/"), ("allow", "net/en/"))
+    got = {r.page_id: r.verdict for r in urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string, bad boolean"), rules).collect()}
+    assert np.mean([(got[i] == "block") == bad for i, _, bad in pages if i % 2 == 0]) > 0.95
+
+
+def test_lm(rows, docs, none):
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) == 0
+    out = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    count = collections.Counter()
+    for d, t, *_ in rows:
+        if not out(d):
+            count.update([*tokens(t), None])
+    n, v = sum(count.values()), len(count)
+    want = collections.Counter()
+    for d, t, *_ in rows:
+        w = [*tokens(t), None]
+        want[d, out(d), len(w), sum(count[x] > 0 for x in w), n, round(sum(np.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 6)] += 1
+    got = lm.lm_scores(docs, held).collect()
+    assert collections.Counter((*tuple(r)[:5], round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 for r in got)
+    assert lm.lm_scores(none, held).count() == 0
+
+
+def test_lm_distributions_sum_to_one(spark):
+    """Over all words and the unknown one, every retained state's probabilities add up to 1, and contexts help."""
+    rng = random.Random(8)
+    texts = [" ".join(["a b c d", "a c b d", "x y z"][rng.randrange(3)] for _ in range(20)) for _ in range(300)]
+    tree, _ = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(tree.levels) == 2 and all(x.retained.any() for x in tree.levels)
+    symbols = np.arange(len(tree.symbols))
+    unknown = 0.1 / (tree.n + 0.1 * (tree.v + 1))
+    for d, level in enumerate(tree.levels):
+        for c in np.flatnonzero(level.retained):
+            p = lm._probability(tree, d, np.full(len(symbols), c), symbols).sum()
+            known, left = lm._probability(tree, d, np.full(len(symbols), c), symbols), 1.0
+            k, at = d, c
+            while k >= 0:
+                left *= tree.levels[k].rest[at] if tree.levels[k].retained[at] else 1.0
+                at, k = tree.levels[k].parent[at], k - 1
+            assert len(known) == tree.v and p + left * unknown == pytest.approx(1.0)
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1500, 24)) * rng.random((1500, 1))
+    v[700:760] = v[40]
+    rows = [(i, [float(np.float32(x)) for x in r], 1) for i, r in enumerate(v)]
+    rows += [(5000, None, 0), (5020, [0.0] * 24, 0), (5040, [float("nan")] + [1.0] * 23, 0), (5060, [None] + [1.0] * 23, 0), (5080, [], 0), (None, rows[3][1], 0), rows[20]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int").repartition(4)
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    x = np.array([r[1] for r in rows[:1500]])
+    assert set(got) == set(range(0, 1500, 20))
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        s = x @ x[q]
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in {i for _, i, _ in found}
+        assert np.allclose([s[i] for _, i, _ in found], [z for *_, z in found], atol=1e-12, rtol=0)
+        s[q] = -np.inf
+        hits += sum(z >= np.sort(s)[-20] - 1e-12 for *_, z in found)
+    assert hits >= 0.9 * 20 * len(got)
+    assert [r.vec_id for r in ann.nearest(df.where("vec_id < 3"), F.col("vec_id") == 0).orderBy("rank").collect()] in ([1, 2], [2, 1])
+    assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def brute_marginals(emit, trans):
+    n = len(emit)
+    paths = [[(p >> i) & 1 for i in range(n)] for p in range(1 << n)]
+    score = np.array([sum(emit[i] * y[i] for i in range(n)) + sum(trans[y[i], y[i + 1]] for i in range(n - 1)) for y in paths])
+    p = np.exp(score - score.max())
+    p /= p.sum()
+    return [sum(q for q, y in zip(p, paths, strict=True) if y[i]) for i in range(n)]
+
+
+def test_forward_backward():
+    rng = np.random.default_rng(1)
+    first = np.array([0, 3, 3, 8, 9])
+    emit, trans = rng.normal(size=9), rng.normal(size=(2, 2))
+    good, joint, _ = quality.marginals(emit, trans, first, pairs=True)
+    want = [m for a, b in zip(first, first[1:], strict=False) if b > a for m in brute_marginals(emit[a:b], trans)]
+    np.testing.assert_allclose(good, want)
+    np.testing.assert_allclose(joint.sum((1, 2)), np.maximum(np.diff(first) - 1, 0))
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(400):
+        bad, toxic = i % 4 == 0, i % 5 == 0
+        lines = [words(8, rng).capitalize() + "." for _ in range(rng.randrange(1, 6))]
+        if bad:
+            lines = [" | ".join(x.split()) for x in lines]
+        if toxic:
+            lines[-1] = f"you {rng.choice(['moron', 'scum'])} " + lines[-1] + f" {rng.choice(['moron', 'scum'])}"
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(not bad), int(toxic)))
+    rows += [(1000, None), (1001, ""), (1002, "\n\n"), (None, "x")]
+    labels += [(5000, 1, 1), (1, None, None), (None, 0, 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("y", F.lit(1)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def _held():
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) == 1
+
+
+def test_quality(labelled):
+    docs, labels = labelled
+    got = quality.document_quality(docs, labels, _held()).collect()
+    assert len(got) == 404 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    on = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    assert np.mean([r.predicted == (r.doc_id % 4 != 0) for r in on]) > 0.95
+    assert {r.score for r in quality.document_quality(docs, labels.limit(0), _held()).collect()} == {0.5}
+    assert quality.document_quality(docs.limit(0), labels, _held()).count() == 0
+
+
+def test_toxicity(labelled):
+    docs, labels = labelled
+    got = toxicity.severity(docs, labels, _held()).collect()
+    assert len(got) == 404 and all(0 <= r.expected_severity <= 2 for r in got)
+    on = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 400]
+    assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in on]) > 0.95
+    assert all(r.predicted == 0 for r in got if r.doc_id in (1000, 1001, 1002))
+    assert {r.predicted for r in toxicity.severity(docs, labels.limit(0), _held()).collect()} == {0}
+    assert toxicity.severity(docs.limit(0), labels, _held()).count() == 0
+
+
+def test_pipeline(spark, rows, docs, labelled, tmp_path):
+    import corpus_pipeline as P
+
+    sf = str(tmp_path)
+    labelled[1].write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in P.STAGES]
+    assert names == ["quality classifier", "MinHash near-dedup", "suffix-array dedup", "mixing sources to target weights", "best-fit packing"]
+    cur = spark.read.parquet(f"{sf}/documents.parquet")
+    for i, (_, stage) in enumerate(P.STAGES):
+        nxt = stage(spark, cur, sf)
+        nxt.write.parquet(f"{sf}/s{i}")
+        nxt = spark.read.parquet(f"{sf}/s{i}")
+        if i < 4:
+            assert nxt.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if i == 1:
+            kept = {r.doc_id for r in minhash.near_duplicates(cur).where("kept").collect()}
+            assert {r.doc_id for r in nxt.collect()} == kept
+        if i == 3:
+            want = mixing.mix_sources(cur).agg(F.sum("taken")).first()[0]
+            assert sum(len(tokens(r.text)) for r in nxt.collect()) == want
+        cur = nxt
+    assert cur.count() > 0 and P.run(spark, sf).count() == cur.count()

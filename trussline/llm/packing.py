@@ -128,7 +128,7 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
     return bins
 
 
-def _round(items: DataFrame, parts: int, size: int, last: bool) -> DataFrame:
+def _round(items: DataFrame, parts: int, size: int, least: int, last: bool) -> DataFrame:
     """(item, length, bin, used, done): what each partition packed; a bin's number is its first item's."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def _round(items: DataFrame, parts: int, size: int, last: bool) -> DataFrame:
             used = np.bincount(bins, length).astype(np.int64)
             name = np.zeros(len(used), np.int64)
             name[bins[::-1]] = item[::-1]
-            done = (used >= size - SLACK) | (size - used < length.min()) if not last else np.ones(len(used), bool)
+            done = (used >= size - SLACK) | (size - used < least) if not last else np.ones(len(used), bool)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (item, length, name[bins], used[bins], done[bins])], ["item", "length", "bin", "used", "done"])
 
@@ -152,28 +152,34 @@ def _round(items: DataFrame, parts: int, size: int, last: bool) -> DataFrame:
         if held:
             yield flush()
 
-    return items.select("item", "length").repartition(parts, F.xxhash64("item")).mapInArrow(pack, "item long, length long, bin long, used long, done boolean")
+    dealt = items.select("item", "length")
+    dealt = dealt.repartition(parts, F.xxhash64("item")) if parts > 1 else dealt.repartition(1)
+    return dealt.mapInArrow(pack, "item long, length long, bin long, used long, done boolean")
 
 
 def pack_lengths(items: DataFrame, size: int = 1024) -> DataFrame:
     """(item, sequence_id, offset) for items (item, length up to size), in as few sequences as the rounds find.
 
     Rounds merge in a tree: each has an eighth of the partitions before it, and
-    at least as many as hold PER_TASK items each; the last one closes all bins.
+    at least as many as hold PER_TASK items each; the last one, of one partition
+    or of as many as the round before, closes all bins.
     """
-    n = items.count()
+    n, least = items.agg(F.count("*"), F.min("length")).first()
+    place, level = None, items.select("item", "length")
     parts = max(1, -(-n // PER_TASK))
-    member, place = items.select("item", F.col("item").alias("top"), "length"), None
-    level = items.select("item", "length")
     tree: list[DataFrame] = []
     while n:
-        packed = written(_round(level, parts, size, parts == 1), "pack")
-        tree.append(packed)
-        if parts == 1:
+        last = parts == 1
+        tree.append(written(_round(level, parts, size, least, last), "pack"))
+        if last:
             break
-        level = packed.where("not done").groupBy("bin").agg(F.first("used").alias("length")).withColumnRenamed("bin", "item")
-        n = level.count()
-        parts = max(min(-(-parts // FAN_IN), parts - 1), -(-n // PER_TASK))
+        level = tree[-1].where("not done").groupBy("bin").agg(F.first("used").alias("length")).withColumnRenamed("bin", "item")
+        n, least = level.agg(F.count("*"), F.min("length")).first()
+        fewer = max(-(-parts // FAN_IN), -(-n // PER_TASK), 1)
+        if n and fewer >= parts:  # merging no longer shrinks what is left: these partitions close their bins
+            tree.append(written(_round(level, fewer, size, least, True), "pack"))
+            break
+        parts = fewer
     if not tree:
         return items.select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     # From the last round back: an item's sequence is its bin's, and its place is its bin's place plus what lies before it.
