@@ -254,6 +254,43 @@ def test_lm_distributions_sum_to_one(spark):
             assert len(known) == tree.v and p + left * unknown == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("depth", [2, 3])
+def test_lm_scores_equal_a_whole_tree(spark, depth):
+    """Rare contexts count too: pairs seen three times among tens of thousands of tokens, and words and contexts not seen at all."""
+    rng = random.Random(5)
+    common = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(common) for _ in range(60)) + f" p{i % 200} q{i % 200} r{i % 200} " + rng.choice(["a b c", "a c b", "b a c"]) for i in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "p7 q7 r7 never q9 r9 a b"), (1001, None), (1002, "b c p3 w1 w2 q3 r3")]
+    train = [[None, *tokens(t), None] for _, t in rows[:600]]
+    uni = collections.Counter(x for r in train for x in r[1:])
+    n, v = sum(uni.values()), len(uni)
+    seen = [collections.Counter((tuple(r[i - d : i]), r[i]) for r in train for i in range(d, len(r))) for d in range(depth + 1)]
+    after = [collections.defaultdict(dict) for _ in seen]
+    for level, counts in zip(after, seen, strict=True):
+        for (c, x), k in counts.items():
+            level[c][x] = k
+    retained = set()
+
+    def p(c, x):
+        if not c:
+            return (uni[x] + 0.1) / (n + 0.1 * (v + 1))
+        if c not in retained:
+            return p(c[1:], x)
+        total = sum(after[len(c)][c].values())
+        return (after[len(c)][c].get(x, 0) + lm.KAPPA * p(c[1:], x)) / (total + lm.KAPPA)
+
+    for d in range(1, depth + 1):
+        for c, nxt in after[d].items():
+            total = sum(nxt.values())
+            if total > 1 and sum(k * np.log(k / total / p(c[1:], x)) for x, k in nxt.items()) > lm.DIVERGENCE * np.log(n):
+                retained.add(c)
+    assert n > 5 * 2**13 - 3000 and ("p7",) in retained and len(retained) > 400
+    got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") >= 1000, depth=depth).collect()}
+    for i, t in rows[:40] + rows[600:]:
+        w = [None, *tokens(t), None]
+        assert got[i].score == pytest.approx(sum(np.log10(p(tuple(w[max(0, j - depth) : j]), w[j])) for j in range(1, len(w))), abs=1e-9)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(6)
     v = rng.normal(size=(1500, 24)) * rng.random((1500, 1))

@@ -55,6 +55,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    spark = df.sparkSession
+    for part in {os.path.dirname(f) for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(part)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers (a public finalizer)."""
     x = x ^ (x >> np.uint64(30))

@@ -1,74 +1,68 @@
 """Scores of texts under a probabilistic suffix tree over words.
 
 Training counts every token (case-folded words, then one end) of the training
-rows. Contexts grow level by level from frequent ones: a context of d words is
-a candidate if its own count reaches CONTEXT_SHARE of all tokens, so a level has
-1 / CONTEXT_SHARE candidates at most; next symbols are kept for it where the
-joint count reaches JOINT_SHARE, 1 / JOINT_SHARE in all at most. These shares
-bound what reaches the driver and is broadcast at any size of input; counts
-themselves are over all training tokens and grow with them. A candidate is
-retained if count * KL(next symbols given it || given its longest retained
-suffix) passes DIVERGENCE * ln(tokens). A retained state gives a kept symbol its
-share of count + KAPPA, and hands the rest of its mass to the next shorter
-state; the root is the smoothed unigram distribution of the base score. A token
-is scored by the longest retained suffix of the words before it.
-
-For a symbol that a state has no kept count of, the probability is a factor of
-the state times the root's. So the counts of rare words, the only table that
-grows with the corpus, are needed once per document and word: words of at least
-HOT_SHARE of all tokens (again a bounded number) are looked up in a broadcast
-table, all others by a join, which has no hot keys then.
+rows, and after every context of up to DEPTH tokens every next symbol. Nothing
+is left out of these counts and they grow with the input: they are Spark tables,
+as are the divergence test and the retained states. A context is retained if
+count * KL(next symbols given it || given its longest retained suffix) passes
+DIVERGENCE * ln(tokens). A retained state gives a symbol its share of count +
+KAPPA, and hands KAPPA's share on to the next shorter state; the root is the
+smoothed unigram distribution of the base score. A token is scored by the
+longest retained suffix of the words before it.
+
+A context, and a symbol after it, are chained 64-bit hashes: level d has rows
+(c, g, n), c the context of d tokens and g the symbol after the d - 1 newest of
+them, which is where level d - 1 has its probability. So a level meets the one
+below by a join on g. Contexts are worked off in SLICES by their newest word,
+which a level's rows share with those they meet, so that the tables and shuffles
+of one slice are on disk at a time.
+
+A score is the base score and, for each token and retained context before it,
+the logarithm of what that state makes of the next shorter one's probability:
+one join on distinct (row, context, symbol) with the counted symbols of retained
+states, and for symbols never seen there one with the states. Words of at least
+HOT_SHARE of all tokens (a bounded number) have their base looked up in a
+broadcast table, all others by a join, which has no hot keys then.
 
 Edge cases: a null text is empty and scores its end alone; a null id counts as
 the text '' for the split and stays null; without training rows every token has
 the same probability under the base; repeated rows are counted and scored as
-rows of their own; no rows give no rows; other columns are ignored. Words are
-compared by 64-bit hashes.
+rows of their own; no rows give no rows; other columns are ignored. Words and
+contexts are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, words, written
+from .common import chunks, discard, mix64, passing, words, written
 
-#: Longest context; share of all tokens that a context, a (context, symbol) and a broadcast word need at least; divergence needed; weight of the shorter state.
-DEPTH, CONTEXT_SHARE, JOINT_SHARE, HOT_SHARE, DIVERGENCE, KAPPA = 2, 2.0**-13, 2.0**-16, 2.0**-20, 1.0, 8.0
+#: Longest context; share of all tokens that a broadcast word needs at least; divergence needed; weight of the shorter state.
+DEPTH, HOT_SHARE, DIVERGENCE, KAPPA = 2, 2.0**-20, 1.0, 8.0
+#: Parts of the contexts that are worked off one after the other.
+SLICES = 4
 #: Distinct keys that a task gathers before it passes counts on.
-GATHER = 1 << 21
+GATHER = 1 << 20
+_A = np.uint64(0xA24BAED4963EE407)
 END = np.int64(0x5EED0E0D)
 
 
 @dataclass
-class Level:
-    """Candidate contexts of one length. codes: of a context, its (shorter, newest) pair; keys, counts: kept (context, symbol) pairs."""
-
-    codes: np.ndarray
-    total: np.ndarray
-    parent: np.ndarray
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    retained: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-
-
-@dataclass
-class Tree:
+class Root:
     n: int
     v: int
     hot: np.ndarray  # hashes of frequent words, ascending
     hot_c: np.ndarray
-    symbols: np.ndarray  # hashes of the symbols, ascending
-    symbol_c: np.ndarray
-    levels: list[Level]
 
-    def root(self, c: np.ndarray) -> np.ndarray:
+    def probability(self, c: np.ndarray) -> np.ndarray:
         return (c + 0.1) / (self.n + 0.1 * (self.v + 1))
 
 
@@ -93,49 +87,60 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def _contexts(tree: Tree, x: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """For each level and token the context of that length before it, or -1. Before a text stands an end."""
-    s = len(tree.symbols)
-    prev = np.full(len(x), -1, np.int64)
-    prev[1:] = x[:-1]
-    prev[first[:-1]] = _find(tree.symbols, np.array([END]))[0]
-    start = np.zeros(len(x), bool)
-    start[first[:-1]] = True
-    out: list[np.ndarray] = []
-    for d, level in enumerate(tree.levels):
-        if d == 0:
-            out.append(np.where(prev >= 0, _find(level.codes, prev), -1))
-        else:
-            shorter = np.full(len(x), -1, np.int64)
-            shorter[1:] = out[-1][:-1]
-            shorter[start] = -1
-            out.append(np.where((shorter >= 0) & (prev >= 0), _find(level.codes, shorter * s + prev), -1))
-    return out
-
-
-def _summed(rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """(k, n) with counts of equal keys added up, as far as GATHER keys allow."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-        return k[at], np.add.reduceat(n, at) if len(at) else n
+def _below(c: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The hash of a symbol after a context, from the context's and the one that the symbol has a level below; BELOW in SQL."""
+    return c ^ ((g << np.uint64(1)) | (g >> np.uint64(63)))
+
+
+BELOW = "c ^ (shiftleft(g, 1) | shiftrightunsigned(g, 63))"
+
+
+def _pairs(data: np.ndarray, offs: np.ndarray, depth: int, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(d, text, c, g) of the tokens of a slice that have a context of d tokens, for each d. Before a text stands one end."""
+    x, first = tokens(data, offs)
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+    place = np.arange(len(x)) - first[doc]
+    g = x.view(np.uint64)
+    last = np.empty_like(g)
+    last[1:] = g[:-1]
+    last[first[:-1]] = END.view(np.uint64)
+    last = mix64(last ^ _A)
+    own = last % np.uint64(SLICES) == part
+    c = last
+    for d in range(1, depth + 1):
+        on = own & (place >= d - 1)
+        yield d, doc[on], c[on].view(np.int64), g[on].view(np.int64)
+        g = _below(c, g)
+        older = np.zeros_like(c)
+        older[1:] = c[:-1]
+        c = mix64(older * _A + last)
+
+
+def _summed(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Keys and n, with counts of equal keys added up, as far as GATHER keys allow; names ends with n."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def merged() -> tuple[np.ndarray, ...]:
+        *keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort(keys)
+        keys, n = [k[order] for k in keys], n[order]
+        if not len(n):
+            return *keys, n
+        at = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+        return *(k[at] for k in keys), np.add.reduceat(n, at)
 
     size = 0
-    for k, n in rows:
-        held.append((k, n))
-        size += len(k)
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
         if size > 2 * GATHER:
             held = [merged()]
-            size = len(held[0][0])
+            size = len(held[0][-1])
             if size > GATHER:
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in held[0]], ["k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in held[0]], names)
                 held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in merged()], ["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in merged()], names)
 
 
 def _columns(df: DataFrame) -> list[np.ndarray]:
@@ -143,86 +148,139 @@ def _columns(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in t.columns]
 
 
-def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree of the text column, and the counts (k, n) of all words, written."""
+def _root(texts: DataFrame) -> tuple[Root, DataFrame]:
+    """The root of the text column, and the counts (k, n) of all words, written."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _summed(np.unique(tokens(data, offs)[0], return_counts=True) for b in batches for _, _, data, offs in chunks(b))
+        return _summed((np.unique(tokens(data, offs)[0], return_counts=True) for b in batches for _, _, data, offs in chunks(b)), ["k", "n"])
 
     vocabulary = written(texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
     n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot, hot_c = _columns(vocabulary.where(F.col("n") >= n * HOT_SHARE))
     order = np.argsort(hot)
-    hot, hot_c = hot[order], hot_c[order]
-    symbol = hot_c >= n * JOINT_SHARE
-    tree = Tree(n, v, hot, hot_c, hot[symbol], hot_c[symbol], [])
-    end = _find(tree.symbols, np.array([END]))[0]
-    often = np.flatnonzero(tree.symbol_c >= n * CONTEXT_SHARE)
-    level = Level(often, tree.symbol_c[often], np.zeros(len(often), np.int64))
-    spark = texts.sparkSession
-    for d in range(depth):
-        if not len(level.codes):
-            break
-        tree.levels.append(level)
-        shared = spark.sparkContext.broadcast(tree)
-        s = len(tree.symbols)
-
-        def pairs(batches: Iterator[pa.RecordBatch], shared=shared, d=d, s=s) -> Iterator[pa.RecordBatch]:
-            def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                for b in batches:
-                    for _, _, data, offs in chunks(b):
-                        t, first = tokens(data, offs)
-                        x = _find(shared.value.symbols, t)
-                        c = _contexts(shared.value, x, first)[d]
-                        yield np.unique((c * s + x)[(c >= 0) & (x >= 0)], return_counts=True)
-
-            return _summed(each())
-
-        counts = texts.mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= n * JOINT_SHARE)
-        level.keys, level.counts = _columns(counts)
-        order = np.argsort(level.keys)
-        level.keys, level.counts = level.keys[order], level.counts[order]
-        _retain(tree, d)
-        on = (level.counts >= n * CONTEXT_SHARE) & (level.keys % s != end)
-        codes = level.keys[on]
-        newest = codes % s
-        parent = _find(tree.levels[0].codes, newest) if d == 0 else _find(tree.levels[d].codes, level.parent[codes // s] * s + newest)
-        level = Level(codes, level.counts[on], parent)
+    return Root(n, v, hot[order], hot_c[order]), vocabulary
+
+
+def _grown(texts: DataFrame, root: Root, vocabulary: DataFrame, depth: int, part: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level of a slice its retained states (c, total) and their symbols (c, g, n, q, p), q under the next shorter state and p under this one; written."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                for _, _, data, offs in chunks(b):
+                    for d, _, c, g in _pairs(data, offs, depth, part):
+                        yield np.full(len(c), d, np.int8), c, g, np.ones(len(c), np.int64)
+
+        return _summed(each(), ["d", "c", "g", "n"])
+
+    counts = written(texts.mapInArrow(count, "d byte, c long, g long, n long").groupBy("d", "c", "g").agg(F.sum("n").alias("n")), "counts")
+    below = vocabulary.select(F.col("k").alias("b"), ((F.col("n") + 0.1) / (root.n + 0.1 * (root.v + 1))).alias("q"))
+    out, scratch = [], []
+    for d in range(1, depth + 1):
+        pairs = written(counts.where(F.col("d") == d).join(below, F.col("g") == F.col("b")).select("c", "g", "n", "q"), "pairs")
+        for x in scratch:
+            discard(x)
+        tested = pairs.groupBy("c").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.ln(F.col("n") / F.col("q"))).alias("gain"))
+        # A context that occurs once can't pass: no probability is below 1 / tokens.
+        states = written(tested.where((F.col("total") > 1) & (F.col("gain") - F.col("total") * F.ln("total") > DIVERGENCE * float(np.log(max(root.n, 2))))).select("c", "total"), "states")
+        p = (F.col("n") + KAPPA * F.col("q")) / (F.col("total") + KAPPA)
+        both = pairs.join(states.withColumnRenamed("c", "state"), F.col("c") == F.col("state"), "left")
+        if d < depth:
+            both = written(both.select("c", "g", "n", "q", F.coalesce(p, "q").alias("p"), F.col("state").isNotNull().alias("kept")), "levels")
+            below = both.select(F.expr(BELOW).alias("b"), F.col("p").alias("q"))
+            symbols = written(both.where("kept").select("c", "g", "n", "q", "p"), "symbols")
+            scratch = [both]
+        else:
+            symbols = written(both.where("state is not null").select("c", "g", "n", "q", p.alias("p")), "symbols")
+        out.append((states, symbols))
+        discard(pairs)
+    discard(counts)
+    return out
+
+
+def _gains(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], depth: int, part: int) -> DataFrame:
+    """(row, more) for (row, text): what the retained states of a slice add to the base score; written."""
+    states = reduce(DataFrame.unionByName, (x for x, _ in levels)).withColumnRenamed("c", "state")
+    symbols = reduce(DataFrame.unionByName, (x for _, x in levels)).select("c", "g", F.log10(F.col("p") / F.col("q")).alias("gain"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+            row = b.column(0).to_numpy()
+            for lo, _, data, offs in chunks(b):
+                for _, doc, c, g in _pairs(data, offs, depth, part):
+                    yield row[lo + doc], c, g, np.ones(len(c), np.int64)
+
+        for b in batches:
+            yield from _summed(each(b), ["row", "c", "g", "k"])
+
+    asked = passing(docs.mapInArrow(ask, "row long, c long, g long, k long"), "c", states, "state")
+    found = asked.join(symbols.withColumnsRenamed({"c": "c2", "g": "g2"}), (F.col("c") == F.col("c2")) & (F.col("g") == F.col("g2")), "left")
+    found = written(found.groupBy("row", F.when(F.col("gain").isNull(), F.col("c")).alias("c")).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("gain")).alias("gain")), "found")
+    unseen = found.where("c is not null").join(states, F.col("c") == F.col("state")).select("row", (F.col("k") * F.log10(KAPPA / (F.col("total") + KAPPA))).alias("gain"))
+    out = written(found.where("c is null").select("row", "gain").unionByName(unseen).groupBy("row").agg(F.sum("gain").alias("more")), "gains")
+    for x in (found, *(x for level in levels for x in level)):
+        discard(x)
+    return out
+
+
+@dataclass
+class Level:
+    """All contexts of one length in memory. counts: of (context, symbol)."""
+
+    total: np.ndarray
+    parent: np.ndarray
+    counts: dict[tuple[int, int], int]
+    rest: np.ndarray
+    retained: np.ndarray
+
+
+@dataclass
+class Tree(Root):
+    symbols: np.ndarray  # hashes of all words, ascending
+    symbol_c: np.ndarray
+    levels: list[Level]
+
+
+def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
+    """The whole tree in the driver's memory, to look at those of small inputs, and the counts (k, n) of all words; scores don't use it."""
+    root, vocabulary = _root(texts)
+    symbols, symbol_c = _columns(vocabulary.orderBy("k"))
+    tree = Tree(root.n, root.v, root.hot, root.hot_c, symbols, symbol_c, [])
+    end = np.searchsorted(symbols, END)
+    rows = [np.append(end, np.searchsorted(symbols, tokens(data, offs)[0])).tolist() for b in texts.toArrow().to_batches() for i in range(b.num_rows) for _, _, data, offs in chunks(b.slice(i, 1))]
+    numbers: dict[tuple[int, ...], int] = {(): 0}
+    for d in range(1, depth + 1):
+        seen = Counter((tuple(r[i - d : i]), r[i]) for r in rows for i in range(d, len(r)))
+        above, numbers = numbers, {c: k for k, c in enumerate(dict.fromkeys(c for c, _ in seen))}
+        counts = {(numbers[c], x): n for (c, x), n in seen.items()}
+        context, symbol = (np.array([k[i] for k in counts], np.int64) for i in range(2))
+        n, parent = np.array(list(counts.values()), float), np.array([above[c[1:]] for c in numbers], np.int64)
+        total = np.bincount(context, n, len(numbers))
+        q = _probability(tree, d - 2, parent[context], symbol)
+        gain = np.bincount(context, n * np.log(n / total[context] / q), len(numbers))
+        tree.levels.append(Level(total, parent, counts, KAPPA / (total + KAPPA), (total > 1) & (gain > DIVERGENCE * np.log(max(tree.n, 2)))))
     return tree, vocabulary
 
 
 def _probability(tree: Tree, d: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """P(symbol | the longest retained suffix of a context of level d); below level 0 is the root."""
     if d < 0:
-        return tree.root(tree.symbol_c[symbol])
+        return tree.probability(tree.symbol_c[symbol])
     level = tree.levels[d]
-    at = np.maximum(context, 0)
-    up = _probability(tree, d - 1, level.parent[at], symbol)
-    hit = _find(level.keys, at * len(tree.symbols) + symbol)
-    own = np.where(hit >= 0, level.counts[np.maximum(hit, 0)], 0) / (level.total[at] + KAPPA) if len(level.keys) else 0.0
-    return np.where((context >= 0) & level.retained[at], own + level.rest[at] * up, up)
-
-
-def _retain(tree: Tree, d: int) -> None:
-    """The divergence test of a level's contexts, and the mass that each hands on."""
-    level, s = tree.levels[d], len(tree.symbols)
-    context, symbol = level.keys // s, level.keys % s
-    kept = np.bincount(context, level.counts, len(level.codes))
-    level.rest = (level.total - kept + KAPPA) / (level.total + KAPPA)
-    q = _probability(tree, d - 1, level.parent[context], symbol)
-    p = level.counts / level.total[context]
-    kl = np.bincount(context, p * np.log(p / q), len(level.codes))
-    p_rest = np.maximum(1 - kept / level.total, 1e-12)
-    q_rest = np.maximum(1 - np.bincount(context, q, len(level.codes)), 1e-12)
-    kl += p_rest * np.log(p_rest / q_rest)
-    level.retained = level.total * kl > DIVERGENCE * np.log(max(tree.n, 2))
+    up = _probability(tree, d - 1, level.parent[context], symbol)
+    own = np.array([level.counts.get(k, 0) for k in zip(context.tolist(), symbol.tolist(), strict=True)]) / (level.total[context] + KAPPA)
+    return np.where(level.retained[context], own + level.rest[context] * up, up)
 
 
 def lm_scores(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH) -> DataFrame:
     """id column, held_out, n_tokens, n_known, train_tokens, base_score, score; rows for which held_out holds are not learned from."""
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_column).alias("text"))
-    tree, vocabulary = train(base.where("not held_out").select("text"), depth)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    # Shuffle files of a slice go when its tables are written.
+    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    base = written(base, "rows")  # row numbers hold for all passes
+    texts = base.where("not held_out").select("text")
+    root, vocabulary = _root(texts)
+    shared = docs.sparkSession.sparkContext.broadcast(root)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
@@ -232,18 +290,8 @@ def lm_scores(docs: DataFrame, held_out, id_column: str = "doc_id", text_column:
                 doc = np.repeat(np.arange(hi - lo), np.diff(first))
                 at = _find(t.hot, x)
                 hot = at >= 0
-                p0 = t.root(t.hot_c[np.maximum(at, 0)]) if len(t.hot) else np.ones(len(x))
-                sym = _find(t.symbols, x)
-                a, f = np.zeros(len(x)), np.ones(len(x))
-                for level, c in zip(t.levels, _contexts(t, sym, first), strict=True):
-                    i = np.maximum(c, 0)
-                    on = (c >= 0) & level.retained[i]
-                    hit = np.where(sym >= 0, _find(level.keys, i * len(t.symbols) + sym), -1)
-                    own = np.where(hit >= 0, level.counts[np.maximum(hit, 0)], 0) / (level.total[i] + KAPPA) if len(level.keys) else 0.0
-                    a = np.where(on, own + level.rest[i] * a, a)
-                    f = np.where(on, level.rest[i] * f, f)
+                p0 = t.probability(t.hot_c[np.maximum(at, 0)]) if len(t.hot) else np.ones(len(x))
                 log0 = np.where(hot, np.log10(p0), 0.0)
-                more = np.where(hot, np.log10(a + f * p0) - log0, np.log10(f))
                 n = hi - lo
                 rare = np.flatnonzero(~hot)
                 order = rare[np.lexsort((x[rare], doc[rare]))]
@@ -252,15 +300,18 @@ def lm_scores(docs: DataFrame, held_out, id_column: str = "doc_id", text_column:
                 k = np.diff(np.append(cut, len(rw)))
                 ends = np.append(0, np.cumsum(np.bincount(rd[cut], minlength=n))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(rw[cut]), pa.array(k.astype(np.int64))], ["w", "k"]))
-                cols = [*(b.column(i).slice(lo, n) for i in range(3)), pa.array(np.diff(first)), pa.array(np.bincount(doc, hot, n).astype(np.int64)), pa.array(np.bincount(doc, log0, n)), pa.array(np.bincount(doc, more, n)), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "more", "rare"])
+                cols = [*(b.column(i).slice(lo, n) for i in range(3)), pa.array(np.diff(first)), pa.array(np.bincount(doc, hot, n).astype(np.int64)), pa.array(np.bincount(doc, log0, n)), lists]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "rare"])
 
-    scored = written(base.mapInArrow(score, "row long, id long, held_out boolean, n_tokens long, known long, base double, more double, rare array<struct<w: long, k: long>>"), "scored")
-    cold = vocabulary.where(F.col("n") < tree.n * HOT_SHARE).withColumnRenamed("k", "v")
+    scored = written(base.mapInArrow(score, "row long, id long, held_out boolean, n_tokens long, known long, base double, rare array<struct<w: long, k: long>>"), "scored")
+    cold = vocabulary.where(F.col("n") < root.n * HOT_SHARE).withColumnRenamed("k", "v")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.k").join(cold, F.col("w") == F.col("v"), "left")
-    whole = tree.n + 0.1 * (tree.v + 1)
+    whole = root.n + 0.1 * (root.v + 1)
     sums = rare.groupBy(F.col("row").alias("sum_row")).agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rare_known"), F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / whole)).alias("rare_base"))
+    asking = base.select("row", "text")
+    gains = reduce(DataFrame.unionByName, (_gains(asking, _grown(texts, root, vocabulary, depth, part), depth, part) for part in range(SLICES)))
+    gains = gains.groupBy(F.col("row").alias("gain_row")).agg(F.sum("more").alias("more"))
     base_score = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return scored.join(sums, F.col("row") == F.col("sum_row"), "left").select(
-        F.col("id").alias(id_column), "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(tree.n)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("more")).alias("score")
+    return scored.join(sums, F.col("row") == F.col("sum_row"), "left").join(gains, F.col("row") == F.col("gain_row"), "left").select(
+        F.col("id").alias(id_column), "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(root.n)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.coalesce("more", F.lit(0.0))).alias("score")
     )
