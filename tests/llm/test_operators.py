@@ -94,6 +94,26 @@ def test_suffix_dedup(rows, docs, none, width):
     assert suffix.suffix_dedup(none).count() == 0
 
 
+def test_suffix_dedup_splits_names_of_many_contexts(spark, monkeypatch):
+    """A passage with other surroundings in every document: names with more contexts than a block holds are split by windows."""
+    monkeypatch.setattr(suffix, "BLOCK", 8)
+    tables, write = [], suffix.written
+    monkeypatch.setattr(suffix, "written", lambda df, name: tables.append(name) or write(df, name))
+    rng, width = random.Random(3), 40
+    passage = words(30, rng)
+    texts = [f"{words(12, rng)} {passage[: len(passage) - i % 3]}\0{words(12, rng)}" for i in range(60)]
+    texts += [texts[0], passage + "é", words(40, rng)]
+    raw = [t.encode() for t in texts]
+    count = collections.Counter(b[i : i + width] for b in raw for i in range(len(b) - width + 1))
+    want = []
+    for d, b in enumerate(raw):
+        gone = {j for i in range(len(b) - width + 1) if count[b[i : i + width]] > 1 for j in range(i, i + width)}
+        want.append((d, len(b), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(bytes(x for i, x in enumerate(b) if i not in gone)).hexdigest()))
+    got = suffix.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), width=width).collect()
+    assert sorted(map(tuple, got)) == want
+    assert "windows" in tables
+
+
 def test_packing(rows, docs, none):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -21,11 +21,16 @@ again are found by sorting suffixes, without a suffix array of everything:
    prefix with the suffix before or after it in that order reaches WIDTH. There
    are no pairs: a name with thousands of contexts costs their number, not its
    square. A shard reads its tuples in name order as a stream and holds a block
-   of them only, so shards can be far larger than memory.
+   of them and one batch more, so shards can be far larger than memory. Names of
+   more than BLOCK contexts are not dealt by name: each of their windows (HALF + 1
+   a context at most) becomes a tuple (digest, document, place), occurrences are
+   counted by digest with partial sums, and the repeated digests are joined back,
+   so that no task holds such a name.
 
 Repeats are judged on the input, in the same document too; matches never cross
 documents; names (64-bit hashes) only gather candidates of step 3, whose bytes
-are compared, and step 2 compares spans by a digest of 128 bits.
+are compared; step 2 compares spans, and step 3 windows of names of more than
+BLOCK contexts, by a digest of 128 bits.
 
 Edge cases: null and empty texts, and those shorter than a window, have nothing
 removed; a null id takes no part and keeps its text; rows that share an id are
@@ -40,10 +45,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flagged, mix64, passing, prefix_hash, span_hash, written
+from .common import chunks, discard, flagged, mix64, passing, prefix_hash, span_hash, written
 
 WIDTH = 400
 #: Bits of a segment's positions; longer documents are sampled in segments that overlap by a window. Contexts sorted in one block.
@@ -174,14 +179,15 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
     tuples = written(texts.mapInArrow(sample, "name long, x long, y long, id long, at int, high smallint, low smallint"), "anchors")
     spans = ["name", "x", "y", "high", "low"]
     # One row per distinct span of a name: how often it occurs, and one occurrence that stands for all.
-    kinds = tuples.groupBy(*spans).agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one"))
-    of_name = Window.partitionBy("name")
-    kinds = written(kinds.select("*", F.sum("n").over(of_name).alias("uses"), F.count("*").over(of_name).alias("kinds")).where("uses > 1"), "kinds")
+    every = written(tuples.groupBy(*spans).agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "spans")
+    names = every.groupBy("name").agg(F.sum("n").alias("uses"), F.count("*").alias("kinds")).where("uses > 1")
+    kinds = written(every.join(names, "name"), "kinds")
+    discard(every)
     whole = kinds.where("n > 1").select(*spans)
     spread = passing(tuples, "name", whole, "name").join(whole, spans).select("id", (F.col("at") - F.col("high")).cast("long").alias("first"), (F.col("at") - F.col("low") + width).cast("long").alias("end"))
-    rest = kinds.where("kinds > 1").select("name", F.col("one.id").alias("id"), F.col("one.at").alias("at"), "high", "low", F.col("n").alias("n"))
-    asked = rest.groupBy("id").agg(F.collect_list(F.struct("name", "at", "high", "low", "n")).alias("spots"))
-    there = passing(texts, "id", rest, "id").withColumnRenamed("id", "text_id").join(asked, F.col("text_id") == F.col("id")).select("id", "text", "spots")
+    block = BLOCK
+    many = F.col("kinds") > block
+    rest = kinds.where("kinds > 1").select("name", F.col("one.id").alias("id"), F.col("one.at").alias("at"), "high", "low", F.col("n").alias("n"), many.alias("many"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,7 +205,12 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
                 kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)], ["name", "id", "at", "high", "low", "n", "bytes"])
 
-    shards = there.mapInArrow(contexts, "name long, id long, at int, high smallint, low smallint, n long, bytes binary").repartition("name").sortWithinPartitions("name")
+    def with_bytes(wanted: DataFrame) -> DataFrame:
+        asked = wanted.groupBy("id").agg(F.collect_list(F.struct("name", "at", "high", "low", "n")).alias("spots"))
+        there = passing(texts, "id", wanted, "id").withColumnRenamed("id", "text_id").join(asked, F.col("text_id") == F.col("id")).select("id", "text", "spots")
+        return there.mapInArrow(contexts, "name long, id long, at int, high smallint, low smallint, n long, bytes binary")
+
+    shards = with_bytes(rest.where("not many")).repartition("name").sortWithinPartitions("name")
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
@@ -230,7 +241,7 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
             if not b.num_rows:
                 continue
             held.append(b)
-            if sum(x.num_rows for x in held) >= BLOCK:
+            if sum(x.num_rows for x in held) >= block:
                 t = pa.Table.from_batches(held).combine_chunks()
                 name = t.column(0).to_numpy()
                 cut = int(np.searchsorted(name, name[-1]))  # the last name may go on
@@ -240,7 +251,28 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
         if held:
             yield solve(pa.Table.from_batches(held).combine_chunks())
 
-    return spread.unionByName(shards.mapInArrow(induce, "id long, first long, end long"))
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                ids, at, high, low, n = (b.column(i).slice(lo, 512).to_numpy(zero_copy_only=False) for i in range(1, 6))
+                raw = b.column(6).slice(lo, 512).to_pylist()
+                at, high, low = at.astype(np.int64), high.astype(np.int64), low.astype(np.int64)
+                offs = np.append(0, np.cumsum([len(x) for x in raw]))
+                of = high - low + 1
+                row = np.repeat(np.arange(len(raw)), of)
+                k = np.arange(len(row)) - (np.cumsum(of) - of)[row]
+                data, place = np.frombuffer(b"".join(raw), np.uint8), offs[row] + k
+                x, y = (span_hash(prefix_hash(v), place, place + width).view(np.int64) for v in (data, data ^ np.uint8(0xA5)))
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x, y, ids[row], (at - high)[row] + k, n[row])], ["x", "y", "id", "first", "n"])
+
+    out = spread.unionByName(shards.mapInArrow(induce, "id long, first long, end long"))
+    large = rest.where("many")
+    if large.isEmpty():
+        return out
+    parts = written(with_bytes(large).mapInArrow(windows, "x long, y long, id long, first long, n long"), "windows")
+    again = parts.groupBy("x", "y").agg(F.sum("n").alias("uses")).where("uses > 1").select("x", "y")
+    # Those of contexts that occur again are repeated as they are.
+    return out.unionByName(parts.where("n = 1").join(again, ["x", "y"]).select("id", "first", (F.col("first") + width).alias("end")))
 
 
 def _merged(spans: list, n: int) -> list[tuple[int, int]]:
