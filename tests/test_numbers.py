@@ -27,3 +27,9 @@ def test_csv(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([(x,) for x in ["A10", "A2", "a1", "9", "10", "b"]], "k string")
     assert [r[0] for r in df.orderBy(N.natural_key(F.col("k"))).collect()] == ["9", "10", "a1", "A2", "A10", "b"]
+
+
+def test_natural_order_of_long_digit_runs(spark):
+    want = ["A9", "A" + "0" * 25 + "10", "A" + "1" * 20 + "2", "A" + "1" * 20 + "3", "A" + "1" * 22, "A2" + "0" * 21]
+    df = spark.createDataFrame([(x,) for x in want[::-1]], "k string")
+    assert [r[0] for r in df.orderBy(N.natural_key(F.col("k"))).collect()] == want

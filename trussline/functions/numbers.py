@@ -67,6 +67,7 @@ def csv_field(text: Column, sep: str = ";") -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """A sort key under which A2 < A10 and case and accents don't count: digit runs are padded to 20 digits."""
-    padded = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), lambda p: F.when(F.regexp_like(p, F.lit(r"\A[0-9]+\z")), F.lpad(p, 20, "0")).otherwise(p)), "")
+    """A sort key under which A2 < A10 and case and accents don't count: digit runs of any length go by value, their length before them."""
+    digits = lambda p: F.regexp_replace(p, r"\A0+(?=[0-9])", "")
+    padded = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)), lambda p: F.when(F.regexp_like(p, F.lit(r"\A[0-9]+\z")), F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(p)), "")
     return F.collate(padded, "UNICODE_CI_AI")
