@@ -74,6 +74,15 @@ def test_near_duplicates(rows, docs, none, size):
     assert minhash.near_duplicates(none, shingle=size).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    """Id 5 has the text of id 3 and, in another row, one near id 7's: all three are one component."""
+    rng = random.Random(7)
+    a, b = words(60, rng), words(60, rng)
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b + " end"), (9, words(60, rng))], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == {(3, 3, True): 1, (5, 3, False): 2, (7, 3, False): 1, (9, 9, True): 1}
+
+
 @pytest.mark.parametrize("width", [20, 400])
 def test_suffix_dedup(rows, docs, none, width):
     count = collections.Counter()

@@ -139,14 +139,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     wanted = stars.select("rep").union(stars.select("lead")).distinct()
     sets = written(_sets(passing(base, "id", wanted, "rep"), shingle).join(wanted, F.col("id") == F.col("rep"), "leftsemi").where("size(s) > 0").distinct(), "sets")
     near = (100 + percent) * F.least("n", "nl") >= percent * (F.col("n") + F.col("nl"))  # else their sizes alone keep them apart
-    links = written(_confirmed(stars.where(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct(), sets, percent), "links")
+    # Rows that share an id are one document, though their texts differ: their nodes are linked.
+    texts = sketch.where("id is not null and n > 0").select("id", "d1", "d2").distinct()
+    several = texts.join(texts.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1"), "id").join(nodes.select("d1", "d2", "rep"), ["d1", "d2"])
+    same = several.join(several.groupBy("id").agg(F.min("rep").alias("a")), "id").where("a <> rep").select("a", F.col("rep").alias("b"))
+    links = written(_confirmed(stars.where(near).select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b")).distinct(), sets, percent).unionByName(same).distinct(), "links")
     comps = components(links)
     pairs = _across(buckets.select("key", "rep", "n"), links, comps, sets, percent)
     more = written(_confirmed(pairs, sets, percent), "links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     reps = nodes.select("d1", "d2", "rep").join(comps, F.col("rep") == F.col("node"), "left").select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "rep").alias("component"))
-    # Rows that share an id are one document, though their texts differ: their nodes are one.
     out = sketch.join(reps, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & F.col("id").isNotNull() & (F.col("n") > 0), "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
