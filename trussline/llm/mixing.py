@@ -10,15 +10,20 @@ floor(r) times, and a seeded order decides which documents are taken once more;
 the document on which the target falls is taken in part, so that each source
 meets its target to within a word.
 
-The seeded order of a source needs running sums over its documents. Documents
-are dealt to buckets of their seeded hash; bucket totals are summed first, and
-running sums are taken inside a bucket only, so that a source with a third of
-all rows is spread over as many tasks as any other rows.
+A source's seeded order is that of a hash of id and text, by buckets of the
+hash first. Only narrow rows (source, size, hash) are summed: bucket totals show
+the one bucket of a source in which its target falls, and only that bucket is
+put in order, to find the hash on which it falls. Every row is then decided
+where it is read, by comparing its hash with its source's; the row of that very
+hash takes what is left, which repeated rows share evenly (to within a word for
+each). So no text moves, and a source with a third of all rows is spread over
+as many tasks as any other rows.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a
 source of its own, last in order; sources of size 0 get target 0; no rows give
-no rows; repeated rows are sampled as rows of their own; other columns are kept
-out of the result.
+no rows; repeated rows are sampled as rows of their own; null or equal ids with
+different texts are ordered by their texts; other columns are kept out of the
+result, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Buckets of a source's seeded order, at least; more rows to a source make more.
 BUCKET_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -61,19 +68,30 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: floa
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3, seed: int = 17, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """keep columns, size, source_size, target, taken for every document."""
-    own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("doc_id").isNull()).alias("h"))
-    by_source = own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("doc_id").isNull(), "text")
+    own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], "source", word_count(F.col("text")).alias("size"), order.alias("h"))
+    narrow = written(own.select("source", "size", "h"), "sizes")
+    by_source = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     plan = targets(by_source.select("source", "source_size"), weights, epochs)
     plan = plan.join(by_source.select(F.col("source").alias("s2"), "rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    plan = plan.select("*", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"), F.floor(F.col("target") / F.col("source_size")).alias("whole"))
-    plan = plan.withColumn("more", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")).withColumnRenamed("source", "plan_source")
-    rows = own.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.col("buckets")))
-    inside = Window.partitionBy("plan_source", "bucket").orderBy("h", *[f"k{i}" for i in range(len(keep))]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = rows.groupBy("plan_source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    upto = Window.partitionBy("plan_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("plan_source").alias("t_source"), F.col("bucket").alias("t_bucket"), F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)).alias("bucket_before"))
-    rows = rows.join(totals, F.col("plan_source").eqNullSafe(F.col("t_source")) & (F.col("bucket") == F.col("t_bucket")))
-    before = F.col("bucket_before") + F.sum("size").over(inside) - F.col("size")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - before))
-    taken = F.coalesce(F.col("whole") * F.col("size"), F.lit(0)) + F.coalesce(extra, F.lit(0))
-    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("long").alias("taken"))
+    plan = plan.select("*", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"), F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).alias("whole"))
+    plan = plan.withColumn("more", F.coalesce(F.round(F.col("target") - F.col("whole") * F.col("source_size")), F.lit(0)).cast("long")).withColumnRenamed("source", "plan_source")
+    plan = written(plan, "plan")
+    bucket = F.pmod(F.shiftright("h", 20), F.col("buckets"))
+    same_source = F.col("source").eqNullSafe(F.col("plan_source"))
+    # The bucket in which a source's target falls, and in it the hash.
+    rows = narrow.join(plan, same_source).withColumn("bucket", bucket)
+    totals = rows.groupBy("plan_source", "more", "bucket").agg(F.sum("size").alias("n"))
+    upto = Window.partitionBy("plan_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = totals.withColumn("before", F.sum("n").over(upto) - F.col("n")).where((F.col("before") < F.col("more")) & (F.col("more") <= F.col("before") + F.col("n"))).select(F.col("plan_source").alias("e_source"), F.col("bucket").alias("edge"), "before")
+    inside = rows.join(edge, F.col("plan_source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("edge"))).groupBy("plan_source", "more", "edge", "before", "h").agg(F.sum("size").alias("n"), F.count("*").alias("same"))
+    upto = Window.partitionBy("plan_source").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("start", F.col("before") + F.sum("n").over(upto) - F.col("n")).where((F.col("start") < F.col("more")) & (F.col("more") <= F.col("start") + F.col("n")))
+    cut = inside.select(F.col("plan_source").alias("c_source"), "edge", F.col("h").alias("cut"), F.floor((F.col("more") - F.col("start")) / F.col("same")).alias("left"))
+    plan = written(plan.join(cut, F.col("plan_source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "plan")
+    rows = own.join(plan, same_source)
+    on_edge = (bucket == F.col("edge")) & (F.col("h") == F.col("cut"))
+    before = (bucket < F.col("edge")) | ((bucket == F.col("edge")) & (F.col("h") < F.col("cut")))
+    extra = F.when(on_edge, F.least("size", "left")).when(before, F.col("size")).otherwise(0)
+    taken = (F.col("whole") * F.col("size") + extra).cast("long")
+    return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"))
