@@ -415,13 +415,17 @@ def test_pipeline(spark, rows, docs, labelled, tmp_path):
     spark.createDataFrame(rows, DOCS).write.parquet(f"{sf}/documents.parquet")
     names = [n for n, _ in P.STAGES]
     assert names == ["quality classifier", "MinHash near-dedup", "suffix-array dedup", "mixing sources to target weights", "best-fit packing"]
-    cur = spark.read.parquet(f"{sf}/documents.parquet")
+    clash = ("score", "predicted", "gone", "kept_text", "size", "taken", "held_out", "h", "more")
+    cur = spark.read.parquet(f"{sf}/documents.parquet").withColumns({c: F.lit("x") for c in clash})
     for i, (_, stage) in enumerate(P.STAGES):
         nxt = stage(spark, cur, sf)
         nxt.write.parquet(f"{sf}/s{i}")
         nxt = spark.read.parquet(f"{sf}/s{i}")
         if i < 4:
-            assert nxt.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert nxt.columns == ["doc_id", "text", "lang", "source", "n_chars", *clash]
+            assert nxt.where("score <> 'x' or kept_text <> 'x' or taken <> 'x'").isEmpty()
+        if i == 0:
+            assert nxt.where("text is null").count() == 1 and nxt.where("doc_id = 201").count() == 1
         if i == 1:
             kept = {r.doc_id for r in minhash.near_duplicates(cur).where("kept").collect()}
             assert {r.doc_id for r in nxt.collect()} == kept

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.
 CHUNK = 1 << 20
+#: Bytes of an Arrow batch handed to Python, about.
+BATCH_BYTES = 8 << 20
 #: Bits of the fixed-size filter of document ids (1 MB, whatever the input's size).
 FILTER_BITS = 1 << 23
 _M = (1 << 64) - 1
@@ -33,12 +35,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder that the cluster names for checkpoints; only a local session may do without, as its one machine sees its own folders."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_dir()
+
+
+@lru_cache(1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def mapped(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches bounded by bytes as well as rows, as texts may be very long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

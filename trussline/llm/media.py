@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Payload bytes are padded to a multiple of UNIT; samples to a table entry; entries from one key frame to the next; entries to a chunk; samples a second.
 UNIT, FRAME, GAP, CHUNK, RATE = 192, 192, 8, 16, 8000
 #: Boxes that hold boxes (fixed values of the format).
@@ -169,7 +171,7 @@ def media_columns(files: DataFrame, column: str = "content", keep: tuple[str, ..
 
     picked = files.select(*keep, F.col(column).alias("_content"))
     kinds = [f.dataType.simpleString() for f in picked.schema.fields[:-1]]
-    return picked.mapInArrow(read, ", ".join([f"`{k}` {t}" for k, t in zip(keep, kinds, strict=True)] + [f"media {MEDIA}"]))
+    return mapped(picked, read, ", ".join([f"`{k}` {t}" for k, t in zip(keep, kinds, strict=True)] + [f"media {MEDIA}"]))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -194,4 +196,4 @@ def text_media(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(store, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), store, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

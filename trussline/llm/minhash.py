@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, components, mix64, passing, words, written
+from .common import chunks, components, mapped, mix64, passing, words, written
 
 #: Bands, coordinates in a band, and bits of the universe.
 BANDS, ROWS, UNIVERSE = 32, 5, 20
@@ -99,7 +99,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in bands])]).astype(np.int32), pa.array(np.concatenate(bands)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], ["id", "n", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(sketch, "id long, n long, d1 long, d2 long, bands array<long>")
+    return mapped(docs, sketch, "id long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in all_sets])]).astype(np.int32), pa.array(np.concatenate(all_sets)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), lists], ["id", "s"])
 
-    return docs.mapInArrow(sets, "id long, s array<long>")
+    return mapped(docs, sets, "id long, s array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import mapped, written
 
 #: Most items that one task packs in one round, and tokens that a nearly full bin may lack.
 PER_TASK, SLACK, FAN_IN = 100_000, 8, 8
@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, vocabulary: str |
                 yield pa.RecordBatch.from_arrays(arrays if with_ids else arrays[:5], names if with_ids else names[:5])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, schema).withColumn("item", F.monotonically_increasing_id())
+    return mapped(docs.select(F.col("doc_id").cast("long"), "text"), cut, schema).withColumn("item", F.monotonically_increasing_id())
 
 
 def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, labelled_sample, prefix_hash, span_hash, white_space, word_places
+from .common import chunks, labelled_sample, mapped, prefix_hash, span_hash, white_space, word_places
 
 #: Labelled documents that the fit uses at most; gradient steps; penalty.
 TRAIN_DOCS, STEPS, L2 = 6000, 200, 1e-3
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str, keep: Column, rows: i
                 lists = [pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([size[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *lists], ["id", "y", "x", "size"])
 
-    t = labelled_sample(docs, labels, column, rows, keep).mapInArrow(features, "id long, y int, x binary, size binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    t = mapped(labelled_sample(docs, labels, column, rows, keep), features, "id long, y int, x binary, size binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     sizes = [np.frombuffer(b, np.float32) for b in t.column("size").to_pylist()]
     xs = [np.frombuffer(b, np.float32).reshape(-1, 3 * OWN + 3) for b in t.column("x").to_pylist()]
     first = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)
@@ -230,6 +230,6 @@ def document_quality(docs: DataFrame, labels: DataFrame, held_out: Column, colum
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(len(names))), pa.array(s)], [*names, "score"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    out = own.mapInArrow(score, f"{kinds}, score double")
+    out = mapped(own, score, f"{kinds}, score double")
     return out.select(F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep_columns)])
 

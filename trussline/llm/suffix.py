@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, flagged, mix64, passing, prefix_hash, span_hash, written
+from .common import chunks, discard, flagged, mapped, mix64, passing, prefix_hash, span_hash, written
 
 WIDTH = 400
 #: Bits of a segment's positions; longer documents are sampled in segments that overlap by a window. Contexts sorted in one block.
@@ -176,7 +176,7 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["name", "x", "y", "id", "at", "high", "low"])
 
     texts = base.where("id is not null")
-    tuples = written(texts.mapInArrow(sample, "name long, x long, y long, id long, at int, high smallint, low smallint"), "anchors")
+    tuples = written(mapped(texts, sample, "name long, x long, y long, id long, at int, high smallint, low smallint"), "anchors")
     spans = ["name", "x", "y", "high", "low"]
     # One row per distinct span of a name: how often it occurs, and one occurrence that stands for all.
     every = written(tuples.groupBy(*spans).agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "spans")
@@ -208,7 +208,7 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
     def with_bytes(wanted: DataFrame) -> DataFrame:
         asked = wanted.groupBy("id").agg(F.collect_list(F.struct("name", "at", "high", "low", "n")).alias("spots"))
         there = passing(texts, "id", wanted, "id").withColumnRenamed("id", "text_id").join(asked, F.col("text_id") == F.col("id")).select("id", "text", "spots")
-        return there.mapInArrow(contexts, "name long, id long, at int, high smallint, low smallint, n long, bytes binary")
+        return mapped(there, contexts, "name long, id long, at int, high smallint, low smallint, n long, bytes binary")
 
     shards = with_bytes(rest.where("not many")).repartition("name").sortWithinPartitions("name")
 
@@ -324,5 +324,5 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
     clean = touched.where("not _hit").select("id", *plain, *named)
     moved = touched.where("_hit").join(by_doc, F.col("id") == F.col("sid"), "left").select("id", "text", "spans", *named)
     kinds = "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in named)
-    out = clean.unionByName(moved.mapInArrow(cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + kinds))
+    out = clean.unionByName(mapped(moved, cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + kinds))
     return out.select(F.col("id").alias(id_column), *names[1 : 6 if with_text else 5], *[F.col(k).alias(c) for k, c in named.items()])

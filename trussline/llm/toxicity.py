@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, labelled_sample, prefix_hash, span_hash, word_places
+from .common import chunks, labelled_sample, mapped, prefix_hash, span_hash, word_places
 
 #: Labelled documents that the fit uses at most; features; documents that a feature needs; gradient steps; penalty.
 TRAIN_DOCS, MAX_FEATURES, MIN_DOCS, STEPS, L2 = 6000, 512, 5, 600, 2e-4
@@ -144,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str, keep: Column, rows: i
                 lists = [pa.array([z[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary()) for z in (h, k.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *lists], ["id", "y", "h", "k"])
 
-    t = labelled_sample(docs, labels, column, rows, keep).mapInArrow(features, "id long, y int, h binary, k binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    t = mapped(labelled_sample(docs, labels, column, rows, keep), features, "id long, y int, h binary, k binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     h = [np.frombuffer(b, np.int64) for b in t.column("h").to_pylist()]
     k = [np.frombuffer(b, np.int32) for b in t.column("k").to_pylist()]
     doc = np.repeat(np.arange(len(h)), [len(z) for z in h])
@@ -170,5 +170,5 @@ def severity(docs: DataFrame, labels: DataFrame, held_out: Column, column: str =
                 p = np.stack([1 - up[:, 0], up[:, 0] - up[:, 1], up[:, 1]], 1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(up[:, 0]), pa.array(up.sum(1)), pa.array(p.argmax(1).astype(np.int32))], ["id", "held_out", "score", "expected_severity", "grade"])
 
-    out = own.mapInArrow(score, "id long, held_out boolean, score double, expected_severity double, grade int")
+    out = mapped(own, score, "id long, held_out boolean, score double, expected_severity double, grade int")
     return out.select(F.col("id").alias("doc_id"), "held_out", "score", "expected_severity", "grade", (F.col("score") >= 0.5).cast("int").alias("predicted"))
