@@ -264,60 +264,50 @@ def test_lm(rows, docs, none):
     assert lm.lm_scores(none, held).count() == 0
 
 
-def test_lm_distributions_sum_to_one(spark):
-    """Over all words and the unknown one, every retained state's probabilities add up to 1, and contexts help."""
-    rng = random.Random(8)
-    texts = [" ".join(["a b c d", "a c b d", "x y z"][rng.randrange(3)] for _ in range(20)) for _ in range(300)]
-    tree, _ = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert len(tree.levels) == 2 and all(x.retained.any() for x in tree.levels)
-    symbols = np.arange(len(tree.symbols))
-    unknown = 0.1 / (tree.n + 0.1 * (tree.v + 1))
-    for d, level in enumerate(tree.levels):
-        for c in np.flatnonzero(level.retained):
-            p = lm._probability(tree, d, np.full(len(symbols), c), symbols).sum()
-            known, left = lm._probability(tree, d, np.full(len(symbols), c), symbols), 1.0
-            k, at = d, c
-            while k >= 0:
-                left *= tree.levels[k].rest[at] if tree.levels[k].retained[at] else 1.0
-                at, k = tree.levels[k].parent[at], k - 1
-            assert len(known) == tree.v and p + left * unknown == pytest.approx(1.0)
-
-
-@pytest.mark.parametrize("depth", [2, 3])
-def test_lm_scores_equal_a_whole_tree(spark, depth):
-    """Rare contexts count too: pairs seen three times among tens of thousands of tokens, and words and contexts not seen at all."""
+@pytest.mark.parametrize(("depth", "context", "symbol", "hot"), [(lm.DEPTH, lm.CONTEXT, lm.SYMBOL, lm.HOT), (3, 3, 2, 40), (2, 2, 1, 0)])
+def test_lm_scores_equal_a_brute_force_tree(spark, monkeypatch, depth, context, symbol, hot):
+    """Contexts of every length, words and contexts not seen at all, and entries that are broadcast, joined, or both."""
+    for name, v in (("CONTEXT", context), ("SYMBOL", symbol), ("HOT", hot), ("GATHER", 5000), ("SALTED_SHARE", 0.01)):
+        monkeypatch.setattr(lm, name, v)
     rng = random.Random(5)
     common = [f"w{i}" for i in range(30)]
-    texts = [" ".join(rng.choice(common) for _ in range(60)) + f" p{i % 200} q{i % 200} r{i % 200} " + rng.choice(["a b c", "a c b", "b a c"]) for i in range(600)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "p7 q7 r7 never q9 r9 a b"), (1001, None), (1002, "b c p3 w1 w2 q3 r3")]
+    texts = [" ".join(rng.choice(common) for _ in range(40)) + f" p{i % 100} q{i % 100} r{i % 100} " + rng.choice(["a b c d e f g", "a c b d e g f", "b a c"]) for i in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000, "p7 q7 r7 never q9 r9 a b"), (1001, None), (1002, "b c p3 w1 w2 q3 r3"), (1003, "a b c d e f g a b c d e g")]
     train = [[None, *tokens(t), None] for _, t in rows[:600]]
     uni = collections.Counter(x for r in train for x in r[1:])
     n, v = sum(uni.values()), len(uni)
-    seen = [collections.Counter((tuple(r[i - d : i]), r[i]) for r in train for i in range(d, len(r))) for d in range(depth + 1)]
-    after = [collections.defaultdict(dict) for _ in seen]
-    for level, counts in zip(after, seen, strict=True):
-        for (c, x), k in counts.items():
-            level[c][x] = k
-    retained = set()
+    after = [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
+    for r in train:
+        for d in range(1, depth + 1):
+            for i in range(d, len(r)):
+                after[d][tuple(r[i - d : i])][r[i]] += 1
+    state = {}
 
     def p(c, x):
         if not c:
             return (uni[x] + 0.1) / (n + 0.1 * (v + 1))
-        if c not in retained:
+        if c not in state:
             return p(c[1:], x)
-        total = sum(after[len(c)][c].values())
-        return (after[len(c)][c].get(x, 0) + lm.KAPPA * p(c[1:], x)) / (total + lm.KAPPA)
+        total, kept = state[c]
+        return (kept.get(x, 0) + (total - sum(kept.values()) + lm.KAPPA) * p(c[1:], x)) / (total + lm.KAPPA)
 
     for d in range(1, depth + 1):
         for c, nxt in after[d].items():
-            total = sum(nxt.values())
-            if total > 1 and sum(k * np.log(k / total / p(c[1:], x)) for x, k in nxt.items()) > lm.DIVERGENCE * np.log(n):
-                retained.add(c)
-    assert n > 5 * 2**13 - 3000 and ("p7",) in retained and len(retained) > 400
+            total, kept = sum(nxt.values()), {x: k for x, k in nxt.items() if k >= symbol}
+            other = total - sum(kept.values())
+            gain = sum(k * np.log(k / total / p(c[1:], x)) for x, k in kept.items())
+            if other:
+                gain += other * np.log(other / total / (1 - sum(p(c[1:], x) for x in kept)))
+            if total >= context and kept and gain > lm.DIVERGENCE * np.log(n):
+                state[c] = (total, kept)
+    assert {len(c) for c in state} >= set(range(1, min(depth, 3) + 1))
+    for c in list(state)[:20]:  # a state's probabilities, that of the unknown word included, add up to 1
+        assert sum(p(c, x) for x in [*uni, "never"]) == pytest.approx(1.0)
     got = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id") >= 1000, depth=depth).collect()}
     for i, t in rows[:40] + rows[600:]:
         w = [None, *tokens(t), None]
-        assert got[i].score == pytest.approx(sum(np.log10(p(tuple(w[max(0, j - depth) : j]), w[j])) for j in range(1, len(w))), abs=1e-9)
+        assert got[i].score == pytest.approx(sum(np.log10(p(tuple(w[max(0, j - depth) : j]), w[j])) for j in range(1, len(w))), abs=1e-8)
+    assert sum(got[i].score for i in range(600)) > sum(got[i].base_score for i in range(600))
 
 
 def test_nearest(spark):

@@ -1,317 +1,408 @@
 """Scores of texts under a probabilistic suffix tree over words.
 
 Training counts every token (case-folded words, then one end) of the training
-rows, and after every context of up to DEPTH tokens every next symbol. Nothing
-is left out of these counts and they grow with the input: they are Spark tables,
-as are the divergence test and the retained states. A context is retained if
+rows, and after contexts of up to DEPTH tokens the symbols that follow. As in
+the classical learner a context has to occur often enough, CONTEXT times, and
+so has a symbol after it, SYMBOL times (absolute numbers, so the tree grows with
+the input; nothing is capped or sampled). A context is retained if
 count * KL(next symbols given it || given its longest retained suffix) passes
-DIVERGENCE * ln(tokens). A retained state gives a symbol its share of count +
-KAPPA, and hands KAPPA's share on to the next shorter state; the root is the
-smoothed unigram distribution of the base score. A token is scored by the
-longest retained suffix of the words before it.
-
-A context, and a symbol after it, are chained 64-bit hashes: level d has rows
-(c, g, n), c the context of d tokens and g the symbol after the d - 1 newest of
-them, which is where level d - 1 has its probability. So a level meets the one
-below by a join on g. Contexts are worked off in SLICES by their newest word,
-which a level's rows share with those they meet, so that the tables and shuffles
-of one slice are on disk at a time.
-
-A score is the base score and, for each token and retained context before it,
-the logarithm of what that state makes of the next shorter one's probability:
-one join on distinct (row, context, symbol) with the counted symbols of retained
-states, and for symbols never seen there one with the states. Words of at least
-HOT_SHARE of all tokens (a bounded number) have their base looked up in a
-broadcast table, all others by a join, which has no hot keys then.
+DIVERGENCE * ln(tokens), symbols below SYMBOL being one symbol in that sum. A
+retained state gives a symbol its count's share of total + KAPPA, and hands what
+is left (KAPPA and the counts below SYMBOL) on to the next shorter state; the
+root is the smoothed unigram distribution of the base score. A token is scored
+by the longest retained suffix of the words before it.
+
+Grams are the key to all of this. A gram of k tokens has a 64-bit hash made of
+those of the two grams of k - 1 tokens in it. The gram of d + 1 tokens is a
+context of d with its symbol, the gram without its last token is the context,
+and that without its first is the same symbol after the next shorter context. A
+gram's count as a context is its count as a gram. So a level is counted by one
+shuffle on contexts (a context's symbols are one row of flat arrays; frequent
+contexts are salted), and is tested and weighted by joins with the level below.
+
+A text's score is then a sum of one number per gram in it, its entry: what a
+state makes of its symbol against the next shorter state, and what it leaves to
+that state where it has nothing to say. HOT entries, those of the most frequent
+grams, are broadcast (a fixed number, whatever the input); all others are asked
+for by one join on distinct (row, gram), which has no hot keys then. Bitmaps of
+fixed size keep back what no table can hold: they only save work.
 
 Edge cases: a null text is empty and scores its end alone; a null id counts as
 the text '' for the split and stays null; without training rows every token has
 the same probability under the base; repeated rows are counted and scored as
 rows of their own; no rows give no rows; other columns are ignored. Words and
-contexts are compared by 64-bit hashes.
+grams are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, mix64, passing, words, written
+from .common import chunks, discard, mapped, mix64, words, written
 
-#: Longest context; share of all tokens that a broadcast word needs at least; divergence needed; weight of the shorter state.
-DEPTH, HOT_SHARE, DIVERGENCE, KAPPA = 2, 2.0**-20, 1.0, 8.0
-#: Parts of the contexts that are worked off one after the other.
-SLICES = 4
-#: Distinct keys that a task gathers before it passes counts on.
-GATHER = 1 << 20
-_A = np.uint64(0xA24BAED4963EE407)
+#: Longest context; occurrences that a context and a symbol after it need; divergence needed; weight of the shorter state.
+DEPTH, CONTEXT, SYMBOL, DIVERGENCE, KAPPA = 4, 32, 8, 1.0, 8.0
+#: Entries that are broadcast at most; bits of a bitmap (16 MB); parts of a context with at least that share of all tokens.
+HOT, BITS, SALTS, SALTED_SHARE = 1 << 21, 27, 32, 2.0**-10
+#: Tokens whose grams a task gathers before it passes counts on.
+GATHER = 1 << 21
+_A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 END = np.int64(0x5EED0E0D)
 
 
-@dataclass
-class Root:
-    n: int
-    v: int
-    hot: np.ndarray  # hashes of frequent words, ascending
-    hot_c: np.ndarray
-
-    def probability(self, c: np.ndarray) -> np.ndarray:
-        return (c + 0.1) / (self.n + 0.1 * (self.v + 1))
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in sorted_keys, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of the texts, ends included, and the first one of each text (one more at the end)."""
+    """All tokens of the texts, each text's with an end before and after it, and the first one of each text (one more at the end)."""
     h, at = words(data, offs)
     n = len(offs) - 1
-    out = np.empty(len(h) + n, np.int64)
-    first = at + np.arange(n + 1)
+    first = at + 2 * np.arange(n + 1)
+    out = np.empty(len(h) + 2 * n, np.uint64)
     is_end = np.zeros(len(out), bool)
+    is_end[first[:-1]] = True
     is_end[first[1:] - 1] = True
-    out[is_end] = END
-    out[~is_end] = h.view(np.int64)
+    out[is_end] = END.view(np.uint64)
+    out[~is_end] = h
     return out, first
 
 
-def _below(c: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """The hash of a symbol after a context, from the context's and the one that the symbol has a level below; BELOW in SQL."""
-    return c ^ ((g << np.uint64(1)) | (g >> np.uint64(63)))
+def longer(context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """The hash of a gram from those of the grams without its last and without its first token."""
+    return mix64(context * _A + lower * _B)
 
 
-BELOW = "c ^ (shiftleft(g, 1) | shiftrightunsigned(g, 63))"
+def grams(g: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """From g, the grams of k - 1 tokens by last token: those of k tokens (first of a text on), and where there is one; place: a token's number in its text."""
+    out = np.empty_like(g)
+    out[1:] = longer(g[:-1], g[1:])
+    out[:1] = 0
+    return out, place >= k - 1
 
 
-def _pairs(data: np.ndarray, offs: np.ndarray, depth: int, part: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(d, text, c, g) of the tokens of a slice that have a context of d tokens, for each d. Before a text stands one end."""
-    x, first = tokens(data, offs)
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    place = np.arange(len(x)) - first[doc]
-    g = x.view(np.uint64)
-    last = np.empty_like(g)
-    last[1:] = g[:-1]
-    last[first[:-1]] = END.view(np.uint64)
-    last = mix64(last ^ _A)
-    own = last % np.uint64(SLICES) == part
-    c = last
-    for d in range(1, depth + 1):
-        on = own & (place >= d - 1)
-        yield d, doc[on], c[on].view(np.int64), g[on].view(np.int64)
-        g = _below(c, g)
-        older = np.zeros_like(c)
-        older[1:] = c[:-1]
-        c = mix64(older * _A + last)
-
-
-def _summed(rows: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Keys and n, with counts of equal keys added up, as far as GATHER keys allow; names ends with n."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def merged() -> tuple[np.ndarray, ...]:
-        *keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort(keys)
-        keys, n = [k[order] for k in keys], n[order]
-        if not len(n):
-            return *keys, n
-        at = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
-        return *(k[at] for k in keys), np.add.reduceat(n, at)
-
-    size = 0
-    for row in rows:
-        held.append(row)
-        size += len(row[-1])
-        if size > 2 * GATHER:
-            held = [merged()]
-            size = len(held[0][-1])
-            if size > GATHER:
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in held[0]], names)
-                held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(a) for a in merged()], names)
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each key in a bitmap."""
+    return keys >> np.uint64(64 - BITS), keys & np.uint64((1 << BITS) - 1)
 
 
-def _columns(df: DataFrame) -> list[np.ndarray]:
-    t = df.toArrow()
-    return [c.to_numpy() for c in t.columns]
+@dataclass
+class Bitmap:
+    """Which keys may be in a set: those of which both bits are set."""
 
+    bits: np.ndarray
 
-def _root(texts: DataFrame) -> tuple[Root, DataFrame]:
-    """The root of the text column, and the counts (k, n) of all words, written."""
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        one, two = _places(keys)
+        out = self._set(one)
+        at = np.flatnonzero(out)
+        out[at] = self._set(two[at])
+        return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _summed((np.unique(tokens(data, offs)[0], return_counts=True) for b in batches for _, _, data, offs in chunks(b)), ["k", "n"])
+    def _set(self, place: np.ndarray) -> np.ndarray:
+        return (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
-    vocabulary = written(texts.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
-    n, v = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot, hot_c = _columns(vocabulary.where(F.col("n") >= n * HOT_SHARE))
-    order = np.argsort(hot)
-    return Root(n, v, hot[order], hot_c[order]), vocabulary
 
+def bitmap(keys: DataFrame, column: str) -> Broadcast:
+    """A Bitmap of the column, broadcast: of BITS bits at any size of input."""
+    place = F.explode(F.array(F.expr(f"shiftrightunsigned(`{column}`, {64 - BITS})"), F.expr(f"`{column}` & {(1 << BITS) - 1}L"))).alias("place")
+    rows = keys.select(place).select(F.expr("shiftright(place, 6)").alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    at, bit = _columns(rows.groupBy("at").agg(F.bit_or("bit").alias("bit")))
+    bits = np.zeros(1 << (BITS - 6), np.uint64)
+    bits[at] = bit.view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(Bitmap(bits))
 
-def _grown(texts: DataFrame, root: Root, vocabulary: DataFrame, depth: int, part: int) -> list[tuple[DataFrame, DataFrame]]:
-    """For each level of a slice its retained states (c, total) and their symbols (c, g, n, q, p), q under the next shorter state and p under this one; written."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[np.ndarray, ...]]:
-            for b in batches:
-                for _, _, data, offs in chunks(b):
-                    for d, _, c, g in _pairs(data, offs, depth, part):
-                        yield np.full(len(c), d, np.int8), c, g, np.ones(len(c), np.int64)
+def _columns(df: DataFrame) -> list[np.ndarray]:
+    t = df.toArrow()
+    return [c.to_numpy() for c in t.columns]
 
-        return _summed(each(), ["d", "c", "g", "n"])
 
-    counts = written(texts.mapInArrow(count, "d byte, c long, g long, n long").groupBy("d", "c", "g").agg(F.sum("n").alias("n")), "counts")
-    below = vocabulary.select(F.col("k").alias("b"), ((F.col("n") + 0.1) / (root.n + 0.1 * (root.v + 1))).alias("q"))
-    out, scratch = [], []
-    for d in range(1, depth + 1):
-        pairs = written(counts.where(F.col("d") == d).join(below, F.col("g") == F.col("b")).select("c", "g", "n", "q"), "pairs")
-        for x in scratch:
-            discard(x)
-        tested = pairs.groupBy("c").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.ln(F.col("n") / F.col("q"))).alias("gain"))
-        # A context that occurs once can't pass: no probability is below 1 / tokens.
-        states = written(tested.where((F.col("total") > 1) & (F.col("gain") - F.col("total") * F.ln("total") > DIVERGENCE * float(np.log(max(root.n, 2))))).select("c", "total"), "states")
-        p = (F.col("n") + KAPPA * F.col("q")) / (F.col("total") + KAPPA)
-        both = pairs.join(states.withColumnRenamed("c", "state"), F.col("c") == F.col("state"), "left")
-        if d < depth:
-            both = written(both.select("c", "g", "n", "q", F.coalesce(p, "q").alias("p"), F.col("state").isNotNull().alias("kept")), "levels")
-            below = both.select(F.expr(BELOW).alias("b"), F.col("p").alias("q"))
-            symbols = written(both.where("kept").select("c", "g", "n", "q", "p"), "symbols")
-            scratch = [both]
-        else:
-            symbols = written(both.where("state is not null").select("c", "g", "n", "q", p.alias("p")), "symbols")
-        out.append((states, symbols))
-        discard(pairs)
-    discard(counts)
-    return out
-
-
-def _gains(docs: DataFrame, levels: list[tuple[DataFrame, DataFrame]], depth: int, part: int) -> DataFrame:
-    """(row, more) for (row, text): what the retained states of a slice add to the base score; written."""
-    states = reduce(DataFrame.unionByName, (x for x, _ in levels)).withColumnRenamed("c", "state")
-    symbols = reduce(DataFrame.unionByName, (x for _, x in levels)).select("c", "g", F.log10(F.col("p") / F.col("q")).alias("gain"))
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-            row = b.column(0).to_numpy()
-            for lo, _, data, offs in chunks(b):
-                for _, doc, c, g in _pairs(data, offs, depth, part):
-                    yield row[lo + doc], c, g, np.ones(len(c), np.int64)
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and their places in their texts."""
+    for b in batches:
+        for _, _, data, offs in chunks(b):
+            x, first = tokens(data, offs)
+            yield x, np.arange(len(x)) - np.repeat(first[:-1], np.diff(first))
 
-        for b in batches:
-            yield from _summed(each(b), ["row", "c", "g", "k"])
 
-    asked = passing(docs.mapInArrow(ask, "row long, c long, g long, k long"), "c", states, "state")
-    found = asked.join(symbols.withColumnsRenamed({"c": "c2", "g": "g2"}), (F.col("c") == F.col("c2")) & (F.col("g") == F.col("g2")), "left")
-    found = written(found.groupBy("row", F.when(F.col("gain").isNull(), F.col("c")).alias("c")).agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("gain")).alias("gain")), "found")
-    unseen = found.where("c is not null").join(states, F.col("c") == F.col("state")).select("row", (F.col("k") * F.log10(KAPPA / (F.col("total") + KAPPA))).alias("gain"))
-    out = written(found.where("c is null").select("row", "gain").unionByName(unseen).groupBy("row").agg(F.sum("gain").alias("more")), "gains")
-    for x in (found, *(x for level in levels for x in level)):
-        discard(x)
-    return out
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    """(k, n): the counts of all tokens, written."""
 
+    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        k, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], n[order]
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        return k[at], np.add.reduceat(n, at) if len(k) else n
 
-@dataclass
-class Level:
-    """All contexts of one length in memory. counts: of (context, symbol)."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for x, place in _texts(batches):
+            held.append(np.unique(x[place > 0], return_counts=True))
+            size += len(held[-1][0])
+            if size > GATHER:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > GATHER // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["k", "n"])
+                    held, size = [], 0
+        if held:
+            k, n = merged(held)
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["k", "n"])
+
+    return written(mapped(texts, count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), "words")
+
+
+def _sorted_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys, the first one first, and where each run of equal keys begins in it."""
+    order = np.lexsort(keys[::-1])
+    if not len(order):
+        return order, order
+    change = np.zeros(len(order), bool)
+    change[0] = True
+    for k in keys:
+        s = k[order]
+        change[1:] |= s[1:] != s[:-1]
+    return order, np.flatnonzero(change)
+
+
+def _counted(texts: DataFrame, emit) -> DataFrame:
+    """(d, c, g, k, n) of all grams that occur SYMBOL times, written: level, context, lower gram, gram, count.
+
+    emit: (level, context, lower gram, salt) of the grams to count, from tokens and places.
+    """
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            d, c, g, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order, at = _sorted_runs(c, s, g)
+            n = np.diff(np.append(at, len(order)))
+            d, c, g, s = (x[order][at] for x in (d, c, g, s))
+            new = np.ones(len(c), bool)
+            new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+            rows = np.flatnonzero(new)
+            ends = np.append(rows, len(c)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (g.view(np.int64), n.astype(np.int32))]
+            return pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(c[rows].view(np.int64)), pa.array(s[rows]), *lists], ["d", "c", "s", "g", "n"])
+
+        size = 0
+        for x, place in _texts(batches):
+            for part in emit(x, place):
+                held.append(part)
+                size += len(part[0])
+            if size >= GATHER:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            lists = [t.column(i).combine_chunks() for i in (3, 4)]
+            lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+            size = np.diff(lists[0].offsets.to_numpy())
+            d, c = (np.repeat(t.column(i).to_numpy(), size) for i in (0, 1))
+            g, n = (x.flatten().to_numpy() for x in lists)
+            order, at = _sorted_runs(c, g)
+            n = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else n.astype(np.int64)
+            often = n >= SYMBOL
+            rows = order[at][often]
+            key = longer(c[rows].view(np.uint64), g[rows].view(np.uint64)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[rows], c[rows], g[rows], key, n[often])], ["d", "c", "g", "k", "n"])
 
-    total: np.ndarray
-    parent: np.ndarray
-    counts: dict[tuple[int, int], int]
-    rest: np.ndarray
-    retained: np.ndarray
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.column(3).nbytes for x in held) >= 8 * GATHER:
+                t = pa.Table.from_batches(held)
+                c, s = t.column(1).to_numpy(), t.column(2).to_numpy()
+                # A context's part may go on in the next batch; its symbols so far stay with it.
+                cut = int(np.flatnonzero((c != c[-1]) | (s != s[-1]))[-1]) + 1 if (c[0] != c[-1] or s[0] != s[-1]) else 0
+                if cut:
+                    yield solve(t.slice(0, cut))
+                    held = t.slice(cut).to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    rows = mapped(texts, collect, "d byte, c long, s byte, g array<long>, n array<int>")
+    return written(rows.repartition("c", "s").sortWithinPartitions("c", "s").mapInArrow(merge, "d byte, c long, g long, k long, n long"), "grams")
+
+
+def _pairs(texts: DataFrame, vocabulary: DataFrame, tokens_: int) -> DataFrame:
+    """Grams of two tokens: a context of one and its symbol."""
+    spark = texts.sparkSession
+    contexts, symbols = bitmap(vocabulary.where(F.col("n") >= CONTEXT), "k"), bitmap(vocabulary.where(F.col("n") >= SYMBOL), "k")
+    salted = spark.sparkContext.broadcast(np.sort(_columns(vocabulary.where(F.col("n") >= max(CONTEXT, tokens_ * SALTED_SHARE)).select("k"))[0].view(np.uint64)))
+
+    def emit(x: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        may, is_symbol = contexts.value.has(x), symbols.value.has(x)
+        on = np.flatnonzero((place[1:] > 0) & may[:-1] & is_symbol[1:]) + 1
+        c, g = x[on - 1], x[on]
+        hot = salted.value
+        i = np.minimum(np.searchsorted(hot, c), max(len(hot) - 1, 0))
+        s = np.where(hot[i] == c, (g >> np.uint64(17)) % np.uint64(SALTS), np.uint64(0)) if len(hot) else np.zeros(len(c))
+        yield np.ones(len(c), np.int8), c, g, s.astype(np.int8)
+
+    return _counted(texts, emit)
+
+
+def _contexts(texts: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+    """Grams of three to depth + 1 tokens.
+
+    A context that occurs CONTEXT times consists of pairs that do, and its symbol
+    occurs SYMBOL times after the context's last word.
+    """
+    contexts, symbols = bitmap(pairs.where(F.col("n") >= CONTEXT), "k"), bitmap(pairs, "k")
+
+    def emit(x: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        g, there = grams(x, place, 2)
+        symbol = there & symbols.value.has(g)
+        linked = there & contexts.value.has(g)
+        live = linked.copy()
+        for d in range(2, depth + 1):
+            # g: grams of d tokens; live: those that may be contexts of d.
+            on = np.flatnonzero(live[:-1] & symbol[1:] & (place[1:] >= d)) + 1
+            if not len(on):
+                return
+            yield np.full(len(on), d, np.int8), g[on - 1], g[on], np.zeros(len(on), np.int8)
+            # A symbol after a longer context has been one after this context.
+            keep = np.zeros(len(x), bool)
+            keep[on] = True
+            symbol = keep
+            g, there = grams(g, place, d + 1)
+            live[1:] = live[:-1] & linked[1:] & there[1:]
+            live[0] = False
+
+    return _counted(texts, emit)
+
+
+def grown(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
+    """(entries, training tokens, distinct tokens). entries, written: key, n, base (of words only), value (what a gram adds to a score)."""
+    vocabulary = _vocabulary(texts)
+    total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    pairs = _pairs(texts, vocabulary, total)
+    levels = pairs.unionByName(_contexts(texts, pairs, depth)) if depth > 1 else pairs
+    p0 = (F.col("n") + 0.1) / (total + 0.1 * (distinct + 1))
+    # Of the level below: keys, counts, and probabilities under the longest retained state.
+    below = vocabulary.select("k", "n", p0.alias("p"))
+    roots = vocabulary.select("k", "n", F.log10(p0).alias("base"))
+    bonus, rests = [], []
+    for d in range(1, depth + 1):
+        low = below.select(F.col("k").alias("g"), F.col("p").alias("q"))
+        of = below.where(F.col("n") >= CONTEXT).select(F.col("k").alias("c"), F.col("n").alias("total"))
+        rows = written(levels.where(F.col("d") == d).join(low, "g").join(of, "c"), "level")
+        sums = rows.groupBy("c", "total").agg(F.sum("n").alias("kept"), F.sum("q").alias("mass"), F.sum(F.col("n") * F.ln(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
+        other = F.col("total") - F.col("kept")
+        gain = F.col("gain") + F.when(other > 0, other * F.ln(other / F.col("total") / F.greatest(1 - F.col("mass"), F.lit(1e-12)))).otherwise(0.0)
+        rest = (KAPPA + other) / (F.col("total") + KAPPA)
+        states = written(sums.where(gain > DIVERGENCE * float(np.log(max(total, 2)))).select(F.col("c").alias("state"), rest.alias("rest")), "states")
+        p = F.col("n") / (F.col("total") + KAPPA) + F.col("rest") * F.col("q")
+        below = written(rows.join(states, F.col("c") == F.col("state"), "left").select("k", "n", F.coalesce(p, "q").alias("p"), F.coalesce(F.log10(p / F.col("q") / F.col("rest")), F.lit(0.0)).alias("bonus")), "level")
+        discard(rows)
+        bonus.append(below.select("k", "n", F.lit(None).cast("double").alias("base"), "bonus"))
+        rests.append(states.select("state", F.log10("rest").alias("rest")))
+    every = reduce(DataFrame.unionByName, [roots.withColumn("bonus", F.col("base")), *bonus]).join(reduce(DataFrame.unionByName, rests), F.col("k") == F.col("state"), "left")
+    value = F.col("bonus") + F.coalesce("rest", F.lit(0.0))
+    entries = written(every.select(F.col("k").alias("key"), "n", "base", value.alias("value")).where("base is not null or value <> 0"), "entries")
+    discard(vocabulary)
+    return entries, total, distinct
+
+
+def _hot_from(entries: DataFrame) -> int:
+    """The least count from which on there are HOT entries at most; counts are looked at in eighths of powers of two."""
+    step = F.floor(F.log2("n") * 8)
+    sizes = sorted(((r[0], r[1]) for r in entries.groupBy(step).count().collect()), reverse=True)
+    most, least = 0, float("inf")
+    for at, n in sizes:
+        most += n
+        if most > HOT:
+            break
+        least = at
+    return int(np.ceil(2 ** (least / 8) - 1e-9)) if least < float("inf") else 1 << 62
 
 
 @dataclass
-class Tree(Root):
-    symbols: np.ndarray  # hashes of all words, ascending
-    symbol_c: np.ndarray
-    levels: list[Level]
-
-
-def train(texts: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The whole tree in the driver's memory, to look at those of small inputs, and the counts (k, n) of all words; scores don't use it."""
-    root, vocabulary = _root(texts)
-    symbols, symbol_c = _columns(vocabulary.orderBy("k"))
-    tree = Tree(root.n, root.v, root.hot, root.hot_c, symbols, symbol_c, [])
-    end = np.searchsorted(symbols, END)
-    rows = [np.append(end, np.searchsorted(symbols, tokens(data, offs)[0])).tolist() for b in texts.toArrow().to_batches() for i in range(b.num_rows) for _, _, data, offs in chunks(b.slice(i, 1))]
-    numbers: dict[tuple[int, ...], int] = {(): 0}
-    for d in range(1, depth + 1):
-        seen = Counter((tuple(r[i - d : i]), r[i]) for r in rows for i in range(d, len(r)))
-        above, numbers = numbers, {c: k for k, c in enumerate(dict.fromkeys(c for c, _ in seen))}
-        counts = {(numbers[c], x): n for (c, x), n in seen.items()}
-        context, symbol = (np.array([k[i] for k in counts], np.int64) for i in range(2))
-        n, parent = np.array(list(counts.values()), float), np.array([above[c[1:]] for c in numbers], np.int64)
-        total = np.bincount(context, n, len(numbers))
-        q = _probability(tree, d - 2, parent[context], symbol)
-        gain = np.bincount(context, n * np.log(n / total[context] / q), len(numbers))
-        tree.levels.append(Level(total, parent, counts, KAPPA / (total + KAPPA), (total > 1) & (gain > DIVERGENCE * np.log(max(tree.n, 2)))))
-    return tree, vocabulary
-
-
-def _probability(tree: Tree, d: int, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """P(symbol | the longest retained suffix of a context of level d); below level 0 is the root."""
-    if d < 0:
-        return tree.probability(tree.symbol_c[symbol])
-    level = tree.levels[d]
-    up = _probability(tree, d - 1, level.parent[context], symbol)
-    own = np.array([level.counts.get(k, 0) for k in zip(context.tolist(), symbol.tolist(), strict=True)]) / (level.total[context] + KAPPA)
-    return np.where(level.retained[context], own + level.rest[context] * up, up)
+class Hot:
+    key: np.ndarray
+    base: np.ndarray
+    value: np.ndarray
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, or -1."""
+        if not len(self.key):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, at, -1)
 
 
 def lm_scores(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH) -> DataFrame:
     """id column, held_out, n_tokens, n_known, train_tokens, base_score, score; rows for which held_out holds are not learned from."""
+    spark: SparkSession = docs.sparkSession
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_column).alias("text"))
-    # Shuffle files of a slice go when its tables are written.
-    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-    base = written(base, "rows")  # row numbers hold for all passes
-    texts = base.where("not held_out").select("text")
-    root, vocabulary = _root(texts)
-    shared = docs.sparkSession.sparkContext.broadcast(root)
+    entries, total, distinct = grown(base.where("not held_out").select("text"), depth)
+    least = _hot_from(entries)
+    key, own, value = _columns(entries.where(F.col("n") >= least).select("key", "base", "value"))
+    order = np.argsort(key.view(np.uint64))
+    shared = spark.sparkContext.broadcast(Hot(key.view(np.uint64)[order], own[order], value[order]))
+    # Pairs and longer grams that have an entry; those without one are not asked for.
+    longer_ = bitmap(entries.where("base is null"), "key")
+    unknown = float(np.log10(0.1 / (total + 0.1 * (distinct + 1))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
+        hot, may = shared.value, longer_.value
         for b in batches:
             for lo, hi, data, offs in chunks(b):
                 x, first = tokens(data, offs)
-                doc = np.repeat(np.arange(hi - lo), np.diff(first))
-                at = _find(t.hot, x)
-                hot = at >= 0
-                p0 = t.probability(t.hot_c[np.maximum(at, 0)]) if len(t.hot) else np.ones(len(x))
-                log0 = np.where(hot, np.log10(p0), 0.0)
                 n = hi - lo
-                rare = np.flatnonzero(~hot)
-                order = rare[np.lexsort((x[rare], doc[rare]))]
-                rw, rd = x[order], doc[order]
-                cut = np.flatnonzero(np.append(True, (rw[1:] != rw[:-1]) | (rd[1:] != rd[:-1]))) if len(rw) else np.zeros(0, np.int64)
-                k = np.diff(np.append(cut, len(rw)))
-                ends = np.append(0, np.cumsum(np.bincount(rd[cut], minlength=n))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(rw[cut]), pa.array(k.astype(np.int64))], ["w", "k"]))
-                cols = [*(b.column(i).slice(lo, n) for i in range(3)), pa.array(np.diff(first)), pa.array(np.bincount(doc, hot, n).astype(np.int64)), pa.array(np.bincount(doc, log0, n)), lists]
-                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "rare"])
-
-    scored = written(base.mapInArrow(score, "row long, id long, held_out boolean, n_tokens long, known long, base double, rare array<struct<w: long, k: long>>"), "scored")
-    cold = vocabulary.where(F.col("n") < root.n * HOT_SHARE).withColumnRenamed("k", "v")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.w", "r.k").join(cold, F.col("w") == F.col("v"), "left")
-    whole = root.n + 0.1 * (root.v + 1)
-    sums = rare.groupBy(F.col("row").alias("sum_row")).agg(F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rare_known"), F.sum(F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / whole)).alias("rare_base"))
-    asking = base.select("row", "text")
-    gains = reduce(DataFrame.unionByName, (_gains(asking, _grown(texts, root, vocabulary, depth, part), depth, part) for part in range(SLICES)))
-    gains = gains.groupBy(F.col("row").alias("gain_row")).agg(F.sum("more").alias("more"))
-    base_score = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return scored.join(sums, F.col("row") == F.col("sum_row"), "left").join(gains, F.col("row") == F.col("gain_row"), "left").select(
-        F.col("id").alias(id_column), "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(root.n)).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.coalesce("more", F.lit(0.0))).alias("score")
-    )
+                doc = np.repeat(np.arange(n), np.diff(first))
+                place = np.arange(len(x)) - first[doc]
+                word = np.flatnonzero(place > 0)
+                at = hot.find(x[word])
+                on = at >= 0
+                known = np.bincount(doc[word], on, n).astype(np.int64)
+                base_sum = np.bincount(doc[word[on]], hot.base[at[on]], n).astype(float)
+                score_sum = np.bincount(doc[word[on]], hot.value[at[on]], n).astype(float)
+                asked = [(doc[word[~on]], x[word[~on]])]
+                g = x
+                for k in range(2, depth + 2):
+                    g, there = grams(g, place, k)
+                    i = np.flatnonzero(there)
+                    i = i[may.has(g[i])]
+                    at = hot.find(g[i])
+                    on = at >= 0
+                    score_sum += np.bincount(doc[i[on]], hot.value[at[on]], n)
+                    asked.append((doc[i[~on]], g[i[~on]]))
+                of, keys = (np.concatenate(z) for z in zip(*asked, strict=True))
+                order, start = _sorted_runs(of, keys)
+                times = np.diff(np.append(start, len(order)))
+                of, keys = of[order][start], keys[order][start]
+                ends = np.append(0, np.cumsum(np.bincount(of, minlength=n))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "k"]))
+                cols = [*(b.column(i).slice(lo, n) for i in range(3)), pa.array(np.diff(first) - 1), pa.array(known), pa.array(base_sum), pa.array(score_sum), lists]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "id", "held_out", "n_tokens", "known", "base", "score", "asked"])
+
+    scored = written(mapped(base, score, "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, asked array<struct<key: long, k: long>>"), "scored")
+    cold = entries.where(F.col("n") < least).select(F.col("key").alias("entry"), F.col("base").alias("own"), "value")
+    # Unknown words are told from grams without an entry by what the text's own counts leave over.
+    asked = scored.select("row", F.explode("asked").alias("a")).select("row", "a.key", "a.k").join(cold, F.col("key") == F.col("entry"))
+    word = F.when(F.col("own").isNotNull(), F.col("k")).otherwise(0)
+    sums = asked.groupBy(F.col("row").alias("sum_row")).agg(F.sum(word).alias("more_known"), F.sum(F.col("k") * F.coalesce("own", F.lit(0.0))).alias("more_base"), F.sum(F.col("k") * F.col("value")).alias("more_score"))
+    known = F.col("known") + F.coalesce("more_known", F.lit(0))
+    rest = (F.col("n_tokens") - known) * F.lit(unknown)
+    return scored.join(sums, F.col("row") == F.col("sum_row"), "left").select(
+        F.col("id").alias(id_column), "held_out", "n_tokens", known.alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0)) + rest).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0)) + rest).alias("score"),
+    )
