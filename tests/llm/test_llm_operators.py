@@ -86,21 +86,46 @@ def test_near_duplicates_of_an_id_with_several_texts(spark):
 @pytest.mark.parametrize("width", [20, 400])
 def test_suffix_dedup(rows, docs, none, width):
     count = collections.Counter()
-    for d, t, *_ in rows:
+    for _, t, *_ in rows:
         b = (t or "").encode()
-        if d is not None:
-            count.update(b[i : i + width] for i in range(len(b) - width + 1))
+        count.update(b[i : i + width] for i in range(len(b) - width + 1))
     want = collections.Counter()
     for d, t, *_ in rows:
         b, gone = (t or "").encode(), set()
-        if d is not None:
-            for i in range(len(b) - width + 1):
-                if count[b[i : i + width]] > 1:
-                    gone.update(range(i, i + width))
+        for i in range(len(b) - width + 1):
+            if count[b[i : i + width]] > 1:
+                gone.update(range(i, i + width))
         kept = bytes(x for i, x in enumerate(b) if i not in gone)
         want[d, len(b), len(gone), sum(i - 1 not in gone for i in gone), hashlib.sha256(kept).hexdigest()] += 1
     assert collections.Counter(tuple(r) for r in suffix.suffix_dedup(docs, width=width).collect()) == want
-    assert suffix.suffix_dedup(none).count() == 0
+    assert suffix.suffix_dedup(none, passages=51).count() == 0
+
+
+def test_suffix_dedup_of_an_id_with_several_texts(spark):
+    """A text that occurs once keeps all its bytes, though its id stands on copies too; null ids are documents of their own."""
+    rng = random.Random(13)
+    a, b, c = (words(90, rng) for _ in range(3))
+    docs = spark.createDataFrame([(5, a), (5, b), (6, a), (None, c), (None, c), (None, b[:300])], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.suffix_dedup(docs, width=100).collect())
+    assert got == {(5, len(a), len(a)): 1, (5, len(b), 300): 1, (6, len(a), len(a)): 1, (None, len(c), len(c)): 2, (None, 300, 300): 1}
+
+
+def test_shared_passages(spark):
+    """Every text with a passage of 51 words that occurs elsewhere has an anchor in common; the others have none."""
+    rng = random.Random(14)
+    passages = [words(51, rng).split() for _ in range(30)]
+    rows, want = [], {}
+    for i in range(200):
+        w = words(rng.randrange(20, 150), rng, [f"{rng.random():.6f}" for _ in range(400)]).split()
+        if i % 3 == 0:
+            at = rng.randrange(len(w))
+            w[at:at] = passages[i % 30]
+        rows.append((i, rng.choice([" ", "\n"]).join(w)))
+    seen = collections.Counter(g for _, t in rows for g in {tuple(t.split()[i : i + 51]) for i in range(len(t.split()) - 50)})
+    for i, t in rows:
+        want[i] = any(seen[tuple(t.split()[j : j + 51])] > 1 for j in range(len(t.split()) - 50))
+    got = suffix.suffix_dedup(spark.createDataFrame([*rows, (900, None)], "doc_id long, text string").repartition(3), passages=51).collect()
+    assert {r.doc_id: r.shared_passages > 0 for r in got} == {**want, 900: False} and any(want.values())
 
 
 def test_suffix_dedup_splits_names_of_many_contexts(spark, monkeypatch):

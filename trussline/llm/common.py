@@ -8,6 +8,8 @@ bytes; nothing is cut.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -50,9 +52,24 @@ def _local_dir() -> str:
 
 
 def mapped(df: DataFrame, f, schema: str) -> DataFrame:
-    """df.mapInArrow(f, schema) with batches bounded by bytes as well as rows, as texts may be very long."""
+    """df.mapInArrow(f, schema) with batches bounded by bytes as well as rows, as texts may be very long.
+
+    Python workers serve many tasks; what a task has freed goes back to the machine at its end.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _release()
+
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -110,6 +127,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["p"][:n], _POWERS["i"][:n]
 
 
+def sums(h: np.ndarray) -> np.ndarray:
+    """Like prefix_hash, over 64-bit values."""
+    p, _ = _powers(len(h) + 1)
+    s = np.empty(len(h) + 1, np.uint64)
+    s[0] = 0
+    np.cumsum(mix64(h.copy()) * p[:-1], out=s[1:])
+    return s
+
+
 def prefix_hash(data: np.ndarray, fold_case: bool = False) -> np.ndarray:
     """S with S[j] - S[i] determined by data[i:j] and i; see span_hash."""
     plain, lower, _ = _tables()

@@ -44,7 +44,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_dedup(table(spark, sf_dir, "documents"), width=400)
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents"), width=400, passages=51)
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

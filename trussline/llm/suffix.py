@@ -32,10 +32,18 @@ documents; names (64-bit hashes) only gather candidates of step 3, whose bytes
 are compared; step 2 compares spans, and step 3 windows of names of more than
 BLOCK contexts, by a digest of 128 bits.
 
+Texts are known by their id and a hash of id and text, so rows with one id and
+several texts, or without an id, are documents of their own.
+
+Passages of more than a number of words (``shared_passages``) are found by the
+same sampling over words: of each so many words in a row the gram of half as many
+with the least hash is an anchor, so a passage of that many words that occurs
+again has an anchor in common with its copy.
+
 Edge cases: null and empty texts, and those shorter than a window, have nothing
-removed; a null id takes no part and keeps its text; rows that share an id are
-occurrences of their own, and what is removed is removed from each; empty input
-gives no rows; other columns are ignored here, whatever their names.
+removed; a null id takes part like any other; repeated rows are occurrences of
+their own, and what is removed is removed from each; empty input gives no rows;
+other columns are ignored here, whatever their names.
 """
 
 from __future__ import annotations
@@ -48,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, flagged, mapped, mix64, passing, prefix_hash, span_hash, written
+from .common import chunks, discard, flagged, mapped, mix64, passing, prefix_hash, span_hash, sums, words, written
 
 WIDTH = 400
 #: Bits of a segment's positions; longer documents are sampled in segments that overlap by a window. Contexts sorted in one block.
@@ -107,6 +115,46 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def word_anchors(data: np.ndarray, offs: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, name) of the anchors of all windows of so many words."""
+    h, at = words(data, offs)
+    half = count // 2
+    s = sums(h)
+    i = np.arange(max(len(h) - half + 1, 0))
+    v = span_hash(s, i, i + half)
+    # The place within the words settles ties: the leftmost of equals.
+    least = _sliding_argmin(v, count - half + 1)
+    start = np.arange(len(least))
+    doc = np.searchsorted(at, start, "right") - 1
+    good = start + count <= at[doc + 1]
+    place, doc = least[good], doc[good]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    return doc[new], v[place[new]]
+
+
+def _sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
+    """The place of the least of each w values in a row, the leftmost of equals."""
+    rank = np.empty(len(v), np.int64)
+    rank[np.argsort(v, kind="stable")] = np.arange(len(v))
+    return np.argsort(rank)[_sliding_min(rank, w)] if len(v) >= w else np.zeros(0, np.int64)
+
+
+def shared_passages(base: DataFrame, count: int) -> DataFrame:
+    """(id, h, shared): how many anchors of windows of count words occur in other rows too, of the texts that have any; from (id, h, text)."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hashes = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for lo, _, data, offs in chunks(b):
+                doc, name = word_anchors(data, offs, count)
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[lo + doc], pa.int64()), pa.array(hashes[lo + doc], pa.int64())], ["name", "id", "h"])
+
+    rows = written(mapped(base, sample, "name long, id long, h long").groupBy("name", "id", "h").agg(F.count("*").alias("n")), "passages")
+    again = rows.groupBy("name").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("name").alias("again"))
+    return rows.join(again, F.col("name") == F.col("again"), "leftsemi").groupBy(F.col("id").alias("pid"), F.col("h").alias("ph")).agg(F.sum("n").alias("shared"))
+
+
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each two rows of bytes."""
     diff = a != b
@@ -164,58 +212,57 @@ def _runs(row: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, n
 
 
 def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, first, end): spans of bytes that repeated windows cover, from (id, text); spans may overlap."""
+    """(id, h, first, end): spans of bytes that repeated windows cover, from (id, h, text); spans may overlap."""
     half = width // 2
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
+            ids, hashes = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, _, data, offs in chunks(b):
                 doc, at, high, low, name, x, y = anchors(data, offs, width)
-                cols = [pa.array(name.view(np.int64)), pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(ids[lo + doc] if len(doc) else np.zeros(0, np.int64), pa.int64()), pa.array(at.astype(np.int32)), pa.array(high.astype(np.int16)), pa.array(low.astype(np.int16))]
-                yield pa.RecordBatch.from_arrays(cols, ["name", "x", "y", "id", "at", "high", "low"])
+                cols = [*(pa.array(v.view(np.int64)) for v in (name, x, y)), *(pa.array(v[lo + doc], pa.int64()) for v in (ids, hashes)), pa.array(at.astype(np.int32)), pa.array(high.astype(np.int16)), pa.array(low.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays(cols, ["name", "x", "y", "id", "h", "at", "high", "low"])
 
-    texts = base.where("id is not null")
-    tuples = written(mapped(texts, sample, "name long, x long, y long, id long, at int, high smallint, low smallint"), "anchors")
+    tuples = written(mapped(base, sample, "name long, x long, y long, id long, h long, at int, high smallint, low smallint"), "anchors")
     spans = ["name", "x", "y", "high", "low"]
     # One row per distinct span of a name: how often it occurs, and one occurrence that stands for all.
-    every = written(tuples.groupBy(*spans).agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("one")), "spans")
+    every = written(tuples.groupBy(*spans).agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "at")).alias("one")), "spans")
     names = every.groupBy("name").agg(F.sum("n").alias("uses"), F.count("*").alias("kinds")).where("uses > 1")
     kinds = written(every.join(names, "name"), "kinds")
     discard(every)
     whole = kinds.where("n > 1").select(*spans)
-    spread = passing(tuples, "name", whole, "name").join(whole, spans).select("id", (F.col("at") - F.col("high")).cast("long").alias("first"), (F.col("at") - F.col("low") + width).cast("long").alias("end"))
+    spread = passing(tuples, "name", whole, "name").join(whole, spans).select("id", "h", (F.col("at") - F.col("high")).cast("long").alias("first"), (F.col("at") - F.col("low") + width).cast("long").alias("end"))
     block = BLOCK
     many = F.col("kinds") > block
-    rest = kinds.where("kinds > 1").select("name", F.col("one.id").alias("id"), F.col("one.at").alias("at"), "high", "low", F.col("n").alias("n"), many.alias("many"))
+    rest = kinds.where("kinds > 1").select("name", F.col("one.id").alias("id"), F.col("one.h").alias("h"), F.col("one.at").alias("at"), "high", "low", F.col("n").alias("n"), many.alias("many"))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
                 rows: list[tuple] = []
-                for doc, text, spots in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                for doc, h, text, spots in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     raw = (text or "").encode()
                     for s in spots:
                         at = s["at"]
                         end = at - s["low"] + width
                         if end <= len(raw):
-                            rows.append((s["name"], doc, at, s["high"], s["low"], s["n"], raw[at - s["high"] : end]))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                kinds_ = [pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)], ["name", "id", "at", "high", "low", "n", "bytes"])
+                            rows.append((s["name"], doc, h, at, s["high"], s["low"], s["n"], raw[at - s["high"] : end]))
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
+                kinds_ = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds_, strict=True)], ["name", "id", "h", "at", "high", "low", "n", "bytes"])
 
     def with_bytes(wanted: DataFrame) -> DataFrame:
-        asked = wanted.groupBy("id").agg(F.collect_list(F.struct("name", "at", "high", "low", "n")).alias("spots"))
-        there = passing(texts, "id", wanted, "id").withColumnRenamed("id", "text_id").join(asked, F.col("text_id") == F.col("id")).select("id", "text", "spots")
-        return mapped(there, contexts, "name long, id long, at int, high smallint, low smallint, n long, bytes binary")
+        asked = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("name", "at", "high", "low", "n")).alias("spots"))
+        there = passing(base, "h", wanted, "h").join(asked, ["id", "h"]).select("id", "h", "text", "spots")
+        return mapped(there, contexts, "name long, id long, h long, at int, high smallint, low smallint, n long, bytes binary")
 
     shards = with_bytes(rest.where("not many")).repartition("name").sortWithinPartitions("name")
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
-            name, ids, at, high, low, n = (t.column(i).to_numpy() for i in range(6))
-            raw = t.column(6).to_pylist()
+            name, ids, hashes, at, high, low, n = (t.column(i).to_numpy() for i in range(7))
+            raw = t.column(7).to_pylist()
             group = np.cumsum(np.append(0, name[1:] != name[:-1]))
             high, low = high.astype(np.int64), low.astype(np.int64)
             # Zero stands for "beyond the row's windows"; where a text has zero bytes itself, all bytes move up by one.
@@ -234,7 +281,7 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
                 row, first, end = _runs(row, at[row].astype(np.int64) - o, width)
             else:
                 first = end = np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(first), pa.array(end)], ["id", "first", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(hashes[row], pa.int64()), pa.array(first), pa.array(end)], ["id", "h", "first", "end"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -254,8 +301,8 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                ids, at, high, low, n = (b.column(i).slice(lo, 512).to_numpy(zero_copy_only=False) for i in range(1, 6))
-                raw = b.column(6).slice(lo, 512).to_pylist()
+                ids, hashes, at, high, low, n = (b.column(i).slice(lo, 512).to_numpy(zero_copy_only=False) for i in range(1, 7))
+                raw = b.column(7).slice(lo, 512).to_pylist()
                 at, high, low = at.astype(np.int64), high.astype(np.int64), low.astype(np.int64)
                 offs = np.append(0, np.cumsum([len(x) for x in raw]))
                 of = high - low + 1
@@ -263,16 +310,16 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
                 k = np.arange(len(row)) - (np.cumsum(of) - of)[row]
                 data, place = np.frombuffer(b"".join(raw), np.uint8), offs[row] + k
                 x, y = (span_hash(prefix_hash(v), place, place + width).view(np.int64) for v in (data, data ^ np.uint8(0xA5)))
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x, y, ids[row], (at - high)[row] + k, n[row])], ["x", "y", "id", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x, y, ids[row], hashes[row], (at - high)[row] + k, n[row])], ["x", "y", "id", "h", "first", "n"])
 
-    out = spread.unionByName(shards.mapInArrow(induce, "id long, first long, end long"))
+    out = spread.unionByName(shards.mapInArrow(induce, "id long, h long, first long, end long"))
     large = rest.where("many")
     if large.isEmpty():
         return out
-    parts = written(with_bytes(large).mapInArrow(windows, "x long, y long, id long, first long, n long"), "windows")
+    parts = written(with_bytes(large).mapInArrow(windows, "x long, y long, id long, h long, first long, n long"), "windows")
     again = parts.groupBy("x", "y").agg(F.sum("n").alias("uses")).where("uses > 1").select("x", "y")
     # Those of contexts that occur again are repeated as they are.
-    return out.unionByName(parts.where("n = 1").join(again, ["x", "y"]).select("id", "first", (F.col("first") + width).alias("end")))
+    return out.unionByName(parts.where("n = 1").join(again, ["x", "y"]).select("id", "h", "first", (F.col("first") + width).alias("end")))
 
 
 def _merged(spans: list, n: int) -> list[tuple[int, int]]:
@@ -287,16 +334,19 @@ def _merged(spans: list, n: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, carry: Sequence[str] = ()) -> DataFrame:
-    """id column, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked for, kept_text and columns to carry) of every row.
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False, carry: Sequence[str] = (), passages: int | None = None) -> DataFrame:
+    """id column, n_bytes, n_removed, n_spans, kept_sha256 (and, if asked for, kept_text, columns to carry, and shared_passages) of every row.
 
     kept_text is the remaining bytes as UTF-8; a character of which a part was
-    removed goes with it.
+    removed goes with it. passages: shared_passages counts the anchors of windows
+    of so many words that occur in other documents too.
     """
     named = {f"c{i}": c for i, c in enumerate(carry)}
-    base = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), *[F.col(c).alias(k) for k, c in named.items()])
-    spans = repeated_spans(base.select("id", "text"), width)
-    by_doc = written(spans.groupBy(F.col("id").alias("sid")).agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
+    own = F.col(id_column).cast("long")
+    base = docs.select(F.coalesce(own, F.lit(-1)).alias("id"), F.xxhash64(own.isNull(), own, text_column).alias("h"), F.col(text_column).alias("text"), own.isNull().alias("nameless"), *[F.col(c).alias(k) for k, c in named.items()])
+    texts = base.select("id", "h", "text").where("text <> ''")
+    spans = repeated_spans(texts, width)
+    by_doc = written(spans.groupBy(F.col("id").alias("sid"), F.col("h").alias("sh")).agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +370,16 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
     text = F.coalesce("text", F.lit(""))
     plain = [F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (text if with_text else F.lit(None).cast("string")).alias("kept_text")]
     # Texts move only where there is something to remove (or the filter can't tell); all others are done where they are read.
-    touched = flagged(base, "id", by_doc, "sid")
-    clean = touched.where("not _hit").select("id", *plain, *named)
-    moved = touched.where("_hit").join(by_doc, F.col("id") == F.col("sid"), "left").select("id", "text", "spans", *named)
-    kinds = "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in named)
+    more = [*named, "h", "nameless"]
+    touched = flagged(base, "h", by_doc, "sh")
+    clean = touched.where("not _hit").select("id", *plain, *more)
+    moved = touched.where("_hit").join(by_doc, (F.col("id") == F.col("sid")) & (F.col("h") == F.col("sh")), "left").select("id", "text", "spans", *more)
+    kinds = "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in more)
     out = clean.unionByName(mapped(moved, cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + kinds))
-    return out.select(F.col("id").alias(id_column), *names[1 : 6 if with_text else 5], *[F.col(k).alias(c) for k, c in named.items()])
+    if passages is not None:
+        found = written(shared_passages(texts, passages), "shared")
+        rows = flagged(out, "h", found, "ph")
+        hits = rows.where("_hit").join(found, (F.col("id") == F.col("pid")) & (F.col("h") == F.col("ph")), "left")
+        out = rows.where("not _hit").withColumn("shared", F.lit(None).cast("long")).unionByName(hits.drop("pid", "ph"))
+    last = [F.coalesce("shared", F.lit(0).cast("long")).alias("shared_passages")] if passages is not None else []
+    return out.select(F.when(~F.col("nameless"), F.col("id")).alias(id_column), *names[1 : 6 if with_text else 5], *[F.col(k).alias(c) for k, c in named.items()], *last)
