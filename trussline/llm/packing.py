@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import base64
 import bisect
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -43,28 +45,41 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+
 
 
 class ByteBpe:
-    """Ids of texts as little-endian 32-bit bytes. Pieces between splits are kept in a bounded cache."""
+    """Ids of texts as little-endian 32-bit bytes, as the tokenizer file (JSON) gives them without adding special tokens.
 
-    def __init__(self, vocabulary: str | None = None) -> None:
+    A special token of the file that stands in a text is that token. The other
+    pieces are merged by the same vocabulary as ranks, which is faster for the
+    many short pieces; what it gave is kept in a bounded cache.
+    """
+
+    def __init__(self, vocabulary: str | None = None, ranks: str | None = None) -> None:
         import public_tokenizers as public
         import tiktoken
 
-        with open(vocabulary or public.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.enc = tiktoken.Encoding("byte_bpe", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(ranks or public.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.enc = tiktoken.Encoding("byte_bpe", pat_str=public.PATTERN, mergeable_ranks=pairs, special_tokens={})
+        with open(vocabulary or public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in json.load(f)["added_tokens"]}
+        self.parts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
+        if not self.parts or not any(t in text for t in self.special):
+            return self._plain(text)
+        return b"".join(self.special[x] if i % 2 else self._plain(x) for i, x in enumerate(self.parts.split(text)))
+
+    def _plain(self, text: str) -> bytes:
+        known, one = self.known, self.enc.encode_ordinary
         if _UNSAFE.search(text):
-            return np.array(self.enc.encode_ordinary(text), "<u4").tobytes()
-        known, one = self.known, self.enc._encode_single_piece
+            return np.array(one(text), "<u4").tobytes()
         if len(known) > CACHE:
             known.clear()
         out = []
         for w in _SPLIT.findall(text):
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = np.array(one(w.encode()), "<u4").tobytes()
+                ids = known[w] = array("I", one(w)).tobytes()
             out.append(ids)
         return b"".join(out)
 
@@ -90,7 +105,7 @@ def pieces(docs: DataFrame, size: int = 1024, end_id: int = 2, vocabulary: str |
                     start, stop, k = 0, (n - 1) % size + 1, 0
                     while start < n:
                         own = ids[4 * start : 4 * stop]
-                        for col, v in zip(out, (doc, k, start, stop - start, zlib.crc32(own), own), strict=True):
+                        for col, v in zip(out, (doc, k, start, stop - start, zlib.crc32(own), own if with_ids else None), strict=True):
                             col.append(v)
                         start, stop, k = stop, stop + size, k + 1
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
