@@ -338,7 +338,24 @@ def test_lm_scores_equal_a_brute_force_tree(spark, monkeypatch, depth, context,
     assert sum(got[i].score for i in range(600)) > sum(got[i].base_score for i in range(600))
 
 
-def test_nearest(spark):
+def test_graph_is_built_and_searched_by_walking():
+    """Insertion in several batches; a search looks at a part of the graph and finds most of the nearest; links stay in range."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(6000, 32)).astype(np.float32)
+    g = ann.build_graph(np.arange(6000), v)
+    own = np.frombuffer(g["vectors"], np.float32).reshape(-1, 32)
+    layers = [np.frombuffer(x["links"], np.int32).reshape(x["nodes"], -1) for x in g["layers"]]
+    assert len(layers) > 2 and all(x.max() < len(x) and (x != np.arange(len(x))[:, None]).all() for x in layers)
+    looked: list[int] = []
+    found = ann.beam(own, layers[-1], own[:200], ann.descend(own, layers[:-1], own[:200]), 96, visited=looked)
+    s = own[:200] @ own.T
+    hits = np.take_along_axis(s, found[:, :20], 1) >= -np.sort(-s, axis=1)[:, 19:20] - 1e-5
+    assert hits.mean() > 0.95 and sum(looked) / 200 < 0.4 * len(own)
+
+
+@pytest.mark.parametrize("shard", [ann.SHARD, 300])
+def test_nearest(spark, monkeypatch, shard):
+    monkeypatch.setattr(ann, "SHARD", shard)
     rng = np.random.default_rng(6)
     v = rng.normal(size=(1500, 24)) * rng.random((1500, 1))
     v[700:760] = v[40]
