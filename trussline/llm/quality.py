@@ -4,14 +4,19 @@ Every line is labelled good or bad. A line's features are shares of its bytes
 (capitals, symbols, bars, digits, exclamation, punctuation), of its words that
 repeat the word before, whether the line occurred in the document before, and
 its length; the features of the lines before and after it are inputs as well.
-The field has one weight per feature and a 2 x 2 table of transitions; labels
-of a document stand for all its lines when it is fitted (maximum likelihood
-with an L2 penalty, by gradient steps on forward-backward marginals, each
-document counting once). A document's quality is the mean marginal of good,
+The field has one weight per feature and a 2 x 2 table of transitions. Only
+documents have labels, so the lines' labels are hidden when it is fitted: a
+document's label favours every line of the same label by TIE / sqrt(lines), and
+the likelihood of the documents' labels, with the lines' summed out, is climbed
+by gradient steps with an L2 penalty. Its gradient is the difference of two
+forward-backward passes, one for each label the document might have. So a good
+document may hold bad lines, and how good and bad lines follow each other is
+learned. A document's quality is the mean marginal of good under the field,
 weighted by line length, put on the scale of the labels by a logistic curve.
 
-The fit uses TRAIN_DOCS labelled documents at most; features and marginals of
-all documents are computed where they are read.
+The fit uses TRAIN_DOCS labelled documents and TRAIN_LINES of their lines at
+most (whole documents, in order of a hash of their ids); features and marginals
+of all documents are computed where they are read.
 
 Edge cases: a null or empty text has no lines and gets the training rows' share
 of good ones; without labels of both kinds every score is that share (0.5 with
@@ -26,13 +31,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, labelled_sample, mapped, prefix_hash, span_hash, white_space, word_places
 
-#: Labelled documents that the fit uses at most; gradient steps; penalty.
-TRAIN_DOCS, STEPS, L2 = 6000, 200, 1e-3
+#: Labelled documents and lines that the fit uses at most; gradient steps; penalty; how much a document's label favours its lines'.
+TRAIN_DOCS, TRAIN_LINES, STEPS, L2, TIE = 6000, 400_000, 150, 1e-3, 4.0
 #: Byte classes whose shares are features (fixed values).
 CLASSES = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"*#$%&@^~=+<>{}[]\\/_", b"|", b"0123456789", b"!?", b".,;:")
 SHARES = len(CLASSES) + 1
@@ -164,24 +169,32 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
+def slope(x: np.ndarray, first: np.ndarray, y: np.ndarray, w: np.ndarray, trans: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of the documents' labels, and its gradient by weights and transitions; the lines' labels are summed out."""
+    n = np.diff(first)
+    doc = np.repeat(np.arange(len(y)), n)
+    tie = TIE / np.sqrt(np.maximum(n, 1))
+    emit = x @ w
+    bad, bad_pairs, z0 = marginals(emit - tie[doc], trans, first, pairs=True)
+    good, good_pairs, z1 = marginals(emit + tie[doc], trans, first, pairs=True)
+    odds = np.clip(z1 - z0 - n * tie, -500, 500)
+    p = 1 / (1 + np.exp(-odds))
+    off = (p - y) / len(y)
+    loss = float(np.logaddexp(0, np.where(y == 1, -odds, odds)).mean())
+    return loss, x.T @ (off[doc] * (good - bad)), (off[:, None, None] * (good_pairs - bad_pairs)).sum(0)
+
+
 def fit(x: np.ndarray, size: np.ndarray, first: np.ndarray, y: np.ndarray) -> Field:
-    """The field of documents whose lines all have their document's label."""
+    """The field of documents with these labels."""
     prior = float(y.mean()) if len(y) else 0.5
     n = np.diff(first)
     if len(set(y[n > 0].tolist())) < 2:
         return Field(np.zeros(0), np.zeros((2, 2)), (1.0, 0.0), prior)
-    doc = np.repeat(np.arange(len(y)), n)
-    share = 1 / np.maximum(n, 1)
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     m, v = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, STEPS + 1):
-        good, joint, _ = marginals(x @ w, trans, first, pairs=True)
-        gw = x.T @ ((good - y[doc]) * share[doc]) / len(y) + L2 * w
-        # Transitions seen: all lines of a document keep its label.
-        seen = np.zeros((len(y), 2, 2))
-        seen[np.arange(len(y)), y, y] = np.maximum(n - 1, 0)
-        gt = ((joint - seen) * share[:, None, None]).sum(0) / len(y) + 10 * L2 * trans
-        g = np.concatenate([gw, gt.ravel()])
+        _, gw, gt = slope(x, first, y, w, trans)
+        g = np.concatenate([gw + L2 * w, (gt + L2 * trans).ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w -= move[: len(w)]
@@ -207,9 +220,12 @@ def train(docs: DataFrame, labels: DataFrame, column: str, keep: Column, rows: i
             for lo, hi, data, offs in chunks(b):
                 x, size, first = line_features(data, offs)
                 lists = [pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()), pa.array([size[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *lists], ["id", "y", "x", "size"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(np.diff(first)), *lists], ["id", "y", "lines", "x", "size"])
 
-    t = mapped(labelled_sample(docs, labels, column, rows, keep), features, "id long, y int, x binary, size binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    t = mapped(labelled_sample(docs, labels, column, rows, keep), features, "id long, y int, lines long, x binary, size binary")
+    # A bounded sample, so one task can sum up its lines.
+    upto = F.sum("lines").over(Window.orderBy(F.xxhash64("id"), "id", "y").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    t = t.withColumn("upto", upto).where(F.col("upto") <= TRAIN_LINES).drop("lines", "upto").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
     sizes = [np.frombuffer(b, np.float32) for b in t.column("size").to_pylist()]
     xs = [np.frombuffer(b, np.float32).reshape(-1, 3 * OWN + 3) for b in t.column("x").to_pylist()]
     first = np.concatenate([[0], np.cumsum([len(s) for s in sizes])]).astype(np.int64)
