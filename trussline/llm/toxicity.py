@@ -1,23 +1,22 @@
 """Toxicity severity by cumulative-link ordinal regression on sparse text features.
 
-Severity has ordered grades: 0 none, 1 toxic, 2 severely toxic. Labels only say
-toxic or not; a toxic training document is severe if its share of indicative
-words (those of selected features that speak for toxic) is above the median of
-toxic documents. One weight per feature is shared by all thresholds:
+Severity has ordered grades: the distinct values of the label column, in order
+(two or more; with labels that only say toxic or not there are two, and nothing
+is made up above them). One weight per feature is shared by all thresholds:
 P(grade > k) = sigmoid(w x - theta_k), theta ascending; the expected severity is
 the sum of these over k. Features are words (runs of letters and digits, case
 folded, by hash) and their beginnings of PREFIXES bytes, which gather inflected
 and compound forms; a feature's value is ln(1 + 200 * its share of the
-text's terms). Those that speak for toxicity best (likelihood ratio over
-documents) are kept, MAX_FEATURES at most.
+text's terms). Those that best tell documents above a threshold from those below
+(likelihood ratio over documents, either way) are kept, MAX_FEATURES at most.
 
 The fit uses TRAIN_DOCS labelled documents at most (equal texts once); every
 whole document is scored where it is read.
 
 Edge cases: null and empty texts have no features and get the intercept's
-severity; without labels of both kinds every severity is 0 (2 if all are
-toxic); repeated rows are scored alike; a null id counts as the text '' for the
-split; empty input gives no rows; other columns are ignored.
+severity; with labels of one value only every document has that grade (0
+without any labels); repeated rows are scored alike; a null id counts as the
+text '' for the split; empty input gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +50,8 @@ def _separators() -> np.ndarray:
 class Scale:
     features: np.ndarray  # hashes, ascending
     weights: np.ndarray
-    theta: np.ndarray
+    theta: np.ndarray  # ascending
+    grades: np.ndarray  # label values, one more than thresholds
 
     def above(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x[:, None] - self.theta[None], -30, 30)))
@@ -95,44 +95,53 @@ def _ratio(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
     return 2 * (part(a, na, a / na) + part(b, nb, b / nb) - part(a, na, p) - part(b, nb, p))
 
 
+def slope(doc: np.ndarray, col: np.ndarray, val: np.ndarray, grade: np.ndarray, w: np.ndarray, raw: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log likelihood of grades 0..K, and its gradient by weights and by raw = (first threshold, logs of the steps to the next ones)."""
+    n, k = len(grade), len(raw)
+    steps = np.append(raw[:1], np.exp(raw[1:]))
+    x = np.bincount(doc, val * w[col], n)
+    up = np.ones((n, k + 2))  # P(grade >= i)
+    up[:, 1:-1] = 1 / (1 + np.exp(-np.clip(x[:, None] - np.cumsum(steps)[None], -30, 30)))
+    up[:, -1] = 0
+    rows = np.arange(n)
+    p = np.maximum(up[rows, grade] - up[rows, grade + 1], 1e-9)
+    rise = up * (1 - up)
+    lo, hi = rise[rows, grade] / p / n, rise[rows, grade + 1] / p / n
+    theta = np.bincount(grade, lo, k + 2)[1 : k + 1] - np.bincount(grade + 1, hi, k + 2)[1 : k + 1]
+    tail = np.cumsum(theta[::-1])[::-1]
+    return float(-np.log(p).mean()), np.bincount(col, val * (hi - lo)[doc], len(w)), tail * np.append(1.0, steps[1:])
+
+
 def fit(doc: np.ndarray, word: np.ndarray, times: np.ndarray, y: np.ndarray) -> Scale:
-    n, na = len(y), int(y.sum())
-    if na in (0, n):
-        theta = np.array([-30.0, -30.0]) if n and na else np.array([30.0, 30.0])
-        return Scale(np.zeros(0, np.int64), np.zeros(0), theta)
+    n, grades = len(y), np.unique(y)
+    if len(grades) < 2:
+        return Scale(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), grades if n else np.zeros(1, int))
+    grade, k = np.searchsorted(grades, y), len(grades) - 1
     names, col = np.unique(word, return_inverse=True)
-    a = np.bincount(col, y[doc], len(names))
-    b = np.bincount(col, 1 - y[doc], len(names))
-    worth = np.where((a + b >= MIN_DOCS) & (a / na > 2 * b / (n - na)), _ratio(a, b, na, n - na), 0)
+    worth = np.zeros(len(names))
+    for cut in range(1, k + 1):
+        high = grade >= cut
+        na = int(high.sum())
+        a, b = np.bincount(col, high[doc], len(names)), np.bincount(col, ~high[doc], len(names))
+        apart = (a / na > 2 * b / (n - na)) | (b / (n - na) > 2 * a / na)
+        worth = np.maximum(worth, np.where((a + b >= MIN_DOCS) & apart, _ratio(a, b, na, n - na), 0))
     top = np.sort(np.argsort(-worth, kind="stable")[:MAX_FEATURES])
     top = top[worth[top] >= MIN_RATIO]
     place = np.full(len(names), -1)
     place[top] = np.arange(len(top))
     on = place[col] >= 0
-    doc_, col_, times_ = doc[on], place[col][on], times[on]
-    total = np.maximum(np.bincount(doc, times, n), 1)
-    val = value(times_, total[doc_])
-    hits = np.bincount(doc_, times_, n) / total
-    middle = np.median(hits[y == 1])
-    grade = np.where(y == 1, 1 + (hits > middle), 0)
-    # Gradient steps on the likelihood; theta = (t0, t0 + exp(gap)).
-    w, t0, gap = np.zeros(len(top)), 0.0, 0.0
-    m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
+    doc_, col_ = doc[on], place[col][on]
+    val = value(times[on], np.maximum(np.bincount(doc, times, n), 1)[doc_])
+    w, raw = np.zeros(len(top)), np.zeros(k)
+    m, v = np.zeros(len(w) + k), np.zeros(len(w) + k)
     for step in range(1, STEPS + 1):
-        x = np.bincount(doc_, val * w[col_], n)
-        theta = np.array([t0, t0 + np.exp(gap)])
-        up = np.concatenate([np.ones((n, 1)), Scale(top, w, theta).above(x), np.zeros((n, 1))], 1)  # P(grade >= k)
-        p = np.maximum(up[np.arange(n), grade] - up[np.arange(n), grade + 1], 1e-9)
-        slope = up * (1 - up)
-        lo, hi = slope[np.arange(n), grade] / p, slope[np.arange(n), grade + 1] / p
-        gx = -(lo - hi) / n
-        gt = np.array([((grade == k + 1) * lo - (grade == k) * hi).sum() / n for k in (0, 1)])
-        g = np.concatenate([np.bincount(col_, val * gx[doc_], len(w)) + L2 * w, [gt.sum(), gt[1] * np.exp(gap)]])
+        _, gw, gr = slope(doc_, col_, val, grade, w, raw)
+        g = np.concatenate([gw + L2 * w, gr])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w -= move[:-2]
-        t0, gap = t0 - move[-2], gap - move[-1]
-    return Scale(names[top], w, np.array([t0, t0 + np.exp(gap)]))
+        w -= move[: len(w)]
+        raw -= move[len(w) :]
+    return Scale(names[top], w, np.cumsum(np.append(raw[:1], np.exp(raw[1:]))), grades)
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str, keep: Column, rows: int = TRAIN_DOCS) -> Scale:
@@ -152,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str, keep: Column, rows: i
 
 
 def severity(docs: DataFrame, labels: DataFrame, held_out: Column, column: str = "toxic", rows: int = TRAIN_DOCS) -> DataFrame:
-    """doc_id, held_out, score (probability of any toxicity), expected_severity (0 to 2), grade (the likeliest) and predicted (1 if score >= 0.5)."""
+    """doc_id, held_out, score (probability of a grade above the lowest), expected_severity (0 to the number of thresholds), grade (the likeliest label value) and predicted (1 if score >= 0.5)."""
     scale = docs.sparkSession.sparkContext.broadcast(train(docs, labels, column, F.coalesce(~held_out, F.lit(True)), rows))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), held_out.alias("held_out"), "text")
 
@@ -166,9 +175,11 @@ def severity(docs: DataFrame, labels: DataFrame, held_out: Column, column: str =
                 on = np.flatnonzero(s.features[i] == h) if len(s.features) else np.zeros(0, np.int64)
                 key, k = np.unique(text[on] * max(len(s.features), 1) + i[on], return_counts=True)
                 x = np.bincount(key // max(len(s.features), 1), s.weights[key % len(s.features)] * value(k, total[key // len(s.features)]), hi - lo) if len(key) else np.zeros(hi - lo)
-                up = s.above(x)
-                p = np.stack([1 - up[:, 0], up[:, 0] - up[:, 1], up[:, 1]], 1)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(up[:, 0]), pa.array(up.sum(1)), pa.array(p.argmax(1).astype(np.int32))], ["id", "held_out", "score", "expected_severity", "grade"])
+                up = np.concatenate([np.ones((hi - lo, 1)), s.above(x), np.zeros((hi - lo, 1))], 1)
+                grade = s.grades[(up[:, :-1] - up[:, 1:]).argmax(1)].astype(np.int32)
+                # With grades of one value only, whether it is above 0 is all there is to say.
+                any_ = up[:, 1] if len(s.theta) else np.full(hi - lo, float(s.grades[0] > 0))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(any_), pa.array(up[:, 1:-1].sum(1)), pa.array(grade)], ["id", "held_out", "score", "expected_severity", "grade"])
 
     out = mapped(own, score, "id long, held_out boolean, score double, expected_severity double, grade int")
     return out.select(F.col("id").alias("doc_id"), "held_out", "score", "expected_severity", "grade", (F.col("score") >= 0.5).cast("int").alias("predicted"))
