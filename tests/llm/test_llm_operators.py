@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -247,12 +248,37 @@ def test_media(rows, docs, none):
     assert media.text_media(none).count() == 0
 
 
+def _track(number, handler, codec, scale, *tables):
+    u = struct.pack
+    entry = media.full(b"stsd", u(">I", 1), media.box(codec, b"\0" * 16))
+    return media.box(b"trak", media.full(b"tkhd", u(">III", 0, 0, number)), media.box(b"mdia", media.full(b"mdhd", u(">IIII", 0, 0, scale, 0)), media.full(b"hdlr", u(">I4s", 0, handler)), media.box(b"minf", media.box(b"stbl", entry, *tables))))
+
+
+def test_media_tracks_and_fragments():
+    """A sound track before a video track, and samples in fragments with sizes, defaults and key flags."""
+    u = struct.pack
+    tables = lambda at, sizes, keys: (media.full(b"stts", u(">III", 1, len(sizes), 10)), media.full(b"stsc", u(">IIII", 1, 1, len(sizes), 1)), media.full(b"stsz", u(">II", 0, len(sizes)), *[u(">I", z) for z in sizes]), media.full(b"stco", u(">II", 1, at)), *([media.full(b"stss", u(">I", len(keys)), *[u(">I", k) for k in keys])] if keys else []))
+    film = media.box(b"moov", _track(1, b"soun", b"mp4a", 100, *tables(40, [5, 6], [])), _track(2, b"vide", b"avc1", 10, *tables(60, [7, 8, 9], [1, 3]))) + media.box(b"mdat", b"x" * 300)
+    sound, video = media.read_tracks(film)
+    assert (sound["kind"], sound["codec"], sound["duration"], sound["start"].tolist()) == ("soun", "mp4a", 0.2, [40, 45])
+    assert media.read_media(film)["codec"] == "avc1" and video["keys"].tolist() == [0, 2] and video["start"].tolist() == [60, 67, 75] and video["duration"] == 3.0
+    head = media.box(b"moov", _track(7, b"vide", b"hvc1", 10, media.full(b"stsz", u(">II", 0, 0)), media.full(b"stsc", u(">I", 0)), media.full(b"stco", u(">I", 0))), media.box(b"mvex", media.full(b"trex", u(">IIIII", 7, 1, 5, 20, 0x10000))))
+    run = media.full(b"trun", u(">IiI", 3, 80, 0), u(">III", 11, 12, 13), flags=0x205)
+    part = media.box(b"moof", media.box(b"traf", media.full(b"tfhd", u(">I", 7), flags=0x20000), run, media.full(b"trun", u(">I", 2))))
+    (t,) = media.read_tracks(head + part + media.box(b"mdat", b"y" * 200))
+    at = len(head) + 80
+    assert t["start"].tolist() == [at, at + 11, at + 23, at + 36, at + 56] and t["size"].tolist() == [11, 12, 13, 20, 20]
+    assert t["keys"].tolist() == [0] and t["duration"] == 2.5 and t["kind"] == "vide"
+
+
 def test_media_columns(spark):
     good = media.write_media(media.padded(b"hello" * 1000))
-    files = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(good[:-5])), ("c", bytearray(b"junk")), ("d", None)], "path string, content binary")
+    at = good.index(b"stsz") + 8
+    huge = good[: at + 4] + b"\xff\xff\xff\xff" + good[at + 8 :]
+    files = spark.createDataFrame([("a", bytearray(good), 1), ("b", bytearray(good[:-5]), 1), ("c", bytearray(b"junk"), 1), ("d", None, 1), ("e", bytearray(huge), 1)], "path string, content binary, media int")
     got = {r.path: r.media for r in media.media_columns(files).collect()}
-    assert got["a"].samples == 27 and [k.size for k in got["a"].keyframes] == [192] * 4
-    assert got["b"] is None and got["c"] is None and got["d"] is None
+    assert got["a"][0].samples == 27 and [k.size for k in got["a"][0].keyframes] == [192] * 4
+    assert all(got[k] is None for k in "bcde")
 
 
 def test_urls(spark):

@@ -1,16 +1,18 @@
 """Media columns: ISO base media containers, written from bytes and read by walking nested boxes.
 
 The reader never decodes payloads: it walks the boxes (32- and 64-bit sizes,
-and boxes to the end of the file), decodes the sample tables (stsd, mdhd, stts,
-stsc, stsz, stco or co64, stss) and gives codec, duration and the byte ranges
-of samples and key frames. The writer stores a payload losslessly as 8-bit
+and boxes to the end of the file), decodes each track's sample tables (stsd,
+mdhd, stts, stsc, stsz, stco or co64, stss) and the runs of fragments (trex,
+tfhd, trun), and gives codec, duration and the byte ranges of samples and key
+frames. The writer stores a payload losslessly as 8-bit
 mono PCM samples, FRAME of them to a table entry, in a single track.
 
 Edge cases: a null text is empty, and its payload is one unit of padding;
 equal texts give equal values; repeated rows give a row each; empty input gives
 no rows; null ids stay null; other columns are ignored. A file with a box that
-runs past its parent raises ValueError in ``read_media`` and gives nulls in
-``media_columns``; so does one without a sound or video track.
+runs past its parent, counts that its tables or bytes do not bear out, or no
+track with samples raises ValueError in ``read_tracks`` and gives a null in
+``media_columns``; samples cost memory by the file's own size at most.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .common import mapped
 #: Payload bytes are padded to a multiple of UNIT; samples to a table entry; entries from one key frame to the next; entries to a chunk; samples a second.
 UNIT, FRAME, GAP, CHUNK, RATE = 192, 192, 8, 16, 8000
 #: Boxes that hold boxes (fixed values of the format).
-NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex")
+NESTED = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf")
 _UNITY = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -102,43 +104,139 @@ def walk(data: bytes, start: int = 0, end: int | None = None, at: tuple[bytes, .
         start = stop
 
 
-def _runs(table: np.ndarray, n_chunks: int) -> np.ndarray:
-    """Samples in each chunk, from stsc's runs (first chunk, samples, description)."""
-    first = table[:, 0].astype(np.int64)
-    return np.repeat(table[:, 1].astype(np.int64), np.diff(np.append(first, n_chunks + 1)))
-
-
-def read_media(data: bytes) -> dict:
-    """Codec, timescale, duration in seconds, and the byte ranges of samples and of key frames, of the first track with samples."""
+def _numbers(data: bytes, at: int, end: int, count: int, kind: str = ">u4") -> np.ndarray:
+    """count numbers from at on, all of them before end."""
+    if count < 0 or at + count * np.dtype(kind).itemsize > end:
+        raise ValueError("a table is shorter than its count")
+    return np.frombuffer(data, kind, count, at).astype(np.int64)
+
+
+def _table(data: bytes, box_: tuple[int, int], columns: int) -> np.ndarray:
+    """The rows of a table that has a count before them."""
+    n = int(_numbers(data, box_[0], box_[1], 1)[0])
+    return _numbers(data, box_[0] + 4, box_[1], n * columns).reshape(n, columns)
+
+
+def _sample_table(data: bytes, t: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(first byte, size, whether a key frame) of a track's samples in its sample tables, and their length in time."""
+    same, count = map(int, _numbers(data, *t[b"stsz"], 2))
+    if same and count * same > len(data):
+        raise ValueError("more samples than the file has bytes")
+    sizes = np.full(count, same, np.int64) if same else _numbers(data, t[b"stsz"][0] + 8, t[b"stsz"][1], count)
+    if sizes.sum() > len(data):
+        raise ValueError("samples larger than the file")
+    wide = b"stco" not in t
+    at = t[b"co64" if wide else b"stco"]
+    offsets = _numbers(data, at[0] + 4, at[1], int(_numbers(data, *at, 1)[0]), ">u8" if wide else ">u4")
+    runs = _table(data, t[b"stsc"], 3)
+    first = np.append(runs[:, 0], len(offsets) + 1)
+    if (np.diff(first) < 0).any() or (len(runs) and runs[0, 0] != 1):
+        raise ValueError("chunk runs out of order")
+    upto = np.cumsum(np.repeat(runs[:, 1], np.diff(first)))
+    if count > (int(upto[-1]) if len(upto) else 0):
+        raise ValueError("more samples than the chunks hold")
+    chunk = np.searchsorted(upto, np.arange(count), "right")
+    before = np.cumsum(sizes) - sizes
+    start = offsets[chunk] + before - before[(np.append(0, upto)[chunk])] if count else before
+    keys = np.ones(count, bool)
+    if b"stss" in t:
+        own = _table(data, t[b"stss"], 1).ravel() - 1
+        if len(own) and not (0 <= own.min() and own.max() < count):
+            raise ValueError("a key frame beyond the samples")
+        keys[:] = False
+        keys[own] = True
+    times = _table(data, t[b"stts"], 2) if b"stts" in t else np.zeros((0, 2), np.int64)
+    return start, sizes, keys, int((times[:, 0] * times[:, 1]).sum())
+
+
+def _fragment(data: bytes, moof: int, boxes: list[tuple[bytes, int, int]], defaults: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(track, first byte, size, whether a key frame, length in time) of the runs of one fragment that begins at moof."""
+    track, base, end = 0, moof, moof
+    length = size = flags = 0
+    for kind, a, b in boxes:
+        if kind == b"tfhd":
+            own = int(_numbers(data, a - 4, b, 1)[0]) & 0xFFFFFF
+            track, at = int(_numbers(data, a, b, 1)[0]), a + 4
+            length, size, flags = defaults.get(track, (0, 0, 0))
+            base = moof
+            if own & 1:
+                base, at = int(_numbers(data, at, b, 1, ">u8")[0]), at + 8
+            at += 4 * bool(own & 2)
+            got = [int(_numbers(data, at + 4 * i, b, 1)[0]) for i in range(sum(bool(own & f) for f in (8, 16, 32)))]
+            length = got.pop(0) if own & 8 else length
+            size = got.pop(0) if own & 16 else size
+            flags = got.pop(0) if own & 32 else flags
+            end = base
+        elif kind == b"trun":
+            own = int(_numbers(data, a - 4, b, 1)[0]) & 0xFFFFFF
+            n, at = int(_numbers(data, a, b, 1)[0]), a + 4
+            if own & 1:
+                end, at = base + int(_numbers(data, at, b, 1, ">i4")[0]), at + 4
+            head = None
+            if own & 4:
+                head, at = int(_numbers(data, at, b, 1)[0]), at + 4
+            names = [f for f in (0x100, 0x200, 0x400, 0x800) if own & f]
+            if not names and n * max(size, 1) > len(data):
+                raise ValueError("more samples than the file has bytes")
+            rows = _numbers(data, at, b, n * len(names)).reshape(n, len(names))
+            column = lambda f, other: rows[:, names.index(f)] if f in names else np.full(n, other, np.int64)
+            sizes, flag = column(0x200, size), column(0x400, flags)
+            if head is not None and n and 0x400 not in names:
+                flag[0] = head
+            start = end + np.cumsum(sizes) - sizes
+            end += int(sizes.sum())
+            if end > len(data):
+                raise ValueError("samples beyond the file")
+            yield track, start, sizes, (flag & 0x10000) == 0, int(column(0x100, length).sum())
+
+
+def read_tracks(data: bytes) -> list[dict]:
+    """Kind (handler), codec, timescale, duration in seconds, and the byte ranges of samples and key frames of every track with samples, fragments included."""
     tracks: list[dict] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: list[tuple[int, list]] = []
     for where, a, b in walk(data):
         kind = where[-1]
         if kind == b"trak":
             tracks.append({})
+        elif kind == b"trex":
+            track, _, *rest = map(int, _numbers(data, a + 4, b, 5))
+            defaults[track] = tuple(rest)
+        elif kind == b"moof":
+            fragments.append((a - 8, []))
+        elif where[0] == b"moof" and kind in (b"tfhd", b"trun"):
+            fragments[-1][1].append((kind, a + 4, b))
         elif tracks and where[0] == b"moov" and b"trak" in where:
             tracks[-1][kind] = (a + 4, b)
+    runs: dict[int, list] = {}
+    for at, boxes in fragments:
+        for track, *run in _fragment(data, at, boxes, defaults):
+            runs.setdefault(track, []).append(run)
+    out = []
     for t in tracks:
-        if b"stsd" not in t or b"stsz" not in t or not (t.keys() & {b"stco", b"co64"}):
+        if b"stsd" not in t or b"mdhd" not in t:
             continue
-        u32 = lambda k, skip=0: np.frombuffer(data, ">u4", (t[k][1] - t[k][0]) // 4 - skip, t[k][0] + 4 * skip)
-        codec = data[t[b"stsd"][0] + 8 : t[b"stsd"][0] + 12].decode("latin-1")
+        parts = [_sample_table(data, t)] if b"stsz" in t and b"stsc" in t and t.keys() & {b"stco", b"co64"} else []
+        if b"tkhd" in t:
+            long = data[t[b"tkhd"][0] - 4] == 1
+            parts += runs.get(int(_numbers(data, t[b"tkhd"][0] + (16 if long else 8), t[b"tkhd"][1], 1)[0]), [])
+        if not sum(len(p[0]) for p in parts):
+            continue
+        start, size, keys = (np.concatenate([p[i] for p in parts]) for i in range(3))
         long = data[t[b"mdhd"][0] - 4] == 1
-        scale = struct.unpack_from(">I", data, t[b"mdhd"][0] + (16 if long else 8))[0]
-        times = u32(b"stts", 1).reshape(-1, 2).astype(np.int64)
-        same, count = map(int, u32(b"stsz")[:2])
-        sizes = np.full(count, same, np.int64) if same else u32(b"stsz", 2)[:count].astype(np.int64)
-        at = t.get(b"stco") or t[b"co64"]
-        width = 4 if b"stco" in t else 8
-        n_chunks = struct.unpack_from(">I", data, at[0])[0]
-        offsets = np.frombuffer(data, f">u{width}", n_chunks, at[0] + 4).astype(np.int64)
-        per = _runs(u32(b"stsc", 1).reshape(-1, 3), n_chunks)
-        chunk = np.repeat(np.arange(n_chunks), per)[:count]
-        before = np.cumsum(sizes) - sizes
-        first = np.minimum(np.cumsum(per) - per, max(count - 1, 0))
-        start = offsets[chunk] + before - before[first][chunk] if count else np.zeros(0, np.int64)
-        keys = u32(b"stss", 1).astype(np.int64) - 1 if b"stss" in t else np.arange(count)
-        return {"codec": codec, "timescale": scale, "duration": float((times[:, 0] * times[:, 1]).sum()) / max(scale, 1), "start": start, "size": sizes, "keys": keys}
-    raise ValueError("no track with samples")
+        scale = int(_numbers(data, t[b"mdhd"][0] + (16 if long else 8), t[b"mdhd"][1], 1)[0])
+        codec = data[t[b"stsd"][0] + 8 : t[b"stsd"][0] + 12].decode("latin-1")
+        handler = data[t[b"hdlr"][0] + 4 : t[b"hdlr"][0] + 8].decode("latin-1") if b"hdlr" in t else ""
+        out.append({"kind": handler, "codec": codec, "timescale": scale, "duration": sum(p[3] for p in parts) / max(scale, 1), "start": start, "size": size, "keys": np.flatnonzero(keys)})
+    if not out:
+        raise ValueError("no track with samples")
+    return out
+
+
+def read_media(data: bytes) -> dict:
+    """The first video track with samples, or else the first track."""
+    tracks = read_tracks(data)
+    return next((t for t in tracks if t["kind"] == "vide"), tracks[0])
 
 
 def payload_of(data: bytes, media: dict) -> bytes:
@@ -151,27 +249,28 @@ def payload_of(data: bytes, media: dict) -> bytes:
     return b"".join(data[start[i] : start[j] + size[j]] for i, j in zip(np.append(0, cut).tolist(), ends.tolist(), strict=True))
 
 
-MEDIA = "struct<codec: string, timescale: bigint, duration: double, samples: bigint, keyframes: array<struct<start: bigint, size: bigint>>>"
+MEDIA = "array<struct<kind: string, codec: string, timescale: bigint, duration: double, samples: bigint, keyframes: array<struct<start: bigint, size: bigint>>>>"
 
 
 def media_columns(files: DataFrame, column: str = "content", keep: tuple[str, ...] = ("path",)) -> DataFrame:
-    """keep columns and what the containers in a binary column say, payloads untouched."""
+    """keep columns and what the containers in a binary column say of each of their tracks, payloads untouched."""
+    named = {f"k{i}": c for i, c in enumerate(keep)}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))])
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.float64()), ("samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("start", pa.int64()), ("size", pa.int64())])))]))
         for b in batches:
             out = []
-            for x in b.column(b.num_columns - 1).to_pylist():
+            for x in b.column(b.num_columns - 1):
                 try:
-                    m = read_media(x or b"")
-                    out.append({k: m[k] for k in ("codec", "timescale", "duration")} | {"samples": len(m["size"]), "keyframes": [{"start": int(s), "size": int(z)} for s, z in zip(m["start"][m["keys"]], m["size"][m["keys"]], strict=True)]})
+                    found = read_tracks(x.as_py() or b"")
+                    out.append([{k: m[k] for k in ("kind", "codec", "timescale", "duration")} | {"samples": len(m["size"]), "keyframes": [{"start": s, "size": z} for s, z in zip(m["start"][m["keys"]].tolist(), m["size"][m["keys"]].tolist(), strict=True)]} for m in found])
                 except (ValueError, KeyError, struct.error, IndexError):
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, kind)], [*b.schema.names[:-1], "media"])
 
-    picked = files.select(*keep, F.col(column).alias("_content"))
-    kinds = [f.dataType.simpleString() for f in picked.schema.fields[:-1]]
-    return mapped(picked, read, ", ".join([f"`{k}` {t}" for k, t in zip(keep, kinds, strict=True)] + [f"media {MEDIA}"]))
+    picked = files.select(*[F.col(c).alias(k) for k, c in named.items()], F.col(column).alias("content"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1]]
+    return mapped(picked, read, ", ".join([*kinds, f"media {MEDIA}"])).select(*[F.col(k).alias(c) for k, c in named.items()], "media")
 
 
 def text_media(docs: DataFrame) -> DataFrame:
