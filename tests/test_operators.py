@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trussline.functions import geometry as G
+from trussline.plans import ids
 from trussline.operators import boxes, catalogue, clashes, events, matrix, quantities
 
 
@@ -25,6 +26,58 @@ def test_quantities(spark):
     assert lines == ["Gruppo;N;length;area", "a1;1;1;2,5", "A2;1;;", "A10;1;;1", "(no value);2;;", "TOTAL;5;1;3,5"]
 
 
+_ROW = {"ifc_type": "IFCWALL", "predefined_type": "SOLID", "name": "w", "global_id": "g"}
+_SCHEMA = """ifc_type string, predefined_type string, name string, global_id string, attributes map<string,string>, psets map<string,map<string,struct<value:string,dataType:string>>>,
+ classifications array<struct<system:string,value:string>>, materials array<string>, part_of array<struct<relation:string,wholeType:string,wholePredefinedType:string>>"""
+_VALUE = "<value><simpleValue>A</simpleValue></value>"
+_SUBJECT = {
+    "attribute": "<name><simpleValue>Tag</simpleValue></name>" + _VALUE, "property": "<propertySet><simpleValue>P</simpleValue></propertySet><baseName><simpleValue>x</simpleValue></baseName>" + _VALUE,
+    "classification": "<system><simpleValue>U</simpleValue></system>" + _VALUE, "material": _VALUE, "partOf": "<entity><name><simpleValue>IFCSITE</simpleValue></name></entity>",
+}
+_HOLDS = {
+    "attribute": lambda v: {"attributes": {"Tag": v}}, "property": lambda v: {"psets": {"P": {"x": (v, "IfcLabel")}}}, "classification": lambda v: {"classifications": [("U", v)]},
+    "material": lambda v: {"materials": [v]}, "partOf": lambda v: {"part_of": [("IFCRELAGGREGATES", "IFCSITE" if v == "A" else v, None)]},
+}
+
+
+def _rule(kind, inner, cardinality="required"):
+    return f"<ids><specifications><specification name='s'><applicability><entity><name><simpleValue>IFCWALL</simpleValue></name></entity></applicability><requirements><{kind} cardinality='{cardinality}'>{inner}</{kind}></requirements></specification></specifications></ids>"
+
+
+def test_rule_cardinalities(spark):
+    """Facets x required, optional, prohibited x absent, empty, wrong, right: the code of the reason, '' for a pass."""
+    want = {"required": ("missing", "badValue", "badValue", ""), "optional": ("", "badValue", "badValue", ""), "prohibited": ("", "", "", "prohibited")}
+    for kind, inner in _SUBJECT.items():
+        rows = [{**_ROW, "global_id": str(i), **(_HOLDS[kind](v) if v is not None else {})} for i, v in enumerate((None, "", "B", "A"))]
+        views = spark.createDataFrame(rows, _SCHEMA)
+        for cardinality, codes in want.items():
+            specs = ids.parse_ids(_rule(kind, inner, cardinality)).specs
+            got = {r.global_id: r.reasons[0].code if r.reasons else "" for r in ids.evaluate(views, specs).collect()}
+            assert tuple(got[str(i)] for i in range(4)) == codes, (kind, cardinality)
+
+
+def test_rule_values(spark):
+    """Numbers without a decimal comma, exact keys, patterns as the engine that runs them takes them, and lengths in UTF-16 units."""
+    simple, restriction = "<value><simpleValue>{}</simpleValue></value>".format, "<value><restriction>{}</restriction></value>".format
+    cases = [
+        (simple("0.3"), "0.30", True), (simple("1.5"), "1,5", False), (simple("1e2"), " 100\t", True), (simple("0"), " ", True), (simple("a"), "A", False), (restriction("<minInclusive value='1'/>"), "1,5", False),
+        (restriction("<minInclusive value='1'/>"), "x", False), (restriction("<minExclusive value='1'/><maxInclusive value='2'/>"), "2.0", True), (restriction("<pattern value='abc'/>"), "abc\n", False),
+        (restriction("<pattern value='\\p{N}+'/>"), "abc", False), (restriction("<pattern value='\\p{N}+'/>"), "12", True), (restriction("<pattern value='(?P&lt;x&gt;a)'/>"), "zzz", True), (restriction("<pattern value='('/>"), "zzz", True),
+        (restriction("<enumeration value='5'/><enumeration value='b'/>"), "5.0", True), (restriction("<length value='2'/>"), "😀", True), (restriction("<maxLength value='1'/>"), "😀", False),
+    ]
+    for inner, value, ok in cases:
+        views = spark.createDataFrame([{**_ROW, "attributes": {"Tag": value}}], _SCHEMA)
+        (got,) = ids.evaluate(views, ids.parse_ids(_rule("attribute", "<name><simpleValue>Tag</simpleValue></name>" + inner)).specs).collect()
+        assert got.passed == ok, (inner, value)
+    views = spark.createDataFrame([{**_ROW, "attributes": {"01": "v"}, "psets": {"1.0": {"2": ("", "x"), "3": ("w", "x")}}}], _SCHEMA)
+    name = lambda tag, v: f"<{tag}><simpleValue>{v}</simpleValue></{tag}>"
+    listed = lambda tag, v: f"<{tag}><restriction><enumeration value='{v}'/></restriction></{tag}>"
+    for kind, inner, ok in [("attribute", name("name", "1"), False), ("attribute", listed("name", "1"), True), ("property", name("propertySet", "1") + name("baseName", "3"), False), ("property", name("propertySet", "1.0") + name("baseName", "3"), True)]:
+        assert ids.evaluate(views, ids.parse_ids(_rule(kind, inner)).specs).first().passed == ok, inner
+    (r,) = ids.evaluate(views, ids.parse_ids(_rule("property", name("propertySet", "1.0") + "<baseName><restriction><pattern value='[0-9]'/></restriction></baseName>" + restriction("<minLength value='2'/><maxExclusive value='1.5'/>"))).specs).first().reasons
+    assert (r.label, r.expected, r.got) == ("1.0.pattern: [0-9]", "minLength=2, <1.5", "w")
+
+
 def test_matrix(spark):
     m = matrix.parse_matrix(spark, ";Walls;Pipes\r\nWalls;H;50\r\nPipes;H:5;-\r\n")
     rules = {(r.a_name, r.b_name): (r.type, r.tol_mm, r.tol) for r in matrix.matrix_rules(m.cells).collect()}

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Decimal or exponent notation; hexadecimal, suffixes, NaN and infinities are not numbers here.
 NUMBER = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+#: What counts as blank around a number: ASCII white space, line and paragraph ends, no-break and other spaces, the byte order mark.
+BLANKS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
+
+def trimmed(text: Column) -> Column:
+    """text without blanks of any kind around it."""
+    return F.regexp_replace(text, rf"\A{BLANKS}|{BLANKS}\z", "")
+
+
+def plain_number(text: Column) -> Column:
+    """A finite double, or null; blanks around it go and a comma is no decimal point. Blanks alone are 0."""
+    t = trimmed(text.cast("string"))
+    value = F.when(t == "", F.lit(0.0)).when(F.regexp_like(t, F.lit(NUMBER)), t.try_cast("double"))
+    return F.when(F.abs(value) != float("inf"), value)
 
 
 def to_number(text: Column) -> Column:
     """A finite double, or null. Blanks around it go; one comma stands for the decimal point if there is no dot."""
-    t = F.trim(text.cast("string"))
+    t = trimmed(text.cast("string"))
     one_comma = (F.regexp_count(t, F.lit(",")) == 1) & ~F.contains(t, F.lit("."))
     t = F.when(one_comma, F.replace(t, F.lit(","), F.lit("."))).otherwise(t)
     value = F.when(F.regexp_like(t, F.lit(NUMBER)), t).try_cast("double")
@@ -26,12 +41,32 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
 
 
-def _rounded(x: float | None, decimals: int) -> str | None:
-    """Half-up on the exact binary value; Spark's own rounding works on the shortest decimal text instead."""
-    if x is None or x != x or x in (float("inf"), float("-inf")):
-        return None
-    text = format(Decimal(x).quantize(Decimal(1).scaleb(-decimals), ROUND_HALF_UP), "f")
-    return text.rstrip("0").rstrip(".") if "." in text else text
+def _rounded(values: np.ndarray, decimals: int) -> list[str | None]:
+    """Half-up on the exact binary value (Spark's own rounding works on the shortest decimal text instead); None for what is not finite.
+
+    Scaled by a power of ten, a double of moderate size is off by less than its
+    last place; only values that come that near to a half are settled one by
+    one, by their exact fractions.
+    """
+    scale = 10.0**decimals
+    sound = np.isfinite(values)
+    scaled = np.abs(np.where(sound, values, 0.0)) * scale
+    whole = np.floor(scaled)
+    away = scaled - whole - 0.5
+    up = away >= 0
+    near = np.flatnonzero(sound & ((np.abs(away) <= np.spacing(scaled) * 2) | (scaled >= 2.0**52) | (scaled - whole <= 0)))
+    units = np.where(scaled < 2.0**62, whole + up, 0).astype(np.int64)
+    texts = [None if not s else _text(n, u, decimals) for s, n, u in zip(sound.tolist(), np.signbit(values).tolist(), units.tolist(), strict=True)]
+    for i in near.tolist():
+        n = values[i]
+        texts[i] = _text(bool(np.signbit(n)), int(abs(Fraction(float(n))) * 10**decimals + Fraction(1, 2)), decimals)
+    return texts
+
+
+def _text(negative: bool, units: int, decimals: int) -> str:
+    digits = str(units).rjust(decimals + 1, "0")
+    text = (digits[:-decimals] + "." + digits[-decimals:]).rstrip("0").rstrip(".") if decimals else digits
+    return "-" + text if negative else text
 
 
 def fixed_text(value: Column, decimals: int = 3) -> Column:
@@ -39,7 +74,7 @@ def fixed_text(value: Column, decimals: int = 3) -> Column:
 
     @F.pandas_udf("string")
     def convert(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: _rounded(v, decimals))
+        return pd.Series(_rounded(x.to_numpy(float), decimals), x.index, object)
 
     return convert(value.cast("double"))
 

@@ -265,6 +265,22 @@ def ids_summary(spark, sf_dir):
     return ids.summary(ids.evaluate(_views(spark, sf_dir), specs), specs)
 
 
+_MARK = "<attribute>" + _V.format("name", "Mark") + "</attribute>"
+
+
+@query("""WITH w AS (SELECT *, CAST(o_orderkey AS VARCHAR) AS global_id FROM orders WHERE o_orderkey % 4 = 0)
+ SELECT global_id, 'entity' AS facet_type, 'badValue' AS code, 'IFC IFCWALL' AS label, 'IFCWALL' AS expected, 'IfcWall' AS got FROM w WHERE o_orderstatus <> 'F'
+ UNION ALL SELECT global_id, 'attribute', 'badValue', 'Tag', 'O', CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderstatus END FROM w WHERE o_orderkey % 7 = 0 OR o_orderstatus <> 'O'
+ UNION ALL SELECT global_id, 'classification', 'badValue', 'Uniclass', 'pattern: EF_[0-4]', 'EF_' || CAST(o_custkey % 10 AS VARCHAR) FROM w WHERE o_custkey % 10 > 4
+ UNION ALL SELECT global_id, 'property', 'badValue', 'Pset_Cost.Price', '≥1000, <200000', CAST(o_totalprice AS VARCHAR) FROM w WHERE o_totalprice < 1000 OR o_totalprice >= 200000
+ UNION ALL SELECT global_id, 'material', 'badValue', '(materiale)', 'concrete', 'steel, paint' FROM w WHERE o_custkey % 3 <> 0
+ UNION ALL SELECT global_id, 'partOf', 'badValue', 'partOf IFCRELAGGREGATES', 'IFCBUILDING', '' FROM w WHERE o_custkey % 2 <> 0
+ UNION ALL SELECT global_id, 'attribute', 'missing', 'Mark', '', '' FROM w""")
+def ids_reasons(spark, sf_dir):
+    found = ids.evaluate(_views(spark, sf_dir), _ids(_spec("all", "".join(_REQUIREMENTS.values()) + _MARK)))
+    return found.select("global_id", F.explode("reasons").alias("r")).select("global_id", "r.facet_type", "r.code", "r.label", "r.expected", "r.got")
+
+
 @query("SELECT event_id, value FROM events WHERE event_id % CAST((SELECT ceil(count(*) / 300.0) FROM events) AS BIGINT) = 0")
 def stride_sample(spark, sf_dir):
     from trussline.sources.pointclouds import step_for

@@ -15,10 +15,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trussline.functions.numbers import to_number
+from trussline.functions.numbers import NUMBER, plain_number
 
 FACETS = ("entity", "attribute", "classification", "property", "material", "partOf")
 INFO = ("title", "copyright", "version", "description", "author", "date", "purpose", "milestone")
@@ -44,13 +45,19 @@ class Matcher:
         return Matcher(self.simple and self.simple.upper(), [x.upper() for x in self.enumeration], self.pattern, self.bounds, self.lengths)
 
     def describe(self) -> str:
+        """The constraint in words (fixed texts): values as they stand, then what limits them."""
         if self.simple is not None:
             return self.simple
         parts = [" | ".join(self.enumeration)] if self.enumeration else []
-        parts += [f"/{self.pattern}/"] if self.pattern is not None else []
-        sign = {"minInclusive": ">=", "maxInclusive": "<=", "minExclusive": ">", "maxExclusive": "<"}
-        parts += [f"{sign[k]} {v:g}" for k, v in self.bounds.items()] + [f"{k} {v}" for k, v in self.lengths.items()]
-        return ", ".join(parts)
+        parts += [f"pattern: {self.pattern}"] if self.pattern is not None else []
+        parts += [f"{k}={self.lengths[k]}" for k in ("length", "minLength", "maxLength") if k in self.lengths]
+        sign = {"minInclusive": "≥", "maxInclusive": "≤", "minExclusive": ">", "maxExclusive": "<"}
+        return ", ".join(parts + [f"{sign[k]}{_plain(self.bounds[k])}" for k in BOUNDS if k in self.bounds])
+
+
+def _plain(x: float) -> str:
+    """The shortest text of a number, without a fraction where there is none."""
+    return str(int(x)) if x == int(x) and abs(x) < 1e15 else repr(x)
 
 
 @dataclass
@@ -146,27 +153,44 @@ def parse_ids(xml: str) -> Document:
     return Document({k: _text(_child(info, k)) for k in INFO}, specs)
 
 
+def _literal(text: str) -> float | None:
+    """The number that a literal of a rule is, or None; a comma is no decimal point, and blanks alone are 0."""
+    t = text.strip().strip("\ufeff")
+    return 0.0 if not t else float(t) if _NUMBER.match(t) else None
+
+
+_NUMBER = re.compile(NUMBER.replace(r"\z", r"\Z"))
+
+
+def _compiles(pattern: str) -> bool:
+    """Whether the engine that will run a pattern takes it."""
+    jvm = SparkSession.active()._jvm
+    try:
+        jvm.java.util.regex.Pattern.compile(rf"\A(?:{pattern})\z")
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def matches(m: Matcher | None, actual: Column) -> Column:
     """Whether a text satisfies a matcher; null counts as ''. Numbers are compared as numbers where both are."""
     if m is None:
         return F.lit(True)
     v = F.coalesce(actual.cast("string"), F.lit(""))
-    number = to_number(v)
+    number = F.when(v != "", plain_number(v))
 
-    def equals(text: str) -> Column:
-        return (v == text) | F.coalesce((v != "") & (number == to_number(F.lit(text))), F.lit(False)) if text else v == ""
+    def same(texts: list[str]) -> Column:
+        """One of the texts, or the same number as one of them; the literals' numbers are known here."""
+        numbers = sorted({x for x in map(_literal, texts) if x is not None})
+        return v.isin(texts) | (F.coalesce(number.isin(numbers), F.lit(False)) if numbers else F.lit(False))
 
     if m.simple is not None:
-        return equals(m.simple)
+        return same([m.simple]) if m.simple else v == ""
     out = F.lit(True)
     if m.enumeration:
-        out = out & reduce(lambda a, b: a | b, map(equals, m.enumeration))
-    if m.pattern is not None:
-        try:
-            re.compile(m.pattern)  # an invalid pattern constrains nothing
-            out = out & F.regexp_like(v, F.lit(rf"\A(?:{m.pattern})\z"))
-        except re.error:
-            pass
+        out = out & same(m.enumeration)
+    if m.pattern is not None and _compiles(m.pattern):  # an invalid pattern constrains nothing
+        out = out & F.regexp_like(v, F.lit(rf"\A(?:{m.pattern})\z"))
     units = (F.octet_length(F.encode(v, "UTF-16BE")) / 2).cast("int")
     for k, n in m.lengths.items():
         out = out & {"length": units == n, "minLength": units >= n, "maxLength": units <= n}[k]
@@ -176,36 +200,44 @@ def matches(m: Matcher | None, actual: Column) -> Column:
     return out
 
 
+def fits(m: Matcher | None, key: Column) -> Column:
+    """Whether a key (of an attribute, a set or a property) is meant by a matcher: a simple one is that very key."""
+    return key == m.simple if m is not None and m.simple is not None else matches(m, key)
+
+
 def _free(m: Matcher | None) -> bool:
     return m is None or not m.constrains()
 
 
-def _entries(column: str) -> Column:
-    return F.coalesce(F.map_entries(column), F.array())
+_TEXTS = "cast(array() as array<string>)"
+
 
+def _cells(f: Facet) -> Column:
+    """The values under all keys that an attribute or property facet means, in the order of the keys; one walk over the maps for all that follows."""
+    p = f.parts
+    if f.kind == "attribute":
+        e = F.coalesce(F.map_entries("attributes"), F.expr("cast(array() as array<struct<key:string,value:string>>)"))
+        return F.transform(F.filter(e, lambda x: fits(p["name"], x["key"])), lambda x: F.coalesce(x["value"], F.lit("")))
+    sets = F.coalesce(F.map_entries("psets"), F.expr("cast(array() as array<struct<key:string,value:map<string,struct<value:string,dataType:string>>>>)"))
+    inside = lambda s: F.transform(F.filter(F.coalesce(F.map_entries(s["value"]), F.expr("cast(array() as array<struct<key:string,value:struct<value:string,dataType:string>>>)")), lambda x: fits(p["name"], x["key"])), lambda x: F.coalesce(x["value"]["value"], F.lit("")))
+    return F.flatten(F.transform(F.filter(sets, lambda s: fits(p["set"], s["key"])), inside))
 
-def facet_columns(f: Facet) -> tuple[Column, Column]:
-    """(subject present, subject and value match)."""
+
+def facet_columns(f: Facet, cells: Column | None = None) -> tuple[Column, Column]:
+    """(subject present, subject and value match); cells: of an attribute or property facet, if they are there already."""
     p = f.parts
-    none = lambda a: F.coalesce(a, F.array())
     if f.kind == "entity":
         present = matches(p["name"], F.upper(F.coalesce("ifc_type", F.lit(""))))
         return present, present & (F.lit(True) if _free(p["type"]) else matches(p["type"], F.col("predefined_type")))
-    if f.kind == "attribute":
-        e = F.coalesce(F.map_entries("attributes"), F.expr("cast(array() as array<struct<key:string,value:string>>)"))
-        has = lambda test: F.exists(e, lambda x: matches(p["name"], x["key"]) & test(x))
-        full = lambda x: F.coalesce(x["value"] != "", F.lit(False))
-        return has(lambda x: F.lit(True)), has(full if _free(p["value"]) else lambda x: full(x) & matches(p["value"], x["value"]))
+    if f.kind in ("attribute", "property"):
+        cells = _cells(f) if cells is None else cells
+        full = lambda v: v != ""
+        return F.size(cells) > 0, F.exists(cells, full if _free(p["value"]) else lambda v: full(v) & matches(p["value"], v))
     if f.kind == "classification":
-        e = F.coalesce("classifications", F.expr("cast(array() as array<struct<system:string,value:string>>)"))
-        return F.exists(e, lambda x: matches(p["system"], x["system"])), F.exists(e, lambda x: matches(p["system"], x["system"]) & matches(p["value"], x["value"]))
-    if f.kind == "property":
-        sets = F.coalesce(F.map_entries("psets"), F.expr("cast(array() as array<struct<key:string,value:map<string,struct<value:string,dataType:string>>>>)"))
-        has = lambda test: F.exists(sets, lambda s: matches(p["set"], s["key"]) & F.exists(F.map_entries(s["value"]), lambda x: matches(p["name"], x["key"]) & test(x["value"]["value"])))
-        full = lambda v: F.coalesce(v != "", F.lit(False))
-        return has(lambda v: F.lit(True)), has(full if _free(p["value"]) else lambda v: full(v) & matches(p["value"], v))
+        e = _classes(p["system"])
+        return F.size(e) > 0, F.size(e) > 0 if _free(p["value"]) else F.exists(e, lambda x: matches(p["value"], x["value"]))
     if f.kind == "material":
-        e = F.coalesce("materials", F.expr("cast(array() as array<string>)"))
+        e = F.coalesce("materials", F.expr(_TEXTS))
         return F.size(e) > 0, F.size(e) > 0 if _free(p["value"]) else F.exists(e, lambda x: matches(p["value"], x))
     e = F.coalesce("part_of", F.expr("cast(array() as array<struct<relation:string,wholeType:string,wholePredefinedType:string>>)"))
     related = lambda x: (F.upper(x["relation"]) == f.relation) if f.relation else F.lit(True)
@@ -213,35 +245,47 @@ def facet_columns(f: Facet) -> tuple[Column, Column]:
     return F.exists(e, lambda x: F.coalesce(related(x), F.lit(False))), F.exists(e, lambda x: F.coalesce(related(x) & whole(x), F.lit(False)))
 
 
+def _classes(system: Matcher | None) -> Column:
+    e = F.coalesce("classifications", F.expr("cast(array() as array<struct<system:string,value:string>>)"))
+    return e if _free(system) else F.filter(e, lambda x: matches(system, x["system"]))
+
+
 def label(f: Facet) -> str:
-    said = {k: (m.describe() if m else "*") for k, m in f.parts.items()}
-    return {"entity": said.get("name", ""), "attribute": said.get("name", ""), "classification": said.get("system", ""), "property": f"{said.get('set')}.{said.get('name')}", "material": "material", "partOf": f"{f.relation or 'part of'} {said.get('name', '')}"}[f.kind]
+    """What a reason says it is about (fixed texts of the rule format's reports)."""
+    said = {k: (m.describe() if m else "") for k, m in f.parts.items()}
+    return {
+        "entity": "IFC " + said.get("name", ""), "attribute": said.get("name") or "(attributo)", "classification": said.get("system") or "(classificazione)", "property": f"{said.get('set')}.{said.get('name')}",
+        "material": "(materiale)", "partOf": "partOf" + (f" {f.relation}" if f.relation else ""),
+    }[f.kind]
 
 
 def expected(f: Facet) -> str:
-    m = f.parts.get("type" if f.kind in ("entity", "partOf") else "value")
-    return m.describe() if m and m.constrains() else ""
+    said = {k: (m.describe() if m else "") for k, m in f.parts.items()}
+    if f.kind in ("entity", "partOf"):
+        return said["name"]
+    return said["value"] or (said["system"] if f.kind == "classification" else "")
 
 
-def got(f: Facet) -> Column:
-    """The first value found for a facet's subject, as text."""
-    p = f.parts
+def got(f: Facet, cells: Column | None = None) -> Column:
+    """What a facet's subject has instead, as text: the first value that is not empty."""
+    first = lambda a: F.get(a, F.lit(0))
+    if f.kind in ("attribute", "property"):
+        return F.coalesce(first(F.filter(_cells(f) if cells is None else cells, lambda v: v != "")), F.lit(""))
     pick: dict[str, Callable[[], Column]] = {
-        "entity": lambda: F.concat_ws(".", "ifc_type", F.nullif("predefined_type", F.lit(""))),
-        "attribute": lambda: F.get(F.filter(F.map_entries("attributes"), lambda x: matches(p["name"], x["key"])), F.lit(0))["value"],
-        "classification": lambda: F.array_join(F.transform(F.filter("classifications", lambda x: matches(p["system"], x["system"])), lambda x: x["value"]), ", "),
-        "property": lambda: F.get(F.flatten(F.transform(F.filter(F.map_entries("psets"), lambda s: matches(p["set"], s["key"])), lambda s: F.transform(F.filter(F.map_entries(s["value"]), lambda x: matches(p["name"], x["key"])), lambda x: x["value"]["value"]))), F.lit(0)),
-        "material": lambda: F.array_join("materials", ", "),
-        "partOf": lambda: F.array_join(F.transform("part_of", lambda x: x["wholeType"]), ", "),
-    }
+        "entity": lambda: F.col("ifc_type"), "classification": lambda: first(_classes(f.parts["system"]))["value"], "material": lambda: F.array_join("materials", ", "), "partOf": lambda: F.lit(""),
+    }
     return F.coalesce(pick[f.kind](), F.lit(""))
 
 
 def reason(f: Facet) -> Column:
     """The reason why a requirement fails, or null."""
-    present, match = facet_columns(f)
+    return _reason(f, None) if f.kind not in ("attribute", "property") else F.get(F.transform(F.array(_cells(f)), lambda cells: _reason(f, cells)), F.lit(0))
+
+
+def _reason(f: Facet, cells: Column | None) -> Column:
+    present, match = facet_columns(f, cells)
     code = {"prohibited": F.when(match, "prohibited"), "optional": F.when(present & ~match, "badValue")}.get(f.cardinality, F.when(~present, "missing").when(~match, "badValue"))
-    return F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(f.kind).alias("facet_type"), F.lit(label(f)).alias("label"), F.lit(expected(f)).alias("expected"), got(f).alias("got")))
+    return F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(f.kind).alias("facet_type"), F.lit(label(f)).alias("label"), F.lit(expected(f)).alias("expected"), got(f, cells).alias("got")))
 
 
 def applicable(spec: Spec) -> Column:
