@@ -11,6 +11,7 @@ a pair meets on the level of its coarser box.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +46,17 @@ def _dealt(boxes: DataFrame, side: str, cell: float, home: bool, up: bool) -> Da
     return out
 
 
-def box_join(left: DataFrame, right: DataFrame, inflate: float = 0.0, cell: float = 1.0) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, inflate: float = 0.0, cell: float = 1.0, keys: str = "differ") -> DataFrame:
     """(key_a, key_b) and both boxes, of overlapping boxes, touching ones included, right grown by max(inflate, 0) on every side.
 
-    Equal keys are no pair. In a self-join both (a, b) and (b, a) are found; see ``unordered``.
+    keys: which pairs count: those whose keys "differ"; in a self-join "ascend",
+    which gives each unordered pair once; "any" if the sides' keys are of different kinds.
     """
     a, b = _cells(left, cell, 0.0, "a"), _cells(right, cell, max(inflate, 0.0), "b")
     grid = ["level", "gx", "gy", "gz"]
     # Each pair meets on the level of its coarser box, which is at home there; two boxes that are both away from home never meet.
     meets = [(_dealt(a, "a", cell, True, False), _dealt(b, "b", cell, True, True).drop("width")), (_dealt(a, "a", cell, False, True), _dealt(b, "b", cell, True, False).drop("width"))]
-    hit = F.col("key_a") != F.col("key_b")
+    hit = {"differ": F.col("key_a") != F.col("key_b"), "ascend": F.col("key_a") < F.col("key_b"), "any": F.lit(True)}[keys]
     for x in AXES:
         hit = hit & (F.col(f"a{x}0") <= F.col(f"b{x}1")) & (F.col(f"b{x}0") <= F.col(f"a{x}1"))
         hit = hit & (F.col(f"g{x}") == F.floor(F.greatest(f"a{x}0", f"b{x}0") / F.col("width")))
@@ -62,17 +64,23 @@ def box_join(left: DataFrame, right: DataFrame, inflate: float = 0.0, cell: floa
     return both[0].unionByName(both[1])
 
 
-def unordered(pairs: DataFrame) -> DataFrame:
-    """Each unordered pair once, as a self-join needs it."""
-    return pairs.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+def self_join(boxes: DataFrame, inflate: float = 0.0, cell: float = 1.0) -> DataFrame:
+    """Each unordered pair of overlapping boxes once, without a further shuffle."""
+    return box_join(boxes, boxes, inflate, cell, "ascend")
 
 
 def capped(pairs: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, bool]:
-    """At most so many pairs (0: the default), and whether that many were reached."""
-    out = pairs.limit(most or 1_000_000)
+    """At most so many pairs (0: the default), kept on the executors' disks so that what is counted is what is read, and whether that many were reached."""
+    out = pairs.limit(most or 1_000_000).persist(StorageLevel.DISK_ONLY)
     return out, out.count() >= (most or 1_000_000)
 
 
+def bounds(rows: DataFrame, axes: str = AXES) -> DataFrame:
+    """x0, y0, z0, x1, y1, z1 of the finite points of rows."""
+    ok = [F.when(~F.isnan(a) & (F.abs(a) != float("inf")), F.col(a)) for a in axes]
+    return rows.agg(*[f(c).alias(f"{a}{i}") for i, f in ((0, F.min), (1, F.max)) for a, c in zip(axes, ok, strict=True)])
+
+
 def overlap_depth() -> Column:
     """Least overlap over the axes of a joined pair, 0 at least."""
     return F.greatest(F.lit(0.0), F.least(*[F.least(f"a{x}1", f"b{x}1") - F.greatest(f"a{x}0", f"b{x}0") for x in AXES]))

@@ -47,17 +47,18 @@ def lookup(codes: DataFrame, catalogue: DataFrame, code: str = "code", default_m
     return codes.join(found, F.col(code) == F.col("_code"), "left").drop("_code")
 
 
-def revision_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, change (added, removed, modified, same) and the changed fields of two revisions; numbers to six significant digits."""
+def plain_number_field(df: DataFrame, c: str, name: str):
+    """Column name as field c of df is compared: numbers to six significant digits."""
+    col = F.col(name)
+    if dict(df.dtypes)[c] in ("double", "float"):
+        scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(col))))
+        return F.when(col == 0, 0.0).otherwise(F.round(col * scale) / scale)
+    return col
 
-    def plain(df: DataFrame, c: str, side: str):
-        col = F.col(f"{side}.{c}")
-        if dict(df.dtypes)[c] in ("double", "float"):
-            scale = F.pow(F.lit(10.0), 5 - F.floor(F.log10(F.abs(col))))
-            return F.when(col == 0, 0.0).otherwise(F.round(col * scale) / scale)
-        return col
 
+def revision_diff(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """key, change (added, removed, modified, same) and the changed fields of two revisions; numbers to six significant digits."""
     both = old.withColumn("_in", F.lit(True)).alias("o").join(new.withColumn("_in", F.lit(True)).alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "fullouter")
-    changed = F.filter(F.array(*[F.when(~plain(old, c, "o").eqNullSafe(plain(new, c, "n")), c) for c in fields]), lambda x: x.isNotNull())
+    changed = F.filter(F.array(*[F.when(~plain_number_field(old, c, f"o.{c}").eqNullSafe(plain_number_field(new, c, f"n.{c}")), c) for c in fields]), lambda x: x.isNotNull())
     change = F.when(F.col("o._in").isNull(), "added").when(F.col("n._in").isNull(), "removed").when(F.size(changed) > 0, "modified").otherwise("same")
     return both.select(F.coalesce(f"o.{key}", f"n.{key}").alias(key), change.alias("change"), F.when(change == "modified", F.array_join(changed, ",")).otherwise("").alias("fields"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trussline.functions.numbers import csv_number, format_number, to_number
-from trussline.operators import boxes, catalogue, clashes, events, matrix, quantities
+from trussline.operators import boxes, catalogue, clashes, events, matrix, models, quantities
 from trussline.plans import ids
 
 QUERIES: dict = {}
@@ -145,7 +145,7 @@ def box_join_inflated(spark, sf_dir):
 @query(f"WITH a AS ({_box_sql(0)}) SELECT a.key AS key_a, b.key AS key_b FROM a JOIN a b ON a.key < b.key AND {_HIT.format(g=0)}")
 def box_self_join(spark, sf_dir):
     one = _boxes(spark, sf_dir, 0)
-    return boxes.unordered(boxes.box_join(one, one, cell=2.0))
+    return boxes.self_join(one, cell=2.0).select("key_a", "key_b")
 
 
 @query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT least(50, count(*)) AS n, count(*) >= 50 AS truncated FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0)}")
@@ -301,7 +301,7 @@ def pose_rebase_bounds(spark, sf_dir):
     turn = [[1 - 2 * (b * b + c * c), 2 * (a * b - w * c), 2 * (a * c + w * b)], [2 * (a * b + w * c), 1 - 2 * (a * a + c * c), 2 * (b * c - w * a)], [2 * (a * c - w * b), 2 * (b * c + w * a), 1 - 2 * (a * a + b * b)]]
     e, n, h = (sum(F.lit(turn[i][k]) * p[k] for k in range(3)) + move[i] - (i + 1) for i in range(3))
     world = _t(spark, sf_dir, "embeddings").select(e.alias("x"), h.alias("y"), (-n).alias("z"))
-    return world.agg(*[F.round(f(x), 6).alias(f"{x}{i}") for i, f in ((0, F.min), (1, F.max)) for x in "xyz"])
+    return boxes.bounds(world).select(*[F.round(f"{x}{i}", 6).alias(f"{x}{i}") for i in "01" for x in "xyz"])
 
 
 @query("""SELECT p_partkey, CASE WHEN p_brand = 'Brand#12' THEN 'exact' WHEN p_brand LIKE 'Brand#1%' THEN 'prefix' END AS tipologia,
@@ -331,3 +331,156 @@ def rev_diff(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     n = o.select(F.when(F.col("o_orderkey") % 11 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("o_orderkey"), F.when(F.col("o_orderkey") % 13 == 0, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice")
     return catalogue.revision_diff(o, n, "o_orderkey", ["o_orderstatus", "o_totalprice"])
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as elements of types (customers) on storeys (priorities)."""
+    return _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("element"), F.col("o_custkey").alias("type_key"), F.col("o_orderpriority").alias("storey"))
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
+    row = lambda owner, name, value: [F.col(owner).alias("owner"), F.lit("Pset_Common").alias("pset"), F.lit(name).alias("name"), value.alias("value")]
+    own = o.select(*row("o_orderkey", "Status", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")))).unionByName(o.where("o_orderkey % 5 = 0").select(*row("o_orderkey", "Clerk", F.col("o_clerk") if "o_clerk" in o.columns else F.col("o_orderpriority"))))
+    types = c.where("c_custkey % 2 = 0").select(*row("c_custkey", "Status", F.col("c_mktsegment")))
+    return models.extract(_elements(spark, sf_dir), own, [("status", "Pset_Common", "Status"), ("clerk", "Pset_Common", "Clerk")], types)
+
+
+_EXTRACT = """SELECT o_orderkey AS element, o_custkey AS type_key, o_orderpriority AS storey, coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END) AS status,
+ CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END AS clerk FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
+
+
+@query(_EXTRACT)
+def data_extract(spark, sf_dir):
+    return _extracted(spark, sf_dir)
+
+
+@query(f"WITH e AS ({_EXTRACT}) SELECT 'status' AS \"column\", count(status) AS filled, count(*) AS rows FROM e UNION ALL SELECT 'clerk', count(clerk), count(*) FROM e")
+def data_coverage(spark, sf_dir):
+    return models.coverage(_extracted(spark, sf_dir), ["status", "clerk"])
+
+
+@query(f"WITH e AS ({_EXTRACT}) SELECT storey, count(*) AS elements, CASE WHEN min(status) = max(status) THEN min(status) END AS status, min(status) <> max(status) AS status_differs FROM e GROUP BY storey")
+def data_by_storey(spark, sf_dir):
+    return models.grouped(_extracted(spark, sf_dir), "storey", ["status"])
+
+
+@query("""SELECT s_suppkey, CASE WHEN n_nationkey % 2 = 0 THEN upper('IfcKerb') ELSE 'IFCBUILDINGELEMENTPROXY' END AS ifc_class, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'NOTDEFINED' END AS predefined_type, n_nationkey % 2 = 0 AS patched
+ FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def class_patch(spark, sf_dir):
+    e = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("ref"), F.lit("IFCBUILDINGELEMENTPROXY").alias("ifc_class"), F.lit("NOTDEFINED").alias("predefined_type"))
+    m = _t(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("code"), F.lit("IfcKerb").alias("new_class"), F.col("n_name").alias("new_type"))
+    return models.class_patch(e, m, "ref").drop("ref")
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS cents FROM lineitem)
+ SELECT l_orderkey, l_linenumber, CAST(cents // 100000 AS VARCHAR) || '+' || lpad(CAST((cents // 100) % 1000 AS VARCHAR), 3, '0') || ',' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS chainage, round(cents / 100.0, 2) AS metres FROM c""")
+def chainage(spark, sf_dir):
+    text = models.chainage_text(F.col("l_extendedprice"))
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("chainage"), F.round(models.chainage_metres(text), 2).alias("metres"))
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, "Z").alias("grade"), F.col("o_orderstatus").alias("status"))
+    high, closed = F.col("o_totalprice") > 200000, F.col("status") == "F"
+    return models.edit(rows, [models.Edit(high & closed, "grade", F.lit("A"), True), models.Edit(closed, "grade", F.lit("B")), models.Edit(~closed, "status", F.lit("open"), True)])
+
+
+_RULE = "CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 0 WHEN o_orderstatus = 'F' THEN 1 END"
+
+
+@query(f"""SELECT o_orderkey, o_totalprice, CASE {_RULE} WHEN 0 THEN 'A' WHEN 1 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE 'B' END ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'Z' END END AS grade,
+ CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'open' END AS status FROM orders""")
+def property_edit(spark, sf_dir):
+    return _edited(spark, sf_dir)[0]
+
+
+@query(f"""SELECT o_orderkey, o_totalprice, 'grade' AS property, {_RULE} AS rule, CASE WHEN o_orderkey % 3 = 0 THEN 'Z' END AS old, CASE {_RULE} WHEN 0 THEN 'A' ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'Z' ELSE 'B' END END AS new,
+ CASE WHEN o_orderkey % 3 <> 0 THEN 'set' WHEN {_RULE} = 0 THEN 'overwritten' ELSE 'kept' END AS action FROM orders WHERE o_orderstatus = 'F'
+ UNION ALL SELECT o_orderkey, o_totalprice, 'status', 2, o_orderstatus, 'open', 'overwritten' FROM orders WHERE o_orderstatus <> 'F'""")
+def property_edit_log(spark, sf_dir):
+    return _edited(spark, sf_dir)[1]
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = models.with_uses(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "o_custkey", "uses")
+    return models.health_check(o, [
+        models.Check("duplicate guid", F.col("uses") > 1, "blocking", F.col("o_custkey")), models.Check("missing class", F.col("o_orderstatus") == "P", "fix", F.lit("export setting")),
+        models.Check("far from origin", F.col("o_totalprice") > 400000, "note", F.floor(F.col("o_totalprice") / 1000)), models.Check("never", F.lit(False), "blocking"),
+    ])
+
+
+_HEALTH = """WITH u AS (SELECT o_custkey, count(*) AS uses FROM orders GROUP BY 1)
+ SELECT 'duplicate guid' AS "check", 'blocking' AS severity, count(*) AS problems, CAST(coalesce(sum(uses), 0) AS BIGINT) AS elements FROM u WHERE uses > 1
+ UNION ALL SELECT 'missing class', 'fix', count(DISTINCT 1), count(*) FROM orders WHERE o_orderstatus = 'P'
+ UNION ALL SELECT 'far from origin', 'note', count(DISTINCT floor(o_totalprice / 1000)), count(*) FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'never', 'blocking', 0, 0"""
+
+
+@query(_HEALTH)
+def health_check(spark, sf_dir):
+    return _checked(spark, sf_dir)
+
+
+@query(f"SELECT count(*) FILTER (WHERE severity = 'blocking' AND elements > 0) = 0 AS deliverable, count(*) FILTER (WHERE severity = 'blocking' AND elements > 0) AS blocking FROM ({_HEALTH})")
+def delivery_gate(spark, sf_dir):
+    return models.gate(_checked(spark, sf_dir))
+
+
+@query("""WITH m AS (SELECT 0 AS model, s_suppkey AS id, 'g' || CAST(s_suppkey % 40 AS VARCHAR) AS guid, s_suppkey - 1 AS ref FROM supplier
+  UNION ALL SELECT 1, p_partkey + (SELECT max(s_suppkey) FROM supplier), 'g' || CAST(p_partkey AS VARCHAR), p_partkey - 1 + (SELECT max(s_suppkey) FROM supplier) FROM part),
+ f AS (SELECT guid, min(id) AS first FROM m GROUP BY 1)
+ SELECT model, id, CASE WHEN id = first THEN m.guid ELSE md5(CAST(model AS VARCHAR) || '|' || CAST(id AS VARCHAR) || '|' || m.guid) END AS guid, ref FROM m JOIN f ON m.guid = f.guid""")
+def merge_models(spark, sf_dir):
+    model = lambda t, k, g: _t(spark, sf_dir, t).select(F.col(k).cast("long").alias("id"), F.concat(F.lit("g"), g.cast("string")).alias("guid"), F.array(F.col(k).cast("long") - 1).alias("refs"))
+    both = models.merge([model("supplier", "s_suppkey", F.col("s_suppkey") % 40), model("part", "p_partkey", F.col("p_partkey"))])
+    return both.select("model", "id", "guid", F.col("refs")[0].alias("ref"))
+
+
+@query("""WITH RECURSIVE r(id) AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 97 = 0 UNION SELECT o_orderkey // 2 FROM r JOIN orders ON o_orderkey = id WHERE o_orderkey // 2 > 0) SELECT id FROM r""")
+def reference_closure(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"))
+    links = o.select(F.col("id").alias("source"), F.floor(F.col("id") / 2).cast("long").alias("target")).where("target > 0")
+    return models.closure(links, o.where("id % 97 = 0"))
+
+
+@query("""SELECT c_custkey AS site, concat_ws(',', CASE WHEN c_custkey % 10 = 0 THEN 'degenerate' END, CASE WHEN c_custkey % 7 = 0 THEN 'rotation' END, CASE WHEN c_custkey % 11 < 3 AND c_custkey % 11 > 1 THEN 'origin' END) AS wrong FROM customer""")
+def georeference_check(spark, sf_dir):
+    k = F.col("c_custkey")
+    axis = F.when(k % 10 == 0, 0.0).otherwise(1.0)
+    east = k.cast("double") * 10
+    sites = _t(spark, sf_dir, "customer").select(k.alias("site"), axis.alias("xa"), F.lit(0.0).alias("xo"), (k % 360).cast("double").alias("rotation"), ((k % 360) + 360 + F.when(k % 7 == 0, 5).otherwise(0)).cast("double").alias("true_north"), east.alias("east"), east.alias("north"), (east + (k % 11) * F.when(k % 11 == 2, 1.0).otherwise(0.0)).alias("ref_east"), east.alias("ref_north"))
+    return models.georeference(sites)
+
+
+@query("""WITH e AS (SELECT p_partkey AS k, p_size FROM part)
+ SELECT CAST(k AS VARCHAR) AS key, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 7 = 0 THEN 'n' || CAST(k AS VARCHAR) ELSE CAST(k AS VARCHAR) END AS new_key,
+ CASE WHEN k % 11 = 0 THEN 'removed' WHEN k % 7 = 0 THEN 'recreated' WHEN k % 5 = 0 OR k % 3 = 0 THEN 'modified' ELSE 'same' END AS change,
+ CASE WHEN k % 11 = 0 OR k % 7 = 0 THEN '' ELSE concat_ws(',', CASE WHEN k % 5 = 0 THEN 'size' END, CASE WHEN k % 3 = 0 THEN 'position' END) END AS fields, 1.0::DOUBLE AS confidence FROM e
+ UNION ALL SELECT NULL, 'x' || CAST(k AS VARCHAR), 'added', '', 1.0 FROM e WHERE k % 13 = 0""")
+def rev_diff_matched(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    p = _t(spark, sf_dir, "part")
+    row = lambda key, x, size: [key.alias("key"), F.lit("IFCPLATE").alias("class"), F.concat(F.lit("geo"), (k % 50).cast("string")).alias("geometry"), F.concat(F.lit("plate "), text).alias("name"), x.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), size.alias("size")]
+    at, size = k.cast("double") * 10, F.col("p_size").cast("double")
+    old = p.select(*row(text, at, size))
+    moved = F.when(k % 3 == 0, at + 0.005).otherwise(at + 0.0004)
+    new = p.where(k % 11 != 0).select(*row(F.when(k % 7 == 0, F.concat(F.lit("n"), text)).otherwise(text), F.when(k % 7 == 0, at).otherwise(moved), F.when(k % 5 == 0, size + 1).otherwise(size)))
+    extra = p.where(k % 13 == 0).select(*row(F.concat(F.lit("x"), text), at + 5, size)).withColumn("geometry", F.lit("other"))
+    return models.matched_diff(old, new.unionByName(extra), ["size"])
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, 's' || CAST(s_suppkey AS VARCHAR) AS key, (s_suppkey * 3) % 1009 / 64.0 AS x, (s_suppkey * 7) % 1009 / 64.0 AS y, (s_suppkey * 11) % 1009 / 64.0 AS z FROM supplier),
+ d AS (SELECT a.k AS ka, b.k AS kb, a.key AS key_a, b.key AS key_b, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy, abs(a.z - b.z) AS dz FROM s a JOIN s b ON a.k <> b.k)
+ SELECT 'IFCBEAM' AS a_name, 'IFCWALL' AS b_name, 'hard' AS type, key_a, key_b, round(1 - greatest(dx, dy, dz), 6)::DOUBLE AS value FROM d WHERE ka % 3 = 1 AND kb % 3 = 0 AND greatest(dx, dy, dz) < 1
+ UNION ALL SELECT 'IFCSLAB', 'IFCWALL', 'clearance', key_a, key_b, round(dist, 6)::DOUBLE FROM (SELECT *, sqrt(pow(greatest(dx - 1, 0), 2) + pow(greatest(dy - 1, 0), 2) + pow(greatest(dz - 1, 0), 2)) AS dist FROM d) WHERE ka % 3 = 2 AND kb % 3 = 0 AND dist < 0.25""")
+def clash_run(spark, sf_dir):
+    faces = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3)]
+    k = F.col("s_suppkey")
+    at = [(k * m) % 1009 / 64.0 for m in (3, 7, 11)]
+    tris = F.array(*[F.lit(float((v >> (2 - i)) & 1)) + at[i] for f in faces for v in f for i in range(3)])
+    kind = F.element_at(F.array(F.lit("IfcWall"), F.lit("IfcBeam"), F.lit("IfcSlab")), (k % 3 + 1).cast("int"))
+    elements = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("key"), kind.alias("ifc_class"), tris.alias("tris"))
+    sets = spark.createDataFrame([("IFCWALL",), ("IFCBEAM",), ("IFCSLAB",)], "name string")
+    rules = spark.createDataFrame([("IFCBEAM", "IFCWALL", "hard", 0.0), ("IFCSLAB", "IFCWALL", "clearance", 0.25)], "a_name string, b_name string, type string, tol double")
+    return clashes.clash_run(elements, sets, rules).select("a_name", "b_name", "type", "key_a", "key_b", F.round("value", 6).alias("value"))
