@@ -292,12 +292,24 @@ def test_urls(spark):
     assert {r.verdict for r in urls.url_verdicts(spark.createDataFrame([(1, "x.org"), (2, None)], "page_id long, url string")).collect()} == {"allow"}
 
 
+def test_suffix_statistics_are_out_of_fold(spark):
+    """A labelled URL's suffix statistics leave out its fold; others see all; rare suffixes have the overall share."""
+    rows = [(i, "net" if i < 40 else "rare", float(i % 2) if i < 30 or i == 40 else None) for i in range(42)]
+    got = {r.x: r for r in urls._with_suffix(spark.createDataFrame(rows, "x long, s1 string, label double"), "s1", 0.25).collect()}
+    for x, _, label in rows[:40]:
+        own = [y for i, _, y in rows[:30] if label is None or i % urls.FOLDS != x % urls.FOLDS]
+        assert got[x].f_s1_n == pytest.approx(np.log1p(len(own))) and got[x].f_s1_rate == pytest.approx((sum(own) + urls.PRIOR * 0.25) / (len(own) + urls.PRIOR))
+    assert got[41].f_s1_n == 0 and got[41].f_s1_rate == pytest.approx(0.25)
+
+
 def test_url_trees_learn(spark):
     rng = random.Random(2)
     pages = [(i, f"http://{w}.zz.net/{'es' if bad else 'en'}/{rng.randrange(99)}" if i % 2 else f"http://{w}.org/{'es' if bad else 'en'}/{rng.randrange(99)}", bad) for i in range(600) for bad in [rng.random() < 0.5] for w in ["cheap-pills-win" if bad else "home"]]
     rules = (("block", "net/es/"), ("allow", "net/en/"))
     got = {r.page_id: r.verdict for r in urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string, bad boolean"), rules).collect()}
     assert np.mean([(got[i] == "block") == bad for i, _, bad in pages if i % 2 == 0]) > 0.95
+    unseen = {r.page_id: r.predicted for r in urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string, bad boolean"), rules, learn=F.col("page_id") % 4 == 1).collect()}
+    assert np.mean([(unseen[i] == "block") == bad for i, _, bad in pages if i % 4 == 3]) > 0.95
 
 
 def test_lm(rows, docs, none):

@@ -2,7 +2,11 @@
 
 Everything is DataFrame expressions and Spark's own tree learner: no Python on
 the executors. The labelled URLs are those that a rule fits; the trees learn
-from them and judge the others.
+from them and judge the others. Suffix statistics (how many labelled URLs there
+are under a host's last label, and its last two, and what share of them is
+blocked) are taken over all labelled URLs; a labelled URL is described by those
+of the other FOLDS only, so that its own label is no part of what the trees see.
+Suffixes with fewer than SUFFIX_ROWS labelled URLs have the overall share.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path, fits
 no rule and is judged by the trees from its (empty) features; without any
@@ -24,6 +28,8 @@ Rule = tuple[str, str]
 RULES: tuple[Rule, ...] = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: About so many labelled URLs at most train the trees (a seeded hash picks them); trees, their depth, and the weight of the prior in a suffix's block rate.
 TRAIN_ROWS, TREES, DEPTH, PRIOR = 50_000, 10, 4, 20.0
+#: Folds of the suffix statistics, and labelled URLs that a suffix needs to have its own.
+FOLDS, SUFFIX_ROWS = 5, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,24 +69,39 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, train_rows: int = TRAIN_ROWS, keep: str = "page_id") -> DataFrame:
-    """keep column, host, path, rule, verdict, and the trees' block probability-like class for rows without a rule."""
+def _with_suffix(rows: DataFrame, s: str, rate: float) -> DataFrame:
+    """rows with f_<s>_n and f_<s>_rate of their suffix in column s; labelled rows by the other folds."""
+    fold = F.pmod("x", F.lit(FOLDS))
+    own = [f for i in range(FOLDS) for f in (F.count_if(fold == i).alias(f"n{i}"), F.sum(F.when(fold == i, F.col("label"))).alias(f"b{i}"))]
+    stat = rows.where("label is not null").groupBy(F.col(s).alias("_s")).agg(F.count("*").alias("n"), F.sum("label").alias("b"), *own).where(F.col("n") >= SUFFIX_ROWS)
+    out = rows.join(stat, F.col(s) == F.col("_s"), "left")
+    labelled = F.col("label").isNotNull()
+    part = lambda k: F.coalesce(F.element_at(F.array(*[F.col(f"{k}{i}").cast("double") for i in range(FOLDS)]), (fold + 1).cast("int")), F.lit(0.0))
+    n, b = (F.coalesce(F.col(k) - F.when(labelled, part(k)).otherwise(0.0), F.lit(0.0)) for k in "nb")
+    out = out.withColumns({f"f_{s}_n": F.log1p(n), f"f_{s}_rate": (b + PRIOR * rate) / (n + PRIOR)})
+    return out.drop("_s", "n", "b", *[f"{k}{i}" for i in range(FOLDS) for k in "nb"])
+
+
+def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, train_rows: int = TRAIN_ROWS, keep: str = "page_id", learn: Column | None = None) -> DataFrame:
+    """keep column, host, path, rule, verdict, and predicted, the trees' verdict of every row; learn: which labelled URLs (by column url) may be learned from."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    base = pages.select(F.col(keep).alias("k"), F.col("url").alias("u")).withColumn("h", host(F.col("u"))).withColumn("p", path(F.col("u"))).withColumn("m", matched(F.col("h"), F.col("p"), rules))
+    allowed = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    base = pages.select(F.col(keep).alias("k"), F.col("url").alias("u"), allowed.alias("allowed")).withColumn("h", host(F.col("u"))).withColumn("p", path(F.col("u"))).withColumn("m", matched(F.col("h"), F.col("p"), rules))
     names = lexical(F.col("u"), F.col("h"), F.col("p"))
-    rows = base.select("k", "h", "p", "m", F.xxhash64(F.col("u")).alias("x"), (F.col("m.verdict") == "block").cast("double").alias("label"), F.substring_index("h", ".", -1).alias("s1"), F.substring_index("h", ".", -2).alias("s2"), *[c.alias(f"f_{n}") for n, c in names.items()])
+    label = F.when(F.col("allowed"), (F.col("m.verdict") == "block").cast("double"))
+    rows = base.select("k", "h", "p", "m", F.xxhash64(F.col("u")).alias("x"), label.alias("label"), F.substring_index("h", ".", -1).alias("s1"), F.substring_index("h", ".", -2).alias("s2"), *[c.alias(f"f_{n}") for n, c in names.items()])
     found = {r["label"]: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
+
+    def judged(rows: DataFrame, verdict: Column) -> DataFrame:
+        return rows.select(F.col("k").alias(keep), F.col("h").alias("host"), F.col("p").alias("path"), F.col("m.rule").alias("rule"), F.coalesce("m.verdict", verdict).alias("verdict"), verdict.alias("predicted"))
+
     if len(found) < 2:
-        only = "block" if set(found) == {1.0} else "allow"
-        return base.select(F.col("k").alias(keep), F.col("h").alias("host"), F.col("p").alias("path"), F.col("m.rule").alias("rule"), F.coalesce("m.verdict", F.lit(only)).alias("verdict"))
+        return judged(base, F.lit("block" if set(found) == {1.0} else "allow"))
     n = sum(found.values())
-    rate = found[1.0] / n
-    # Suffix statistics: labelled URLs under a host's last label, and its last two, and how many of them are blocked.
     for s in ("s1", "s2"):
-        stat = rows.where("label is not null").groupBy(F.col(s).alias(f"{s}_k")).agg(F.log1p(F.count("*")).alias(f"f_{s}_n"), ((F.sum("label") + PRIOR * rate) / (F.count("*") + PRIOR)).alias(f"f_{s}_rate"))
-        rows = rows.join(stat, F.col(s) == F.col(f"{s}_k"), "left").drop(f"{s}_k").fillna({f"f_{s}_n": 0.0, f"f_{s}_rate": rate})
+        rows = _with_suffix(rows, s, found[1.0] / n)
     inputs = [c for c in rows.columns if c.startswith("f_")]
     assemble = VectorAssembler(inputCols=inputs, outputCol="features")
     grain = 1 << 20
@@ -88,9 +109,6 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, train_rows: in
     train = written(picked.select("label", *inputs).coalesce(4), "urls")
     kinds = [r[0] for r in train.select("label").distinct().collect()]
     if len(kinds) < 2:
-        verdict = F.lit("block" if kinds == [1.0] else "allow")
-    else:
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11).fit(assemble.transform(train))
-        rows = model.transform(assemble.transform(rows))
-        verdict = F.when(F.col("prediction") == 1.0, "block").otherwise("allow")
-    return rows.select(F.col("k").alias(keep), F.col("h").alias("host"), F.col("p").alias("path"), F.col("m.rule").alias("rule"), F.coalesce("m.verdict", verdict).alias("verdict"))
+        return judged(rows, F.lit("block" if kinds == [1.0] else "allow"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=11).fit(assemble.transform(train))
+    return judged(model.transform(assemble.transform(rows)), F.when(F.col("prediction") == 1.0, "block").otherwise("allow"))
