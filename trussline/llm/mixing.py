@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Buckets of a source's seeded order, at least; more rows to a source make more.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
