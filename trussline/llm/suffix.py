@@ -141,7 +141,7 @@ def _sliding_argmin(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def shared_passages(base: DataFrame, count: int) -> DataFrame:
-    """(id, h, shared): how many anchors of windows of count words occur in other rows too, of the texts that have any; from (id, h, text)."""
+    """(sid, sh, shared): how many anchors of windows of count words occur in other rows too, of the texts that have any; from (id, h, text)."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +152,7 @@ def shared_passages(base: DataFrame, count: int) -> DataFrame:
 
     rows = written(mapped(base, sample, "name long, id long, h long").groupBy("name", "id", "h").agg(F.count("*").alias("n")), "passages")
     again = rows.groupBy("name").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("name").alias("again"))
-    return rows.join(again, F.col("name") == F.col("again"), "leftsemi").groupBy(F.col("id").alias("pid"), F.col("h").alias("ph")).agg(F.sum("n").alias("shared"))
+    return rows.join(again, F.col("name") == F.col("again"), "leftsemi").groupBy(F.col("id").alias("sid"), F.col("h").alias("sh")).agg(F.sum("n").alias("shared"))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -346,7 +346,12 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
     base = docs.select(F.coalesce(own, F.lit(-1)).alias("id"), F.xxhash64(own.isNull(), own, text_column).alias("h"), F.col(text_column).alias("text"), own.isNull().alias("nameless"), *[F.col(c).alias(k) for k, c in named.items()])
     texts = base.select("id", "h", "text").where("text <> ''")
     spans = repeated_spans(texts, width)
-    by_doc = written(spans.groupBy(F.col("id").alias("sid"), F.col("h").alias("sh")).agg(F.collect_set(F.struct("first", "end")).alias("spans")), "spans")
+    by_doc = spans.groupBy(F.col("id").alias("sid"), F.col("h").alias("sh")).agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    if passages is None:
+        by_doc = by_doc.withColumn("shared", F.lit(None).cast("long"))
+    else:
+        by_doc = by_doc.join(shared_passages(texts, passages), ["sid", "sh"], "fullouter")
+    by_doc = written(by_doc, "spans")
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,16 +375,11 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
     text = F.coalesce("text", F.lit(""))
     plain = [F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), (text if with_text else F.lit(None).cast("string")).alias("kept_text")]
     # Texts move only where there is something to remove (or the filter can't tell); all others are done where they are read.
-    more = [*named, "h", "nameless"]
+    more = [*named, "nameless"]
     touched = flagged(base, "h", by_doc, "sh")
-    clean = touched.where("not _hit").select("id", *plain, *more)
-    moved = touched.where("_hit").join(by_doc, (F.col("id") == F.col("sid")) & (F.col("h") == F.col("sh")), "left").select("id", "text", "spans", *more)
+    clean = touched.where("not _hit").select("id", *plain, *more, F.lit(None).cast("long").alias("shared"))
+    moved = touched.where("_hit").join(by_doc, (F.col("id") == F.col("sid")) & (F.col("h") == F.col("sh")), "left").select("id", "text", "spans", *more, "shared")
     kinds = "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in more)
-    out = clean.unionByName(mapped(moved, cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + kinds))
-    if passages is not None:
-        found = written(shared_passages(texts, passages), "shared")
-        rows = flagged(out, "h", found, "ph")
-        hits = rows.where("_hit").join(found, (F.col("id") == F.col("pid")) & (F.col("h") == F.col("ph")), "left")
-        out = rows.where("not _hit").withColumn("shared", F.lit(None).cast("long")).unionByName(hits.drop("pid", "ph"))
+    out = clean.unionByName(mapped(moved, cut, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string" + kinds + ", shared long"))
     last = [F.coalesce("shared", F.lit(0).cast("long")).alias("shared_passages")] if passages is not None else []
     return out.select(F.when(~F.col("nameless"), F.col("id")).alias(id_column), *names[1 : 6 if with_text else 5], *[F.col(k).alias(c) for k, c in named.items()], *last)
