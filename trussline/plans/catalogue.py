@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -484,3 +487,23 @@ def clash_run(spark, sf_dir):
     sets = spark.createDataFrame([("IFCWALL",), ("IFCBEAM",), ("IFCSLAB",)], "name string")
     rules = spark.createDataFrame([("IFCBEAM", "IFCWALL", "hard", 0.0), ("IFCSLAB", "IFCWALL", "clearance", 0.25)], "a_name string, b_name string, type string, tol double")
     return clashes.clash_run(elements, sets, rules).select("a_name", "b_name", "type", "key_a", "key_b", F.round("value", 6).alias("value"))
+
+
+@query("SELECT " + ", ".join(f"round(CAST(embedding[{i}] AS DOUBLE) * 10, 2)::DOUBLE + 0.0 AS {a}" for i, a in enumerate("xyz", 1)) + ", CAST(vec_id % 200 AS SMALLINT) AS r FROM embeddings")
+def las_scan(spark, sf_dir):
+    """Points written as LAS files by the tasks and read back."""
+    from trussline.sources import pointclouds
+
+    pointclouds.register(spark)
+    where = f"{_scratch(spark)}/las-{uuid.uuid4().hex}"
+    at = [F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(a) for i, a in enumerate("xyz")]
+    colour = ((F.col("vec_id") % 200) * 256).cast("int")
+    _t(spark, sf_dir, "embeddings").select(*at, colour.alias("r"), F.lit(65280).alias("g"), F.lit(0).alias("b")).write.format("las").mode("append").save(where)
+    back = spark.read.format("las").option("path", where).option("swizzle", "false").load()
+    return back.select(*[(F.round(F.col(a).cast("double"), 2) + 0.0).alias(a) for a in "xyz"], "r")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; a local session may do without."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    return where or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")

@@ -1,22 +1,31 @@
 """Point-cloud files as Spark data sources: ``spark.read.format("las")`` and ``format("e57")``.
 
-A LAS file is split into record ranges, an E57 file into its scans, one task
-each; a task reads only its bytes and yields Arrow batches. Options: path,
-max_points (0: all; then a stride over the global index), origin ("x,y,z"),
-swizzle (default true: x, z, -y). Rows: idx, x, y, z (float) and r, g, b.
+A path is a file, a folder or a pattern in a folder, on any file system that
+Arrow knows by its address. LAS files are split into record ranges and E57 scans
+into ranges of records too (found by an index of their packets), one task each;
+a task reads only its bytes and yields Arrow batches. Options: path, max_points
+(0: all; then a stride over the global index, which goes on from file to file in
+order of names), origin ("x,y,z"), swizzle (default true: x, z, -y). Rows: idx,
+x, y, z (float) and r, g, b.
+
+``write.format("las")`` writes points (x, y, z double, and r, g, b if they are
+there) as LAS files of format 2, one for each Arrow batch; option scale.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import math
 import struct
+import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "idx bigint, x float, y float, z float, r smallint, g smallint, b smallint"
 #: First byte of the colours in a record, by point format (fixed values).
@@ -83,51 +92,139 @@ def _rgb_shift(f, h: LasHeader, size: int, step: int) -> int:
 class Range(InputPartition):
     first: int
     end: int
-    shift: int = 0
+    file: int = 0
     scan: int = 0
 
 
-def _options(options: dict) -> tuple[str, int, tuple[float, float, float] | None, bool]:
+def _files(path: str, suffix: str) -> list[str]:
+    """The addresses of the files that a path names, in order."""
+    fs, at = _system(path)
+    folder, name = at.rpartition("/")[::2]
+    if any(c in name for c in "*?["):
+        found = [i.path for i in fs.get_file_info(FileSelector(folder)) if i.type == FileType.File and fnmatch.fnmatchcase(i.base_name, name)]
+    elif fs.get_file_info(at).type == FileType.Directory:
+        found = [i.path for i in fs.get_file_info(FileSelector(at, recursive=True)) if i.type == FileType.File and i.base_name.lower().endswith(suffix)]
+    else:
+        return [path]
+    scheme = path[: len(path) - len(at)] if path.endswith(at) else ""
+    return [scheme + x for x in sorted(found)]
+
+
+def _system(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (LocalFileSystem(), path)
+
+
+def _open(path: str):
+    fs, at = _system(path)
+    return fs.open_input_file(at)
+
+
+def _options(options: dict, suffix: str) -> tuple[list[str], int, tuple[float, float, float] | None, bool]:
     origin = options.get("origin")
-    return options["path"].removeprefix("file://"), int(options.get("max_points", 0)), tuple(map(float, origin.split(","))) if origin else None, str(options.get("swizzle", "true")).lower() == "true"
+    return _files(options["path"], suffix), int(options.get("max_points", 0)), tuple(map(float, origin.split(","))) if origin else None, str(options.get("swizzle", "true")).lower() == "true"
 
 
 class LasReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, most, origin, self.swizzle = _options(options)
+        self.paths, most, origin, self.swizzle = _options(options, ".las")
         self.origin = origin or (0.0, 0.0, 0.0)
-        with open(self.path, "rb") as f:
-            self.h = las_header(f.read(375))
-            if self.h.compressed:
+        self.heads: list[LasHeader] = []
+        for path in self.paths:
+            with _open(path) as f:
+                self.heads.append(las_header(f.read(375)))
+            if self.heads[-1].compressed:
                 raise ValueError("compressed LAS files must be decompressed first")
-            self.step = step_for(self.h.count, most)
-            size = f.seek(0, 2)
-            self.shift = _rgb_shift(f, self.h, size, self.step)
-        # Records whose coordinates are there in full.
-        self.n = min(self.h.count, max(0, (size - self.h.data_at - 12) // self.h.record + 1) if size >= self.h.data_at + 12 else 0)
+        self.step = step_for(sum(h.count for h in self.heads), most)
+        self.shifts, self.counts = [], []
+        for path, h in zip(self.paths, self.heads, strict=True):
+            with _open(path) as f:
+                size = f.size()
+                self.shifts.append(_rgb_shift(f, h, size, self.step))
+            # Records whose coordinates are there in full.
+            self.counts.append(min(h.count, max(0, (size - h.data_at - 12) // h.record + 1) if size >= h.data_at + 12 else 0))
 
     def partitions(self) -> list[Range]:
-        return [Range(i, min(i + PART, self.n)) for i in range(0, self.n, PART)] or [Range(0, 0)]
+        return [Range(i, min(i + PART, n), k) for k, n in enumerate(self.counts) for i in range(0, n, PART)] or [Range(0, 0)]
 
     def read(self, p: Range) -> Iterator[pa.RecordBatch]:
-        h, at = self.h, RGB_OFFSET.get(self.h.point_format)
-        with open(self.path, "rb") as f:
+        if p.first == p.end:
+            return
+        h, shift, before = self.heads[p.file], self.shifts[p.file], sum(x.count for x in self.heads[: p.file])
+        at = RGB_OFFSET.get(h.point_format)
+        with _open(self.paths[p.file]) as f:
             for lo in range(p.first, p.end, BATCH):
                 hi = min(lo + BATCH, p.end)
                 f.seek(h.data_at + lo * h.record)
                 raw = f.read((hi - lo) * h.record)
                 rows = np.frombuffer(raw.ljust((hi - lo) * h.record, b"\0"), np.uint8).reshape(-1, h.record)
-                idx = np.arange(lo, hi)
+                idx = np.arange(lo, hi) + before
                 keep = idx % self.step == 0
                 rows, idx = rows[keep], idx[keep]
                 xyz = np.ascontiguousarray(rows[:, :12]).view("<i4").astype(np.float64) * h.scale + h.offset
                 if at is None:
                     rgb = (np.full(len(idx), GREY),) * 3
                 else:
-                    rgb = tuple((np.ascontiguousarray(rows[:, at : at + 6]).view("<u2") >> self.shift & 255).T)
+                    rgb = tuple((np.ascontiguousarray(rows[:, at : at + 6]).view("<u2") >> shift & 255).T)
                 yield batch(idx, placed(*xyz.T, self.origin, self.swizzle), rgb)
 
 
+def las_bytes(xyz: np.ndarray, rgb: np.ndarray, scale: float) -> bytes:
+    """A LAS 1.2 file of format 2; coordinates are rounded to the scale, from an offset at their middle."""
+    n = len(xyz)
+    low, high = (f(xyz, axis=0) if n else np.zeros(3) for f in (np.min, np.max))
+    offset = np.floor((low + high) / 2)
+    if n and np.abs(xyz - offset).max() / scale >= 2**31:
+        raise ValueError("the points span more than the scale allows")
+    rows = np.zeros(n, np.dtype([("at", "<i4", 3), ("other", "V8"), ("rgb", "<u2", 3)]))
+    rows["at"], rows["rgb"] = np.rint((xyz - offset) / scale), rgb
+    head = bytearray(227)
+    head[:4], head[24:26] = b"LASF", bytes((1, 2))
+    struct.pack_into("<HIIBHI", head, 94, 227, 227, 0, 2, rows.itemsize, n)
+    struct.pack_into("<12d", head, 131, *(scale,) * 3, *offset, high[0], low[0], high[1], low[1], high[2], low[2])
+    return bytes(head) + rows.tobytes()
+
+
+class LasWriter(DataSourceArrowWriter):
+    """Each Arrow batch becomes a file; files of failed tasks go when the write ends."""
+
+    def __init__(self, options: dict, schema) -> None:
+        self.path, self.scale, self.names = options["path"], float(options.get("scale", 0.001)), schema.fieldNames()
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        fs, at = _system(self.path)
+        fs.create_dir(at, recursive=True)
+        made = []
+        for b in batches:
+            column = lambda c: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            xyz = np.stack([column(c).astype(float) for c in "xyz"], 1)
+            sound = np.isfinite(xyz).all(1)
+            rgb = np.stack([np.nan_to_num(column(c).astype(float)) for c in "rgb"], 1) if {"r", "g", "b"} <= set(self.names) else np.full(xyz.shape, GREY)
+            made.append(f"part-{uuid.uuid4().hex}.las")
+            with fs.open_output_stream(f"{at}/{made[-1]}") as f:
+                f.write(las_bytes(xyz[sound], rgb[sound], self.scale))
+        return Written(made)
+
+    def commit(self, messages: list) -> None:
+        """Leaves only what the tasks that count have written."""
+        fs, at = _system(self.path)
+        own = {name for m in messages if m for name in m.names}
+        if not own:
+            fs.create_dir(at, recursive=True)
+        for i in fs.get_file_info(FileSelector(at)):
+            if i.base_name.startswith("part-") and i.base_name not in own and i.type == FileType.File:
+                fs.delete_file(i.path)
+
+    def abort(self, messages: list) -> None:
+        fs, at = _system(self.path)
+        for name in {name for m in messages if m for name in m.names}:
+            fs.delete_file(f"{at}/{name}")
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
 class Las(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -139,6 +236,9 @@ class Las(DataSource):
     def reader(self, schema) -> LasReader:
         return LasReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> LasWriter:
+        return LasWriter(self.options, schema)
+
 
 @dataclass
 class Field:
@@ -255,32 +355,58 @@ def e57_scans(f) -> list[Scan]:
 
 def e57_point_count(path: str) -> int:
     """Points of a file by its metadata; nothing is decoded."""
-    with open(path.removeprefix("file://"), "rb") as f:
+    with _open(path) as f:
         return sum(s.count for s in e57_scans(f))
 
 
-def records(f, page: int, scan: Scan) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
-    """(first record, columns) of the records that are complete on all fields, packet by packet."""
+def packets(f, page: int, scan: Scan) -> list[tuple[int, list[int]]]:
+    """(place of the first stream, bytes of each field's stream) of a scan's data packets; only their heads are read."""
     pages = Pages(f, page)
     start = pages.logical(scan.at)
     section = pages.read(start, 32)
     if section[0] != 1:
         raise ValueError("a compressed vector section was expected")
     length, data_at = struct.unpack_from("<QQ", section, 8)
-    at, end, done = pages.logical(data_at), start + length, 0
-    held = [np.zeros(0, np.uint8) for _ in scan.fields]
-    bit = [0] * len(held)
-    while at + 6 <= end and done < scan.count:
+    at, end, out = pages.logical(data_at), start + length, []
+    while at + 6 <= end:
         kind, size, streams = struct.unpack("<BxHH", pages.read(at, 6))
         if kind == 1:
-            sizes = np.frombuffer(pages.read(at + 6, 2 * streams), "<u2").astype(int)
-            raw = np.frombuffer(pages.read(at + 6 + 2 * streams, int(sizes.sum())), np.uint8)
-            for k, part in enumerate(np.split(raw, np.cumsum(sizes)[:-1])[: len(held)]):
-                held[k] = np.concatenate([held[k], part])
+            out.append((at + 6 + 2 * streams, np.frombuffer(pages.read(at + 6, 2 * streams), "<u2").astype(int).tolist()))
         elif kind not in (0, 2):
             break
         at += size + 1
-        n = min([scan.count - done, *((len(b) * 8 - o) // x.bits for b, o, x in zip(held, bit, scan.fields, strict=True) if x.bits)])
+    return out
+
+
+def complete(index: list, scan: Scan) -> int:
+    """Records that are there on all fields."""
+    bits = [8 * sum(sizes[k] for _, sizes in index if k < len(sizes)) // x.bits for k, x in enumerate(scan.fields) if x.bits]
+    return min([scan.count, *bits])
+
+
+def records(f, page: int, scan: Scan, index: list | None = None, first: int = 0, end: int | None = None) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(first record, columns) of records first to end that are complete on all fields, some packets at a time.
+
+    A field's streams follow each other as one, so record i begins at its bit
+    i * bits; a packet's streams are skipped up to that bit and read from there.
+    """
+    pages = Pages(f, page)
+    index = packets(f, page, scan) if index is None else index
+    end = min(complete(index, scan), scan.count if end is None else end)
+    held = [np.zeros(0, np.uint8) for _ in scan.fields]
+    bit = [first * x.bits % 8 for x in scan.fields]
+    skip = [first * x.bits // 8 for x in scan.fields]
+    done = first
+    for at, sizes in index:
+        if done >= end:
+            return
+        for k, size in enumerate(sizes[: len(held)]):
+            gone = min(skip[k], size)
+            skip[k] -= gone
+            if size > gone:
+                held[k] = np.concatenate([held[k], np.frombuffer(pages.read(at + gone, size - gone), np.uint8)])
+            at += size
+        n = min([end - done, *((len(b) * 8 - o) // x.bits for b, o, x in zip(held, bit, scan.fields, strict=True) if x.bits)])
         if n > 0:
             yield done, {x.name: x.decode(b, o, n) for b, o, x in zip(held, bit, scan.fields, strict=True)}
             for k, x in enumerate(scan.fields):
@@ -298,32 +424,37 @@ def posed(x: np.ndarray, y: np.ndarray, z: np.ndarray, pose: tuple[float, ...])
 
 class E57Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
-        self.path, most, self.origin, self.swizzle = _options(options)
-        with open(self.path, "rb") as f:
-            self.page = e57_header(f.read(48)).page
-            self.scans = e57_scans(f)
-            total = sum(s.count for s in self.scans)
-            if not total:
-                raise ValueError("no points")
-            self.step = step_for(total, most)
-            if self.origin is None:  # the first point, rounded half up
-                for s in self.scans:
-                    first = next(iter(records(f, self.page, s)), None)
-                    if first:
-                        xyz = posed(*(first[1].get(f"cartesian{a}", np.zeros(1))[:1] for a in "XYZ"), s.pose)
-                        self.origin = tuple(float(np.floor(v[0] + 0.5)) for v in xyz)
-                        break
-            self.origin = self.origin or (0.0, 0.0, 0.0)
+        self.paths, most, self.origin, self.swizzle = _options(options, ".e57")
+        self.scans: list[tuple[int, int, int, Scan, list]] = []  # file, page, first index, scan, packets
+        total = 0
+        for k, path in enumerate(self.paths):
+            with _open(path) as f:
+                page = e57_header(f.read(48)).page
+                for s in e57_scans(f):
+                    index = packets(f, page, s) if s.count else []
+                    if self.origin is None:  # the first point, rounded half up
+                        first = next(iter(records(f, page, s, index, 0, 1)), None) if s.count else None
+                        if first:
+                            xyz = posed(*(first[1].get(f"cartesian{a}", np.zeros(1))[:1] for a in "XYZ"), s.pose)
+                            self.origin = tuple(float(np.floor(v[0] + 0.5)) for v in xyz)
+                    self.scans.append((k, page, total, s, index))
+                    total += s.count
+        if not total:
+            raise ValueError("no points")
+        self.step = step_for(total, most)
+        self.origin = self.origin or (0.0, 0.0, 0.0)
 
     def partitions(self) -> list[Range]:
-        return [Range(s.first, s.first + s.count, scan=i) for i, s in enumerate(self.scans)]
+        return [Range(i, min(i + PART, n), scan=k) for k, (*_, s, index) in enumerate(self.scans) for n in [complete(index, s)] for i in range(0, n, PART)] or [Range(0, 0)]
 
     def read(self, p: Range) -> Iterator[pa.RecordBatch]:
-        s = self.scans[p.scan]
-        with open(self.path, "rb") as f:
-            for first, cols in records(f, self.page, s):
+        if p.first == p.end:
+            return
+        k, page, before, s, index = self.scans[p.scan]
+        with _open(self.paths[k]) as f:
+            for first, cols in records(f, page, s, index, p.first, p.end):
                 n = len(next(iter(cols.values())))
-                idx = np.arange(first, first + n) + s.first
+                idx = np.arange(first, first + n) + before
                 keep = idx % self.step == 0
                 xyz = posed(*(cols.get(f"cartesian{a}", np.zeros(n))[keep] for a in "XYZ"), s.pose)
                 rgb = tuple((cols[k][keep].astype(np.int64) & 255) if (k := f"color{c}") in cols else np.full(int(keep.sum()), GREY) for c in ("Red", "Green", "Blue"))
