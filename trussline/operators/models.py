@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trussline.functions.scratch import checkpointed
+
 Wanted = Sequence[tuple[str, str, str]]
 
 
@@ -158,12 +160,12 @@ def closure(links: DataFrame, roots: DataFrame) -> DataFrame:
     Each step follows the links of what the step before found; what has been
     found is checkpointed, so that a lost executor costs one step.
     """
-    found = roots.select("id").where("id is not null").distinct().checkpoint()
+    found = checkpointed(roots.select("id").where("id is not null").distinct())
     fresh = found
     while not fresh.isEmpty():
         ahead = fresh.join(links, F.col("id") == F.col("source")).select(F.col("target").alias("id")).where("id is not null").distinct()
-        fresh = ahead.join(found, "id", "leftanti").checkpoint()
-        found = found.unionByName(fresh).checkpoint()
+        fresh = checkpointed(ahead.join(found, "id", "leftanti"))
+        found = checkpointed(found.unionByName(fresh))
     return found
 
 

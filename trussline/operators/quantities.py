@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trussline.functions.numbers import csv_field, csv_number, finite, natural_key
+from trussline.functions.scratch import checkpointed
 
 #: Quantity columns of a row unless others are asked for (fixed values).
 STANDARD = ("count", "length", "area", "volume", "weight")
+#: Title of the group column unless another is given (fixed value).
+HEADER = "Gruppo"
 
 
 def quantity(name: str, source: str = "qty") -> Column:
@@ -39,9 +42,17 @@ def used_columns(aggregated: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def natural_rank(groups: DataFrame, key: str = "key", rank: str = "rank") -> DataFrame:
-    """Rank of each group in natural order, the empty key last. Groups are few; rows never reach this window."""
-    order = Window.orderBy(F.col(key) == "", natural_key(F.col(key)), F.col(key))
-    return groups.withColumn(rank, F.row_number().over(order))
+    """Rank of each group in natural order, the empty key last.
+
+    Groups are dealt by ranges of that order, ranked inside a range, and moved up
+    by the counts of the ranges before; the ranges are checkpointed, as a second
+    sampling of their bounds might differ.
+    """
+    order = [F.col(key) == "", natural_key(F.col(key)), F.col(key)]
+    ranged = checkpointed(groups.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("_at", inside).join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn(rank, (F.col("_at") + F.col("_before")).cast("int")).drop("_range", "_r", "_at", "_before")
 
 
 def csv_lines(groups: DataFrame, columns: Sequence[str], titles: dict[str, str] | None = None, sep: str = ";", decimal: str = ",", empty: str = "(no value)", total: str = "TOTAL") -> DataFrame:
@@ -50,7 +61,7 @@ def csv_lines(groups: DataFrame, columns: Sequence[str], titles: dict[str, str]
     last = groups.where("is_total").withColumn("line_no", F.lit(2147483647)).withColumn("label", F.lit(total))
     rows = body.unionByName(last)
     line = F.concat_ws(sep, csv_field(F.col("label"), sep), F.col("n").cast("string"), *[F.when(F.col(f"have_{c}") > 0, csv_number(F.col(f"sum_{c}"), decimal)).otherwise("") for c in columns])
-    names = {"key": "Gruppo", "n": "N"} | (titles or {})
+    names = {"key": HEADER, "n": "N"} | (titles or {})
     head = groups.sparkSession.range(1).select(F.lit(0).alias("line_no"), F.concat_ws(sep, *[csv_field(F.lit(names.get(c, c)), sep) for c in ("key", "n", *columns)]).alias("line"))
     return head.unionByName(rows.select("line_no", line.alias("line")))
 

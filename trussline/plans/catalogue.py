@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trussline.functions.numbers import csv_number, format_number, to_number
+from trussline.functions.scratch import scratch_dir
 from trussline.operators import boxes, catalogue, clashes, events, matrix, models, quantities
 from trussline.plans import ids
 
@@ -495,15 +495,9 @@ def las_scan(spark, sf_dir):
     from trussline.sources import pointclouds
 
     pointclouds.register(spark)
-    where = f"{_scratch(spark)}/las-{uuid.uuid4().hex}"
+    where = f"{scratch_dir(spark)}/las-{uuid.uuid4().hex}"
     at = [F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(a) for i, a in enumerate("xyz")]
     colour = ((F.col("vec_id") % 200) * 256).cast("int")
     _t(spark, sf_dir, "embeddings").select(*at, colour.alias("r"), F.lit(65280).alias("g"), F.lit(0).alias("b")).write.format("las").mode("append").save(where)
     back = spark.read.format("las").option("path", where).option("swizzle", "false").load()
     return back.select(*[(F.round(F.col(a).cast("double"), 2) + 0.0).alias(a) for a in "xyz"], "r")
-
-
-def _scratch(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local session may do without."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    return where or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
