@@ -3,8 +3,9 @@
 Everything is DataFrame expressions and Spark's own tree learner: no Python on
 the executors. The labelled URLs are those that a rule fits; the trees learn
 from them and judge the others. Suffix statistics (how many labelled URLs there
-are under a host's last label, and its last two, and what share of them is
-blocked) are taken over all labelled URLs; a labelled URL is described by those
+are under a host's last label, its last two, and under what follows the host, up
+to the path's second slash, and what share of them is blocked) are taken over
+all labelled URLs; a labelled URL is described by those
 of the other FOLDS only, so that its own label is no part of what the trees see.
 Suffixes with fewer than SUFFIX_ROWS labelled URLs have the overall share.
 
@@ -91,7 +92,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, train_rows: in
     base = pages.select(F.col(keep).alias("k"), F.col("url").alias("u"), allowed.alias("allowed")).withColumn("h", host(F.col("u"))).withColumn("p", path(F.col("u"))).withColumn("m", matched(F.col("h"), F.col("p"), rules))
     names = lexical(F.col("u"), F.col("h"), F.col("p"))
     label = F.when(F.col("allowed"), (F.col("m.verdict") == "block").cast("double"))
-    rows = base.select("k", "h", "p", "m", F.xxhash64(F.col("u")).alias("x"), label.alias("label"), F.substring_index("h", ".", -1).alias("s1"), F.substring_index("h", ".", -2).alias("s2"), *[c.alias(f"f_{n}") for n, c in names.items()])
+    rows = base.select("k", "h", "p", "m", F.xxhash64(F.col("u")).alias("x"), label.alias("label"), F.substring_index("h", ".", -1).alias("s1"), F.substring_index("h", ".", -2).alias("s2"), F.substring_index("p", "/", 2).alias("s3"), *[c.alias(f"f_{n}") for n, c in names.items()])
     found = {r["label"]: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
 
     def judged(rows: DataFrame, verdict: Column) -> DataFrame:
@@ -100,7 +101,7 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES, train_rows: in
     if len(found) < 2:
         return judged(base, F.lit("block" if set(found) == {1.0} else "allow"))
     n = sum(found.values())
-    for s in ("s1", "s2"):
+    for s in ("s1", "s2", "s3"):
         rows = _with_suffix(rows, s, found[1.0] / n)
     inputs = [c for c in rows.columns if c.startswith("f_")]
     assemble = VectorAssembler(inputCols=inputs, outputCol="features")
