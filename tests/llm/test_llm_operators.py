@@ -129,6 +129,31 @@ def test_shared_passages(spark):
     assert {r.doc_id: r.shared_passages > 0 for r in got} == {**want, 900: False} and any(want.values())
 
 
+def test_anchors_of_texts_longer_than_a_segment(monkeypatch):
+    """Every window belongs to one anchor, the least gram of it, wherever segments of a long text end."""
+    rng = np.random.default_rng(2)
+    data, width, half = rng.integers(97, 101, 3000).astype(np.uint8), 40, 20
+    offs = np.array([0, 30, 30, 1900, 3000])
+    whole = suffix.anchors(data, offs, width)
+    monkeypatch.setattr(suffix, "PLACE_BITS", 9)
+    monkeypatch.setattr(suffix, "SEGMENT", 511)
+    doc, at, high, low, name, *_ = suffix.anchors(data, offs, width)
+    covered = collections.Counter((d, p - k) for d, p, h, lo in zip(doc.tolist(), at.tolist(), high.tolist(), low.tolist(), strict=True) for k in range(lo, h + 1))
+    assert covered == {(d, i): 1 for d in range(4) for i in range(max(0, offs[d + 1] - offs[d] - width + 1))}
+    grams = collections.defaultdict(set)
+    for d, p, n in zip(doc.tolist(), at.tolist(), name.tolist(), strict=True):
+        grams[data[offs[d] + p : offs[d] + p + half].tobytes()].add(n)
+    assert all(len(v) == 1 for v in grams.values()) and len(set(name.tolist())) == len(grams) and len(whole[0]) <= len(doc)
+
+
+def test_quality_of_a_very_long_text():
+    """Tens of thousands of lines in one text, beside an empty one."""
+    text = b"".join(b"Line %d is a good one.\n" % i for i in range(30_000))
+    field = quality.Field(np.ones(3 * quality.OWN + 3) / 10, np.array([[1.0, 0.0], [0.0, 1.0]]), (1.0, 0.0), 0.25)
+    got = field.score(np.frombuffer(text, np.uint8), np.array([0, len(text), len(text)]))
+    assert 0 < got[0] < 1 and got[1] == 0.25
+
+
 def test_suffix_dedup_splits_names_of_many_contexts(spark, monkeypatch):
     """A passage with other surroundings in every document: names with more contexts than a block holds are split by windows."""
     monkeypatch.setattr(suffix, "BLOCK", 8)
