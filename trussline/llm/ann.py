@@ -228,6 +228,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_column: str =
 
     _graph = pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("ids", pa.binary()), ("owners", pa.binary()), ("vectors", pa.binary()), ("layers", pa.list_(pa.struct([("nodes", pa.int32()), ("links", pa.binary())]))), ("exact", pa.binary())])
     dealt = rows.select("dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v")
+    # So many partitions that no task need build two graphs.
+    dealt = dealt.repartition(min(4 * shards, 10_000), "dim", "shard")
     graphs = written(dealt.groupBy("dim", "shard").applyInArrow(build, GRAPH + ", exact binary"), "graphs")
 
     def pack(key: tuple, t: pa.Table) -> pa.Table:
