@@ -2,9 +2,9 @@
 
 Training counts every token (case-folded words, then one end) of the training
 rows, and after contexts of up to DEPTH tokens the symbols that follow. As in
-the classical learner a context has to occur often enough, CONTEXT times, and
-so has a symbol after it, SYMBOL times (absolute numbers, so the tree grows with
-the input; nothing is capped or sampled). A context is retained if
+the classical learner a context has to occur often enough, CONTEXT times (LONG, if
+it is of several words), and so has a symbol after it, SYMBOL times (absolute
+numbers, so the tree grows with the input; nothing is capped or sampled). A context is retained if
 count * KL(next symbols given it || given its longest retained suffix) passes
 DIVERGENCE * ln(tokens), symbols below SYMBOL being one symbol in that sum. A
 retained state gives a symbol its count's share of total + KAPPA, and hands what
@@ -17,13 +17,12 @@ those of the two grams of k - 1 tokens in it. The gram of d + 1 tokens is a
 context of d with its symbol, the gram without its last token is the context,
 and that without its first is the same symbol after the next shorter context. A
 gram's count as a context is its count as a gram. So a level is counted by one
-shuffle on contexts (a context's symbols are one row of flat arrays; frequent
-contexts are salted), and is tested and weighted by joins with the level below.
+shuffle of flat arrays, dealt by context (frequent contexts are salted), and is tested and weighted by joins with the level below.
 
 A text's score is then a sum of one number per gram in it, its entry: what a
 state makes of its symbol against the next shorter state, and what it leaves to
-that state where it has nothing to say. HOT entries, those of the most frequent
-grams, are broadcast (a fixed number, whatever the input); all others are asked
+that state where it has nothing to say. The entries of the most frequent grams
+are broadcast (HOT at most, whatever the input); all others are asked
 for by one join on distinct (row, gram), which has no hot keys then. Bitmaps of
 fixed size keep back what no table can hold: they only save work.
 
@@ -48,10 +47,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, discard, mapped, mix64, words, written
 
-#: Longest context; occurrences that a context and a symbol after it need; divergence needed; weight of the shorter state.
-DEPTH, CONTEXT, SYMBOL, DIVERGENCE, KAPPA = 4, 32, 8, 1.0, 8.0
-#: Entries that are broadcast at most; bits of a bitmap (16 MB); parts of a context with at least that share of all tokens.
-HOT, BITS, SALTS, SALTED_SHARE = 1 << 21, 27, 32, 2.0**-10
+#: Longest context; occurrences that a context of one word, a longer one, and a symbol after either need; divergence needed; weight of the shorter state.
+DEPTH, CONTEXT, LONG, SYMBOL, DIVERGENCE, KAPPA = 4, 32, 512, 8, 1.0, 8.0
+#: Entries that are broadcast at most, and occurrences they need (a rarer one saves too little); bits of a bitmap (16 MB); parts of a context with at least that share of all tokens; tokens to a slice of the counts.
+HOT, HOT_COUNT, BITS, SALTS, SALTED_SHARE, PER_SLICE = 1 << 21, 32, 27, 32, 2.0**-10, 1 << 20
 #: Tokens whose grams a task gathers before it passes counts on.
 GATHER = 1 << 21
 _A, _B = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -172,10 +171,12 @@ def _sorted_runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(change)
 
 
-def _counted(texts: DataFrame, emit) -> DataFrame:
+def _counted(texts: DataFrame, emit, slices: int) -> DataFrame:
     """(d, c, g, k, n) of all grams that occur SYMBOL times, written: level, context, lower gram, gram, count.
 
-    emit: (level, context, lower gram, salt) of the grams to count, from tokens and places.
+    emit: (level, context, lower gram, salt) of the grams to count, from tokens
+    and places. Contexts (parts of them, if salted) are dealt to slices; what a
+    task has gathered for a slice is one row of flat arrays.
     """
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,15 +185,14 @@ def _counted(texts: DataFrame, emit) -> DataFrame:
         def flush() -> pa.RecordBatch:
             d, c, g, s = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, at = _sorted_runs(c, s, g)
-            n = np.diff(np.append(at, len(order)))
-            d, c, g, s = (x[order][at] for x in (d, c, g, s))
-            new = np.ones(len(c), bool)
-            new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
-            rows = np.flatnonzero(new)
-            ends = np.append(rows, len(c)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v)) for v in (g.view(np.int64), n.astype(np.int32))]
-            return pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(c[rows].view(np.int64)), pa.array(s[rows]), *lists], ["d", "c", "s", "g", "n"])
+            of = (mix64(c + s.astype(np.uint64) * _B) % np.uint64(slices)).astype(np.int32)
+            order, at = _sorted_runs(of, c, g)
+            n = np.diff(np.append(at, len(order))).astype(np.int32)
+            d, c, g, of = (x[order][at] for x in (d, c, g, of))
+            rows = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+            ends = pa.array(np.append(rows, len(of)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (d, c.view(np.int64), g.view(np.int64), n)]
+            return pa.RecordBatch.from_arrays([pa.array(of[rows]), *lists], ["slice", "d", "c", "g", "n"])
 
         size = 0
         for x, place in _texts(batches):
@@ -206,15 +206,12 @@ def _counted(texts: DataFrame, emit) -> DataFrame:
             yield flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            t = t.combine_chunks()
-            lists = [t.column(i).combine_chunks() for i in (3, 4)]
-            lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
-            size = np.diff(lists[0].offsets.to_numpy())
-            d, c = (np.repeat(t.column(i).to_numpy(), size) for i in (0, 1))
-            g, n = (x.flatten().to_numpy() for x in lists)
+        held: list[list[np.ndarray]] = []
+        current = None
+
+        def solve() -> pa.RecordBatch:
+            d, c, g, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order, at = _sorted_runs(c, g)
             n = np.add.reduceat(n[order].astype(np.int64), at) if len(at) else n.astype(np.int64)
             often = n >= SYMBOL
@@ -223,22 +220,16 @@ def _counted(texts: DataFrame, emit) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[rows], c[rows], g[rows], key, n[often])], ["d", "c", "g", "k", "n"])
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            if sum(x.column(3).nbytes for x in held) >= 8 * GATHER:
-                t = pa.Table.from_batches(held)
-                c, s = t.column(1).to_numpy(), t.column(2).to_numpy()
-                # A context's part may go on in the next batch; its symbols so far stay with it.
-                cut = int(np.flatnonzero((c != c[-1]) | (s != s[-1]))[-1]) + 1 if (c[0] != c[-1] or s[0] != s[-1]) else 0
-                if cut:
-                    yield solve(t.slice(0, cut))
-                    held = t.slice(cut).to_batches()
+            for i, of in enumerate(b.column(0).to_pylist()):
+                if held and of != current:
+                    yield solve()
+                current = of
+                held.append([b.column(k)[i].values.to_numpy() for k in range(1, 5)])
         if held:
-            yield solve(pa.Table.from_batches(held))
+            yield solve()
 
-    rows = mapped(texts, collect, "d byte, c long, s byte, g array<long>, n array<int>")
-    return written(rows.repartition("c", "s").sortWithinPartitions("c", "s").mapInArrow(merge, "d byte, c long, g long, k long, n long"), "grams")
+    rows = mapped(texts, collect, "slice int, d array<byte>, c array<long>, g array<long>, n array<int>")
+    return written(mapped(rows.repartition("slice").sortWithinPartitions("slice"), merge, "d byte, c long, g long, k long, n long"), "grams")
 
 
 def _pairs(texts: DataFrame, vocabulary: DataFrame, tokens_: int) -> DataFrame:
@@ -256,16 +247,16 @@ def _pairs(texts: DataFrame, vocabulary: DataFrame, tokens_: int) -> DataFrame:
         s = np.where(hot[i] == c, (g >> np.uint64(17)) % np.uint64(SALTS), np.uint64(0)) if len(hot) else np.zeros(len(c))
         yield np.ones(len(c), np.int8), c, g, s.astype(np.int8)
 
-    return _counted(texts, emit)
+    return _counted(texts, emit, -(-tokens_ // PER_SLICE) or 1)
 
 
-def _contexts(texts: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
+def _contexts(texts: DataFrame, pairs: DataFrame, depth: int, tokens_: int) -> DataFrame:
     """Grams of three to depth + 1 tokens.
 
-    A context that occurs CONTEXT times consists of pairs that do, and its symbol
+    A context that occurs LONG times consists of pairs that do, and its symbol
     occurs SYMBOL times after the context's last word.
     """
-    contexts, symbols = bitmap(pairs.where(F.col("n") >= CONTEXT), "k"), bitmap(pairs, "k")
+    contexts, symbols = bitmap(pairs.where(F.col("n") >= LONG), "k"), bitmap(pairs, "k")
 
     def emit(x: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         g, there = grams(x, place, 2)
@@ -286,7 +277,7 @@ def _contexts(texts: DataFrame, pairs: DataFrame, depth: int) -> DataFrame:
             live[1:] = live[:-1] & linked[1:] & there[1:]
             live[0] = False
 
-    return _counted(texts, emit)
+    return _counted(texts, emit, -(-tokens_ // PER_SLICE) or 1)
 
 
 def grown(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
@@ -294,15 +285,15 @@ def grown(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
     vocabulary = _vocabulary(texts)
     total, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     pairs = _pairs(texts, vocabulary, total)
-    levels = pairs.unionByName(_contexts(texts, pairs, depth)) if depth > 1 else pairs
+    levels = pairs.unionByName(_contexts(texts, pairs, depth, total)) if depth > 1 else pairs
     p0 = (F.col("n") + 0.1) / (total + 0.1 * (distinct + 1))
     # Of the level below: keys, counts, and probabilities under the longest retained state.
     below = vocabulary.select("k", "n", p0.alias("p"))
     roots = vocabulary.select("k", "n", F.log10(p0).alias("base"))
     bonus, rests = [], []
     for d in range(1, depth + 1):
-        low = below.select(F.col("k").alias("g"), F.col("p").alias("q"))
-        of = below.where(F.col("n") >= CONTEXT).select(F.col("k").alias("c"), F.col("n").alias("total"))
+        low = below.where(F.col("n") >= SYMBOL).select(F.col("k").alias("g"), F.col("p").alias("q"))
+        of = below.where(F.col("n") >= (CONTEXT if d == 1 else LONG)).select(F.col("k").alias("c"), F.col("n").alias("total"))
         rows = written(levels.where(F.col("d") == d).join(low, "g").join(of, "c"), "level")
         sums = rows.groupBy("c", "total").agg(F.sum("n").alias("kept"), F.sum("q").alias("mass"), F.sum(F.col("n") * F.ln(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
         other = F.col("total") - F.col("kept")
@@ -351,9 +342,11 @@ class Hot:
 def lm_scores(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH) -> DataFrame:
     """id column, held_out, n_tokens, n_known, train_tokens, base_score, score; rows for which held_out holds are not learned from."""
     spark: SparkSession = docs.sparkSession
+    # Shuffle files of a step go when its table is written.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_column).alias("text"))
     entries, total, distinct = grown(base.where("not held_out").select("text"), depth)
-    least = _hot_from(entries)
+    least = max(_hot_from(entries), HOT_COUNT)
     key, own, value = _columns(entries.where(F.col("n") >= least).select("key", "base", "value"))
     order = np.argsort(key.view(np.uint64))
     shared = spark.sparkContext.broadcast(Hot(key.view(np.uint64)[order], own[order], value[order]))
