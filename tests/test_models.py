@@ -95,3 +95,27 @@ def test_bounds_and_caps(spark):
     box = spark.range(20).select(F.col("id").cast("string").alias("key"), *[F.lit(v).alias(f"{a}{i}") for i, v in ((0, 0.0), (1, 1.0)) for a in "xyz"])
     pairs, cut = boxes.capped(boxes.self_join(box), 50)
     assert cut and pairs.count() == 50 and boxes.self_join(box).count() == 190
+
+
+def test_meshes_by_single_triangles(spark):
+    """Crossings and clearances from triangles that meet equal those of whole pairs of meshes."""
+    rng = np.random.default_rng(9)
+    meshes = {f"m{k}": (rng.uniform(-2, 2, (1, 1, 3)) + rng.normal(size=(6, 3, 3)) * 0.6) for k in range(12)}
+    df = spark.createDataFrame([(k, [float(x) for x in t.ravel()]) for k, t in meshes.items()] + [("none", []), ("null", None)], "key string, tris array<double>")
+    hard = {(r.key_a, r.key_b): r for r in clashes.hard_meshes(df, df).collect()}
+    near = {(r.key_a, r.key_b): r for r in clashes.near_meshes(df, df, 0.4).collect()}
+    for a, ta in meshes.items():
+        for b, tb in meshes.items():
+            want, gap = G.hard_pair(ta, tb), G.clearance_pair(ta, tb, 0.4)
+            if a == b or want is None:
+                assert (a, b) not in hard
+            else:
+                r = hard[a, b]
+                assert (r.pen, r.overlap, r.n_pairs) == pytest.approx((want["pen"], want["overlap"], want["n_pairs"]))
+                np.testing.assert_allclose(r.point, want["point"], atol=1e-9)
+                assert r.extent == pytest.approx(want["extent"])
+            if a == b or gap is None:
+                assert (a, b) not in near
+            else:
+                assert near[a, b].dist == pytest.approx(gap["dist"], abs=1e-9)
+    assert len(hard) > 10 and len(near) > len(hard)

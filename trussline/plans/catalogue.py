@@ -186,12 +186,12 @@ def _cubes(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
 
 @query()
 def hard_pair(spark, sf_dir):
-    return clashes.hard_clashes(clashes.pairs_of(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3)))
+    return clashes.hard_meshes(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3))
 
 
 @query()
 def clearance_pair(spark, sf_dir):
-    return clashes.clearances(clashes.pairs_of(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3), inflate=0.5), 0.5)
+    return clashes.near_meshes(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3), 0.5)
 
 
 @query()
