@@ -24,6 +24,8 @@ from trussline.functions.numbers import NUMBER, plain_number
 FACETS = ("entity", "attribute", "classification", "property", "material", "partOf")
 INFO = ("title", "copyright", "version", "description", "author", "date", "purpose", "milestone")
 BOUNDS = ("minInclusive", "maxInclusive", "minExclusive", "maxExclusive")
+#: What a reason calls a subject that the rule does not name (fixed values).
+NAMELESS = {"attribute": "(attributo)", "classification": "(classificazione)", "material": "(materiale)"}
 REASONS = "array<struct<code:string,facet_type:string,label:string,expected:string,got:string>>"
 
 
@@ -251,12 +253,10 @@ def _classes(system: Matcher | None) -> Column:
 
 
 def label(f: Facet) -> str:
-    """What a reason says it is about (fixed texts of the rule format's reports)."""
+    """What a reason says it is about."""
     said = {k: (m.describe() if m else "") for k, m in f.parts.items()}
-    return {
-        "entity": "IFC " + said.get("name", ""), "attribute": said.get("name") or "(attributo)", "classification": said.get("system") or "(classificazione)", "property": f"{said.get('set')}.{said.get('name')}",
-        "material": "(materiale)", "partOf": "partOf" + (f" {f.relation}" if f.relation else ""),
-    }[f.kind]
+    named = {"entity": "IFC " + said.get("name", ""), "attribute": said.get("name"), "classification": said.get("system"), "property": f"{said.get('set')}.{said.get('name')}", "partOf": f"partOf {f.relation}".rstrip()}
+    return named.get(f.kind) or NAMELESS[f.kind]
 
 
 def expected(f: Facet) -> str:
