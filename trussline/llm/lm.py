@@ -45,7 +45,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, mapped, mix64, words, written
+from .common import brief_shuffles, chunks, discard, mapped, mix64, words, written
 
 #: Longest context; occurrences that a context of one word, a longer one, and a symbol after either need; divergence needed; weight of the shorter state.
 DEPTH, CONTEXT, LONG, SYMBOL, DIVERGENCE, KAPPA = 4, 32, 512, 8, 1.0, 8.0
@@ -341,9 +341,12 @@ class Hot:
 
 def lm_scores(docs: DataFrame, held_out, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH) -> DataFrame:
     """id column, held_out, n_tokens, n_known, train_tokens, base_score, score; rows for which held_out holds are not learned from."""
+    with brief_shuffles(docs.sparkSession):  # those of a step go when its table is written
+        return _scores(docs, held_out, id_column, text_column, depth)
+
+
+def _scores(docs: DataFrame, held_out, id_column: str, text_column: str, depth: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
-    # Shuffle files of a step go when its table is written.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_column).alias("text"))
     entries, total, distinct = grown(base.where("not held_out").select("text"), depth)
     least = max(_hot_from(entries), HOT_COUNT)
