@@ -56,7 +56,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, flagged, mapped, mix64, passing, prefix_hash, span_hash, sums, words, written
+from .common import brief_shuffles, chunks, discard, flagged, mapped, mix64, passing, prefix_hash, span_hash, sums, words, written
 
 WIDTH = 400
 #: Bits of a segment's positions; longer documents are sampled in segments that overlap by a window. Contexts sorted in one block.
@@ -341,6 +341,11 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, id_column: str = "doc_id",
     removed goes with it. passages: shared_passages counts the anchors of windows
     of so many words that occur in other documents too.
     """
+    with brief_shuffles(docs.sparkSession):  # those of a step go when its table is written
+        return _dedup(docs, width, id_column, text_column, with_text, carry, passages)
+
+
+def _dedup(docs: DataFrame, width: int, id_column: str, text_column: str, with_text: bool, carry: Sequence[str], passages: int | None) -> DataFrame:
     named = {f"c{i}": c for i, c in enumerate(carry)}
     own = F.col(id_column).cast("long")
     base = docs.select(F.coalesce(own, F.lit(-1)).alias("id"), F.xxhash64(own.isNull(), own, text_column).alias("h"), F.col(text_column).alias("text"), own.isNull().alias("nameless"), *[F.col(c).alias(k) for k, c in named.items()])
