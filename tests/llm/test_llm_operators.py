@@ -257,6 +257,20 @@ def test_mixing(rows, docs, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+@pytest.mark.parametrize("rows", [[("a", "x y z"), ("b", ""), ("b", None), ("c", "u v")], [("a", None), ("b", "one two three"), (None, "four")], [("a", "")], [("a", None), ("b", " ")]])
+def test_mixing_sources_without_words(spark, rows):
+    """A source of empty or null texts has size and target 0, beside sound ones or alone."""
+    docs = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    size = collections.Counter()
+    for s, t in rows:
+        size[s] += len(tokens(t))
+    assert len(got) == len(rows) and all(got[i].source_size == size[s] for i, (s, _) in enumerate(rows))
+    for i, (s, t) in enumerate(rows):
+        assert 0 <= got[i].taken <= 3 * len(tokens(t)) and (size[s] or got[i].target == 0)
+    assert sum(r.taken for r in got.values()) == pytest.approx(sum({s: got[i].target for i, (s, _) in enumerate(rows)}.values()), abs=len(size))
+
+
 def test_media(rows, docs, none):
     for raw in (b"", b"a" * 191, bytes(range(256)) * 300, b"x" * 192 * 17):
         p = media.padded(raw)

@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: f
     by_source = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     plan = targets(by_source.select("source", "source_size"), weights, epochs)
     plan = plan.join(by_source.select(F.col("source").alias("s2"), "rows"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    plan = plan.select("*", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"), F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).alias("whole"))
+    plan = plan.select("*", F.ceil(F.col("rows") / BUCKET_ROWS).alias("buckets"), F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long").alias("whole"))
     plan = plan.withColumn("more", F.coalesce(F.round(F.col("target") - F.col("whole") * F.col("source_size")), F.lit(0)).cast("long")).withColumnRenamed("source", "plan_source")
     plan = written(plan, "plan")
     bucket = F.pmod(F.shiftright("h", 20), F.col("buckets"))
