@@ -277,3 +277,25 @@ def components(edges: DataFrame, name: str = "links") -> DataFrame:
             break
         mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def looked_up(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """rows with the columns of found (one row a key at most, null keys aside) where the key is there, else null; both are written tables.
+
+    Keys that hold a thousandth of rows or more, so a thousand keys at most, are
+    broadcast with what found says of them; only the others meet by a shuffle, so no task gets a hot key.
+    """
+    total = rows.count()
+    often = rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") * 1000 >= total).select(*on)
+    more = [c for c in found.columns if c not in on]
+    hot = found.join(F.broadcast(often), on, "leftsemi").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(on)], *more, F.lit(True).alias("_there"))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & (F.col(c) == F.col(f"_k{i}"))
+    met = rows.join(F.broadcast(hot), same, "left")
+    names = [*rows.columns, *more]
+    null = F.lit(False)
+    for c in on:
+        null = null | F.col(c).isNull()
+    # Rows with a null key find nothing and need not meet.
+    return met.where(F.col("_there") | null).select(*names).unionByName(met.where(F.col("_there").isNull() & ~null).select(*rows.columns).join(found, on, "left").select(*names))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm, media, minhash, mixing, packing, quality, suffix, toxicity, urls
+from . import ann, codes, lm, media, minhash, mixing, ngram_join, packing, quality, suffix, toxicity, trie, urls
 from .common import table
 
 
@@ -51,10 +51,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"), held_out=_remainder(10) == 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def _remainder(n: int):
     """crc32 of the document's id as text, mod n; a null id counts as ''."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(n))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality_crf, op4_hnsw_search, op5_media_columns, op6_mix_sources, op7_url_filter, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_lm_scoring)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality_crf, op4_hnsw_search, op5_media_columns, op6_mix_sources, op7_url_filter, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_lm_scoring, op11_vector_codes, op12_conversation_trie, op13_ngram_join)}
+ORACLES: dict[str, str] = {"op11_vector_codes": codes.sql(), "op12_conversation_trie": trie.SQL, "op13_ngram_join": ngram_join.SQL}
