@@ -70,6 +70,36 @@ def test_orphans_are_matched_again(spark):
     assert got == {("a", "a2"): ("recreated", ""), ("b", "b2"): ("proposed", ""), ("c", None): ("removed", ""), ("d", "d"): ("same", ""), ("e", "e"): ("modified", "w,position"), (None, "f"): ("added", "")}
 
 
+def test_alike_orphans_meet_one_to_one(spark):
+    """1,500 identical bolts in one cell under new keys: unmoved, on one spot, and moved by 5 cm; and what is over stays removed."""
+    schema = "key string, class string, geometry string, name string, x double, y double, z double"
+    at = lambda i: (0.001 + (i % 40) * 0.02, 0.001 + (i // 40) * 0.02, 0.0)
+    old = [(f"a{i:04}", "BOLT", "m", "bolt", *at(i)) for i in range(1500)] + [(f"b{i:04}", "BOLT", "m", "bolt", 20.5, 0.0, 0.0) for i in range(1500)] + [(f"c{i:04}", "BOLT", "m", "bolt", 40.0 + at(i)[0], *at(i)[1:]) for i in range(1500)]
+    new = [("n" + k, *r, x + (0.05 if k[0] == "c" else 0.0), y, z) for k, *r, x, y, z in old if k not in ("a0007", "b0100")]
+    got = models.matched_diff(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), []).collect()
+    assert len(got) == 4500 and len({r.key for r in got}) == 4500 and len({r.new_key for r in got}) == 4499
+    assert {r.change for r in got if r.new_key and r.key[0] in "ab"} == {"recreated"} and sorted(r.key[0] for r in got if not r.new_key) == ["a", "b"]
+    assert all(r.new_key == "n" + r.key for r in got if r.key[0] == "a" and r.new_key)
+    # Moved ones meet what is nearest; those at the far end are proposed with what is left at the near one.
+    assert sum(r.change == "recreated" for r in got if r.key[0] == "c") > 1300
+
+
+def test_pairs_of_crowded_cells_grow_with_the_rows(spark):
+    """Pairs that two crowded cells form, and the numbers by which alike rows meet."""
+    from trussline.operators import assignment
+
+    side = lambda s, n: spark.range(n).select((F.col("id") if s == "o" else F.col("id") + 10**6).alias(f"{s}_key"), F.lit("k").alias(f"{s}_class"), (F.col("id") / n).alias(f"{s}_x"), F.lit(0.5).alias(f"{s}_y"), F.lit(0.5).alias(f"{s}_z"))
+    for n in (400, 1600):
+        pairs = assignment.neighbours(side("o", n), side("n", n), ["class"], 1.0, 16)
+        assert n < pairs.count() <= 3 * 16 * n
+        assert {r.n_key - r.o_key for r in assignment.mutual_best(pairs.select("o_key", "n_key", F.lit(0.5).alias("confidence"), "apart")).collect()} == {10**6}
+    rows = spark.range(3000).select((F.col("id") % 5 == 0).alias("g"), (-F.col("id")).alias("v"))
+    got = assignment.numbered(rows, ["g"], ["v"], "at").collect()
+    for g in (True, False):
+        ordered = sorted((r.v, r["at"]) for r in got if r.g is g)
+        assert [k for _, k in ordered] == list(range(1, len(ordered) + 1))
+
+
 @pytest.mark.parametrize("radius", [0.0, 0.7])
 def test_nearest_surface_of_large_and_small_triangles(spark, radius):
     rng = np.random.default_rng(2)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trussline.functions.scratch import checkpointed
+from trussline.operators.assignment import CROWD, by_number, mutual_best, neighbours
 
 Wanted = Sequence[tuple[str, str, str]]
 
@@ -193,36 +194,63 @@ def matched_diff(old: DataFrame, new: DataFrame, fields: Sequence[str], toleranc
 
     Rows of one key are compared by fields (numbers to six significant digits)
     and position (moved if farther than tolerance, in metres). Orphans, removed
-    and added rows, are matched again if class and geometry agree and either
-    they stand in the same or neighbouring cells of a grid, or name, class and
-    geometry are the only ones of their kind on both sides. Confidence is 0.5
-    for class and geometry, 0.25 for the name, and up to 0.25 by distance within
-    a cell. Mutual best matches count: recreated from sure on, proposed below.
+    and added rows, are matched again one to one (``rematched``): recreated from
+    sure on, proposed below.
     """
     from trussline.operators.catalogue import plain_number_field
 
     o, n = (d.select(*[F.col(c).alias(f"{s}_{c}") for c in dict.fromkeys(("key", "class", "geometry", "name", "x", "y", "z", *fields))]) for d, s in ((old, "o"), (new, "n")))
-    far = lambda: F.sqrt(sum((F.col(f"o_{a}") - F.col(f"n_{a}")) * (F.col(f"o_{a}") - F.col(f"n_{a}")) for a in "xyz"))
     both = o.join(n, F.col("o_key") == F.col("n_key"))
-    changed = F.filter(F.array(*[F.when(~plain_number_field(old, c, f"o_{c}").eqNullSafe(plain_number_field(new, c, f"n_{c}")), c) for c in fields], F.when(F.coalesce(far() > tolerance, F.lit(False)), "position")), lambda x: x.isNotNull())
+    changed = F.filter(F.array(*[F.when(~plain_number_field(old, c, f"o_{c}").eqNullSafe(plain_number_field(new, c, f"n_{c}")), c) for c in fields], F.when(F.coalesce(_apart() > tolerance, F.lit(False)), "position")), lambda x: x.isNotNull())
     kept = both.select(F.col("o_key").alias("key"), F.col("n_key").alias("new_key"), F.when(F.size(changed) > 0, "modified").otherwise("same").alias("change"), F.array_join(changed, ",").alias("fields"), F.lit(1.0).alias("confidence"))
-    gone, fresh = o.join(n, F.col("o_key") == F.col("n_key"), "leftanti"), n.join(o, F.col("o_key") == F.col("n_key"), "leftanti")
-    like = (F.col("o_class") == F.col("n_class")) & (F.col("o_geometry") == F.col("n_geometry"))
-    own = gone.select("*", *[F.floor(F.col(f"o_{a}") / cell).alias(f"g{a}") for a in "xyz"])
-    near = fresh
-    for a in "xyz":
-        at = F.floor(F.col(f"n_{a}") / cell)
-        near = near.withColumn(f"h{a}", F.explode(F.sequence(at - 1, at + 1)))
-    close = own.join(near, like & (F.col("gx") == F.col("hx")) & (F.col("gy") == F.col("hy")) & (F.col("gz") == F.col("hz")))
-    single = lambda d, s: d.groupBy(f"{s}_class", f"{s}_geometry", f"{s}_name").agg(F.count("*").alias("uses"), *[F.min(f"{s}_{c}").alias(f"{s}_{c}") for c in ("key", "x", "y", "z")]).where("uses = 1").drop("uses")
-    alone = single(gone, "o").join(single(fresh, "n"), like & (F.col("o_name") == F.col("n_name")))
-    score = 0.5 + F.when(F.col("o_name") == F.col("n_name"), 0.25).otherwise(0.0) + 0.25 * F.greatest(F.lit(0.0), 1 - F.coalesce(far(), F.lit(float("inf"))) / cell)
-    columns = [f"{s}_{c}" for s in "on" for c in ("key", "class", "geometry", "name", "x", "y", "z")]
-    pairs = close.select(*columns).unionByName(alone.select(*columns)).distinct().select("o_key", "n_key", F.round(score, 6).alias("confidence"))
-    first = lambda mine, other: F.row_number().over(Window.partitionBy(mine).orderBy(F.desc("confidence"), other))
-    best = pairs.select("*", first("o_key", "n_key").alias("a"), first("n_key", "o_key").alias("b")).where("a = 1 and b = 1").select(F.col("o_key").alias("m_old"), F.col("n_key").alias("m_new"), "confidence")
+    gone, fresh = checkpointed(o.join(n, F.col("o_key") == F.col("n_key"), "leftanti")), checkpointed(n.join(o, F.col("o_key") == F.col("n_key"), "leftanti"))
+    best = checkpointed(rematched(gone, fresh, tolerance, cell)).withColumnsRenamed({"o_key": "m_old", "n_key": "m_new"})
     again = best.select(F.col("m_old").alias("key"), F.col("m_new").alias("new_key"), F.when(F.col("confidence") >= sure, "recreated").otherwise("proposed").alias("change"), F.lit("").alias("fields"), "confidence")
     none = F.lit(None)
     removed = gone.join(best, F.col("o_key") == F.col("m_old"), "leftanti").select(F.col("o_key").alias("key"), none.cast(dict(new.dtypes)["key"]).alias("new_key"), F.lit("removed").alias("change"), F.lit("").alias("fields"), F.lit(1.0).alias("confidence"))
     added = fresh.join(best, F.col("n_key") == F.col("m_new"), "leftanti").select(none.cast(dict(old.dtypes)["key"]).alias("key"), F.col("n_key").alias("new_key"), F.lit("added").alias("change"), F.lit("").alias("fields"), F.lit(1.0).alias("confidence"))
     return kept.unionByName(again).unionByName(removed).unionByName(added)
+
+
+def _apart() -> Column:
+    return F.sqrt(sum((F.col(f"o_{a}") - F.col(f"n_{a}")) * (F.col(f"o_{a}") - F.col(f"n_{a}")) for a in "xyz"))
+
+
+def rematched(gone: DataFrame, fresh: DataFrame, tolerance: float = 0.001, cell: float = 1.0, crowd: int = CROWD) -> DataFrame:
+    """(o_key, n_key, confidence): old and new rows (o_ and n_ key, class, geometry, name, x, y, z) that are the same thing under a new key, one to one.
+
+    Class and geometry always agree. In this order, each on what is left:
+    1. twins: name and position (to the tolerance) agree too; n of them meet n in order of position and key;
+    2. where a cell of a grid is crowded on both sides, rows of one name in the same or neighbouring cells of a grid 16 times as fine;
+    3. rows in the same or neighbouring cells, and rows that are the only ones of their class, geometry and name on both sides;
+    4. rows of one name in a cell, in order of position and key.
+    Steps 2 and 3 take mutual best pairs until none is left. Confidence is 0.5
+    for class and geometry, 0.25 for the name, and up to 0.25 by distance within a cell.
+    """
+    like = ["class", "geometry"]
+    score = F.round(0.5 + F.when(F.col("o_name") == F.col("n_name"), 0.25).otherwise(0.0) + 0.25 * F.greatest(F.lit(0.0), 1 - F.coalesce(_apart(), F.lit(float("inf"))) / cell), 6).alias("confidence")
+    places = lambda d, s, width, tag: d.withColumns({f"{s}_{tag}{a}": F.floor(F.col(f"{s}_{a}") / width + (0.5 if tag == "t" else 0.0)) for a in "xyz"})
+    grain = max(tolerance, 1e-9)
+
+    def scored(keys: DataFrame) -> DataFrame:
+        return keys.join(gone, "o_key").join(fresh, "n_key").select("o_key", "n_key", score)
+
+    def without(done: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return gone.join(done, "o_key", "leftanti"), fresh.join(done, "n_key", "leftanti")
+
+    order = ["x", "y", "z", "key"]
+    done = checkpointed(scored(by_number(places(gone, "o", grain, "t"), places(fresh, "n", grain, "t"), [*like, "name", "tx", "ty", "tz"], order)))
+    o, n = (checkpointed(d) for d in without(done))
+    homes = [checkpointed(d.groupBy(*[F.col(f"{s}_{c}").alias(c) for c in (*like, "cx", "cy", "cz")]).agg(F.count("*").alias("here")).where(F.col("here") > crowd)) for d, s in ((places(o, "o", cell, "c"), "o"), (places(n, "n", cell, "c"), "n"))]
+    crowded = homes[0].join(homes[1], [*like, "cx", "cy", "cz"], "leftsemi")
+    if not crowded.isEmpty():
+        some = [places(d, s, cell, "c").join(crowded, [F.col(f"{s}_{c}") == F.col(c) for c in (*like, "cx", "cy", "cz")], "leftsemi").drop(*[f"{s}_c{a}" for a in "xyz"]) for d, s in ((o, "o"), (n, "n"))]
+        fine = neighbours(*some, [*like, "name"], cell / 16, crowd)
+        done = checkpointed(done.unionByName(mutual_best(fine.select("o_key", "n_key", score, "apart"))))
+        o, n = (checkpointed(d) for d in without(done))
+    single = lambda d, s: d.groupBy(f"{s}_class", f"{s}_geometry", f"{s}_name").agg(F.count("*").alias("uses"), *[F.min(f"{s}_{c}").alias(f"{s}_{c}") for c in order[3:] + order[:3]]).where("uses = 1").drop("uses")
+    alone = single(o, "o").join(single(n, "n"), (F.col("o_class") == F.col("n_class")) & (F.col("o_geometry") == F.col("n_geometry")) & (F.col("o_name") == F.col("n_name")))
+    pairs = neighbours(o, n, like, cell, crowd).select("o_key", "n_key", score, "apart").unionByName(alone.select("o_key", "n_key", score, F.lit(0).cast("bigint").alias("apart")))
+    done = checkpointed(done.unionByName(mutual_best(pairs)))
+    o, n = without(done)
+    return done.unionByName(scored(by_number(places(o, "o", cell, "c"), places(n, "n", cell, "c"), [*like, "name", "cx", "cy", "cz"], order)))
