@@ -6,28 +6,43 @@ into ranges of records too (found by an index of their packets), one task each;
 a task reads only its bytes and yields Arrow batches. Options: path, max_points
 (0: all; then a stride over the global index, which goes on from file to file in
 order of names), origin ("x,y,z"), swizzle (default true: x, z, -y). Rows: idx,
-x, y, z (float) and r, g, b.
+x, y, z (float) and r, g, b. Filters on idx leave out record ranges, filters on
+x, y and z leave out LAS files whose header's box they miss. With the option
+info rows are (file, part, points, x0 ... z1) from headers alone, one for each
+file or scan, read in the tasks: counts that decode nothing.
+
+``read_e57`` reads scans in two stages, for files too large to walk through once
+a task: a first job follows the packets of each scan, the second one decodes
+ranges of records from where the first has found them.
 
 ``write.format("las")`` writes points (x, y, z double, and r, g, b if they are
-there) as LAS files of format 2, one for each Arrow batch; option scale.
+there) as LAS files of format 2, one for each Arrow batch; option scale;
+``write.format("e57")`` writes them as E57 files of one scan, with colours from 0 to 255. append
+adds files, overwrite replaces all files of that kind in the folder.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 import math
 import struct
 import uuid
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import deque
+from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 SCHEMA = "idx bigint, x float, y float, z float, r smallint, g smallint, b smallint"
+INFO = "file string, part int, points bigint, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double"
 #: First byte of the colours in a record, by point format (fixed values).
 RGB_OFFSET = {2: 20, 3: 28, 5: 28, 7: 30, 8: 30, 10: 30}
 #: Records in a partition and in a batch; the grey of points without colour.
@@ -90,12 +105,43 @@ def _rgb_shift(f, h: LasHeader, size: int, step: int) -> int:
 
 @dataclass
 class Range(InputPartition):
+    """Records of a file; scan: of which scan, in LAS files how far colours are shifted."""
+
     first: int
     end: int
     file: int = 0
     scan: int = 0
 
 
+@dataclass
+class Files(InputPartition):
+    paths: list[str]
+
+
+class InfoReader(DataSourceReader):
+    """Points and boxes of files or scans, from headers alone; files are dealt to tasks."""
+
+    def __init__(self, options: dict, suffix: str) -> None:
+        self.paths, self.suffix = _files(options["path"], suffix), suffix
+
+    def partitions(self) -> list[Files]:
+        return [Files(self.paths[i : i + 64]) for i in range(0, len(self.paths), 64)] or [Files([])]
+
+    def read(self, p: Files) -> Iterator[tuple]:
+        for path in p.paths:
+            with _open(path) as f:
+                if self.suffix == ".las":
+                    h = las_header(f.read(375))
+                    yield (path, 0, h.count, *h.low, *h.high)
+                else:
+                    for k, s in enumerate(e57_scans(f)):
+                        yield (path, k, s.count, *[None] * 6)
+
+
+def _info(options: dict) -> bool:
+    return str(options.get("info", "false")).lower() == "true"
+
+
 def _files(path: str, suffix: str) -> list[str]:
     """The addresses of the files that a path names, in order."""
     fs, at = _system(path)
@@ -124,32 +170,100 @@ def _options(options: dict, suffix: str) -> tuple[list[str], int, tuple[float, f
     return _files(options["path"], suffix), int(options.get("max_points", 0)), tuple(map(float, origin.split(","))) if origin else None, str(options.get("swizzle", "true")).lower() == "true"
 
 
-class LasReader(DataSourceReader):
+@dataclass
+class Bounds:
+    """The least and greatest value that the filters of each column let pass; they stay with Spark, which applies them to all rows."""
+
+    of: dict[str, list[float]] = field(default_factory=dict)
+
+    def add(self, filters: Iterable[Filter]) -> None:
+        for x in filters:
+            name, value = getattr(x, "attribute", ("",)), getattr(x, "value", None)
+            values = list(value) if isinstance(x, In) else [value]
+            if len(name) != 1 or not values or not all(isinstance(v, (int, float)) for v in values):
+                continue
+            own = self.of.setdefault(name[0], [-math.inf, math.inf])
+            if isinstance(x, (EqualTo, In, GreaterThan, GreaterThanOrEqual)):
+                own[0] = max(own[0], min(values))
+            if isinstance(x, (EqualTo, In, LessThan, LessThanOrEqual)):
+                own[1] = min(own[1], max(values))
+
+    def clipped(self, first: int, end: int) -> tuple[int, int]:
+        """The part of a range of idx that may pass."""
+        low, high = self.of.get("idx", (-math.inf, math.inf))
+        return max(first, math.ceil(low) if low > -math.inf else first), min(end, math.floor(high) + 1 if high < math.inf else end)
+
+    def miss(self, low: tuple[float, ...], high: tuple[float, ...]) -> bool:
+        """Whether no point of a box in the rows' coordinates can pass; floats are rounded outwards."""
+        for a, lo, hi in zip("xyz", low, high, strict=True):
+            least, most = self.of.get(a, (-math.inf, math.inf))
+            slack = 1e-6 * max(abs(lo), abs(hi), 1.0)
+            if hi + slack < least or lo - slack > most:
+                return True
+        return False
+
+
+class PointReader(DataSourceReader):
+    """What both formats share: filters that leave out partitions."""
+
+    bounds: Bounds
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        self.bounds.add(filters)
+        return filters
+
+
+def _heads(paths: list[str], read) -> list:
+    """What read makes of each open file, some files at a time."""
+
+    def one(path: str):
+        with _open(path) as f:
+            return read(f)
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(one, paths))
+
+
+class LasReader(PointReader):
     def __init__(self, options: dict) -> None:
         self.paths, most, origin, self.swizzle = _options(options, ".las")
         self.origin = origin or (0.0, 0.0, 0.0)
-        self.heads: list[LasHeader] = []
-        for path in self.paths:
-            with _open(path) as f:
-                self.heads.append(las_header(f.read(375)))
-            if self.heads[-1].compressed:
-                raise ValueError("compressed LAS files must be decompressed first")
+        self.heads: list[LasHeader] = _heads(self.paths, lambda f: las_header(f.read(375)))
+        if any(h.compressed for h in self.heads):
+            raise ValueError("compressed LAS files must be decompressed first")
         self.step = step_for(sum(h.count for h in self.heads), most)
-        self.shifts, self.counts = [], []
-        for path, h in zip(self.paths, self.heads, strict=True):
-            with _open(path) as f:
-                size = f.size()
-                self.shifts.append(_rgb_shift(f, h, size, self.step))
-            # Records whose coordinates are there in full.
-            self.counts.append(min(h.count, max(0, (size - h.data_at - 12) // h.record + 1) if size >= h.data_at + 12 else 0))
+        self.starts = np.cumsum([0, *(h.count for h in self.heads)]).tolist()
+        self.bounds = Bounds()
+
+    def _box_missed(self, h: LasHeader) -> bool:
+        """Whether the header's box, if it has one, is outside of what the filters on coordinates let pass."""
+        if not all(a <= b for a, b in zip(h.low, h.high, strict=True)) or not any((*h.low, *h.high)):
+            return False
+        corners = placed(*(np.array(v) + np.array([-1, 1]) * 2 * k for v, k in zip(zip(h.low, h.high, strict=True), h.scale, strict=True)), self.origin, self.swizzle)
+        return self.bounds.miss(tuple(float(c.min()) for c in corners), tuple(float(c.max()) for c in corners))
 
     def partitions(self) -> list[Range]:
-        return [Range(i, min(i + PART, n), k) for k, n in enumerate(self.counts) for i in range(0, n, PART)] or [Range(0, 0)]
+        left = [k for k, h in enumerate(self.heads) if not self._box_missed(h)]
+
+        def looked_at(k: int) -> tuple[int, int]:
+            h = self.heads[k]
+            with _open(self.paths[k]) as f:
+                size = f.size()
+                # Records whose coordinates are there in full.
+                there = min(h.count, max(0, (size - h.data_at - 12) // h.record + 1) if size >= h.data_at + 12 else 0)
+                return there, _rgb_shift(f, h, size, self.step)
+
+        out = []
+        with ThreadPoolExecutor(16) as pool:
+            for k, (n, shift) in zip(left, pool.map(looked_at, left), strict=True):
+                first, end = (v - self.starts[k] for v in self.bounds.clipped(self.starts[k], self.starts[k] + n))
+                out += [Range(i, min(i + PART, end), k, shift) for i in range(max(first, 0), end, PART)]
+        return out or [Range(0, 0)]
 
     def read(self, p: Range) -> Iterator[pa.RecordBatch]:
         if p.first == p.end:
             return
-        h, shift, before = self.heads[p.file], self.shifts[p.file], sum(x.count for x in self.heads[: p.file])
+        h, shift, before = self.heads[p.file], p.scan, self.starts[p.file]
         at = RGB_OFFSET.get(h.point_format)
         with _open(self.paths[p.file]) as f:
             for lo in range(p.first, p.end, BATCH):
@@ -184,11 +298,14 @@ def las_bytes(xyz: np.ndarray, rgb: np.ndarray, scale: float) -> bytes:
     return bytes(head) + rows.tobytes()
 
 
-class LasWriter(DataSourceArrowWriter):
-    """Each Arrow batch becomes a file; files of failed tasks go when the write ends."""
+class PointWriter(DataSourceArrowWriter):
+    """Each Arrow batch becomes a file, whose name begins with this write's own mark; those of its failed tasks go when it ends."""
+
+    suffix = ".las"
 
-    def __init__(self, options: dict, schema) -> None:
+    def __init__(self, options: dict, schema, overwrite: bool = False) -> None:
         self.path, self.scale, self.names = options["path"], float(options.get("scale", 0.001)), schema.fieldNames()
+        self.mark, self.overwrite = f"part-{uuid.uuid4().hex}-", overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, at = _system(self.path)
@@ -199,25 +316,25 @@ class LasWriter(DataSourceArrowWriter):
             xyz = np.stack([column(c).astype(float) for c in "xyz"], 1)
             sound = np.isfinite(xyz).all(1)
             rgb = np.stack([np.nan_to_num(column(c).astype(float)) for c in "rgb"], 1) if {"r", "g", "b"} <= set(self.names) else np.full(xyz.shape, GREY)
-            made.append(f"part-{uuid.uuid4().hex}.las")
+            made.append(f"{self.mark}{uuid.uuid4().hex}{self.suffix}")
             with fs.open_output_stream(f"{at}/{made[-1]}") as f:
-                f.write(las_bytes(xyz[sound], rgb[sound], self.scale))
+                f.write(self.encoded(xyz[sound], rgb[sound]))
         return Written(made)
 
-    def commit(self, messages: list) -> None:
-        """Leaves only what the tasks that count have written."""
+    def _remove(self, which) -> None:
         fs, at = _system(self.path)
-        own = {name for m in messages if m for name in m.names}
-        if not own:
-            fs.create_dir(at, recursive=True)
+        fs.create_dir(at, recursive=True)
         for i in fs.get_file_info(FileSelector(at)):
-            if i.base_name.startswith("part-") and i.base_name not in own and i.type == FileType.File:
+            if i.type == FileType.File and which(i.base_name):
                 fs.delete_file(i.path)
 
+    def commit(self, messages: list) -> None:
+        """Of this write only what the tasks that count have written stays; files of other writes stay, unless they are to be overwritten."""
+        own = {name for m in messages if m for name in m.names}
+        self._remove(lambda name: name not in own and (name.startswith(self.mark) or self.overwrite and name.lower().endswith(self.suffix)))
+
     def abort(self, messages: list) -> None:
-        fs, at = _system(self.path)
-        for name in {name for m in messages if m for name in m.names}:
-            fs.delete_file(f"{at}/{name}")
+        self._remove(lambda name: name.startswith(self.mark))
 
 
 @dataclass
@@ -225,19 +342,24 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
+class LasWriter(PointWriter):
+    def encoded(self, xyz: np.ndarray, rgb: np.ndarray) -> bytes:
+        return las_bytes(xyz, rgb, self.scale)
+
+
 class Las(DataSource):
     @classmethod
     def name(cls) -> str:
         return "las"
 
     def schema(self) -> str:
-        return SCHEMA
+        return INFO if _info(self.options) else SCHEMA
 
-    def reader(self, schema) -> LasReader:
-        return LasReader(self.options)
+    def reader(self, schema) -> DataSourceReader:
+        return InfoReader(self.options, ".las") if _info(self.options) else LasReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> LasWriter:
-        return LasWriter(self.options, schema)
+        return LasWriter(self.options, schema, overwrite)
 
 
 @dataclass
@@ -359,45 +481,82 @@ def e57_point_count(path: str) -> int:
         return sum(s.count for s in e57_scans(f))
 
 
-def packets(f, page: int, scan: Scan) -> list[tuple[int, list[int]]]:
-    """(place of the first stream, bytes of each field's stream) of a scan's data packets; only their heads are read."""
+@dataclass
+class Spot:
+    """Where to go on in a scan: the packet at a place, and how many bytes of each field come before it."""
+
+    at: int
+    before: list[int]
+
+
+def packets(f, page: int, scan: Scan, start: Spot | None = None) -> Iterator[tuple[Spot, int, list[int]]]:
+    """(the packet, place of its first stream, bytes of each field's stream) of a scan's data packets, one after another; only their heads are read."""
     pages = Pages(f, page)
-    start = pages.logical(scan.at)
-    section = pages.read(start, 32)
+    section_at = pages.logical(scan.at)
+    section = pages.read(section_at, 32)
     if section[0] != 1:
         raise ValueError("a compressed vector section was expected")
     length, data_at = struct.unpack_from("<QQ", section, 8)
-    at, end, out = pages.logical(data_at), start + length, []
+    start = start or Spot(pages.logical(data_at), [0] * len(scan.fields))
+    at, before, end = start.at, list(start.before), section_at + length
     while at + 6 <= end:
         kind, size, streams = struct.unpack("<BxHH", pages.read(at, 6))
         if kind == 1:
-            out.append((at + 6 + 2 * streams, np.frombuffer(pages.read(at + 6, 2 * streams), "<u2").astype(int).tolist()))
+            sizes = np.frombuffer(pages.read(at + 6, 2 * streams), "<u2").astype(int).tolist()
+            yield Spot(at, list(before)), at + 6 + 2 * streams, sizes
+            before = [b + (sizes[k] if k < len(sizes) else 0) for k, b in enumerate(before)]
         elif kind not in (0, 2):
-            break
+            return
         at += size + 1
-    return out
 
 
-def complete(index: list, scan: Scan) -> int:
-    """Records that are there on all fields."""
-    bits = [8 * sum(sizes[k] for _, sizes in index if k < len(sizes)) // x.bits for k, x in enumerate(scan.fields) if x.bits]
-    return min([scan.count, *bits])
+def complete(held: list[int], scan: Scan) -> int:
+    """Records that are there on all fields, of so many bytes of each."""
+    return min([scan.count, *(8 * n // x.bits for n, x in zip(held, scan.fields, strict=True) if x.bits)])
+
 
+def chunks(f, page: int, scan: Scan, size: int) -> Iterator[tuple[int, int, Spot]]:
+    """(first record, end, where to start) of ranges of at least size records, by one walk over the packets.
 
-def records(f, page: int, scan: Scan, index: list | None = None, first: int = 0, end: int | None = None) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    Only the packets since the last range's start are remembered.
+    """
+    recent: deque[Spot] = deque()
+    held = [0] * len(scan.fields)
+    first = 0
+    for spot, _, sizes in packets(f, page, scan):
+        recent.append(spot)
+        held = [n + (sizes[k] if k < len(sizes) else 0) for k, n in enumerate(held)]
+        there = complete(held, scan)
+        while there - first >= size:
+            yield first, first + size, _start(recent, scan, first)
+            first += size
+    there = complete(held, scan)
+    if there > first:
+        yield first, there, _start(recent, scan, first)
+
+
+def _start(recent: deque[Spot], scan: Scan, first: int) -> Spot:
+    """The last packet before which no field has reached record first; earlier ones are forgotten."""
+    while len(recent) > 1 and all(b * 8 <= first * x.bits for b, x in zip(recent[1].before, scan.fields, strict=True)):
+        recent.popleft()
+    return recent[0]
+
+
+def records(f, page: int, scan: Scan, first: int = 0, end: int | None = None, start: Spot | None = None) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     """(first record, columns) of records first to end that are complete on all fields, some packets at a time.
 
     A field's streams follow each other as one, so record i begins at its bit
     i * bits; a packet's streams are skipped up to that bit and read from there.
     """
     pages = Pages(f, page)
-    index = packets(f, page, scan) if index is None else index
-    end = min(complete(index, scan), scan.count if end is None else end)
+    end = scan.count if end is None else min(end, scan.count)
     held = [np.zeros(0, np.uint8) for _ in scan.fields]
     bit = [first * x.bits % 8 for x in scan.fields]
     skip = [first * x.bits // 8 for x in scan.fields]
+    if start:
+        skip = [n - b for n, b in zip(skip, start.before, strict=True)]
     done = first
-    for at, sizes in index:
+    for _, at, sizes in packets(f, page, scan, start):
         if done >= end:
             return
         for k, size in enumerate(sizes[: len(held)]):
@@ -422,22 +581,37 @@ def posed(x: np.ndarray, y: np.ndarray, z: np.ndarray, pose: tuple[float, ...])
     return tuple(turn @ np.stack([x, y, z]) + np.array(move)[:, None])
 
 
-class E57Reader(DataSourceReader):
+def _first_point(f, page: int, scan: Scan) -> tuple[float, ...] | None:
+    """The first point of a scan, each coordinate rounded half up."""
+    first = next(iter(records(f, page, scan, 0, 1)), None) if scan.count else None
+    return tuple(float(np.floor(v[0] + 0.5)) for v in posed(*(first[1].get(f"cartesian{a}", np.zeros(1))[:1] for a in "XYZ"), scan.pose)) if first else None
+
+
+def e57_batches(f, page: int, scan: Scan, before: int, first: int, end: int, start: Spot | None, step: int, origin: tuple[float, float, float], swizzle: bool) -> Iterator[pa.RecordBatch]:
+    """Points of records first to end; before: points of the scans before."""
+    for at, cols in records(f, page, scan, first, end, start):
+        n = len(next(iter(cols.values())))
+        idx = np.arange(at, at + n) + before
+        keep = idx % step == 0
+        xyz = posed(*(cols.get(f"cartesian{a}", np.zeros(n))[keep] for a in "XYZ"), scan.pose)
+        rgb = tuple((cols[k][keep].astype(np.int64) & 255) if (k := f"color{c}") in cols else np.full(int(keep.sum()), GREY) for c in ("Red", "Green", "Blue"))
+        yield batch(idx[keep], placed(*xyz, origin, swizzle), rgb)
+
+
+class E57Reader(PointReader):
+    """Planning reads headers and XML, and one packet for the origin; a task walks over the heads of the packets before its range."""
+
     def __init__(self, options: dict) -> None:
         self.paths, most, self.origin, self.swizzle = _options(options, ".e57")
-        self.scans: list[tuple[int, int, int, Scan, list]] = []  # file, page, first index, scan, packets
+        self.scans: list[tuple[int, int, int, Scan]] = []  # file, page, first index, scan
+        self.bounds = Bounds()
         total = 0
         for k, path in enumerate(self.paths):
             with _open(path) as f:
                 page = e57_header(f.read(48)).page
                 for s in e57_scans(f):
-                    index = packets(f, page, s) if s.count else []
-                    if self.origin is None:  # the first point, rounded half up
-                        first = next(iter(records(f, page, s, index, 0, 1)), None) if s.count else None
-                        if first:
-                            xyz = posed(*(first[1].get(f"cartesian{a}", np.zeros(1))[:1] for a in "XYZ"), s.pose)
-                            self.origin = tuple(float(np.floor(v[0] + 0.5)) for v in xyz)
-                    self.scans.append((k, page, total, s, index))
+                    self.origin = self.origin or _first_point(f, page, s)
+                    self.scans.append((k, page, total, s))
                     total += s.count
         if not total:
             raise ValueError("no points")
@@ -445,20 +619,113 @@ class E57Reader(DataSourceReader):
         self.origin = self.origin or (0.0, 0.0, 0.0)
 
     def partitions(self) -> list[Range]:
-        return [Range(i, min(i + PART, n), scan=k) for k, (*_, s, index) in enumerate(self.scans) for n in [complete(index, s)] for i in range(0, n, PART)] or [Range(0, 0)]
+        out = []
+        for k, (_, _, before, s) in enumerate(self.scans):
+            first, end = (v - before for v in self.bounds.clipped(before, before + s.count))
+            out += [Range(i, min(i + PART, end), scan=k) for i in range(max(first, 0), end, PART)]
+        return out or [Range(0, 0)]
 
     def read(self, p: Range) -> Iterator[pa.RecordBatch]:
         if p.first == p.end:
             return
-        k, page, before, s, index = self.scans[p.scan]
+        k, page, before, s = self.scans[p.scan]
         with _open(self.paths[k]) as f:
-            for first, cols in records(f, page, s, index, p.first, p.end):
-                n = len(next(iter(cols.values())))
-                idx = np.arange(first, first + n) + before
-                keep = idx % self.step == 0
-                xyz = posed(*(cols.get(f"cartesian{a}", np.zeros(n))[keep] for a in "XYZ"), s.pose)
-                rgb = tuple((cols[k][keep].astype(np.int64) & 255) if (k := f"color{c}") in cols else np.full(int(keep.sum()), GREY) for c in ("Red", "Green", "Blue"))
-                yield batch(idx[keep], placed(*xyz, self.origin, self.swizzle), rgb)
+            yield from e57_batches(f, page, s, before, p.first, p.end, None, self.step, self.origin, self.swizzle)
+
+
+def read_e57(spark: SparkSession, path: str, max_points: int = 0, origin: tuple[float, float, float] | None = None, swizzle: bool = True, size: int | None = None) -> DataFrame:
+    """The rows of format("e57"), in two stages that run in tasks; the driver knows names of files only.
+
+    First each scan is found from its file's header and XML, and its packets are followed
+    once, which leaves a row for every range of size records; these rows are
+    written, dealt out, and decoded from where they say. origin: by default the first
+    point of the first scan.
+    """
+    from trussline.functions.scratch import checkpointed
+
+    size = size or PART
+    paths = _files(path, ".e57")
+    files = spark.createDataFrame(list(enumerate(paths)), "file int, path string").repartition(max(len(paths), 1))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                with _open(name) as f:
+                    page = e57_header(f.read(48)).page
+                    rows += [(k, name, i, page, s.count, json.dumps(asdict(s)), _first_point(f, page, s)) for i, s in enumerate(e57_scans(f))]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["file", "path", "scan", "page", "count", "of", "at"])
+
+    scans = files.mapInArrow(found, "file int, path string, scan int, page long, count long, of string, at array<double>")
+    # One row a scan: running sums over them show where each one's points begin.
+    order = Window.orderBy("file", "scan").rowsBetween(Window.unboundedPreceding, -1)
+    scans = checkpointed(scans.withColumn("before", F.coalesce(F.sum("count").over(order), F.lit(0))))
+    total, first = scans.agg(F.sum("count"), F.min_by("at", F.when(F.col("at").isNotNull(), F.struct("file", "scan")))).first()
+    step, base = step_for(total or 0, max_points), tuple(origin or first or (0.0, 0.0, 0.0))
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, page, of, before in zip(*(b.column(c).to_pylist() for c in ("path", "page", "of", "before")), strict=True):
+                with _open(name) as f:
+                    for lo, hi, spot in chunks(f, page, _scan(of), size):
+                        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (name, page, of, before, lo, hi, spot.at, spot.before)], ["path", "page", "of", "before", "first", "end", "at", "held"])
+
+    ranges = scans.where("count > 0").repartition("file", "scan").mapInArrow(indexed, "path string, page long, of string, before long, first long, end long, at long, held array<long>")
+    ranges = checkpointed(ranges)
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, page, of, before, lo, hi, at, held in zip(*(b.column(c).to_pylist() for c in ("path", "page", "of", "before", "first", "end", "at", "held")), strict=True):
+                with _open(name) as f:
+                    yield from e57_batches(f, page, _scan(of), before, lo, hi, Spot(at, held), step, base, swizzle)
+
+    return ranges.repartition("path", "before", "first").mapInArrow(decoded, SCHEMA)
+
+
+def _scan(text: str) -> Scan:
+    of = json.loads(text)
+    return Scan(**of | {"fields": [Field(**x) for x in of["fields"]], "pose": tuple(of["pose"])})
+
+
+def _checksums(pages: np.ndarray) -> np.ndarray:
+    """CRC-32C of each row of bytes, all rows at once, as big-endian bytes."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0x82F63B78), table >> 1)
+    crc = np.full(len(pages), 0xFFFFFFFF, np.uint32)
+    for k in range(pages.shape[1]):
+        crc = table[(crc ^ pages[:, k]) & 255] ^ (crc >> 8)
+    return (~crc).astype(">u4").view(np.uint8).reshape(-1, 4)
+
+
+def e57_bytes(xyz: np.ndarray, rgb: np.ndarray, page: int = 1024) -> bytes:
+    """An E57 file of one scan: coordinates as doubles, colours (0 to 255) as bytes, in packets below 64 KB."""
+    own, n, most = page - 4, len(xyz), 2048
+    physical = lambda at: at // own * page + at % own
+    packets_ = b""
+    for i in range(0, n, most):
+        streams = [np.ascontiguousarray(xyz[i : i + most, k], "<f8").tobytes() for k in range(3)] + [np.ascontiguousarray(rgb[i : i + most, k]).astype(np.uint8).tobytes() for k in range(3)]
+        body = struct.pack("<6H", *map(len, streams)) + b"".join(streams)
+        body += bytes(-(len(body) + 6) % 4)
+        packets_ += struct.pack("<BBHH", 1, 0, len(body) + 5, 6) + body
+    section = struct.pack("<B7xQQQ", 1, 32 + len(packets_), physical(48 + 32), 0) + packets_
+    fields = "".join(f'<cartesian{a} type="Float"/>' for a in "XYZ") + "".join(f'<color{c} type="Integer" minimum="0" maximum="255"/>' for c in ("Red", "Green", "Blue"))
+    scan = f'<vectorChild type="Structure"><points type="CompressedVector" fileOffset="{physical(48)}" recordCount="{n}"><prototype type="Structure">{fields}</prototype></points></vectorChild>'
+    text = f'<?xml version="1.0" encoding="UTF-8"?><e57Root type="Structure" xmlns="http://www.astm.org/COMMIT/E57/2010-e57-v1.0"><formatName type="String">ASTM E57 3D Imaging Data File</formatName><data3D type="Vector" allowHeterogeneousChildren="1">{scan}</data3D></e57Root>'.encode()
+    at = 48 + len(section)
+    size = -(-(at + len(text)) // own)
+    head = b"ASTM-E57" + struct.pack("<IIQQQQ", 1, 0, size * page, physical(at), len(text), page)
+    rows = np.frombuffer((head + section + text).ljust(size * own, b"\0"), np.uint8).reshape(size, own)
+    return np.concatenate([rows, _checksums(rows)], 1).tobytes()
+
+
+class E57Writer(PointWriter):
+    suffix = ".e57"
+
+    def encoded(self, xyz: np.ndarray, rgb: np.ndarray) -> bytes:
+        return e57_bytes(xyz, rgb)
 
 
 class E57(DataSource):
@@ -467,13 +734,17 @@ class E57(DataSource):
         return "e57"
 
     def schema(self) -> str:
-        return SCHEMA
+        return INFO if _info(self.options) else SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return InfoReader(self.options, ".e57") if _info(self.options) else E57Reader(self.options)
 
-    def reader(self, schema) -> E57Reader:
-        return E57Reader(self.options)
+    def writer(self, schema, overwrite: bool) -> E57Writer:
+        return E57Writer(self.options, schema, overwrite)
 
 
 def register(spark) -> None:
-    """Makes both formats known to a session."""
+    """Makes both formats known to a session, and lets filters reach them."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Las)
     spark.dataSource.register(E57)
