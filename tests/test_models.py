@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trussline.functions import geometry as G
-from trussline.operators import boxes, clashes, models
+from trussline.operators import boxes, clashes, models, solids
 
 
 def test_extract_of_gaps_and_types(spark):
@@ -149,3 +149,94 @@ def test_meshes_by_single_triangles(spark):
             else:
                 assert near[a, b].dist == pytest.approx(gap["dist"], abs=1e-9)
     assert len(hard) > 10 and len(near) > len(hard)
+
+
+def box(lo, hi):
+    """A closed box as twelve triangles."""
+    faces = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3)]
+    corner = lambda v: [(hi if v >> (2 - k) & 1 else lo)[k] for k in range(3)]
+    return np.array([[corner(v) for v in f] for f in faces], float)
+
+
+def ball(centre, radius, rng):
+    """A closed, bumpy ball."""
+    n = 8
+    at = lambda i, j: np.array([np.sin(np.pi * i / n) * np.cos(2 * np.pi * j / n), np.sin(np.pi * i / n) * np.sin(2 * np.pi * j / n), np.cos(np.pi * i / n)])
+    grid = {(i, j % n): at(i, j) * radius * (rng.uniform(0.8, 1.0) if 0 < i < n else 1) + centre for i in range(n + 1) for j in range(n)}
+    grid |= {(i, j): grid[i, 0] for i in (0, n) for j in range(n)}
+    tri = [t for i in range(n) for j in range(n) for t in ((grid[i, j], grid[i + 1, j], grid[i + 1, (j + 1) % n]), (grid[i, j], grid[i + 1, (j + 1) % n], grid[i, (j + 1) % n]))]
+    return np.array([t for t in tri if np.linalg.norm(np.cross(t[1] - t[0], t[2] - t[0])) > 1e-12])
+
+
+MESHES = "key string, tris array<double>"
+
+
+def test_points_inside_by_joins(spark):
+    """Points in closed, open and doubled meshes, on faces and corners, as the kernel for one mesh says."""
+    rng = np.random.default_rng(12)
+    one = box((0, 0, 0), (1, 1, 1))
+    solids_ = {"cube": one, "doubled": np.concatenate([one, one]), "no z face": one[4:], "ball": ball(np.array([0.5, 0.5, 0.5]), 0.7, rng), "far": box((50, 0, 0), (9000, 3000, 2))}
+    spots = np.concatenate([rng.uniform(-0.5, 1.5, (60, 3)), [[0.5, 0.5, 0.5], [0, 0, 0], [0.5, 0.5, 0], [1, 0.5, 0.5], [0.5, 0.5, -3]], rng.uniform(0, 1, (20, 3)) * [9000, 3000, 4]])
+    triangles = spark.createDataFrame([(k, i, *map(float, r.ravel())) for k, t in solids_.items() for i, r in enumerate(t)], "mesh string, tri long, " + ", ".join(f"{v}{x} double" for v in "abc" for x in "xyz"))
+    points = spark.createDataFrame([(f"{k}:{i}", k, *map(float, p)) for k in [*solids_, "none"] for i, p in enumerate(spots)], "id string, mesh string, x double, y double, z double")
+    got = {r.id for r in solids.inside(points, triangles).collect()}
+    want = {f"{k}:{i}" for k, t in solids_.items() for i, on in enumerate(G.points_in_mesh(spots, t)) if on}
+    assert got == want and len(want) > 20 and solids.inside(points.limit(0), triangles).count() == 0
+
+
+def test_penetration_by_joins(spark):
+    """Crossing and nested meshes, as the kernel for whole pairs says; no mesh travels as a whole."""
+    rng = np.random.default_rng(13)
+    meshes = {f"b{k}": ball(rng.uniform(0, 3, 3), rng.uniform(0.4, 1.2), rng) for k in range(6)} | {"cube": box((0.3, 0.3, 0.3), (2.7, 2.6, 2.5)), "small": box((1.0, 1.1, 1.2), (1.3, 1.5, 1.6)), "away": box((90, 90, 90), (91, 91, 91))}
+    df = spark.createDataFrame([(k, [float(x) for x in t.ravel()]) for k, t in meshes.items()], MESHES)
+    got = {(r.key_a, r.key_b): r for r in solids.penetration_meshes(df, df).collect()}
+    for (a, b), r in got.items():
+        want = G.penetration_pair(meshes[a], meshes[b])
+        assert r.measured == want["measured"] and r.pen == pytest.approx(want["pen"], abs=1e-9)
+    assert len(got) >= 20 and sum(r.measured for r in got.values()) >= 10 and got["cube", "small"].measured
+    assert not any("away" in k for k in got)
+    plan = solids.inside(spark.createDataFrame([], "id long, mesh string, x double, y double, z double"), spark.createDataFrame([], "mesh string, " + ", ".join(f"{v}{x} double" for v in "abc" for x in "xyz")))
+    assert plan.count() == 0
+
+
+def test_clash_run_with_depth(spark):
+    """The depth of hard clashes, and rules whose reach is no other's."""
+    meshes = {"a": ("IfcWall", box((0, 0, 0), (4, 0.5, 3))), "b": ("IfcPipe", box((1, -1, 1), (1.25, 0.25, 1.25))), "c": ("IfcDuct", box((1, 3.0, 1), (2, 4, 2))), "d": ("IfcBeam", box((0, 0.75, 0), (4, 1, 1)))}
+    elements = spark.createDataFrame([(k, c, [float(x) for x in t.ravel()]) for k, (c, t) in meshes.items()], "key string, ifc_class string, tris array<double>")
+    sets = spark.createDataFrame([("IFCWALL",), ("IFCPIPE",), ("IFCDUCT",), ("IFCBEAM",)], "name string")
+    rules = spark.createDataFrame([("IFCPIPE", "IFCWALL", "hard", 0.0), ("IFCDUCT", "IFCWALL", "clearance", 5.0), ("IFCBEAM", "IFCWALL", "clearance", 0.2), ("IFCDUCT", "IFCDUCT", "hard", 0.0)], "a_name string, b_name string, type string, tol double")
+    got = {(r.key_a, r.key_b): r for r in clashes.clash_run(elements, sets, rules, depth=True).collect()}
+    assert set(got) == {("b", "a"), ("c", "a")}
+    assert got["c", "a"].value == pytest.approx(2.5) and got["c", "a"].pen is None
+    want = G.penetration_pair(meshes["b"][1], meshes["a"][1])
+    assert got["b", "a"].measured and got["b", "a"].pen == pytest.approx(want["pen"]) and want["pen"] == pytest.approx(0.25, abs=0.01)
+
+
+def test_boxes_of_any_size(spark):
+    """A box of 1,000 km at a cell of 2 cm goes to a few cells; boxes of very different sizes still meet."""
+    from trussline.operators import boxes as B
+
+    big = spark.createDataFrame([("big", *[-500e3] * 3, *[500e3] * 3)], "key string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double")
+    cells = B._dealt(B._cells(big, 0.02, F.lit(0.0), "a", (), "xyz"), "a", 0.02, "xyz", None, True)
+    assert cells.count() <= 8
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i}", *map(float, lo), *map(float, lo + size)) for i, (lo, size) in enumerate(zip(rng.uniform(-50, 50, (150, 3)), 10.0 ** rng.uniform(-3, 5, (150, 3)), strict=True))]
+    df = spark.createDataFrame(rows, big.schema)
+    got = {tuple(sorted((r.key_a, r.key_b))) for r in B.self_join(df, cell=0.02).select("key_a", "key_b").collect()}
+    want = {tuple(sorted((a[0], b[0]))) for i, a in enumerate(rows) for b in rows[:i] if all(a[1 + k] <= b[4 + k] and b[1 + k] <= a[4 + k] for k in range(3))}
+    assert got == want and len(want) > 500
+
+
+def test_pieces_follow_a_large_triangle(spark):
+    """The boxes of a tilted large triangle hold all of it, and far fewer points than its own box."""
+    t = np.array([[0, 0, 0], [800, 0, 700], [0, 800, 650]], float)
+    one = spark.createDataFrame([(0, *map(float, t.ravel()))], "tri long, " + ", ".join(f"{v}{x} double" for v in "abc" for x in "xyz"))
+    parts = [tuple(r) for r in clashes.surface_boxes(one, 1.0, ["tri"]).select(*[f"{x}{i}" for i in "01" for x in "xyz"]).collect()]
+    assert 8 < len(parts) <= 36
+    rng = np.random.default_rng(3)
+    w = rng.dirichlet([1, 1, 1], 500)
+    held = lambda p: any(all(q[k] <= p[k] <= q[3 + k] for k in range(3)) for q in parts)
+    assert all(map(held, w @ t))
+    assert sum(map(held, rng.uniform(0, 1, (1000, 3)) * [800, 800, 700])) < 200
+    far = spark.createDataFrame([("x", 100.0, 100.0, 400.0), ("y", *map(float, t.mean(0) + [0, 0, 0.004]))], "id string, x double, y double, z double")
+    assert [r.id for r in clashes.nearest_surface(far, one, 0.005).collect()] == ["y"]

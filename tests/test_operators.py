@@ -154,7 +154,7 @@ def test_nearest(spark):
 
 def test_clash_pairs(spark):
     meshes = spark.createDataFrame([(k, m.ravel().tolist()) for k, m in (("a", cube()), ("b", cube((0.9, 0.3, 0.3))), ("c", cube((5, 5, 5))))], "key string, tris array<double>")
-    hits = clashes.hard_clashes(clashes.pairs_of(meshes, meshes)).collect()
+    hits = clashes.hard_meshes(meshes, meshes).collect()
     assert {(r.key_a, r.key_b) for r in hits} == {("a", "b"), ("b", "a")}
 
 
@@ -181,3 +181,17 @@ def test_stream_once(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert spark.table("once").count() == 2
+
+
+@pytest.mark.parametrize(("sep", "decimal"), [(";", None), (",", None), (";", ".")])
+def test_matrix_text_round_trip(spark, sep, decimal):
+    """Fractions, names with separators and quotes, and empty cells come back as they were."""
+    cells = [("Walls", "Pipes", "hard", 2.5, 0, 0), ("Walls", "Ducts; \"A\"", "clearance", 50.0, 0, 1), ("B, C", "Pipes", "hard", None, 1, 0)]
+    df = spark.createDataFrame(cells, "row_name string, col_name string, type string, tol_mm double, r int, c int")
+    lines = [r.line for r in matrix.matrix_lines(df, ["Pipes", "Ducts; \"A\""], sep, decimal).orderBy("line_no").collect()]
+    assert len(lines) == 3
+    if decimal is None:
+        assert ("2,5" in lines[1]) == (sep == ";")
+    back = matrix.parse_matrix(spark, "\r\n".join(lines) + "\r\n")
+    assert back.errors.count() == 0
+    assert {tuple(r)[:4] for r in back.cells.collect()} == {c[:4] for c in cells}

@@ -1,4 +1,4 @@
-"""Joins of axis-aligned boxes: closed-interval overlap on three axes, by grid cells.
+"""Joins of axis-aligned boxes: closed-interval overlap on two or three axes, by grid cells.
 
 Boxes are columns key, x0, y0, z0, x1, y1, z1. Each box goes to every cell of a
 grid that it touches, and boxes meet by an equi-join on the cell, which Spark
@@ -6,61 +6,72 @@ shuffles, broadcasts or splits as it does any join. A pair that meets in several
 cells is kept only in the one that holds the lower corner of its overlap, so no
 distinct is needed. Huge boxes are not copied to many cells: each box has a level
 by its size, whose cells are STEP times as wide as those of the level below, and
-a pair meets on the level of its coarser box.
+a pair meets on the level of its coarser box. There is no last level: a box of
+any size touches two cells an axis at most on its own, and goes up only to the
+levels that boxes of the other side have.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the grid, and how much wider each one's cells are; a box is no wider than a cell of its own level (but for the last one).
-LEVELS, STEP = 6, 8
+#: How much wider the cells of a level are than those of the level below; a box is no wider than a cell of its own level.
+STEP = 8
 AXES = "xyz"
 
 
-def sound(boxes: DataFrame) -> DataFrame:
+def sound(boxes: DataFrame, axes: str = AXES) -> DataFrame:
     """Boxes without null, NaN or infinite coordinates; a box with one overlaps nothing."""
     ok = F.lit(True)
-    for c in [f"{a}{i}" for i in "01" for a in AXES]:
+    for c in [f"{a}{i}" for i in "01" for a in axes]:
         ok = ok & F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
     return boxes.where(ok & F.col("key").isNotNull())
 
 
-def _cells(boxes: DataFrame, cell: float, inflate: float, side: str) -> DataFrame:
-    own = sound(boxes).select(F.col("key").alias(f"key_{side}"), *[(F.col(f"{a}0") - inflate).alias(f"{side}{a}0") for a in AXES], *[(F.col(f"{a}1") + inflate).alias(f"{side}{a}1") for a in AXES])
-    size = F.greatest(*[F.col(f"{side}{a}1") - F.col(f"{side}{a}0") for a in AXES])
-    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(float(STEP), F.greatest(size / cell, F.lit(1e-9)))).cast("int")))
-    return own.withColumn(f"level_{side}", level)
+def _cells(boxes: DataFrame, cell: float, inflate: Column, side: str, by: Sequence[str], axes: str) -> DataFrame:
+    own = sound(boxes, axes).select(F.col("key").alias(f"key_{side}"), *by, *[(F.col(f"{a}0") - inflate).alias(f"{side}{a}0") for a in axes], *[(F.col(f"{a}1") + inflate).alias(f"{side}{a}1") for a in axes])
+    size = F.greatest(*[F.col(f"{side}{a}1") - F.col(f"{side}{a}0") for a in axes])
+    return own.withColumn(f"level_{side}", F.greatest(F.lit(0), F.ceil(F.log(float(STEP), F.greatest(size / cell, F.lit(1e-9)))).cast("int")))
 
 
-def _dealt(boxes: DataFrame, side: str, cell: float, home: bool, up: bool) -> DataFrame:
-    """A row for each grid cell that a box touches, on its own level (home) and on the coarser ones (up)."""
+def _dealt(boxes: DataFrame, side: str, cell: float, axes: str, levels: DataFrame | None, home: bool) -> DataFrame:
+    """A row for each grid cell that a box touches, on its own level (home) and on the coarser ones among levels."""
     own = F.col(f"level_{side}")
-    levels = F.array(own) if home and not up else F.sequence(own + (0 if home else 1), F.lit(LEVELS - 1))
-    out = boxes if home else boxes.where(own < LEVELS - 1)
-    out = out.withColumn("level", F.explode(levels)).withColumn("width", cell * F.pow(F.lit(float(STEP)), "level"))
-    for a in AXES:
+    out = boxes.withColumn("level", own) if home else None
+    if levels is not None:
+        # A box has one level, and all levels are a few dozen numbers at most (a range of doubles has some 700).
+        up = boxes.join(F.broadcast(levels), F.col("level") > own)
+        up = up.select(*boxes.columns, "level")
+        out = up if out is None else out.unionByName(up)
+    out = out.withColumn("width", cell * F.pow(F.lit(float(STEP)), "level"))
+    for a in axes:
         out = out.withColumn(f"g{a}", F.explode(F.sequence(F.floor(F.col(f"{side}{a}0") / F.col("width")), F.floor(F.col(f"{side}{a}1") / F.col("width")))))
     return out
 
 
-def box_join(left: DataFrame, right: DataFrame, inflate: float = 0.0, cell: float = 1.0, keys: str = "differ") -> DataFrame:
-    """(key_a, key_b) and both boxes, of overlapping boxes, touching ones included, right grown by max(inflate, 0) on every side.
+def box_join(left: DataFrame, right: DataFrame, inflate: float | Column = 0.0, cell: float = 1.0, keys: str = "differ", by: Sequence[str] = (), axes: str = AXES) -> DataFrame:
+    """(key_a, key_b), by and both boxes, of overlapping boxes, touching ones included, right grown by max(inflate, 0) on every side.
 
-    keys: which pairs count: those whose keys "differ"; in a self-join "ascend",
-    which gives each unordered pair once; "any" if the sides' keys are of different kinds.
+    inflate: a number, or a column of right. keys: which pairs count: those
+    whose keys "differ"; in a self-join "ascend", which gives each unordered
+    pair once; "any" if the sides' keys are of different kinds. by: columns of
+    both sides that have to be equal as well. axes: which the boxes have.
     """
-    a, b = _cells(left, cell, 0.0, "a"), _cells(right, cell, max(inflate, 0.0), "b")
-    grid = ["level", "gx", "gy", "gz"]
+    grow = F.greatest(F.lit(0.0), inflate) if isinstance(inflate, Column) else F.lit(max(inflate, 0.0))
+    a, b = _cells(left, cell, F.lit(0.0), "a", by, axes), _cells(right, cell, grow, "b", by, axes)
+    grid = ["level", *[f"g{x}" for x in axes], *by]
+    levels = [d.select(F.col(f"level_{s}").alias("level")).distinct() for d, s in ((a, "a"), (b, "b"))]
     # Each pair meets on the level of its coarser box, which is at home there; two boxes that are both away from home never meet.
-    meets = [(_dealt(a, "a", cell, True, False), _dealt(b, "b", cell, True, True).drop("width")), (_dealt(a, "a", cell, False, True), _dealt(b, "b", cell, True, False).drop("width"))]
+    meets = [(_dealt(a, "a", cell, axes, None, True), _dealt(b, "b", cell, axes, levels[0], True).drop("width")), (_dealt(a, "a", cell, axes, levels[1], False), _dealt(b, "b", cell, axes, None, True).drop("width"))]
     hit = {"differ": F.col("key_a") != F.col("key_b"), "ascend": F.col("key_a") < F.col("key_b"), "any": F.lit(True)}[keys]
-    for x in AXES:
+    for x in axes:
         hit = hit & (F.col(f"a{x}0") <= F.col(f"b{x}1")) & (F.col(f"b{x}0") <= F.col(f"a{x}1"))
         hit = hit & (F.col(f"g{x}") == F.floor(F.greatest(f"a{x}0", f"b{x}0") / F.col("width")))
-    both = [p.join(q, grid).where(hit).select("key_a", "key_b", *[f"{s}{x}{i}" for s in "ab" for i in "01" for x in AXES]) for p, q in meets]
+    both = [p.join(q, grid).where(hit).select("key_a", "key_b", *by, *[f"{s}{x}{i}" for s in "ab" for i in "01" for x in axes]) for p, q in meets]
     return both[0].unionByName(both[1])
 
 

@@ -34,9 +34,11 @@ def lookup(codes: DataFrame, catalogue: DataFrame, code: str = "code", default_m
     prefixes = F.array(*[F.struct(F.lit("prefix").alias("kind"), F.substring("_code", 1, n).alias("piece")) for n in sorted(lengths)]) if lengths else F.slice(exact, 1, 0)
     segments = F.transform(F.array_distinct(F.split("_code", r"[.\-]")), lambda x: F.struct(F.lit("segment").alias("kind"), x.alias("piece")))
     hits = names.select("_code", F.explode(F.concat(exact, prefixes, segments)).alias("p")).select("_code", "p.*").join(rules, ["kind", "piece"])
-    for r in rules.where("kind = 'regex'").collect():
-        fits = names.where(F.regexp_like("_code", F.lit(r["piece"])))
-        hits = hits.unionByName(fits.select("_code", *[F.lit(r[k]).cast(t).alias(k) for k, t in (("kind", "string"), ("piece", "string"), ("rule", "string"), ("tipologia", "string"), ("own_cat", "string"), ("own_tol", "double"))]))
+    # All expressions in one pass over the names: a catalogue has a few dozen, which people write.
+    patterns = rules.where("kind = 'regex'").collect()
+    if patterns:
+        fits = F.filter(F.array(*[F.when(F.regexp_like("_code", F.lit(r["piece"])), F.struct(*[F.lit(r[k]).cast(t).alias(k) for k, t in rules.dtypes])) for r in patterns]), lambda x: x.isNotNull())
+        hits = hits.unionByName(names.select("_code", F.explode(fits).alias("f")).select("_code", "f.*"))
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in (("exact", 0), ("prefix", 1), ("segment", 2), ("regex", 3)) for x in kv]), F.col("kind"))
     best = hits.groupBy("_code").agg(F.min_by(F.struct("rule", "tipologia", "own_cat", "own_tol"), F.struct(rank, -F.length("piece"), "piece")).alias("m")).select("_code", "m.*")
     kinds = catalogue.where("codice is null or codice = ''").groupBy(F.col("tipologia").alias("_t")).agg(F.first("categoria", True).alias("t_cat"), F.first("tol_mm", True).alias("t_tol"))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trussline.functions.numbers import to_number
+from trussline.functions.numbers import csv_field, to_number
 
 CELLS = "row_name string, col_name string, type string, tol_mm double, r int, c int"
 ERRORS = "line int, msg string"
@@ -102,6 +102,21 @@ def matrix_grid(cells: DataFrame, cols: list[str]) -> DataFrame:
     return cells.withColumn("_t", text).groupBy("row_name").pivot("col_name", cols).agg(F.max_by("_t", F.struct("r", "c")))
 
 
+def matrix_lines(cells: DataFrame, cols: list[str], sep: str = ";", decimal: str | None = None) -> DataFrame:
+    """line_no and line of a matrix as text: a header, and one line for each row name in order of its number r; write with CRLF ends (``quantities.write_csv``).
+
+    decimal: a comma by default where the separator is ';'. Reading the text gives the same cells.
+    """
+    point = decimal or ("," if sep == ";" else ".")
+    grid = matrix_grid(cells, cols)
+    # Where two rows have one name, the first one's place and both rows' cells.
+    places = cells.groupBy(F.col("row_name").alias("_n")).agg(F.min("r").alias("_r"))
+    text = [csv_field(F.replace(F.coalesce(f"`{c}`", F.lit("")), F.lit("."), F.lit(point)), sep) for c in cols]
+    body = grid.join(places, F.col("row_name").eqNullSafe(F.col("_n"))).select((F.col("_r") + 1).alias("line_no"), F.concat_ws(sep, csv_field(F.col("row_name"), sep), *text).alias("line"))
+    head = cells.sparkSession.range(1).select(F.lit(0).alias("line_no"), F.concat_ws(sep, *[csv_field(F.lit(c), sep) for c in ("", *cols)]).alias("line"))
+    return head.unionByName(body)
+
+
 def expand_classes(sets: DataFrame, name: str = "name") -> DataFrame:
     """set, ifc_class: the class of each name and its special ones, upper-cased; '' gives nothing."""
     known = F.create_map(*[x for k, v in SUBCLASSES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from trussline.functions.scratch import checkpointed
 from trussline.operators.assignment import CROWD, by_number, mutual_best, neighbours
 
 Wanted = Sequence[tuple[str, str, str]]
+#: Tables of found rows that a closure keeps apart.
+MERGED = 16
 
 
 def _pivoted(props: DataFrame, wanted: Wanted, owner: str, suffix: str) -> DataFrame:
@@ -138,14 +141,15 @@ def with_uses(elements: DataFrame, key: str, name: str) -> DataFrame:
 def merge(models: Sequence[DataFrame]) -> DataFrame:
     """model, id, guid, refs of all models (id, guid, refs array<bigint>) as one: ids and references move above those of the models before.
 
-    A guid that an earlier row (by model, then id) has is made anew from model, id and guid.
+    A guid that an earlier row (by model, then id) has is made anew from model,
+    id and guid, and so is a null one, from model and id.
     """
     tops = [F.broadcast(m.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))) for m in models[:-1]]
     parts = []
     for i, m in enumerate(models):
         moved = m.withColumn("_by", F.lit(0).cast("long"))
         for t in tops[:i]:
-            moved = moved.join(t).withColumn("_by", F.col("_by") + F.col("top")).drop("top")
+            moved = moved.crossJoin(t).withColumn("_by", F.col("_by") + F.col("top")).drop("top")
         parts.append(moved.select(F.lit(i).alias("model"), (F.col("id") + F.col("_by")).alias("id"), "guid", F.transform("refs", lambda r: r + F.col("_by")).alias("refs")))
     every = parts[0]
     for p in parts[1:]:
@@ -158,16 +162,18 @@ def merge(models: Sequence[DataFrame]) -> DataFrame:
 def closure(links: DataFrame, roots: DataFrame) -> DataFrame:
     """id of everything that roots (id) reach over links (source, target), roots included.
 
-    Each step follows the links of what the step before found; what has been
-    found is checkpointed, so that a lost executor costs one step.
+    Each step follows the links of what the step before found, and only that is
+    written, so a lost executor costs one step and nothing is written twice.
     """
-    found = checkpointed(roots.select("id").where("id is not null").distinct())
-    fresh = found
-    while not fresh.isEmpty():
-        ahead = fresh.join(links, F.col("id") == F.col("source")).select(F.col("target").alias("id")).where("id is not null").distinct()
-        fresh = checkpointed(ahead.join(found, "id", "leftanti"))
-        found = checkpointed(found.unionByName(fresh))
-    return found
+    steps = [checkpointed(roots.select("id").where("id is not null").distinct())]
+    while not steps[-1].isEmpty():
+        ahead = steps[-1].join(links, F.col("id") == F.col("source")).select(F.col("target").alias("id")).where("id is not null").distinct()
+        for s in steps:
+            ahead = ahead.join(s, "id", "leftanti")
+        steps.append(checkpointed(ahead))
+        if len(steps) > MERGED:  # so that a step looks at a few tables, however many came before
+            steps = [checkpointed(reduce(DataFrame.unionByName, steps[:-1])), steps[-1]]
+    return reduce(DataFrame.unionByName, steps)
 
 
 def georeference(sites: DataFrame, tolerance_deg: float = 0.01, tolerance_m: float = 1.0) -> DataFrame:

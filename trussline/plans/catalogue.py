@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions.numbers import csv_number, format_number, to_number
 from trussline.functions.scratch import scratch_dir
-from trussline.operators import boxes, catalogue, clashes, events, matrix, models, quantities
+from trussline.operators import boxes, catalogue, clashes, events, matrix, models, quantities, solids
 from trussline.plans import ids
 
 QUERIES: dict = {}
@@ -196,7 +196,7 @@ def clearance_pair(spark, sf_dir):
 
 @query()
 def penetration(spark, sf_dir):
-    return clashes.penetrations(clashes.pairs_of(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3)))
+    return solids.penetration_meshes(_cubes(spark, sf_dir, 0), _cubes(spark, sf_dir, 3))
 
 
 def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,7 +344,7 @@ def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = _t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer")
     row = lambda owner, name, value: [F.col(owner).alias("owner"), F.lit("Pset_Common").alias("pset"), F.lit(name).alias("name"), value.alias("value")]
-    own = o.select(*row("o_orderkey", "Status", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")))).unionByName(o.where("o_orderkey % 5 = 0").select(*row("o_orderkey", "Clerk", F.col("o_clerk") if "o_clerk" in o.columns else F.col("o_orderpriority"))))
+    own = o.select(*row("o_orderkey", "Status", F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.col("o_orderstatus")))).unionByName(o.where("o_orderkey % 5 = 0").select(*row("o_orderkey", "Clerk", F.col("o_orderpriority"))))
     types = c.where("c_custkey % 2 = 0").select(*row("c_custkey", "Status", F.col("c_mktsegment")))
     return models.extract(_elements(spark, sf_dir), own, [("status", "Pset_Common", "Status"), ("clerk", "Pset_Common", "Clerk")], types)
 
@@ -501,3 +501,146 @@ def las_scan(spark, sf_dir):
     _t(spark, sf_dir, "embeddings").select(*at, colour.alias("r"), F.lit(65280).alias("g"), F.lit(0).alias("b")).write.format("las").mode("append").save(where)
     back = spark.read.format("las").option("path", where).option("swizzle", "false").load()
     return back.select(*[(F.round(F.col(a).cast("double"), 2) + 0.0).alias(a) for a in "xyz"], "r")
+
+
+_ALIKE = """p AS (SELECT p_partkey AS k, p_partkey % 3 * 100.0 + (p_partkey % 97) * 0.01 AS x, p_partkey % 3 AS g FROM part),
+ o AS (SELECT *, row_number() OVER (PARTITION BY g, x ORDER BY lpad(CAST(k AS VARCHAR), 9, '0')) AS i FROM p),
+ n AS (SELECT *, row_number() OVER (PARTITION BY g, x ORDER BY lpad(CAST(k AS VARCHAR), 9, '0')) AS i FROM p WHERE k % 97 <> 5 OR k % 2 = 0)"""
+
+
+@query(f"""WITH {_ALIKE} SELECT lpad(CAST(o.k AS VARCHAR), 9, '0') AS key, 'n' || lpad(CAST(n.k AS VARCHAR), 9, '0') AS new_key, CASE WHEN n.k IS NULL THEN 'removed' ELSE 'recreated' END AS change, 1.0::DOUBLE AS confidence
+ FROM o LEFT JOIN n ON o.g = n.g AND o.x = n.x AND o.i = n.i""")
+def rev_diff_alike(spark, sf_dir):
+    """Identical bolts, hundreds in a cell and several on a spot, all under new keys, some gone: n alike meet n alike."""
+    k = F.col("p_partkey")
+    text = F.lpad(k.cast("string"), 9, "0")
+    x = (k % 3).cast("double") * 100 + (k % 97).cast("double") * 0.01
+    row = lambda key: [key.alias("key"), F.lit("IFCFASTENER").alias("class"), F.lit("bolt").alias("geometry"), F.lit("M20").alias("name"), x.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")]
+    p = _t(spark, sf_dir, "part")
+    return models.matched_diff(p.select(*row(text)), p.where("p_partkey % 97 <> 5 or p_partkey % 2 = 0").select(*row(F.concat(F.lit("n"), text))), []).select("key", "new_key", "change", "confidence")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS key, 'n' || CAST(p_partkey AS VARCHAR) AS new_key, CASE WHEN p_partkey % 4 IN (0, 3) THEN 'recreated' ELSE 'proposed' END AS change,
+ CASE p_partkey % 4 WHEN 0 THEN 0.9375 WHEN 1 THEN 0.875 WHEN 2 THEN 0.75 ELSE 1.0 END::DOUBLE AS confidence FROM part""")
+def rev_diff_proposed(spark, sf_dir):
+    """New keys for all: moved by 0.25, by 0.5, by 50 (found by its name alone), and not moved."""
+    k = F.col("p_partkey")
+    text = k.cast("string")
+    by = F.element_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(50.0), F.lit(0.0)), (k % 4 + 1).cast("int"))
+    row = lambda key, x: [key.alias("key"), F.lit("IFCPLATE").alias("class"), F.lit("plate").alias("geometry"), F.concat(F.lit("plate "), text).alias("name"), x.alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")]
+    p, at = _t(spark, sf_dir, "part"), k.cast("double") * 1000
+    return models.matched_diff(p.select(*row(text, at)), p.select(*row(F.concat(F.lit("n"), text), at + by)), []).select("key", "new_key", "change", "confidence")
+
+
+_SLOPES = """p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) * 20 AS x, CAST(embedding[2] AS DOUBLE) * 20 AS y, CAST(embedding[3] AS DOUBLE) * 20 AS z FROM embeddings),
+ t AS (SELECT s_suppkey AS tri, (s_suppkey * 7 % 40 - 20) / 2.0 AS ax, (s_suppkey * 11 % 40 - 20) / 2.0 AS ay, (s_suppkey * 13 % 40 - 20) / 2.0 AS az, power(4.0, s_suppkey % 8 - 3) AS s FROM supplier),
+ d AS (SELECT id, tri, z - az AS h, s, x - ax AS u, y - ay AS v FROM p, t),
+ e AS (SELECT id, tri, h, u, v, s, greatest(0, least(1, u / s)) * s AS eu, greatest(0, least(1, v / s)) * s AS ev, greatest(0, least(1, (s - u + v) / (2 * s))) AS w FROM d),
+ f AS (SELECT id, tri, sqrt(h * h + CASE WHEN u >= 0 AND v >= 0 AND u + v <= s THEN 0 ELSE least((u - eu) * (u - eu) + v * v, u * u + (v - ev) * (v - ev), (u - s * (1 - w)) * (u - s * (1 - w)) + (v - s * w) * (v - s * w)) END) AS dist FROM e)"""
+
+
+def _slopes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points, and level right triangles with legs from 1/64 to 256."""
+    e, s = _t(spark, sf_dir, "embeddings"), _t(spark, sf_dir, "supplier")
+    points = e.select(F.col("vec_id").alias("id"), *[(F.col("embedding")[i].cast("double") * 20).alias(a) for i, a in enumerate("xyz")])
+    k = F.col("s_suppkey")
+    x, y, z = ((k * m % 40 - 20) / 2.0 for m in (7, 11, 13))
+    leg = F.pow(F.lit(4.0), k % 8 - 3)
+    corners = {"a": (x, y, z), "b": (x + leg, y, z), "c": (x, y + leg, z)}
+    return points, s.select(k.cast("long").alias("tri"), *[c.alias(f"{v}{a}") for v, at in corners.items() for a, c in zip("xyz", at, strict=True)])
+
+
+@query(f"WITH {_SLOPES} SELECT id, round(min(dist), 9) AS dist FROM f WHERE dist <= 0.25 GROUP BY id")
+def nearest_triangles(spark, sf_dir):
+    """Nearest surfaces within a radius, of triangles from a sixteenth to a thousand times its size."""
+    return clashes.nearest_surface(*_slopes(spark, sf_dir), 0.25).select("id", F.round("dist", 9).alias("dist"))
+
+
+@query(f"WITH {_SLOPES} SELECT id, round(min(dist), 9) AS dist FROM f GROUP BY id")
+def nearest_unbounded(spark, sf_dir):
+    """Nearest surfaces at any distance, of triangles of very different sizes."""
+    return clashes.nearest_surface(*_slopes(spark, sf_dir)).select("id", F.round("dist", 9).alias("dist"))
+
+
+_FACES = [(0, 1, 3), (0, 3, 2), (4, 6, 7), (4, 7, 5), (0, 4, 5), (0, 5, 1), (2, 3, 7), (2, 7, 6), (0, 2, 6), (0, 6, 4), (1, 5, 7), (1, 7, 3)]
+
+
+def _cube(at: list, side: float):
+    """A cube's twelve triangles, from its lowest corner."""
+    return F.array(*[F.lit(float((v >> (2 - k)) & 1) * side) + at[k] for f in _FACES for v in f for k in range(3)])
+
+
+_DEEPEST = "greatest(" + ", ".join("least(" + ", ".join(f"least({v} + {s}, 4 - {v} - {s})" for v, s in zip("xyz", (a, b, c), strict=True)) + ")" for a in (0, 0.5) for b in (0, 0.5) for c in (0, 0.5)) + ")"
+
+
+@query(f"""WITH c AS (SELECT 's' || CAST(p_partkey % n + 1 AS VARCHAR) AS key_a, 'p' || CAST(p_partkey AS VARCHAR) AS key_b, p_partkey % 4 AS kind,
+  (p_partkey * 3 % 50) / 16.0 + 0.25 AS x, (p_partkey * 7 % 50) / 16.0 + 0.25 AS y, (p_partkey * 11 % 50) / 16.0 + 0.25 AS z FROM part, (SELECT max(s_suppkey) AS n FROM supplier))
+ SELECT key_a, key_b, round({_DEEPEST}, 9)::DOUBLE AS pen, true AS measured FROM c WHERE kind <> 3""")
+def penetration_nested(spark, sf_dir):
+    """Small cubes that are inside large ones, hundreds in one, or between them: how deep, without any crossing surface."""
+    s, p = _t(spark, sf_dir, "supplier"), _t(spark, sf_dir, "part")
+    large = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("key"), _cube([F.col("s_suppkey") * 10.0, F.lit(0.0), F.lit(0.0)], 4.0).alias("tris"))
+    n = F.lit(s.agg(F.max("s_suppkey")).first()[0])
+    k = F.col("p_partkey")
+    at = [(k * m % 50) / 16.0 + 0.25 for m in (3, 7, 11)]
+    corner = [(k % n + 1) * 10.0 + at[0], at[1] + F.when(k % 4 == 3, 5.0).otherwise(0.0), at[2]]
+    small = p.select(F.concat(F.lit("p"), k.cast("string")).alias("key"), _cube(corner, 0.5).alias("tris"))
+    return solids.penetration_meshes(large, small).select("key_a", "key_b", F.round("pen", 9).alias("pen"), "measured")
+
+
+_APART = """s AS (SELECT s_suppkey AS k, 's' || CAST(s_suppkey AS VARCHAR) AS key, (s_suppkey * 3) % 1009 / 64.0 AS x, (s_suppkey * 7) % 1009 / 64.0 AS y, (s_suppkey * 11) % 1009 / 64.0 AS z FROM supplier),
+ d AS (SELECT a.key AS key_a, b.key AS key_b, abs(a.x - b.x - 1 / 128.0) AS dx, abs(a.y - b.y - 1 / 128.0) AS dy, abs(a.z - b.z - 1 / 128.0) AS dz FROM s a JOIN s b ON a.k <> b.k)"""
+
+
+def _apart_cubes(spark: SparkSession, sf_dir: str, shift: float) -> DataFrame:
+    """Unit cubes of suppliers' keys, of which no two of different shifts have faces in one plane."""
+    k = F.col("s_suppkey")
+    return _t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("key"), _cube([(k * m) % 1009 / 64.0 + shift for m in (3, 7, 11)], 1.0).alias("tris"))
+
+
+@query(f"WITH {_APART} SELECT key_a, key_b, round(1 - greatest(dx, dy, dz), 6)::DOUBLE AS overlap FROM d WHERE greatest(dx, dy, dz) < 1")
+def hard_overlap(spark, sf_dir):
+    """Crossing cubes, and how far their boxes overlap."""
+    return clashes.hard_meshes(_apart_cubes(spark, sf_dir, 0.0), _apart_cubes(spark, sf_dir, 1 / 128)).select("key_a", "key_b", F.round("overlap", 6).alias("overlap"))
+
+
+@query(f"WITH {_APART} SELECT key_a, key_b, round(dist, 6)::DOUBLE AS dist FROM (SELECT *, sqrt(pow(greatest(dx - 1, 0), 2) + pow(greatest(dy - 1, 0), 2) + pow(greatest(dz - 1, 0), 2)) AS dist FROM d) WHERE dist < 0.75")
+def clearance_distance(spark, sf_dir):
+    """Cubes nearer than 0.75, and how near."""
+    return clashes.near_meshes(_apart_cubes(spark, sf_dir, 0.0), _apart_cubes(spark, sf_dir, 1 / 128), 0.75).select("key_a", "key_b", F.round("dist", 6).alias("dist"))
+
+
+@query("SELECT " + ", ".join(f"round(CAST(embedding[{i}] AS DOUBLE) * 10, 2)::DOUBLE + 0.0 AS {a}" for i, a in enumerate("xyz", 1)) + ", CAST(vec_id % 200 AS SMALLINT) AS r FROM embeddings")
+def e57_scan(spark, sf_dir):
+    """Points written as E57 files by the tasks and read back in two stages."""
+    from trussline.sources import pointclouds
+
+    pointclouds.register(spark)
+    where = f"{scratch_dir(spark)}/e57-{uuid.uuid4().hex}"
+    at = [F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(a) for i, a in enumerate("xyz")]
+    _t(spark, sf_dir, "embeddings").select(*at, (F.col("vec_id") % 200).cast("int").alias("r"), F.lit(255).alias("g"), F.lit(0).alias("b")).write.format("e57").mode("append").save(where)
+    back = pointclouds.read_e57(spark, where, origin=(0.0, 0.0, 0.0), swizzle=False)
+    return back.select(*[(F.round(F.col(a).cast("double"), 2) + 0.0).alias(a) for a in "xyz"], "r")
+
+
+@query("SELECT CAST(vec_id % 200 AS SMALLINT) AS r, round(CAST(embedding[1] AS DOUBLE) * 10, 2)::DOUBLE + 0.0 AS x FROM embeddings WHERE round(CAST(embedding[1] AS DOUBLE) * 10, 2) > 0.505 AND round(CAST(embedding[3] AS DOUBLE) * 10, 2) < 1.005")
+def las_box(spark, sf_dir):
+    """Points in a box, of LAS files dealt by place: the filter leaves out files by their headers."""
+    from trussline.sources import pointclouds
+
+    pointclouds.register(spark)
+    where = f"{scratch_dir(spark)}/las-{uuid.uuid4().hex}"
+    at = [F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(a) for i, a in enumerate("xyz")]
+    rows = _t(spark, sf_dir, "embeddings").select(*at, ((F.col("vec_id") % 200) * 256).cast("int").alias("r"), F.lit(65280).alias("g"), F.lit(0).alias("b"))
+    rows.repartitionByRange("x").write.format("las").mode("append").save(where)
+    back = spark.read.format("las").option("path", where).option("swizzle", "false").load().where("x > 0.505 and z < 1.005")
+    return back.select("r", (F.round(F.col("x").cast("double"), 2) + 0.0).alias("x"))
+
+
+@query(_CELLS + """, t AS (SELECT row_name, col_name, CASE WHEN hard THEN CASE WHEN tol_mm IS NULL THEN 'H' ELSE 'H:' || replace(CAST(CAST(tol_mm AS INT) + 0.5 AS VARCHAR), '.', ',') END ELSE replace(CAST(CAST(tol_mm AS INT) + 0.5 AS VARCHAR), '.', ',') END AS t FROM cells),
+ r AS (SELECT row_name, min(n_nationkey) AS r FROM t JOIN nation ON n_name = row_name GROUP BY row_name)
+ SELECT 0 AS line_no, ';NATION_1;NATION_2;NATION_3' AS line UNION ALL
+ SELECT CAST(r.r + 1 AS INT), t.row_name || ';' || """ + " || ';' || ".join(f"coalesce(max(CASE WHEN col_name = 'NATION_{i}' THEN t END), '')" for i in (1, 2, 3)) + " FROM t JOIN r ON t.row_name = r.row_name GROUP BY t.row_name, r.r")
+def matrix_text(spark, sf_dir):
+    cells = _cells(spark, sf_dir).withColumn("tol_mm", F.col("tol_mm") + 0.5)
+    return matrix.matrix_lines(cells, ["NATION_1", "NATION_2", "NATION_3"])
