@@ -369,10 +369,10 @@ def test_lm(rows, docs, none):
     assert lm.lm_scores(none, held).count() == 0
 
 
-@pytest.mark.parametrize(("depth", "context", "long", "symbol", "hot"), [(lm.DEPTH, lm.CONTEXT, lm.LONG // 4, lm.SYMBOL, lm.HOT), (3, 3, 4, 2, 40), (2, 2, 2, 1, 0)])
-def test_lm_scores_equal_a_brute_force_tree(spark, monkeypatch, depth, context, long, symbol, hot):
+@pytest.mark.parametrize(("depth", "context", "symbol", "hot"), [(lm.DEPTH, lm.CONTEXT, lm.SYMBOL, lm.HOT), (3, 4, 2, 40), (2, 2, 1, 0)])
+def test_lm_scores_equal_a_brute_force_tree(spark, monkeypatch, depth, context, symbol, hot):
     """Contexts of every length, words and contexts not seen at all, and entries that are broadcast, joined, or both."""
-    for name, v in (("CONTEXT", context), ("LONG", long), ("SYMBOL", symbol), ("HOT", hot), ("HOT_COUNT", 3), ("GATHER", 5000), ("SALTED_SHARE", 0.01), ("PER_SLICE", 3000)):
+    for name, v in (("CONTEXT", context), ("SYMBOL", symbol), ("HOT", hot), ("HOT_COUNT", 3), ("GATHER", 5000), ("SALTED_SHARE", 0.01), ("PER_SLICE", 3000)):
         monkeypatch.setattr(lm, name, v)
     rng = random.Random(5)
     common = [f"w{i}" for i in range(30)]
@@ -403,7 +403,7 @@ def test_lm_scores_equal_a_brute_force_tree(spark, monkeypatch, depth, context,
             gain = sum(k * np.log(k / total / p(c[1:], x)) for x, k in kept.items())
             if other:
                 gain += other * np.log(other / total / (1 - sum(p(c[1:], x) for x in kept)))
-            if total >= (context if d == 1 else long) and kept and gain > lm.DIVERGENCE * np.log(n):
+            if total >= context and kept and gain > lm.DIVERGENCE * np.log(n):
                 state[c] = (total, kept)
     assert {len(c) for c in state} >= set(range(1, min(depth, 3) + 1))
     for c in list(state)[:20]:  # a state's probabilities, that of the unknown word included, add up to 1

@@ -2,8 +2,8 @@
 
 Training counts every token (case-folded words, then one end) of the training
 rows, and after contexts of up to DEPTH tokens the symbols that follow. As in
-the classical learner a context has to occur often enough, CONTEXT times (LONG, if
-it is of several words), and so has a symbol after it, SYMBOL times (absolute
+the classical learner a context has to occur often enough, CONTEXT times, whatever its
+length, and so has a symbol after it, SYMBOL times (absolute
 numbers, so the tree grows with the input; nothing is capped or sampled). A context is retained if
 count * KL(next symbols given it || given its longest retained suffix) passes
 DIVERGENCE * ln(tokens), symbols below SYMBOL being one symbol in that sum. A
@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 
 from .common import brief_shuffles, chunks, discard, mapped, mix64, words, written
 
-#: Longest context; occurrences that a context of one word, a longer one, and a symbol after either need; divergence needed; weight of the shorter state.
-DEPTH, CONTEXT, LONG, SYMBOL, DIVERGENCE, KAPPA = 4, 32, 512, 8, 1.0, 8.0
+#: Longest context; occurrences that a context, and a symbol after it, need; divergence needed; weight of the shorter state.
+DEPTH, CONTEXT, SYMBOL, DIVERGENCE, KAPPA = 4, 32, 8, 1.0, 8.0
 #: Entries that are broadcast at most, and occurrences they need (a rarer one saves too little); bits of a bitmap (16 MB); parts of a context with at least that share of all tokens; tokens to a slice of the counts.
 HOT, HOT_COUNT, BITS, SALTS, SALTED_SHARE, PER_SLICE = 1 << 21, 32, 27, 32, 2.0**-10, 1 << 20
 #: Tokens whose grams a task gathers before it passes counts on.
@@ -253,10 +253,10 @@ def _pairs(texts: DataFrame, vocabulary: DataFrame, tokens_: int) -> DataFrame:
 def _contexts(texts: DataFrame, pairs: DataFrame, depth: int, tokens_: int) -> DataFrame:
     """Grams of three to depth + 1 tokens.
 
-    A context that occurs LONG times consists of pairs that do, and its symbol
+    A context that occurs CONTEXT times consists of pairs that do, and its symbol
     occurs SYMBOL times after the context's last word.
     """
-    contexts, symbols = bitmap(pairs.where(F.col("n") >= LONG), "k"), bitmap(pairs, "k")
+    contexts, symbols = bitmap(pairs.where(F.col("n") >= CONTEXT), "k"), bitmap(pairs, "k")
 
     def emit(x: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         g, there = grams(x, place, 2)
@@ -293,7 +293,7 @@ def grown(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
     bonus, rests = [], []
     for d in range(1, depth + 1):
         low = below.where(F.col("n") >= SYMBOL).select(F.col("k").alias("g"), F.col("p").alias("q"))
-        of = below.where(F.col("n") >= (CONTEXT if d == 1 else LONG)).select(F.col("k").alias("c"), F.col("n").alias("total"))
+        of = below.where(F.col("n") >= CONTEXT).select(F.col("k").alias("c"), F.col("n").alias("total"))
         rows = written(levels.where(F.col("d") == d).join(low, "g").join(of, "c"), "level")
         sums = rows.groupBy("c", "total").agg(F.sum("n").alias("kept"), F.sum("q").alias("mass"), F.sum(F.col("n") * F.ln(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
         other = F.col("total") - F.col("kept")
