@@ -47,10 +47,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the bytes that strings of 360 bytes (some 55 words) found elsewhere cover; n_chars follows."""
+    """Every document without the bytes that strings of 256 bytes (some 40 words) found elsewhere cover; n_chars follows."""
     docs, back = _plain(docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = suffix.suffix_dedup(docs, width=360, with_text=True, carry=rest)
+    cut = suffix.suffix_dedup(docs, width=256, with_text=True, carry=rest)
     return cut.select("doc_id", F.col("kept_text").alias("text"), *rest, F.length("kept_text").cast("long").alias("n_chars")).select(*back)
 
 
