@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Event of a control's id (fixed values).
@@ -34,6 +34,8 @@ FILE_KINDS = (
     (r"\.ids$", "ids-open"),
     (r"\.(xml|landxml)$", "landxml-open"),
 )
+#: Events that a session holds back until the sink is ready, at most.
+QUEUE = 20
 BY_INPUT = {"fileC2mBook": "cloud-codebook", "fileClashMtx": "clash-matrix-load"}
 
 
@@ -71,3 +73,23 @@ def allowed(events: DataFrame, host: str = "host", protocol: str = "protocol", d
 def first_of_session(events: DataFrame) -> DataFrame:
     """The first occurrence of each event in a session."""
     return events.groupBy("session_id", "event").agg(F.min("ts").alias("ts"))
+
+
+def delivered(events: DataFrame, signals: DataFrame, most: int = QUEUE) -> DataFrame:
+    """(session_id, event, ts, sent_at, seq): what reaches the sink, in order, of (session_id, ts, event) and (session_id, ts, signal).
+
+    An event counts once a session. Until the session's first signal "ready" the first most
+    events are held; a signal "failed" before that drops what is held, and "ready" sends it, in order. Later events go
+    at once; what was not held is lost. Of one time, signals come first, then events by name.
+    A session has as many rows here as there are names.
+    """
+    first = first_of_session(events)
+    ready = signals.where("signal = 'ready'").groupBy("session_id").agg(F.min("ts").alias("ready"))
+    failed = signals.where("signal = 'failed'").join(ready, "session_id").where("ts <= ready").groupBy("session_id").agg(F.max("ts").alias("failed"))
+    rows = first.join(ready, "session_id").join(failed, "session_id", "left")
+    held = (F.col("ts") < F.col("ready")) & (F.col("failed").isNull() | (F.col("ts") >= F.col("failed")))
+    at = F.row_number().over(Window.partitionBy("session_id", "held").orderBy("ts", "event"))
+    sent = rows.withColumn("held", held).withColumn("at", at).where((F.col("ts") >= F.col("ready")) | (F.col("held") & (F.col("at") <= most)))
+    sent_at = F.greatest("ts", "ready")
+    seq = F.row_number().over(Window.partitionBy("session_id").orderBy("sent_at", "ts", "event"))
+    return sent.withColumn("sent_at", sent_at).select("session_id", "event", "ts", "sent_at", seq.cast("int").alias("seq"))
