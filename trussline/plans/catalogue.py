@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trussline.functions.numbers import csv_number, format_number, to_number
 from trussline.functions.scratch import scratch_dir
-from trussline.operators import boxes, catalogue, clashes, events, matrix, models, quantities, solids
+from trussline.operators import boxes, catalogue, clashes, events, graphs, matrix, models, quantities, solids
 from trussline.plans import ids
 
 QUERIES: dict = {}
@@ -644,3 +644,71 @@ def las_box(spark, sf_dir):
 def matrix_text(spark, sf_dir):
     cells = _cells(spark, sf_dir).withColumn("tol_mm", F.col("tol_mm") + 0.5)
     return matrix.matrix_lines(cells, ["NATION_1", "NATION_2", "NATION_3"])
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, parent, own) of regions, their nations, their customers, and the orders of those, as one tree of four levels."""
+    level = lambda t, n, key, up, text: _t(spark, sf_dir, t).select((F.col(key).cast("long") * 4 + n).alias("id"), (up.cast("long") * 4 + n - 1).alias("parent"), text.alias("own"))
+    none = F.lit(None).cast("long")
+    rows = level("region", 0, "r_regionkey", none, F.col("r_name")).unionByName(level("nation", 1, "n_nationkey", F.col("n_regionkey"), F.col("n_name")))
+    return rows.unionByName(level("customer", 2, "c_custkey", F.col("c_nationkey"), F.col("c_mktsegment"))).unionByName(level("orders", 3, "o_orderkey", F.col("o_custkey"), F.col("o_orderstatus")))
+
+
+@query("""WITH r AS (SELECT r_regionkey AS k, r_regionkey * 4 AS id, md5(r_name) AS f FROM region),
+ n AS (SELECT n_nationkey AS k, n_nationkey * 4 + 1 AS id, md5(n_name || '|' || coalesce(f, md5('missing'))) AS f FROM nation LEFT JOIN r ON k = n_regionkey),
+ c AS (SELECT c_custkey AS k, c_custkey * 4 + 2 AS id, md5(c_mktsegment || '|' || coalesce(f, md5('missing'))) AS f FROM customer LEFT JOIN n ON k = c_nationkey),
+ o AS (SELECT o_orderkey * 4 + 3 AS id, md5(o_orderstatus || '|' || coalesce(f, md5('missing'))) AS f FROM orders LEFT JOIN c ON k = o_custkey)
+ SELECT id, f AS fingerprint FROM r UNION ALL SELECT id, f FROM n UNION ALL SELECT id, f FROM c UNION ALL SELECT id, f FROM o""")
+def structure_digest(spark, sf_dir):
+    """Digests of rows that refer to others that refer to others, four levels deep."""
+    rows = _tree(spark, sf_dir)
+    refs = F.when(F.col("parent").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("parent"))
+    return graphs.fingerprints(rows.select("id", "own", refs.alias("refs")))
+
+
+_PLACES = """WITH r AS (SELECT r_regionkey AS k, r_regionkey * 4 AS id, r_regionkey * 4 + 1.0 AS x, 2.0 AS y FROM region),
+ n AS (SELECT n_nationkey AS k, n_nationkey * 4 + 1 AS id, x - 2.0 AS x, y + (n_nationkey * 4 + 2.0) AS y FROM nation JOIN r ON k = n_regionkey),
+ c AS (SELECT c_custkey AS k, c_custkey * 4 + 2 AS id, x - (c_custkey * 4 + 3.0) AS x, y - 2.0 AS y FROM customer JOIN n ON k = c_nationkey),
+ o AS (SELECT o_orderkey * 4 + 3 AS id, x + 2.0 AS x, y - (o_orderkey * 4 + 4.0) AS y FROM orders JOIN c ON k = o_custkey)"""
+
+
+@query(_PLACES + " SELECT id, x::DOUBLE AS x, y::DOUBLE AS y FROM r UNION ALL SELECT id, x, y FROM n UNION ALL SELECT id, x, y FROM c UNION ALL SELECT id, x, y FROM o")
+def placement_chain(spark, sf_dir):
+    """Absolute positions of a tree of placements, each turned by a quarter against the one above."""
+    turn = {"xx": 0.0, "yx": -1.0, "zx": 0.0, "xy": 1.0, "yy": 0.0, "zy": 0.0, "oy": 2.0, "xz": 0.0, "yz": 0.0, "zz": 1.0, "oz": 0.0}
+    rows = _tree(spark, sf_dir).select("id", "parent", *[(F.col("id") + 1.0 if c == "ox" else F.lit(turn[c])).alias(c) for c in graphs.PLACE])
+    return graphs.absolute(rows).select("id", (F.round("ox", 6) + 0.0).alias("x"), (F.round("oy", 6) + 0.0).alias("y"))
+
+
+@query("""WITH RECURSIVE r(id, part) AS (SELECT o_orderkey, CAST(o_orderkey % 70 AS INT) FROM orders WHERE o_orderkey % 13 = 0 UNION SELECT o_orderkey // 2, part FROM r JOIN orders ON o_orderkey = id WHERE o_orderkey // 2 > 0) SELECT id, part FROM r""")
+def model_parts(spark, sf_dir):
+    """Everything that the roots of seventy parts need, in one pass; shared rows are in several."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"))
+    links = o.select(F.col("id").alias("source"), F.floor(F.col("id") / 2).cast("long").alias("target")).where("target > 0")
+    return graphs.parts(links, o.where("id % 13 = 0").select("id", (F.col("id") % 70).cast("int").alias("part")))
+
+
+@query("""WITH e AS (SELECT user_id AS session_id, event_type || CAST(event_id % 9 AS VARCHAR) AS event, min(ts) AS ts FROM events WHERE event_id % 11 > 1 GROUP BY 1, 2),
+ r AS (SELECT user_id AS session_id, min(ts) AS ready FROM events WHERE event_id % 11 = 0 GROUP BY 1),
+ f AS (SELECT user_id AS session_id, max(ts) AS failed FROM events JOIN r ON user_id = session_id AND ts <= ready WHERE event_id % 11 = 1 GROUP BY 1),
+ h AS (SELECT e.*, ready, e.ts < ready AND (failed IS NULL OR e.ts >= failed) AS held FROM e JOIN r USING (session_id) LEFT JOIN f USING (session_id)),
+ s AS (SELECT *, row_number() OVER (PARTITION BY session_id, held ORDER BY ts, event) AS i FROM h)
+ SELECT session_id, event, ts, greatest(ts, ready) AS sent_at, CAST(row_number() OVER (PARTITION BY session_id ORDER BY greatest(ts, ready), ts, event) AS INT) AS seq FROM s WHERE ts >= ready OR (held AND i <= 4)""")
+def events_delivered(spark, sf_dir):
+    """Events that are held back until a session's sink is ready, four at most."""
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "ts", (F.col("event_id") % 11).alias("k"), F.concat("event_type", (F.col("event_id") % 9).cast("string")).alias("event"))
+    signals = e.where("k <= 1").select("session_id", "ts", F.when(F.col("k") == 0, "ready").otherwise("failed").alias("signal"))
+    return events.delivered(e.where("k > 1").select("session_id", "ts", "event"), signals, 4)
+
+
+@query("SELECT o_orderkey * 2 + 1 AS id, 'IFCWALL' AS entity, CAST(o_custkey * 2 AS VARCHAR) AS refs FROM orders UNION ALL SELECT c_custkey * 2, 'IFCBEAM', '' FROM customer")
+def step_scan(spark, sf_dir):
+    """Records written as STEP text by the tasks and read back in ranges of 64 KB."""
+    from trussline.sources import step
+
+    where = f"{scratch_dir(spark)}/step-{uuid.uuid4().hex}"
+    walls = _t(spark, sf_dir, "orders").select(F.concat(F.lit("#"), F.col("o_orderkey") * 2 + 1, F.lit("=IFCWALL('it''s; #1', /* ; ' */ #"), F.col("o_custkey") * 2, F.lit(",$);")).alias("value"))
+    beams = _t(spark, sf_dir, "customer").select(F.concat(F.lit("#"), F.col("c_custkey") * 2, F.lit("= ifcbeam('"), "c_mktsegment", F.lit("');")).alias("value"))
+    walls.unionByName(beams).write.text(where)
+    back = step.read_step(spark, where + "/part-*", 1 << 16)
+    return back.select("id", "entity", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"))
