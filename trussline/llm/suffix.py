@@ -53,12 +53,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import brief_shuffles, chunks, discard, flagged, mapped, mix64, passing, prefix_hash, span_hash, sums, words, written
 
 WIDTH = 400
+#: Parts that the occurrences of one span are gathered in.
+SLICES = 256
 #: Bits of a segment's positions; longer documents are sampled in segments that overlap by a window. Contexts sorted in one block.
 PLACE_BITS, BLOCK = 23, 20_000
 SEGMENT = (1 << PLACE_BITS) - 1
@@ -211,6 +213,18 @@ def _runs(row: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, n
     return row[a], start[a], start[b] + width
 
 
+def _touching(found: Column) -> Column:
+    """Spans (id, h, first, end), in order, with those of one text that overlap or touch as one."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["id"].alias("id"), last["h"].alias("h"), last["first"].alias("first"), F.greatest(last["end"], x["end"]).alias("end"))
+        touches = (last["id"] == x["id"]) & (last["h"] == x["h"]) & (x["first"] <= last["end"])
+        return F.when(touches, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(found, F.array().cast("array<struct<id:bigint,h:bigint,first:bigint,end:bigint>>"), add)
+
+
 def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
     """(id, h, first, end): spans of bytes that repeated windows cover, from (id, h, text); spans may overlap."""
     half = width // 2
@@ -231,7 +245,11 @@ def repeated_spans(base: DataFrame, width: int = WIDTH) -> DataFrame:
     kinds = written(every.join(names, "name"), "kinds")
     discard(every)
     whole = kinds.where("n > 1").select(*spans)
-    spread = passing(tuples, "name", whole, "name").join(whole, spans).select("id", "h", (F.col("at") - F.col("high")).cast("long").alias("first"), (F.col("at") - F.col("low") + width).cast("long").alias("end"))
+    # Occurrences meet their span by the slice: a span with any number of them is SLICES rows at most, dealt to as
+    # many tasks; those of one text that touch are one span of it.
+    where = F.struct("id", "h", (F.col("at") - F.col("high")).cast("long").alias("first"), (F.col("at") - F.col("low") + width).cast("long").alias("end"))
+    sliced = passing(tuples, "name", whole, "name").groupBy(*spans, F.pmod(F.col("h"), F.lit(SLICES)).alias("slice")).agg(_touching(F.array_sort(F.collect_list(where))).alias("found"))
+    spread = sliced.join(whole, spans, "leftsemi").repartition("name", "slice").select(F.explode("found").alias("f")).select("f.*")
     block = BLOCK
     many = F.col("kinds") > block
     rest = kinds.where("kinds > 1").select("name", F.col("one.id").alias("id"), F.col("one.h").alias("h"), F.col("one.at").alias("at"), "high", "low", F.col("n").alias("n"), many.alias("many"))
