@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trussline.functions.numbers import csv_number, format_number, to_number
-from trussline.functions.scratch import scratch_dir
+from trussline.functions.scratch import scratch_path
 from trussline.operators import boxes, catalogue, clashes, events, graphs, matrix, models, quantities, solids
 from trussline.plans import ids
 
@@ -495,7 +493,7 @@ def las_scan(spark, sf_dir):
     from trussline.sources import pointclouds
 
     pointclouds.register(spark)
-    where = f"{scratch_dir(spark)}/las-{uuid.uuid4().hex}"
+    where = scratch_path(spark, "las")
     at = [F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(a) for i, a in enumerate("xyz")]
     colour = ((F.col("vec_id") % 200) * 256).cast("int")
     _t(spark, sf_dir, "embeddings").select(*at, colour.alias("r"), F.lit(65280).alias("g"), F.lit(0).alias("b")).write.format("las").mode("append").save(where)
@@ -616,7 +614,7 @@ def e57_scan(spark, sf_dir):
     from trussline.sources import pointclouds
 
     pointclouds.register(spark)
-    where = f"{scratch_dir(spark)}/e57-{uuid.uuid4().hex}"
+    where = scratch_path(spark, "e57")
     at = [F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(a) for i, a in enumerate("xyz")]
     _t(spark, sf_dir, "embeddings").select(*at, (F.col("vec_id") % 200).cast("int").alias("r"), F.lit(255).alias("g"), F.lit(0).alias("b")).write.format("e57").mode("append").save(where)
     back = pointclouds.read_e57(spark, where, origin=(0.0, 0.0, 0.0), swizzle=False)
@@ -629,7 +627,7 @@ def las_box(spark, sf_dir):
     from trussline.sources import pointclouds
 
     pointclouds.register(spark)
-    where = f"{scratch_dir(spark)}/las-{uuid.uuid4().hex}"
+    where = scratch_path(spark, "las")
     at = [F.round(F.col("embedding")[i].cast("double") * 10, 2).alias(a) for i, a in enumerate("xyz")]
     rows = _t(spark, sf_dir, "embeddings").select(*at, ((F.col("vec_id") % 200) * 256).cast("int").alias("r"), F.lit(65280).alias("g"), F.lit(0).alias("b"))
     rows.repartitionByRange("x").write.format("las").mode("append").save(where)
@@ -706,9 +704,9 @@ def step_scan(spark, sf_dir):
     """Records written as STEP text by the tasks and read back in ranges of 64 KB."""
     from trussline.sources import step
 
-    where = f"{scratch_dir(spark)}/step-{uuid.uuid4().hex}"
+    where = scratch_path(spark, "step")
     walls = _t(spark, sf_dir, "orders").select(F.concat(F.lit("#"), F.col("o_orderkey") * 2 + 1, F.lit("=IFCWALL('it''s; #1', /* ; ' */ #"), F.col("o_custkey") * 2, F.lit(",$);")).alias("value"))
     beams = _t(spark, sf_dir, "customer").select(F.concat(F.lit("#"), F.col("c_custkey") * 2, F.lit("= ifcbeam('"), "c_mktsegment", F.lit("');")).alias("value"))
-    walls.unionByName(beams).write.text(where)
+    walls.unionByName(beams).write.mode("append").text(where)
     back = step.read_step(spark, where + "/part-*", 1 << 16)
     return back.select("id", "entity", F.array_join(F.col("refs").cast("array<string>"), ",").alias("refs"))
