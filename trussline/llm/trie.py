@@ -45,7 +45,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _P, _PI, _powers, brief_shuffles, looked_up, mapped, mix64, written
+from trussline.functions.lookup import looked_up
+
+from .common import _P, _PI, _powers, brief_shuffles, mapped, mix64, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Conversations to a family, first turns taken from the base below this, turns from which on a conversation is dealt by ranges, rows that are made into tries at once, bytes of ready-made id text.
