@@ -202,3 +202,27 @@ def _across(buckets: DataFrame, links: DataFrame, comps: DataFrame, sets: DataFr
     right = rows.select(*kept, prefix(F.col("low_apart")).alias("at2", "e")).withColumnsRenamed({"rep": "rep2", "c": "c2", "q": "q2", "nd": "nd2"})
     both = left.join(right, ["lead", "e"]).where((F.col("rep") != F.col("rep2")) & (F.col("c") != F.col("c2")) & (whole * F.least(F.col("nd") - F.col("at"), F.col("nd2") - F.col("at2")) >= F.col("q") + F.col("q2") - F.col("l")))
     return both.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).unionByName(sure).distinct()
+
+
+def sql(shingle: int, percent: int) -> str:
+    """doc_id, n_shingles and component_id of documents in SQL: all sets, pairs counted by shared shingles, and components by reachability."""
+    one = " || ' ' || ".join(f"ws[i + {k}]" if k else "ws[i]" for k in range(shingle))
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {shingle} THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - {shingle} + 2), lambda i: {one}) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE {100 + percent} * least(x.n, y.n) >= {percent} * (x.n + y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING {100 + percent} * count(*) >= {percent} * (x.n + y.n)),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN links l ON l.a = r.doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id
+FROM documents d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
+#: Near-duplicates by two-word shingles in SQL.
+SQL = f"SELECT *, doc_id = component_id AS kept FROM ({sql(2, 80)})"

@@ -69,4 +69,4 @@ def _remainder(n: int):
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_quality_crf, op4_hnsw_search, op5_media_columns, op6_mix_sources, op7_url_filter, op8_minhash_near_dedup, op9_suffix_array_dedup, op10_lm_scoring, op11_vector_codes, op12_conversation_trie, op13_ngram_join)}
-ORACLES: dict[str, str] = {"op11_vector_codes": codes.sql(), "op12_conversation_trie": trie.SQL, "op13_ngram_join": ngram_join.SQL}
+ORACLES: dict[str, str] = {"op8_minhash_near_dedup": minhash.SQL, "op11_vector_codes": codes.sql(), "op12_conversation_trie": trie.SQL, "op13_ngram_join": ngram_join.SQL}
