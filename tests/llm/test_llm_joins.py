@@ -233,3 +233,27 @@ def test_prefix_order():
     order = ngram_join.Order(np.array([3, 8, 20], np.uint64), np.array([2, 3, 1]))
     s = np.array([1, 3, 7, 8, 20, 30], np.uint64)
     assert order.prefix(s, 6).tolist() == [1, 7, 30, 20, 3, 8] and order.prefix(s, 2).tolist() == [1, 7]
+
+
+def test_ngram_join_makes_few_pairs_of_near_copies(spark, monkeypatch):
+    """A hundred near-copies that one of them links make no pairs of all of them."""
+    rng = random.Random(7)
+    base = words(400, rng).split()
+    rows = [(i, words(30, rng)) for i in range(20)]
+    for i in range(120):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = words(1, rng)
+        rows.append((100 + i, " ".join(w)))
+    pairs, write = [], ngram_join.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collections.Counter(tuple(r) for r in ngram_join.similar(frame).collect()) == classes(rows, 3, 90)
+    assert sum(pairs) < 10 * len(rows)
