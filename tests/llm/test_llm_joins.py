@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trussline.llm import codes, ngram_join, queries, trie
+from trussline.llm import codes, minhash, ngram_join, queries, trie
 
 SF = "/root/testdata/sf0.001"
 
@@ -257,3 +257,26 @@ def test_ngram_join_makes_few_pairs_of_near_copies(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert collections.Counter(tuple(r) for r in ngram_join.similar(frame).collect()) == classes(rows, 3, 90)
     assert sum(pairs) < 10 * len(rows)
+
+
+def test_linked_nodes_far_from_their_lead_make_few_pairs(spark):
+    """Eighty nodes that are linked with each other, but not with the lead of their star, are joined without all their pairs."""
+    rng = random.Random(8)
+    base = list(range(200))
+
+    def changed(k):
+        out = list(base)
+        for i in rng.sample(range(200), k):
+            out[i] = rng.randrange(1000, 10**9)
+        return out
+
+    sets = [(i, changed(6)) for i in range(80)] + [(i, changed(60)) for i in range(80, 90)] + [(90, changed(60))]
+    frame = spark.createDataFrame(sets, "id long, s array<long>").repartition(3)
+    buckets = frame.select(F.lit(1).cast("long").alias("key"), F.col("id").alias("rep"), F.size("s").cast("long").alias("n"))
+    links, comps = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
+    pairs = minhash._across(buckets, links, comps, frame, 80)  # without links the largest rep, 90, leads
+    found = minhash._confirmed(pairs, frame, 80)
+    whole = {(a, b) for a, x in sets for b, y in sets if a < b and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})}
+    assert len(whole) == 80 * 79 // 2 and {tuple(r) for r in found.collect()} <= whole
+    assert {tuple(r) for r in minhash.components(found).collect()} == {(i, 0) for i in range(80)}
+    assert pairs.count() < 5 * len(sets)
