@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,13 +56,13 @@ class Matrix:
 def parse_matrix(spark: SparkSession, text: str) -> Matrix:
     """Cells in long form and the errors found; parsing goes on after an error.
 
-    The separator is the first of ';' and ',' in the first line. A matrix is a
+    The separator is ';' if the first line has one outside quotes, else ','. A matrix is a
     file that people write, so its lines are split here; cells are typed in Spark.
     """
     lines = [(i, x) for i, x in enumerate(text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1) if x.strip()]
     if not lines:
         return Matrix(spark.createDataFrame([], CELLS), spark.createDataFrame([(0, "the file is empty")], ERRORS), [], [])
-    sep = ";" if ";" in lines[0][1] else ","
+    sep = ";" if ";" in re.sub(r'"[^"]*"', "", lines[0][1]) else ","
     split = lambda x: [c.strip() for c in next(csv.reader(io.StringIO(x), delimiter=sep), [])]
     cols, rows, raw, errors = split(lines[0][1])[1:], [], [], []
     for i, line in lines[1:]:
