@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from trussline.llm import codes, minhash, ngram_join, queries, trie
+from trussline.llm import codes, common, minhash, ngram_join, queries, trie
 
 SF = "/root/testdata/sf0.001"
 
@@ -280,3 +280,30 @@ def test_linked_nodes_far_from_their_lead_make_few_pairs(spark):
     assert len(whole) == 80 * 79 // 2 and {tuple(r) for r in found.collect()} <= whole
     assert {tuple(r) for r in minhash.components(found).collect()} == {(i, 0) for i in range(80)}
     assert pairs.count() < 5 * len(sets)
+
+
+def test_components_end_without_a_step_that_changes_nothing(spark, monkeypatch):
+    """Random graphs against brute force, on top of known components too; a star of the right centre takes the links and one step."""
+    tables, real = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: tables.append(name) or real(df, name))
+
+    def brute(edges):
+        of = {x: x for e in edges for x in e}
+        while any(of[a] != of[b] for a, b in edges):
+            for a, b in edges:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    rng = random.Random(5)
+    for n in (12, 40):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)] + [(100 + i, 101 + i) for i in range(9)]
+        edges = [(a, b) for a, b in edges if a != b]
+        want = brute(edges)
+        assert sorted(tuple(r) for r in common.components(frame(edges)).collect()) == sorted(want.items())
+        both = common.stars(frame(edges[n // 2 :]), common.stars(frame(edges[: n // 2])))
+        assert sorted(tuple(r) for r in both.collect()) == sorted((k, v) for k, v in want.items() if k != v)
+    assert common.components(frame([])).count() == 0
+    tables.clear()
+    assert {tuple(r) for r in common.components(frame([(i, 0) for i in range(1, 9)])).collect()} == {(i, 0) for i in range(9)}
+    assert len(tables) == 2

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, labelled_sample, mapped, prefix_hash, span_hash, white_space, word_places
+from .common import chunks, labelled_sample, mapped, prefix_hash, release, span_hash, white_space, word_places
 
 #: Labelled documents and lines that the fit uses at most; gradient steps; penalty; how much a document's label favours its lines'.
 TRAIN_DOCS, TRAIN_LINES, STEPS, L2, TIE = 6000, 400_000, 150, 1e-3, 4.0
@@ -236,6 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str, keep: Column, rows: i
 def document_quality(docs: DataFrame, labels: DataFrame, held_out: Column, column: str = "quality", keep_columns: tuple[str, ...] = (), rows: int = TRAIN_DOCS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document (and keep_columns of it); held_out documents are not learned from."""
     field = docs.sparkSession.sparkContext.broadcast(train(docs, labels, column, F.coalesce(~held_out, F.lit(True)), rows))
+    release()  # the driver goes on without the sample
     own = docs.select(F.col("doc_id").cast("long").alias("id"), held_out.alias("held_out"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep_columns)], "text")
     names = own.columns[:-1]
 
