@@ -195,3 +195,16 @@ def test_matrix_text_round_trip(spark, sep, decimal):
     back = matrix.parse_matrix(spark, "\r\n".join(lines) + "\r\n")
     assert back.errors.count() == 0
     assert {tuple(r)[:4] for r in back.cells.collect()} == {c[:4] for c in cells}
+
+
+def test_boxes_alike_meet_as_one(spark):
+    """Copies of a box go through the grid as lists of keys, are paired in full, and no cells are broadcast."""
+    rows = [(f"k{i:04}", float(i % 2) * 10) for i in range(600)]
+    b = spark.createDataFrame(rows, "key string, x0 double").select("key", "x0", *[F.lit(0.0).alias(c) for c in ("y0", "z0")], (F.col("x0") + 1).alias("x1"), *[F.lit(1.0).alias(c) for c in ("y1", "z1")])
+    assert sorted(len(r.key) for r in boxes.packed(b, "key").collect()) == [44, 44, 256, 256]
+    for got, n in ((boxes.box_join(b, b, alike=True), 2 * 300 * 299), (boxes.self_join(b), 300 * 299)):
+        pairs = got.select("key_a", "key_b").collect()
+        assert len(pairs) == len(set(pairs)) == n
+        assert all(int(p.key_a[1:]) % 2 == int(p.key_b[1:]) % 2 and p.key_a != p.key_b for p in pairs)
+    plan = boxes.box_join(b, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=merge)") == 2

@@ -8,7 +8,9 @@ distinct is needed. Huge boxes are not copied to many cells: each box has a leve
 by its size, whose cells are STEP times as wide as those of the level below, and
 a pair meets on the level of its coarser box. There is no last level: a box of
 any size touches two cells an axis at most on its own, and goes up only to the
-levels that boxes of the other side have.
+levels that boxes of the other side have. Boxes alike meet as one with a list of
+at most ALIKE keys, and pairs of keys are made where such boxes have met, so
+thousands of copies of a box cost what one costs until the pairs are given out.
 """
 
 from __future__ import annotations
@@ -16,12 +18,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: How much wider the cells of a level are than those of the level below; a box is no wider than a cell of its own level.
 STEP = 8
 AXES = "xyz"
+#: Keys that a row holds at most where rows alike go as one.
+ALIKE = 256
+
+
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that differ in key alone as one with the array of their keys, or as several of at most ALIKE keys each; by one shuffle."""
+    same = [c for c in rows.columns if c != key]
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy(key)) - 1
+    return rows.withColumn("_part", F.floor(nth / ALIKE)).groupBy(*same, "_part").agg(F.collect_list(key).alias(key)).select(*rows.columns)
 
 
 def sound(boxes: DataFrame, axes: str = AXES) -> DataFrame:
@@ -53,31 +64,38 @@ def _dealt(boxes: DataFrame, side: str, cell: float, axes: str, levels: DataFram
     return out
 
 
-def box_join(left: DataFrame, right: DataFrame, inflate: float | Column = 0.0, cell: float = 1.0, keys: str = "differ", by: Sequence[str] = (), axes: str = AXES) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, inflate: float | Column = 0.0, cell: float = 1.0, keys: str = "differ", by: Sequence[str] = (), axes: str = AXES, alike: bool = False) -> DataFrame:
     """(key_a, key_b), by and both boxes, of overlapping boxes, touching ones included, right grown by max(inflate, 0) on every side.
 
     inflate: a number, or a column of right. keys: which pairs count: those
     whose keys "differ"; in a self-join "ascend", which gives each unordered
     pair once; "any" if the sides' keys are of different kinds. by: columns of
     both sides that have to be equal as well. axes: which the boxes have.
+    alike: boxes that are equal meet as one; a further shuffle of both sides,
+    which pays where many are.
     """
     grow = F.greatest(F.lit(0.0), inflate) if isinstance(inflate, Column) else F.lit(max(inflate, 0.0))
     a, b = _cells(left, cell, F.lit(0.0), "a", by, axes), _cells(right, cell, grow, "b", by, axes)
+    if alike:
+        a, b = packed(a, "key_a"), packed(b, "key_b")
     grid = ["level", *[f"g{x}" for x in axes], *by]
     levels = [d.select(F.col(f"level_{s}").alias("level")).distinct() for d, s in ((a, "a"), (b, "b"))]
     # Each pair meets on the level of its coarser box, which is at home there; two boxes that are both away from home never meet.
     meets = [(_dealt(a, "a", cell, axes, None, True), _dealt(b, "b", cell, axes, levels[0], True).drop("width")), (_dealt(a, "a", cell, axes, levels[1], False), _dealt(b, "b", cell, axes, None, True).drop("width"))]
-    hit = {"differ": F.col("key_a") != F.col("key_b"), "ascend": F.col("key_a") < F.col("key_b"), "any": F.lit(True)}[keys]
+    asked = {"differ": F.col("key_a") != F.col("key_b"), "ascend": F.col("key_a") < F.col("key_b"), "any": F.lit(True)}[keys]
+    hit = F.lit(True) if alike else asked
     for x in axes:
         hit = hit & (F.col(f"a{x}0") <= F.col(f"b{x}1")) & (F.col(f"b{x}0") <= F.col(f"a{x}1"))
         hit = hit & (F.col(f"g{x}") == F.floor(F.greatest(f"a{x}0", f"b{x}0") / F.col("width")))
-    both = [p.join(q, grid).where(hit).select("key_a", "key_b", *by, *[f"{s}{x}{i}" for s in "ab" for i in "01" for x in axes]) for p, q in meets]
-    return both[0].unionByName(both[1])
+    # How many cells a box touches is unknown to the planner, which would take a small table's cells for small and broadcast them.
+    both = [p.join(q.hint("merge"), grid).where(hit).select("key_a", "key_b", *by, *[f"{s}{x}{i}" for s in "ab" for i in "01" for x in axes]) for p, q in meets]
+    met = both[0].unionByName(both[1])
+    return met.withColumn("key_a", F.explode("key_a")).withColumn("key_b", F.explode("key_b")).where(asked) if alike else met
 
 
 def self_join(boxes: DataFrame, inflate: float = 0.0, cell: float = 1.0) -> DataFrame:
-    """Each unordered pair of overlapping boxes once, without a further shuffle."""
-    return box_join(boxes, boxes, inflate, cell, "ascend")
+    """Each unordered pair of overlapping boxes once, without a shuffle of the pairs."""
+    return box_join(boxes, boxes, inflate, cell, "ascend", alike=True)
 
 
 def capped(pairs: DataFrame, most: int = 1_000_000) -> tuple[DataFrame, bool]:

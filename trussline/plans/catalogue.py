@@ -135,7 +135,7 @@ _HIT = " AND ".join(f"a.{x}0 <= b.{x}1 + {{g}} AND b.{x}0 - {{g}} <= a.{x}1" for
 
 @query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT a.key AS key_a, b.key AS key_b FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0)}")
 def box_join(spark, sf_dir):
-    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0).select("key_a", "key_b")
+    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0, alike=True).select("key_a", "key_b")
 
 
 @query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT a.key AS key_a, b.key AS key_b FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0.5)}")
@@ -151,7 +151,7 @@ def box_self_join(spark, sf_dir):
 
 @query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT least(50, count(*)) AS n, count(*) >= 50 AS truncated FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0)}")
 def box_pair_cap(spark, sf_dir):
-    pairs, cut = boxes.capped(boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0), 50)
+    pairs, cut = boxes.capped(boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0, alike=True), 50)
     return pairs.agg(F.count("*").alias("n")).withColumn("truncated", F.lit(cut))
 
 
