@@ -140,7 +140,7 @@ def box_join(spark, sf_dir):
 
 @query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT a.key AS key_a, b.key AS key_b FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0.5)}")
 def box_join_inflated(spark, sf_dir):
-    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), inflate=0.5, cell=2.0).select("key_a", "key_b")
+    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), inflate=0.5, cell=2.0, alike=True).select("key_a", "key_b")
 
 
 @query(f"WITH a AS ({_box_sql(0)}) SELECT a.key AS key_a, b.key AS key_b FROM a JOIN a b ON a.key < b.key AND {_HIT.format(g=0)}")
