@@ -160,7 +160,7 @@ _DEPTH = "greatest(0.0, least(" + ", ".join(f"least(a.{x}1, b.{x}1) - greatest(a
 
 @query(f"WITH a AS ({_box_sql(0)}), b AS ({_box_sql(5)}) SELECT a.key AS key_a, b.key AS key_b, CAST({_DEPTH} AS DOUBLE) AS depth FROM a JOIN b ON a.key <> b.key AND {_HIT.format(g=0)}")
 def overlap_depth(spark, sf_dir):
-    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0).select("key_a", "key_b", boxes.overlap_depth().alias("depth"))
+    return boxes.box_join(_boxes(spark, sf_dir, 0), _boxes(spark, sf_dir, 5), cell=2.0, alike=True).select("key_a", "key_b", boxes.overlap_depth().alias("depth"))
 
 
 @query("""WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)
