@@ -208,3 +208,11 @@ def test_boxes_alike_meet_as_one(spark):
         assert all(int(p.key_a[1:]) % 2 == int(p.key_b[1:]) % 2 and p.key_a != p.key_b for p in pairs)
     plan = boxes.box_join(b, b)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("rightHint=(strategy=merge)") == 2
+
+
+@pytest.mark.parametrize("name", ["box_join", "box_join_inflated", "box_self_join", "overlap_depth"])
+def test_box_queries_pack(spark, name):
+    from trussline.plans import catalogue as plans
+
+    plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(key_a" in plan and "collect_list(key_b" in plan and plan.count("rightHint=(strategy=merge)") >= 2
