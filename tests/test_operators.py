@@ -216,3 +216,20 @@ def test_box_queries_pack(spark, name):
 
     plan = plans.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(key_a" in plan and "collect_list(key_b" in plan and plan.count("rightHint=(strategy=merge)") >= 2
+
+
+def test_meshes_alike_are_one_shape(spark):
+    """Hundreds of copies of two crossing cubes and one apart: checked as three shapes, given out to all pairs."""
+    kinds = [cube().ravel().tolist(), cube((0.5, 0.25, 0.125)).ravel().tolist(), cube((1.75, 0.25, 0.125)).ravel().tolist()]
+    left = spark.createDataFrame([(f"a{i:03}", kinds[0]) for i in range(300)], "key string, tris array<double>")
+    right = spark.createDataFrame([(f"b{i:03}", kinds[1 + i % 2]) for i in range(300)], "key string, tris array<double>")
+    shapes, _ = clashes.shaped(left, right)
+    assert [s.count() for s in shapes] == [1, 2]
+    hard = clashes.hard_meshes(left, right).collect()
+    assert {(r.key_a, r.key_b) for r in hard} == {(f"a{i:03}", f"b{k:03}") for i in range(300) for k in range(0, 300, 2)} and len(hard) == 300 * 150
+    assert {r.overlap for r in hard} == {0.5}
+    near = clashes.near_meshes(left, right, 0.8).collect()
+    assert len(near) == 300 * 300 and {r.dist for r in near if int(r.key_b[1:]) % 2} == {0.75}
+    # A mesh has nothing with itself, but its copies have with each other.
+    own = spark.createDataFrame([("s0", kinds[0]), ("s1", kinds[0]), ("s2", kinds[1])], "key string, tris array<double>")
+    assert {(r.key_a, r.key_b) for r in clashes.near_meshes(own, own, 0.1).collect()} == {(f"s{i}", f"s{k}") for i in range(3) for k in range(3) if i != k}
