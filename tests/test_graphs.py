@@ -54,6 +54,29 @@ def test_states_compose():
             assert step.walk(data, s) == slow == step.walk(data[cut:], step.walk(data[:cut], s)) == step.ends(data, s)[1]
 
 
+def test_a_range_reads_little_beyond_its_end():
+    """A range of 64 KB in a large file takes its own bytes and the end of one record, not a MB."""
+    import io
+
+    class Counted(io.BytesIO):
+        taken = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            self.taken += len(data)
+            return data
+
+    f = Counted(b"".join(b"#%d=IFCWALL('it''s; #1', /* ; ' */ #%d,$);\n" % (i, i + 1) for i in range(1, 100_000)))
+    rows = list(step.records(f, 0, 1 << 16, step.PLAIN))
+    assert len(rows) > 1000 and f.taken < (1 << 16) + (1 << 14)
+
+
+def test_ranges_are_dealt_to_several_tasks(spark, tmp_path):
+    (tmp_path / "b.ifc").write_text("".join(f"#{i}=IFCX('{i};',#{i - 1});\n" for i in range(1, 20_000)))
+    found = step.read_step(spark, str(tmp_path), 1 << 12)
+    assert found.select(F.spark_partition_id()).distinct().count() > 1 and found.count() == 19_999
+
+
 @pytest.mark.parametrize("size", [7, 64, 1 << 20])
 def test_read_step(spark, tmp_path, monkeypatch, size):
     (tmp_path / "a.ifc").write_text(MODEL)

@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,48 +24,71 @@ from trussline.sources.pointclouds import _files, _open
 RECORDS = "file string, id long, entity string, args string, refs array<long>"
 #: Bytes of a range, and bytes that are read at once.
 RANGE, READ = 64 << 20, 1 << 20
+#: Bytes that are read beyond a range at first.
+TAIL = 4 << 10
 #: States: plain text, in a string, in a comment, after a slash in plain text, after a star in a comment.
 PLAIN, TEXT, COMMENT, SLASH, STAR = range(5)
 _STEPS = {PLAIN: {39: TEXT, 47: SLASH}, TEXT: {39: PLAIN}, COMMENT: {42: STAR}, SLASH: {39: TEXT, 42: COMMENT, 47: SLASH}, STAR: {47: PLAIN, 42: STAR}}
 _AFTER = {PLAIN: PLAIN, TEXT: TEXT, COMMENT: COMMENT, SLASH: PLAIN, STAR: COMMENT}
 _RECORD = re.compile(rb"\s*#(\d+)\s*=\s*([A-Za-z0-9_]*)\s*\((.*)\)\s*\Z", re.S)
+_COMMENT = re.compile(rb"'[^']*'|/\*.*?\*/", re.S)
 _STRING, _REF = re.compile(rb"'[^']*'"), re.compile(rb"#(\d+)")
 
 
+#: Whole strings and comments and what is between them; the same up to the end of a record.
+_WHOLE = re.compile(rb"(?:[^'/]++|'[^']*+'|/(?=[^*])|/\*(?s:.*?)\*/)*+")
+_ENDED = re.compile(rb"(?:[^'/;]++|'[^']*+'|/(?=[^*])|/\*(?s:.*?)\*/)*+;")
+
+
+def _plain(data: bytes, state: int) -> int:
+    """Where plain text begins if a state is that at the start, or -1 if it doesn't."""
+    if state == TEXT:
+        return data.find(b"'") + 1 or -1
+    if state == STAR and data[:1] == b"/":
+        return 1
+    if state == SLASH and data[:1] == b"*" or state in (COMMENT, STAR):
+        at = data.find(b"*/", int(state == SLASH))
+        return at + 2 if at >= 0 else -1
+    return 0
+
+
+def _left(data: bytes, first: int) -> int:
+    """The state after plain text from first on."""
+    at = _WHOLE.match(data, first).end()
+    if at == len(data):
+        return PLAIN
+    if data[at] == 39:
+        return TEXT
+    return SLASH if at + 1 == len(data) else STAR if data.endswith(b"*", at + 2) else COMMENT
+
+
 def walk(data: bytes, state: int) -> int:
-    """The state after some bytes: only quotes, slashes and stars, and what follows these two, can change it."""
-    v = np.frombuffer(data, np.uint8)
-    spots = np.flatnonzero((v == 39) | (v == 47) | (v == 42))
-    if state in (PLAIN, TEXT) and not len(np.flatnonzero(v[spots] != 39)):
-        return state ^ (len(spots) & 1)  # quotes alone
-    last = -1
-    for at, byte in zip(spots.tolist(), v[spots].tolist(), strict=True):
-        if at > last + 1:
-            state = _AFTER[state]
-        state = _STEPS[state].get(byte, _AFTER[state])
-        last = at
-    return _AFTER[state] if len(v) > last + 1 else state
+    """The state after some bytes."""
+    if not data:
+        return state
+    first = _plain(data, state)
+    if first >= 0:
+        return _left(data, first) if first < len(data) else PLAIN
+    if state == TEXT:
+        return TEXT
+    return STAR if data.endswith(b"*", int(state == SLASH)) else COMMENT
 
 
 def ends(data: bytes, state: int) -> tuple[list[int], int]:
     """Places of the semicolons that end a record, and the state after."""
-    v = np.frombuffer(data, np.uint8)
-    spots = np.flatnonzero((v == 39) | (v == 47) | (v == 42) | (v == 59))
-    out, last = [], -1
-    for at, byte in zip(spots.tolist(), v[spots].tolist(), strict=True):
-        if at > last + 1:
-            state = _AFTER[state]
-        if byte == 59 and state in (PLAIN, SLASH):
-            out.append(at)
-        state = _STEPS[state].get(byte, _AFTER[state])
-        last = at
-    return out, _AFTER[state] if len(v) > last + 1 else state
+    out, first = [], _plain(data, state) if data else -1
+    if first < 0:
+        return out, walk(data, state)
+    while m := _ENDED.match(data, first):
+        first = m.end()
+        out.append(first - 1)
+    return out, _left(data, first) if first < len(data) else PLAIN
 
 
 def _without_comments(raw: bytes) -> bytes:
     if b"/*" not in raw:
         return raw
-    return re.sub(rb"'[^']*'|/\*.*?\*/", lambda m: m[0] if m[0][:1] == b"'" else b" ", raw, flags=re.S)
+    return _COMMENT.sub(lambda m: m[0] if m[0][:1] == b"'" else b" ", raw)
 
 
 def record(raw: bytes) -> tuple[int, str, str, list[int]] | None:
@@ -81,9 +103,13 @@ def record(raw: bytes) -> tuple[int, str, str, list[int]] | None:
 def records(f, first: int, end: int, state: int) -> Iterator[tuple[int, str, str, list[int]]]:
     """The records that follow a border inside first to end; the start of the file is one, too."""
     f.seek(first)
-    held, at, open_ = b"", first, first == 0
+    held, at, open_, more = b"", first, first == 0, TAIL
     while True:
-        data = f.read(READ)
+        # Of what is beyond the range only the end of one record is wanted.
+        if at >= end:
+            data, more = f.read(min(READ, more)), more * 2
+        else:
+            data = f.read(min(READ, end - at))
         if not data:
             return
         borders, state = ends(data, state)
@@ -117,7 +143,11 @@ def read_step(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
                 at = list(range(0, n, size))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array([min(a + size, n) for a in at], pa.int64())], ["file", "first", "end"])
 
-    ranges = checkpointed(files.mapInArrow(dealt, "file string, first long, end long").repartition("file", "first"))
+    ranges = checkpointed(files.mapInArrow(dealt, "file string, first long, end long"))
+    # So many tasks in any case: rows that name ranges are small, and Spark would put them together into one.
+    n, total = ranges.agg(F.count("*"), F.sum(F.col("end") - F.col("first"))).first()
+    tasks = max(1, min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // RANGE))))
+    ranges = ranges.repartition(tasks, "file", "first")
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,4 +191,4 @@ def read_step(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
                             rows = []
                 yield batch(rows)
 
-    return begun.repartition("file", "first").mapInArrow(read, RECORDS)
+    return begun.repartition(tasks, "file", "first").mapInArrow(read, RECORDS)
