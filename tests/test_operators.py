@@ -233,3 +233,20 @@ def test_meshes_alike_are_one_shape(spark):
     # A mesh has nothing with itself, but its copies have with each other.
     own = spark.createDataFrame([("s0", kinds[0]), ("s1", kinds[0]), ("s2", kinds[1])], "key string, tris array<double>")
     assert {(r.key_a, r.key_b) for r in clashes.near_meshes(own, own, 0.1).collect()} == {(f"s{i}", f"s{k}") for i in range(3) for k in range(3) if i != k}
+
+
+def test_clash_counts(spark):
+    """Counts by the product of names' rows equal a count of all pairs: repeated names and keys, nulls, and names that hold the separator."""
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 2, None]), rng.choice(["a", "b", "a|b", "b|c", "c", "", None]), rng.choice([1, 2, 3, 4, 5, None])) for _ in range(120)]
+    want = {}
+    for r, x, k in rows:
+        for r2, y, k2 in rows:
+            if r is not None and r == r2 and None not in (k, k2) and k != k2:
+                both = [v for v in (x, y) if v is not None]
+                name = "|".join([*([min(both), max(both)] if both else []), f"r{r}"])
+                want[name] = want.get(name, 0) + 1
+    got = matrix.clash_counts(spark.createDataFrame(rows, "rule int, name string, key long")).collect()
+    assert {r.clash: r.n for r in got} == want and len(got) == len(want)
+    plan = matrix.clash_counts(spark.createDataFrame([(1, f"n{i}", i) for i in range(9)], "rule int, name string, key long"))
+    assert plan.count() == 36

@@ -128,3 +128,40 @@ def expand_classes(sets: DataFrame, name: str = "name") -> DataFrame:
 def clash_key(a: Column, b: Column, rule: Column) -> Column:
     """The same key for (a, b) and (b, a)."""
     return F.concat_ws("|", F.least(a, b), F.greatest(a, b), rule)
+
+
+#: Parts into which the names of a rule are dealt, so that a rule of many names is not one task.
+DEALT = 16
+
+
+def clash_counts(rows: DataFrame) -> DataFrame:
+    """clash (key of both names and 'r' and the rule) and n: how many ordered pairs of rows (rule, name, key) of a rule, with different keys, have it.
+
+    Names meet, not rows: n of two names is the product of their numbers of rows, less
+    the pairs with one key. Each two names meet once, and their key is no other's, so what comes
+    out is not shuffled; but for names that are null or hold the separator, and a name with itself.
+    """
+    rows = rows.where("rule is not null and key is not null")
+    every = rows.groupBy("rule", "name", "key").agg(F.count("*").alias("m"))
+    names = every.groupBy("rule", "name").agg(F.sum("m").alias("m"))
+    plain = F.coalesce(~F.contains(F.col("name"), F.lit("|")), F.lit(False))
+    text = F.concat(F.lit("r"), F.col("rule").cast("string"))
+    # What pairs of two names have too many: rows with one key.
+    side = lambda d, x: d.withColumnsRenamed({"name": f"name_{x}", "m": f"m_{x}"})
+    one = side(every, "a").join(side(every, "b").hint("merge"), ["rule", "key"]).where("not (name_a <=> name_b)").groupBy("rule", "name_a", "name_b").agg(F.sum(F.col("m_a") * F.col("m_b")).alias("less"))
+    a = side(names.where(plain), "a").withColumn("part", F.pmod(F.xxhash64("name_a"), F.lit(DEALT)))
+    b = side(names.where(plain), "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)).cast("array<bigint>")))
+    met = a.join(b.hint("merge"), ["rule", "part"]).where("name_a < name_b")
+    # Where each key has one name, which is the rule, the pairs of names need no shuffle.
+    shared = not one.isEmpty()
+    met = met.join(one.where("name_a < name_b"), ["rule", "name_a", "name_b"], "left") if shared else met.withColumn("less", F.lit(None).cast("long"))
+    out = met.select(clash_key(F.col("name_a"), F.col("name_b"), text).alias("clash"), (2 * (F.col("m_a") * F.col("m_b") - F.coalesce("less", F.lit(0)))).alias("n")).where("n > 0")
+    same = every.groupBy("rule", "name").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("n")).select(clash_key(F.col("name"), F.col("name"), text).alias("clash"), "n")
+    odd = side(names.where(~plain), "a").join(side(names, "b").hint("merge"), "rule").where("not (name_a <=> name_b)")
+    less = (F.col("rule") == F.col("l_rule")) & F.col("name_a").eqNullSafe(F.col("l_a")) & F.col("name_b").eqNullSafe(F.col("l_b"))
+    odd = odd if not shared else odd.join(one.withColumnsRenamed({"rule": "l_rule", "name_a": "l_a", "name_b": "l_b"}), less, "left")
+    odd = odd if shared else odd.withColumn("less", F.lit(None).cast("long"))
+    # Between two such names both orders come; with another one the order that is left out is added.
+    other = F.coalesce(~F.contains(F.col("name_b"), F.lit("|")), F.lit(False))
+    odd = odd.select(clash_key(F.col("name_a"), F.col("name_b"), text).alias("clash"), (F.when(other, 2).otherwise(1) * (F.col("m_a") * F.col("m_b") - F.coalesce("less", F.lit(0)))).alias("n"))
+    return out.unionByName(same.unionByName(odd).where("n > 0").groupBy("clash").agg(F.sum("n").alias("n")))

@@ -113,9 +113,8 @@ def class_expand(spark, sf_dir):
 
 @query("SELECT concat_ws('|', least(a.s_name, b.s_name), greatest(a.s_name, b.s_name), 'r' || CAST(a.s_nationkey AS VARCHAR)) AS clash, count(*) AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey GROUP BY 1")
 def clash_key(spark, sf_dir):
-    s = _t(spark, sf_dir, "supplier")
-    both = s.join(s.select(F.col("s_name").alias("n2"), F.col("s_nationkey").alias("k2"), F.col("s_suppkey").alias("s2")), (F.col("s_nationkey") == F.col("k2")) & (F.col("s_suppkey") != F.col("s2")))
-    return both.groupBy(matrix.clash_key(F.col("s_name"), F.col("n2"), F.concat(F.lit("r"), F.col("s_nationkey").cast("string"))).alias("clash")).agg(F.count("*").alias("n"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("rule"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("key"))
+    return matrix.clash_counts(s).select("clash", "n")
 
 
 def _boxes(spark: SparkSession, sf_dir: str, shift: int) -> DataFrame:
