@@ -250,3 +250,21 @@ def test_clash_counts(spark):
     assert {r.clash: r.n for r in got} == want and len(got) == len(want)
     plan = matrix.clash_counts(spark.createDataFrame([(1, f"n{i}", i) for i in range(9)], "rule int, name string, key long"))
     assert plan.count() == 36
+
+
+def test_nearest_starts_small(spark, monkeypatch):
+    """A radius that holds thousands of triangles a point starts smaller, copies of a triangle go as one, and the nearest ones are those of brute force."""
+    rng = np.random.default_rng(3)
+    p, t = rng.normal(size=(3000, 3)), np.repeat(rng.normal(size=(1500, 3)), 2, 0)
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
+    solid = spark.createDataFrame([(i, *map(float, [*x, *x, *x])) for i, x in enumerate(t)], "tri long, " + ", ".join(f"{c} double" for c in clashes._CORNERS))
+    radii, within = [], clashes._within
+    monkeypatch.setattr(clashes, "FEW", 0)
+    monkeypatch.setattr(clashes, "PAIRS", 4)
+    monkeypatch.setattr(clashes, "_within", lambda a, b, r, by: radii.append((r, b.count())) or within(a, b, r, by))
+    far = np.linalg.norm(p[:, None] - t[None], axis=2)
+    for most in (0.5, 0.0):
+        got = {r.id: (r.tri, r.dist) for r in clashes.nearest_surface(points, solid, most).collect()}
+        assert set(got) == {i for i in range(3000) if not most or far[i].min() <= most}
+        assert all(got[i][0] == far[i].argmin() and abs(got[i][1] - far[i].min()) < 1e-12 for i in got)
+    assert all(n == 1500 for _, n in radii) and radii[0][0] < 0.5 and len(radii) > 2
